@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orebody.llm import html_templates, media_ogg, packing, quality_qda, sharding, url_graph
+from orebody.llm import brown_lm, decontaminate_cgk, html_templates, media_ogg, minhash_dedup, packing, quality_qda, sharding, url_graph
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_packing": packing.op4_packing,
         "op5_url_graph": url_graph.op5_url_graph,
         "op6_shards": sharding.op6_shards,
+        "op7_brown": brown_lm.op7_brown,
+        "op8_minhash": minhash_dedup.op8_minhash,
+        "op10_cgk": decontaminate_cgk.op10_cgk,
     }
 
 
