@@ -114,7 +114,7 @@ def _pick(digest: Column, i: int, words: list[str]) -> Column:
 
 def _mapped(text: Column, digest: Column) -> Column:
     """Each digit, letter and capital replaced by one of its own sort; in words of hex digits, by hex digits."""
-    hexed = text.rlike(r"^[0-9a-f]+$")
+    hexed = text.rlike(r"^[0-9a-f]{8,}$") & text.rlike("[a-f]")
 
     def one(i: Column) -> Column:
         c, b = F.substr(text, i, F.lit(1)), _byte(digest, i)
@@ -126,27 +126,44 @@ def _mapped(text: Column, digest: Column) -> Column:
     return F.when(F.length(text) > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text))), one), "")).otherwise("")
 
 
-def surrogate(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
-    """The canonical form of an entity's replacement: a function of the key, the type, the entity and the number of the draw."""
-    seed = lambda part: F.sha2(F.concat_ws("|", F.lit(key), kind, part, attempt.cast("string")), 512)
-    d = seed(canon)
+def draw_digest(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
+    """128 hex digits from the key, the type, the entity and the number of the draw."""
+    return F.sha2(F.concat_ws("|", F.lit(key), kind, canon, attempt.cast("string")), 512)
+
+
+def plain_surrogate(kind: Column, canon: Column, digest: Column, key: str) -> Column:
+    """The entity letter by letter; an address's domain is drawn apart, so that neighbours in a domain stay neighbours."""
     domain = F.regexp_extract(canon, r"@(.*)\.[^.@]*$", 1)
-    email = F.concat(_mapped(F.regexp_extract(canon, "^[^@]*", 0), d), F.lit("@"), _mapped(domain, F.sha2(F.concat_ws("|", F.lit(key), F.lit("domain"), domain), 512)), F.lit(".example"))
+    email = F.concat(_mapped(F.regexp_extract(canon, "^[^@]*", 0), digest), F.lit("@"), _mapped(domain, F.sha2(F.concat_ws("|", F.lit(key), F.lit("domain"), domain), 512)), F.lit(".example"))
+    return F.when(kind == "email", email).when(kind.isin("ip", "name"), F.lit("")).otherwise(_mapped(canon, digest))
+
+
+def surrogate(kind: Column, canon: Column, d: Column, plain: Column) -> Column:
+    """The canonical form of an entity's replacement."""
     ip = F.concat_ws(".", *[(1 + (_byte(d, 2 * i + 1) * 256 + _byte(d, 2 * i + 2)) % 254).cast("string") for i in range(4)])
-    plain = _mapped(canon, d)
     head = F.concat(F.substr(canon, F.lit(1), F.lit(1)), F.substr(plain, F.lit(2)))  # the first digit stays: a country's or an issuer's
     body = F.substr(head, F.lit(1), F.length(head) - 1)
     card = F.concat(body, ((10 - _luhn(F.concat(body, F.lit("0")))) % 10).cast("string"))
     iban = F.concat(F.substr(canon, F.lit(1), F.lit(2)), F.substr(plain, F.lit(3)))
     secret = F.when(canon.rlike("^(?:AKIA|gh[pousr]_)"), F.concat(F.substr(canon, F.lit(1), F.lit(4)), F.substr(plain, F.lit(5)))).when(canon.startswith("sk-"), F.concat(F.lit("sk-"), F.substr(plain, F.lit(4)))).otherwise(plain)
-    name = F.lit("")
     parts = F.split(canon, r"\|", 3)
+    name = F.lit("")
     for (script, gender), first in _FIRST.items():
-        syllables = _SYLLABLES[script]
-        family = F.initcap(F.concat(*[_pick(d, 3 + 2 * i, syllables) for i in range(4)], F.lit(_ENDINGS[script][gender])))
+        family = F.initcap(F.concat(*[_pick(d, 3 + 2 * i, _SYLLABLES[script]) for i in range(4)], F.lit(_ENDINGS[script][gender])))
         full = F.when(parts[2].contains(" "), F.concat(_pick(d, 1, first), F.lit(" "), family)).otherwise(family)
-        name = F.when((parts[0] == gender) & (parts[1] == script), F.concat_ws("|", F.lit(gender), F.lit(script), full)).otherwise(name)
-    return F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", card).when(kind.isin("phone", "ssn"), F.when(F.length(canon) > 10, head).otherwise(plain)).when(kind == "iban", iban).when(kind == "name", name).otherwise(secret)
+        name = F.when(canon.startswith(f"{gender}|{script}|"), F.concat(F.lit(f"{gender}|{script}|"), full)).otherwise(name)
+    return F.when(kind == "email", plain).when(kind == "ip", ip).when(kind == "card", card).when(kind.isin("phone", "ssn"), F.when(F.length(canon) > 10, head).otherwise(plain)).when(kind == "iban", iban).when(kind == "name", name).otherwise(secret)
+
+
+def _with(e: Column, have: tuple[str, ...], **more: Column) -> Column:
+    return F.struct(*[e[n].alias(n) for n in have], *[c.alias(n) for n, c in more.items()])
+
+
+def _drawn(rows: DataFrame, key: str) -> DataFrame:
+    """`surrogate` from kind, canon and attempt, in steps, so that no step repeats another's work."""
+    rows = rows.withColumn("_d", draw_digest(F.col("kind"), F.col("canon"), F.col("attempt"), key))
+    rows = rows.withColumn("_p", plain_surrogate(F.col("kind"), F.col("canon"), F.col("_d"), key))
+    return rows.withColumn("surrogate", surrogate(F.col("kind"), F.col("canon"), F.col("_d"), F.col("_p"))).drop("_d", "_p")
 
 
 def _identity(kind: Column, form: Column) -> Column:
@@ -176,7 +193,7 @@ def checked_entities(docs: DataFrame, text: str = "text", key: str = KEY) -> Dat
     none equal to an entity of that kind."""
     seen = docs.select(F.explode(F.array_distinct(_found(F.col(text)))).alias("m")).distinct()
     seen = seen.withColumn("kind", entity_kind(F.col("m"))).filter("kind is not null").select("kind", canonical(F.col("m"), F.col("kind")).alias("canon")).distinct()
-    drawn = materialize(seen.withColumn("attempt", F.lit(0)).withColumn("surrogate", surrogate(F.col("kind"), F.col("canon"), F.col("attempt"), key)), "entities")
+    drawn = materialize(_drawn(seen.withColumn("attempt", F.lit(0)), key), "entities")
     while True:
         form = _identity(F.col("kind"), F.col("surrogate"))
         first = drawn.groupBy("kind", form.alias("form")).agg(F.min(F.struct("attempt", "canon")).alias("owner"), F.count("*").alias("n")).filter("n > 1").select("kind", "form", F.col("owner.canon").alias("keeper"))
@@ -186,8 +203,8 @@ def checked_entities(docs: DataFrame, text: str = "text", key: str = KEY) -> Dat
         judged = materialize(judged.select("kind", "canon", "attempt", "surrogate", again.alias("again")), "judged")
         if judged.filter("again").isEmpty():
             return judged.drop("again")
-        attempt = F.col("attempt") + F.col("again").cast("int")
-        drawn = materialize(judged.select("kind", "canon", attempt.alias("attempt"), "surrogate", "again").withColumn("surrogate", F.when(F.col("again"), surrogate(F.col("kind"), F.col("canon"), F.col("attempt"), key)).otherwise(F.col("surrogate"))).drop("again"), "entities")
+        kept = judged.filter("not again").drop("again")
+        drawn = materialize(kept.unionByName(_drawn(judged.filter("again").select("kind", "canon", (F.col("attempt") + 1).alias("attempt")), key)), "entities")
 
 
 def with_surrogates(docs: DataFrame, text: str = "text", key: str = KEY) -> DataFrame:
@@ -204,15 +221,16 @@ def with_surrogates(docs: DataFrame, text: str = "text", key: str = KEY) -> Data
         out = salted_join(out.withColumn("_id", id_), draws, ["_id"], "left", by=[c for c in docs.columns if c != text][:1]).drop("_id")
         drawn = lambda kind, canon: F.coalesce(F.col("_draws")[F.concat_ws("|", kind, canon)], F.lit(0))
 
-    def replaced(m: Column) -> Column:
-        kind = entity_kind(m)
-        canon = canonical(m, kind)
-        return F.when(kind.isNull(), m).otherwise(rendered(m, kind, surrogate(kind, canon, drawn(kind, canon), key)))
-
+    out = out.withColumn("_e", F.transform("_m", lambda m: F.struct(m.alias("m"), entity_kind(m).alias("kind"))))
+    out = out.withColumn("_e", F.transform("_e", lambda e: _with(e, ("m", "kind"), canon=canonical(e["m"], e["kind"]))))
+    out = out.withColumn("_e", F.transform("_e", lambda e: _with(e, ("m", "kind", "canon"), d=draw_digest(e["kind"], e["canon"], drawn(e["kind"], e["canon"]), key))))
+    out = out.withColumn("_e", F.transform("_e", lambda e: _with(e, ("m", "kind", "canon", "d"), p=plain_surrogate(e["kind"], e["canon"], e["d"], key))))
+    out = out.withColumn("_e", F.transform("_e", lambda e: _with(e, ("m", "kind"), s=surrogate(e["kind"], e["canon"], e["d"], e["p"]))))
+    out = out.withColumn("_e", F.transform("_e", lambda e: _with(e, ("kind",), to=F.when(e["kind"].isNull(), e["m"]).otherwise(rendered(e["m"], e["kind"], e["s"])))))
     between = F.split(F.col(f"`{text}`"), PATTERN, -1)
-    joined = F.array_join(F.flatten(F.zip_with(between, F.transform("_m", replaced), lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
-    kinds = F.array_compact(F.transform("_m", entity_kind))
-    changed = F.size("_m") > 0
+    joined = F.array_join(F.flatten(F.zip_with(between, F.transform("_e", lambda e: e["to"]), lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
+    kinds = F.array_compact(F.transform("_e", lambda e: e["kind"]))
+    changed = F.size("_e") > 0
     out = out.withColumn("entity_kinds", F.when(changed, kinds).otherwise(F.array().cast("array<string>"))).withColumn(text, F.when(changed, joined).otherwise(F.col(f"`{text}`")))
     names = [c for c in docs.columns if c not in ("n_entities", "entity_kinds")]
     return out.withColumn("n_entities", F.size("entity_kinds")).select(*[f"`{c}`" for c in names], "n_entities", "entity_kinds")

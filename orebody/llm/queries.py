@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orebody.llm import brown_lm, decontaminate_cgk, html_templates, media_ogg, minhash_dedup, packing, quality_qda, sharding, url_graph
+from orebody.llm import brown_lm, decontaminate_cgk, html_templates, media_ogg, minhash_dedup, packing, pii_surrogates, quality_qda, sharding, url_graph
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_shards": sharding.op6_shards,
         "op7_brown": brown_lm.op7_brown,
         "op8_minhash": minhash_dedup.op8_minhash,
+        "op9_surrogates": pii_surrogates.op9_surrogates,
         "op10_cgk": decontaminate_cgk.op10_cgk,
     }
 
