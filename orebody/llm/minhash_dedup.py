@@ -6,10 +6,10 @@
 2. Equal sets form classes, each represented by its least id; only representatives go on.
 3. Bands of the signature are bucket keys. In each bucket every member is paired with the bucket's least id: a star, so that
    pairs grow with members, not with their square.
-4. Each candidate pair is confirmed on the full sets (after a length test that cannot lose a link).
-5. Components of the confirmed links, by contraction in Spark. Where a bucket still holds several components, the members outside
-   its largest one are compared with all members of other components, so that a star's hub that is similar to neither of two
-   linked documents costs no link.
+4. Each candidate pair is compared on the full sets.
+5. Components of the confirmed links, by contraction in Spark.
+6. Two members of a star may be linked although one of them isn't linked to the hub. What the hub has in common with each, and the
+   shingles that it lacks, bound what they can have in common; pairs that pass this exact bound are compared as well.
 
 A pair at the threshold meets in a bucket with probability 1 - (1 - 0.8^5)^28 > 0.99998; more similar pairs almost surely.
 
@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructType
 
@@ -143,8 +143,9 @@ def _packed(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, "id long, z binary")
 
 
-def confirmed(pairs: DataFrame, packed: DataFrame, width: int, percent: int) -> DataFrame:
-    """Pairs (hub, member, crowd) whose full sets reach the similarity; crowd bounds a hub's members, for its split."""
+def compared(pairs: DataFrame, packed: DataFrame, width: int, rest: bool) -> DataFrame:
+    """Pairs (hub, member, crowd) with their full sets' sizes and intersection: hub, member, hub_n, n, x, and with `rest` the member's
+    shingles that the hub lacks. crowd bounds a hub's members, for its split."""
     wanted = pairs.select(F.col("hub").alias("id")).union(pairs.select("member")).distinct()
     texts = materialize(packed.join(wanted, "id"), "texts")
     dealt = pairs.withColumn("part", F.pmod(F.xxhash64("member"), F.ceil(F.col("crowd") / 128)).cast("int"))
@@ -157,7 +158,7 @@ def confirmed(pairs: DataFrame, packed: DataFrame, width: int, percent: int) ->
         own: list[np.ndarray] = []
         now = None
         for batch in batches:
-            a, b = [], []
+            out: list[tuple] = []
             for hub, part, other, z in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 s = shingle_set(unpack(z), memo, width)
                 if (hub, part) != now:
@@ -165,14 +166,41 @@ def confirmed(pairs: DataFrame, packed: DataFrame, width: int, percent: int) ->
                 if other is None:
                     own.append(s)
                     continue
-                for x in own:  # one, unless ids repeat
-                    both = len(np.intersect1d(x, s, assume_unique=True))
-                    if 100 * both >= percent * (len(x) + len(s) - both):
-                        a.append(hub)
-                        b.append(other)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["u", "v"])
-
-    return rows.mapInArrow(run, "u long, v long").distinct()
+                for h in own:  # one, unless ids repeat
+                    inner = np.isin(s, h, assume_unique=True)
+                    out.append((hub, other, len(h), len(s), int(inner.sum()), s[~inner].view(np.int64) if rest else None))
+            cols = list(zip(*out, strict=True)) if out else [()] * 6
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["hub", "member", "hub_n", "n", "x", "rest"])
+
+    return rows.mapInArrow(run, "hub long, member long, hub_n long, n long, x long, rest array<long>")
+
+
+def _similar(percent: int) -> Column:
+    return F.col("x") * 100 >= (F.col("hub_n") + F.col("n") - F.col("x")) * percent
+
+
+def unsettled(stars: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """Pairs (hub, member) of one star, in different components, that may be linked although one of them isn't linked to their hub H.
+
+    A link of O and M needs |O & M| >= percent / (100 + percent) * (|O| + |M|), and |O & M| <= min(|O & H|, |M & H|) + the shingles
+    that both have and H lacks. So either they share enough of the latter, found by a join on those shingles, or the former alone
+    suffices, found by a join on the few lengths of M for which it can. No link is lost, and no star is multiplied out."""
+    known = roots.select(F.col("id").alias("member"), "root")
+    rated = materialize(stars.join(known, "member", "left").withColumn("root", F.coalesce("root", "member")).withColumn("linked", _similar(percent)), "rated")
+    failing = rated.filter(~F.col("linked"))
+    o = failing.select("hub", F.col("member").alias("o"), F.col("n").alias("no"), F.col("x").alias("xo"), F.col("root").alias("ro"), F.col("rest").alias("_rest"))
+    m = rated.join(failing.select("hub").distinct(), "hub", "left_semi").select("hub", F.col("member").alias("m"), F.col("n").alias("nm"), F.col("x").alias("xm"), F.col("root").alias("rm"), "linked", F.col("rest").alias("_rest"))
+    total = F.col("no") + F.col("nm")
+    need = F.ceil(total * percent / (100 + percent) - 1e-9) - F.least("xo", "xm")
+    apart = (F.col("ro") != F.col("rm")) & (F.col("linked") | (F.col("o") < F.col("m"))) & (F.least("no", "nm") * 100 >= F.greatest("no", "nm") * percent)
+    shared = o.withColumn("g", F.explode("_rest")).drop("_rest").join(m.withColumn("g", F.explode("_rest")).drop("_rest"), ["hub", "g"]).filter(apart)
+    shared = shared.groupBy("hub", "o", "m", "no", "nm", "xo", "xm").agg(F.count("*").alias("both")).filter(F.col("both") >= need)
+    low, high = F.ceil(F.col("no") * percent / 100 - 1e-9), F.floor(F.col("xo") * (100 + percent) / percent + 1e-9) - F.col("no")
+    reach = o.drop("_rest").withColumn("high", F.least(high, F.floor(F.col("no") * 100 / percent + 1e-9))).withColumn("low", low).filter("low <= high").withColumn("nm", F.explode(F.sequence("low", "high"))).drop("low", "high")
+    inner = reach.join(m.drop("_rest"), ["hub", "nm"]).filter(apart & (need <= 0))
+    both = shared.select("o", "m").union(inner.select("o", "m"))
+    return both.select(F.least("o", "m").alias("hub"), F.greatest("o", "m").alias("member")).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -206,29 +234,19 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     rows_ = reps.select("rep", "n", F.explode("bands").alias("bucket"))
     least = rows_.groupBy("bucket").agg(F.min(F.struct("rep", "n")).alias("h"), F.count("*").alias("crowd")).filter("crowd > 1")
     stars = salted_join(rows_, least, ["bucket"], salts=4, by=["rep"])
-    fits = lambda a, b: F.least(a, b) * 100 >= F.greatest(a, b) * percent  # noqa: E731  the intersection is no larger than the smaller set
-    members = materialize(stars.select("bucket", "rep", "n", F.col("h.rep").alias("hub"), F.col("h.n").alias("hub_n"), "crowd"), "buckets")
-    pairs = members.filter(F.col("rep") != F.col("hub")).filter(fits(F.col("n"), F.col("hub_n"))).groupBy("hub", F.col("rep").alias("member")).agg(F.max("crowd").alias("crowd"))
+    pairs = stars.select("rep", F.col("h.rep").alias("hub"), "crowd").filter(F.col("rep") != F.col("hub")).groupBy("hub", F.col("rep").alias("member")).agg(F.max("crowd").alias("crowd"))
     pairs = materialize(pairs, "pairs")
     packed = _packed(docs, key, text)
-    links = materialize(confirmed(pairs, packed, width, percent), "links")
+    rated = materialize(compared(pairs, packed, width, True), "stars")
+    links = rated.filter(_similar(percent)).select(F.col("hub").alias("u"), F.col("member").alias("v"))
     roots = components(links)
-
-    # buckets with several components: compare what stands outside the largest with the rest
-    joined = members.select("bucket", "rep", "n").join(roots.select(F.col("id").alias("rep"), "root"), "rep", "left").select("bucket", "rep", "n", F.coalesce("root", "rep").alias("root"))
-    sizes = joined.groupBy("bucket", "root").agg(F.count("*").alias("c"))
-    several = sizes.groupBy("bucket").agg(F.count("*").alias("k"), F.max(F.struct("c", "root")).alias("top")).filter("k > 1").select("bucket", F.col("top.root").alias("top"))
-    open_ = materialize(salted_join(joined, several, ["bucket"], salts=4, by=["rep"]), "open")
-    outer = open_.filter("root <> top").select("bucket", F.col("rep").alias("o"), F.col("n").alias("on"), F.col("root").alias("oroot"))
-    cross = salted_join(open_, outer, ["bucket"], salts=4, by=["rep"]).filter("root <> oroot").filter((F.col("root") == F.col("top")) | (F.col("rep") < F.col("o"))).filter(fits(F.col("n"), F.col("on")))
-    cross = cross.select(F.least("rep", "o").alias("hub"), F.greatest("rep", "o").alias("member")).distinct().join(pairs, ["hub", "member"], "left_anti")
-    cross = materialize(cross, "cross")
-    if not cross.isEmpty():
-        crowds = cross.groupBy("hub").agg(F.count("*").alias("crowd"))
-        more = confirmed(salted_join(cross, crowds, ["hub"], salts=4, by=["member"]).select("hub", "member", "crowd"), packed, width, percent)
-        more = materialize(more, "links")
-        if not more.isEmpty():
-            roots = components(links.unionByName(more))
+    more = materialize(unsettled(rated, roots, percent).join(pairs, ["hub", "member"], "left_anti"), "unsettled")
+    if not more.isEmpty():
+        crowds = more.groupBy("hub").agg(F.count("*").alias("crowd"))
+        found = compared(salted_join(more, crowds, ["hub"], salts=4, by=["member"]).select("hub", "member", "crowd"), packed, width, False)
+        found = materialize(found.filter(_similar(percent)).select(F.col("hub").alias("u"), F.col("member").alias("v")), "links")
+        if not found.isEmpty():
+            roots = components(links.unionByName(found))
 
     classes = reps.select("set_key", "rep").join(roots.select(F.col("id").alias("rep"), "root"), "rep", "left").select("set_key", F.coalesce("root", "rep").alias("component_id"))
     out = salted_join(signed.select("id", "n_shingles", "set_key"), classes, ["set_key"], "left", by=["id"])
