@@ -27,22 +27,25 @@ _TITLES_M = ["Mr", "Mister", "Herr", "Herrn", "Monsieur", "Señor", "Sr", "го
 _TITLES_F = ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Mademoiselle", "Señora", "Sra", "Señorita", "госпожа", "Госпожа", "κυρία", "Κυρία"]
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _TITLE = "|".join(sorted(_TITLES_M + _TITLES_F, key=lambda x: (-len(x), x)))
-#: Alternatives of the one pattern, tried in this order at each place.
+_TITLE_START = "[" + "".join(sorted({t[0] for t in _TITLES_M + _TITLES_F})) + "]"
+#: What stands before a value that is secret by its label; it belongs to the mention but not to the entity.
+_LABEL = r"(?i:password|passwd|pwd|secret|token|api_?key)\s{0,2}[=:]\s{0,2}[\"']?"
+#: Alternatives of the one pattern, tried in this order at each place. Each opens with its cheapest test, as most places are no start.
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}][\p{L}\p{N}._%+\-]{0,63}+@(?:[\p{L}\p{N}][\p{L}\p{N}\-]{0,62}\.){1,8}\p{L}{2,24}(?![\p{L}\p{N}])",
-    "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
-    "secret": r"(?<![\p{L}\p{N}])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9_\-]{20,64})(?![\p{L}\p{N}])"
-    r"|(?<=(?i:password|passwd|pwd|secret|token|api_key|apikey)\s{0,2}[=:]\s{0,2}[\"']?)[A-Za-z0-9_\-+/]{8,128}(?![\p{L}\p{N}])"
-    r"|(?<![\p{L}\p{N}])(?=[0-9a-f]{0,63}[a-f])(?=[0-9a-f]{0,63}\d)[0-9a-f]{32,64}(?![\p{L}\p{N}])",
-    "ip": rf"(?<![\p{{L}}\p{{N}}.])(?:{_OCTET}\.){{3}}{_OCTET}(?![\p{{L}}\p{{N}}]|\.\d)",
-    "phone": r"(?<![\p{L}\p{N}+])(?:\+\d{1,3}[ .\-]?)?\(\d{2,4}\)[ .\-]?\d{3,4}[ .\-]?\d{3,4}(?!\d)|(?<![\p{L}\p{N}+])\+\d{1,3}(?:[ .\-]?\d{2,4}){2,4}(?!\d)|(?<![\p{L}\p{N}.\-])\d{3}[.\-]\d{3}[.\-]\d{4}(?![\p{N}\-])",
-    "ssn": r"(?<![\p{L}\p{N}\-])\d{3}-\d{2}-\d{4}(?![\p{N}\-])",
-    "card": r"(?<![\p{L}\p{N}.\-])\d(?:[ \-]?\d){12,18}(?![\p{L}\p{N}])",
-    "name": rf"(?<!\p{{L}})(?:{_TITLE})\.? \p{{Lu}}[\p{{L}}'’\-]{{1,30}}(?: \p{{Lu}}[\p{{L}}'’\-]{{1,30}})?(?!\p{{L}})",
+    "iban": r"(?=[A-Z])(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
+    "secret": r"(?=[Ags])(?<![\p{L}\p{N}])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9_\-]{20,64})(?![\p{L}\p{N}])"
+    rf"|(?=[pPsStTaA])(?<![\p{{L}}\p{{N}}]){_LABEL}[A-Za-z0-9_\-+/]{{8,128}}(?![\p{{L}}\p{{N}}])"
+    r"|(?=[0-9a-f])(?<![\p{L}\p{N}])(?=[0-9a-f]{0,63}[a-f])(?=[0-9a-f]{0,63}\d)[0-9a-f]{32,64}(?![\p{L}\p{N}])",
+    "ip": rf"(?=\d)(?<![\p{{L}}\p{{N}}.])(?:{_OCTET}\.){{3}}{_OCTET}(?![\p{{L}}\p{{N}}]|\.\d)",
+    "phone": r"(?=[+(\d])(?:(?<![\p{L}\p{N}+])(?:\+\d{1,3}[ .\-]?)?\(\d{2,4}\)[ .\-]?\d{3,4}[ .\-]?\d{3,4}(?!\d)|(?<![\p{L}\p{N}+])\+\d{1,3}(?:[ .\-]?\d{2,4}){2,4}(?!\d)|(?<![\p{L}\p{N}.\-])\d{3}[.\-]\d{3}[.\-]\d{4}(?![\p{N}\-]))",
+    "ssn": r"(?=\d)(?<![\p{L}\p{N}\-])\d{3}-\d{2}-\d{4}(?![\p{N}\-])",
+    "card": r"(?=\d)(?<![\p{L}\p{N}.\-])\d(?:[ \-]?\d){12,18}(?![\p{L}\p{N}])",
+    "name": rf"(?={_TITLE_START})(?<!\p{{L}})(?:{_TITLE})\.? \p{{Lu}}[\p{{L}}'’\-]{{1,30}}(?: \p{{Lu}}[\p{{L}}'’\-]{{1,30}})?(?!\p{{L}})",
 }
 PATTERN = "|".join(PATTERNS.values())
-#: A text without any of these has no entity.
-HINT = rf"[0-9@]|(?:{_TITLE})\.? "
+#: A text in which none of these is found has no entity. Apart and each opening with a class of characters, as all texts are searched.
+HINTS = ["[0-9@]", rf"{_TITLE_START}(?:{'|'.join(sorted({t[1:] for t in _TITLES_M + _TITLES_F}))})\.? ", r"[=:]\s{0,2}[\"']?[A-Za-z0-9_\-+/]{8}"]
 
 #: First names by script and gender, and syllables of family names by script.
 _FIRST = {
@@ -98,7 +101,7 @@ def _name_parts(m: Column) -> tuple[Column, Column, Column, Column]:
 def canonical(m: Column, kind: Column) -> Column:
     """The form under which mentions of one entity meet."""
     _, bare, gender, script = _name_parts(m)
-    return F.when(kind.isin("phone", "ssn", "card"), _digits(m)).when(kind == "email", ascii_lower(m)).when(kind == "iban", F.replace(m, F.lit(" "), F.lit(""))).when(kind == "name", F.concat_ws("|", gender, script, F.lower(bare))).otherwise(m)
+    return F.when(kind.isin("phone", "ssn", "card"), _digits(m)).when(kind == "secret", F.regexp_replace(m, f"^{_LABEL}", "")).when(kind == "email", ascii_lower(m)).when(kind == "iban", F.replace(m, F.lit(" "), F.lit(""))).when(kind == "name", F.concat_ws("|", gender, script, F.lower(bare))).otherwise(m)
 
 
 def _byte(digest: Column, i: Column | int) -> Column:
@@ -180,12 +183,14 @@ def rendered(m: Column, kind: Column, sur: Column) -> Column:
     shout = m.rlike("[A-Z]") & (F.translate(m, UPPER.lower(), "") == m)
     return (
         F.when(kind.isin("phone", "ssn", "card"), filled).when(kind == "iban", spaced).when(kind == "email", F.when(shout, F.upper(sur)).otherwise(sur))
-        .when(kind == "name", F.concat(title, F.when(F.upper(bare) == bare, F.upper(name)).otherwise(name))).otherwise(sur)
+        .when(kind == "name", F.concat(title, F.when(F.upper(bare) == bare, F.upper(name)).otherwise(name)))
+        .otherwise(F.concat(F.regexp_extract(m, f"^(?:{_LABEL})?", 0), sur))
     )
 
 
 def _found(text: Column) -> Column:
-    return F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    hint = text.rlike(HINTS[0]) | text.rlike(HINTS[1]) | text.rlike(HINTS[2])
+    return F.when(hint, F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
 def checked_entities(docs: DataFrame, text: str = "text", key: str = KEY) -> DataFrame:
