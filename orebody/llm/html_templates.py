@@ -3,8 +3,9 @@
 Each page is parsed once per pass. Pass one hashes the element subtrees that could be site furniture and counts, per host in
 Spark, on how many pages each occurs; subtrees that recur on many pages of a host are templates. Pass two takes the main
 content (article or main, else the body), leaves out what is furniture by its tag, role or class and every template, and
-joins what remains, block by block. Prose inside the content root (paragraphs, headings, quotes and the like) and the
-root with its ancestors are never counted as templates, so that an article copied to many pages of a host stays.
+joins what remains, block by block. Inside the content root, prose (paragraphs, headings, quotes, lists,
+tables) and what holds it are never counted as templates, nor are the root and its ancestors, so that an article copied to many
+pages of a host stays.
 
 Edge cases: null or empty html gives an empty text; unclosed and stray tags are tolerated, as browsers do; text without
 any element is one block; a null url has the empty host; repeated pages count once for each row that holds them; columns
@@ -40,7 +41,8 @@ _BLOCK = {
     "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "p", "pre", "search", "section", "summary", "table", "tbody", "td",
     "tfoot", "th", "thead", "tr", "ul",
 }
-_PROSE = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "li", "dd", "dt", "td", "th", "tr", "tbody", "thead", "figcaption", "caption"}
+_TEXTUAL = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre"}
+_PROSE = {"ul", "ol", "dl", "table", "p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "li", "dd", "dt", "td", "th", "tr", "tbody", "thead", "figcaption", "caption"}
 _INLINE = {"a", "abbr", "b", "bdi", "bdo", "cite", "code", "data", "dfn", "em", "font", "i", "kbd", "mark", "q", "s", "samp", "small", "span", "strong", "sub", "sup", "time", "tt", "u", "var", "label", "ins", "del"}
 _FURNITURE_TAGS = {"nav", "footer", "aside", "form", "script", "style", "template", "noscript", "textarea", "iframe", "title", "head", "button", "select", "option", "object", "embed", "applet", "canvas", "svg", "audio", "video", "map", "dialog", "menu", "xmp", "noembed", "noframes", "input"}
 _NEVER = _INLINE | {"html", "body", "head", "#root", "br", "wbr", "img"}
@@ -65,6 +67,7 @@ class Element:
     children: list = field(default_factory=list)
     digest: bytes = b""
     words: int = 0
+    textual: bool = False  # it is or holds a paragraph, heading or quote
 
 
 def _is_furniture(tag: str, attrs: str, inside: bool) -> tuple[bool, str]:
@@ -110,6 +113,8 @@ def parse(source: str) -> Element:
                     node = node.parent
                 inside -= node.tag in ("article", "main")
                 node = node.parent
+            elif tag == "p":  # a stray end makes an empty paragraph, which parts what stands around it
+                node.children.append(Element("p", node, "", False))
             continue
         shut, within = _CLOSES.get(tag, (None, None))
         if shut is None and tag in _BLOCK:
@@ -150,10 +155,12 @@ def _in_order(top: Element) -> list[Element]:
 def _hash_all(elements: list[Element]) -> None:
     for e in reversed(elements):
         h = hashlib.blake2b(f"{e.tag} {e.names}>".encode(), digest_size=8)
+        e.textual = e.tag in _TEXTUAL
         for c in e.children:
             if type(c) is Element:
                 h.update(c.digest)
                 e.words += c.words
+                e.textual |= c.textual
             elif words := c.split():
                 h.update(" ".join(words).encode("utf-8", "surrogatepass"))
                 e.words += len(words)
@@ -192,7 +199,7 @@ def _candidates(elements: list[Element], roots: list[Element]) -> tuple[list[Ele
         prose = parent[1] or (in_root and e.tag in _PROSE)
         dropped = parent[2] or e.furniture
         state[id(e)] = (in_root, prose and not dropped, dropped)
-        if id(e) in above or e.tag in _NEVER or not e.words or (in_root and prose and not dropped):
+        if id(e) in above or e.tag in _NEVER or not e.words or (in_root and (prose or e.textual) and not dropped):
             continue
         kept.append(e)
         if not dropped and (in_root or not root_ids):

@@ -228,7 +228,7 @@ def encode_text_media(df: DataFrame, text: str = "text", out: str = "media") ->
 def media_pages(df: DataFrame, media: str = "media", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """One row per page: keys, page_no, offset, serial, sequence, granule, flags, segments, body_bytes, crc_ok."""
     schema = df.select(*keys).schema
-    for name, kind in (("page_no", "int"), ("offset", "long"), ("serial", "long"), ("sequence", "long"), ("granule", "long"), ("flags", "int"), ("segments", "int"), ("body_bytes", "int"), ("crc_ok", "boolean")):
+    for name, kind in (("page_no", "integer"), ("offset", "long"), ("serial", "long"), ("sequence", "long"), ("granule", "long"), ("flags", "integer"), ("segments", "integer"), ("body_bytes", "integer"), ("crc_ok", "boolean")):
         schema = schema.add(name, kind)
     return _exploded(df, media, keys, schema, lambda data: [(i, p.offset, p.serial, p.number, p.granule, p.flags, len(p.lacing), len(p.body), p.crc_ok) for i, p in enumerate(read_pages(data))])
 
@@ -236,7 +236,7 @@ def media_pages(df: DataFrame, media: str = "media", keys: tuple[str, ...] = ("d
 def media_packets(df: DataFrame, media: str = "media", keys: tuple[str, ...] = ("doc_id",), rate: int = RATE) -> DataFrame:
     """One row per packet: keys, serial, packet_no, granule, end_s, whole, packet."""
     schema = df.select(*keys).schema
-    for name, kind in (("serial", "long"), ("packet_no", "int"), ("granule", "long"), ("end_s", "double"), ("whole", "boolean"), ("packet", "binary")):
+    for name, kind in (("serial", "long"), ("packet_no", "integer"), ("granule", "long"), ("end_s", "double"), ("whole", "boolean"), ("packet", "binary")):
         schema = schema.add(name, kind)
 
     def rows(data: bytes) -> list[tuple]:

@@ -215,27 +215,27 @@ def checked_entities(docs: DataFrame, text: str = "text", key: str = KEY) -> Dat
 def with_surrogates(docs: DataFrame, text: str = "text", key: str = KEY) -> DataFrame:
     """`docs` with the text rewritten, `n_entities` and `entity_kinds` (array of the types in text order) added."""
     redrawn = checked_entities(docs, text, key).filter("attempt > 0").select(F.concat_ws("|", "kind", "canon").alias("entity"), "attempt")
-    out = docs.withColumn("_m", _found(F.col(f"`{text}`")))
+    out = docs.withColumn("__pii_found", _found(F.col(f"`{text}`")))
     if redrawn.isEmpty():
         drawn = lambda kind, canon: F.lit(0)
     else:  # the draws of such entities, by text
         id_ = F.xxhash64(F.col(f"`{text}`"), F.length(F.col(f"`{text}`")))
-        ids = docs.select(id_.alias("_id"), _found(F.col(f"`{text}`")).alias("m")).distinct().select("_id", F.explode(F.array_distinct("m")).alias("m")).withColumn("kind", entity_kind(F.col("m"))).filter("kind is not null")
-        ids = ids.select("_id", F.concat_ws("|", "kind", canonical(F.col("m"), F.col("kind"))).alias("entity")).distinct()
-        draws = salted_join(ids, redrawn, ["entity"]).groupBy("_id").agg(F.map_from_entries(F.collect_list(F.struct("entity", "attempt"))).alias("_draws"))  # one text's own entities
-        out = salted_join(out.withColumn("_id", id_), draws, ["_id"], "left", by=[c for c in docs.columns if c != text][:1]).drop("_id")
-        drawn = lambda kind, canon: F.coalesce(F.col("_draws")[F.concat_ws("|", kind, canon)], F.lit(0))
-
-    out = out.withColumn("_e", F.transform("_m", lambda m: F.struct(m.alias("m"), entity_kind(m).alias("kind"))))
-    out = out.withColumn("_e", F.transform("_e", lambda e: _with(e, ("m", "kind"), canon=canonical(e["m"], e["kind"]))))
-    out = out.withColumn("_e", F.transform("_e", lambda e: _with(e, ("m", "kind", "canon"), d=draw_digest(e["kind"], e["canon"], drawn(e["kind"], e["canon"]), key))))
-    out = out.withColumn("_e", F.transform("_e", lambda e: _with(e, ("m", "kind", "canon", "d"), p=plain_surrogate(e["kind"], e["canon"], e["d"], key))))
-    out = out.withColumn("_e", F.transform("_e", lambda e: _with(e, ("m", "kind"), s=surrogate(e["kind"], e["canon"], e["d"], e["p"]))))
-    out = out.withColumn("_e", F.transform("_e", lambda e: _with(e, ("kind",), to=F.when(e["kind"].isNull(), e["m"]).otherwise(rendered(e["m"], e["kind"], e["s"])))))
+        ids = docs.select(id_.alias("__pii_id"), _found(F.col(f"`{text}`")).alias("m")).distinct().select("__pii_id", F.explode(F.array_distinct("m")).alias("m")).withColumn("kind", entity_kind(F.col("m"))).filter("kind is not null")
+        ids = ids.select("__pii_id", F.concat_ws("|", "kind", canonical(F.col("m"), F.col("kind"))).alias("entity")).distinct()
+        draws = salted_join(ids, redrawn, ["entity"]).groupBy("__pii_id").agg(F.map_from_entries(F.collect_list(F.struct("entity", "attempt"))).alias("__pii_draws"))  # one text's own entities
+        out = salted_join(out.withColumn("__pii_id", id_), draws, ["__pii_id"], "left", by=[c for c in docs.columns if c != text][:1]).drop("__pii_id")
+        drawn = lambda kind, canon: F.coalesce(F.col("__pii_draws")[F.concat_ws("|", kind, canon)], F.lit(0))
+
+    out = out.withColumn("__pii_drawn", F.transform("__pii_found", lambda m: F.struct(m.alias("m"), entity_kind(m).alias("kind"))))
+    out = out.withColumn("__pii_drawn", F.transform("__pii_drawn", lambda e: _with(e, ("m", "kind"), canon=canonical(e["m"], e["kind"]))))
+    out = out.withColumn("__pii_drawn", F.transform("__pii_drawn", lambda e: _with(e, ("m", "kind", "canon"), d=draw_digest(e["kind"], e["canon"], drawn(e["kind"], e["canon"]), key))))
+    out = out.withColumn("__pii_drawn", F.transform("__pii_drawn", lambda e: _with(e, ("m", "kind", "canon", "d"), p=plain_surrogate(e["kind"], e["canon"], e["d"], key))))
+    out = out.withColumn("__pii_drawn", F.transform("__pii_drawn", lambda e: _with(e, ("m", "kind"), s=surrogate(e["kind"], e["canon"], e["d"], e["p"]))))
+    out = out.withColumn("__pii_drawn", F.transform("__pii_drawn", lambda e: _with(e, ("kind",), to=F.when(e["kind"].isNull(), e["m"]).otherwise(rendered(e["m"], e["kind"], e["s"])))))
     between = F.split(F.col(f"`{text}`"), PATTERN, -1)
-    joined = F.array_join(F.flatten(F.zip_with(between, F.transform("_e", lambda e: e["to"]), lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
-    kinds = F.array_compact(F.transform("_e", lambda e: e["kind"]))
-    changed = F.size("_e") > 0
+    joined = F.array_join(F.flatten(F.zip_with(between, F.transform("__pii_drawn", lambda e: e["to"]), lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
+    kinds = F.array_compact(F.transform("__pii_drawn", lambda e: e["kind"]))
+    changed = F.size("__pii_drawn") > 0
     out = out.withColumn("entity_kinds", F.when(changed, kinds).otherwise(F.array().cast("array<string>"))).withColumn(text, F.when(changed, joined).otherwise(F.col(f"`{text}`")))
     names = [c for c in docs.columns if c not in ("n_entities", "entity_kinds")]
     return out.withColumn("n_entities", F.size("entity_kinds")).select(*[f"`{c}`" for c in names], "n_entities", "entity_kinds")

@@ -179,4 +179,4 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that the classifier rejects go."""
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score(docs, model, out="_score").filter("_score >= 0.5").select(*docs.columns)
+    return score(docs, model, out="__quality").filter("__quality >= 0.5").select(*docs.columns)
