@@ -192,3 +192,32 @@ def neighbours_window(df: DataFrame, group: str, order: str) -> DataFrame:
     """The rows of a group as a list: next and prev by order."""
     w = Window.partitionBy(group).orderBy(order)
     return df.withColumn("next", F.lead(order).over(w)).withColumn("prev", F.lag(order).over(w))
+
+
+def radix_leaves(roots: DataFrame, slots: DataFrame, bits: int) -> DataFrame:
+    """Leaves of radix trees or idr layers: tree, key, item. roots: tree, node, height (0: the node is the item);
+    slots: node, slot, child. Each level keeps its own height, also for later siblings."""
+    front = roots.select("tree", "node", F.col("height").cast("int").alias("height"), F.lit(0).cast("bigint").alias("key"))
+    done = front.filter("height <= 0")
+    while True:
+        open_ = front.filter("height > 0")
+        front = cut(open_.join(slots, "node").select("tree", F.col("child").alias("node"), (F.col("height") - 1).alias("height"), (F.call_function("shiftleft", F.col("key"), F.lit(bits)) + F.col("slot")).alias("key")))
+        done = cut(done.unionByName(front.filter("height <= 0")))
+        if front.filter("height > 0").isEmpty():
+            return done.select("tree", "key", F.col("node").alias("item"))
+
+
+def containing_offset(members: DataFrame, types: DataFrame, roots: DataFrame, structured: Column, depth: int = 16) -> DataFrame:
+    """Every structured type that covers an offset of a root type, through nested structs and all branches of unions: root,
+    type_id, rest (the offset inside it), depth. roots: root, at; members: struct_id, offset, ref_type_id; types: type_id, size, kind."""
+    nested = types.filter(structured).select(F.col("type_id").alias("ref_type_id"), F.col("size").alias("_size"))
+    inner = members.join(nested, "ref_type_id").select("struct_id", F.col("offset").alias("_off"), F.col("ref_type_id").alias("_to"), "_size")
+    front = cut(roots.select("root", F.col("root").alias("type_id"), F.col("at").cast("bigint").alias("rest"), F.lit(0).alias("depth")))
+    out = front
+    for d in range(1, depth + 1):
+        hit = front.join(inner, (F.col("type_id") == F.col("struct_id")) & (F.col("rest") >= F.col("_off")) & (F.col("rest") < F.col("_off") + F.col("_size")))
+        front = cut(hit.select("root", F.col("_to").alias("type_id"), (F.col("rest") - F.col("_off")).cast("bigint").alias("rest"), F.lit(d).alias("depth")).distinct())
+        if front.isEmpty():
+            break
+        out = out.unionByName(front)
+    return out

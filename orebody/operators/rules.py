@@ -10,6 +10,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from orebody.functions.expr import compile_expr
 from orebody.functions.filters import TypeFilter, expand_key
 
 
@@ -95,6 +96,13 @@ class RuleSet:
         return matched.groupBy("rule_name").agg(F.count("*").alias("n"))
 
 
+def expression_target(text: str, source: str, columns: dict[str, tuple[Column, str]]) -> Column:
+    """An expression action as a column: `src->next - 4` with columns {"next": ...}; members follow the source with -> or a dot."""
+    flat = text.replace("->", ".")
+    names = {f"{source}.{k}": v for k, v in columns.items()} | {k: v for k, v in columns.items() if k == source}
+    return compile_expr(flat, names)[0]
+
+
 #: Named user functions that rules may call.
 ACTIONS: dict[str, Callable[..., Column]] = {}
 

@@ -293,3 +293,29 @@ def test_graph_loops(spark):
     assert all(0 <= r.p <= 1 for r in p.collect())
     h = stats.probability_histogram(spark.createDataFrame([(1.0,), (0.05,), (None,)], "p double"), "p", [])
     assert values(h, "bucket", "n") == [(0, 1), *[(i, 0) for i in range(1, 9)], (9, 1)]
+
+
+def test_radix_and_offsets(spark):
+    roots = spark.createDataFrame([("a", 1, 2), ("b", 9, 0)], "tree string, node long, height int")
+    slots = spark.createDataFrame([(1, 0, 2), (1, 3, 3), (2, 1, 100), (3, 2, 101)], "node long, slot long, child long")
+    assert values(graph.radix_leaves(roots, slots, 6), "tree", "key", "item") == [("a", 1, 100), ("a", 3 * 64 + 2, 101), ("b", 0, 9)]
+    types = spark.createDataFrame([(1, 40, 1), (2, 16, 1), (3, 16, 2), (4, 8, 1), (5, 4, 0)], "type_id long, size long, kind int")
+    members = spark.createDataFrame([(1, 8, 2), (1, 24, 3), (3, 0, 2), (3, 0, 4), (2, 8, 4), (4, 0, 5)], "struct_id long, offset long, ref_type_id long")
+    got = graph.containing_offset(members, types, spark.createDataFrame([(1, 28)], "root long, at long"), F.col("kind") > 0)
+    assert values(got, "type_id", "rest", "depth") == [(1, 28, 0), (2, 4, 2), (3, 4, 1), (4, 4, 2)]
+
+
+def test_session(spark, tmp_path):
+    from orebody.session import Session
+
+    (tmp_path / "img").write_bytes(struct.pack("<i", 42) + bytes(4092))
+    types = spark.createDataFrame([(1, filters.KINDS["Int32"], "int", 4, "a.c"), (2, filters.KINDS["Function"], "main", 0, "a.c")], "type_id int, kind int, name string, size int, src_file string")
+    s = Session(spark, pathql.Catalog([pathql.Type(1, "Int32", "int", 4)]), {"x": (0, 1)}, {"types": types})
+    with pytest.raises(pathql.QueryError):
+        s.query("x")
+    s.memory.load(str(tmp_path / "img"))
+    assert s.query("x").first()["value"] == 42 and s.query("").count() == 1
+    assert [r.name for r in s.symbols.list_types("datatype:int*").collect()] == ["int"] and s.symbols.list_functions().count() == 1
+    assert s.symbols.exists("types", "name", "main") and s.symbols.names("types", "name", "m*").count() == 1 and s.symbols.list_sources().first().n == 2
+    column = rules.expression_target("src->next - 4", "src", {"next": (F.lit(100).cast("bigint"), "i64")})
+    assert spark.range(1).select(column).first()[0] == 96
