@@ -265,13 +265,13 @@ WITH RECURSIVE words AS (
 ), sets AS (
   SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
     ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS g FROM words
-), sizes AS (SELECT doc_id, len(g) AS n FROM sets), each AS (SELECT doc_id, unnest(g) AS g FROM sets
+), sizes AS (SELECT doc_id, len(g) AS n FROM sets), flat AS (SELECT doc_id, unnest(g) AS g FROM sets
 ), pairs AS (
-  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM each a JOIN each b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM flat a JOIN flat b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL
 ), links AS (
   SELECT a, b FROM pairs JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)
-), both AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links
-), reach AS (SELECT doc_id AS a, doc_id AS b FROM sizes UNION SELECT reach.a, both.b FROM reach JOIN both ON reach.b = both.a)
+), sym AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach AS (SELECT doc_id AS a, doc_id AS b FROM sizes UNION SELECT reach.a, sym.b FROM reach JOIN sym ON reach.b = sym.a)
 SELECT a AS doc_id, n::BIGINT AS n_shingles, min(b) AS component_id, a = min(b) AS kept FROM reach JOIN sizes ON doc_id = a GROUP BY a, n
 """
 
