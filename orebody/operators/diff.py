@@ -49,12 +49,13 @@ def byte_runs(before: DataFrame, after: DataFrame, page: int = 4096, chunk: int
     places = F.filter(F.sequence(F.lit(0), n - 1), differs)
     rows = both.select("frame", F.explode(places).alias("_i")).select((F.col("frame") * (page // chunk) + F.col("_i")).alias("place"))
     blocked = rows.withColumn("_b", F.floor(F.col("place") / 4096))  # runs in blocks, then over the blocks' runs
-    local = runs_of(blocked, ["_b"], "place").select(F.col("start"), (F.col("start") + F.col("run") - 1).alias("end"))
-    return _joined(local).select((F.col("start") * chunk).alias("start"), ((F.col("end") - F.col("start") + 1) * chunk).alias("length"))
+    local = runs_of(blocked, ["_b"], "place").select("start", (F.col("start") + F.col("run") - 1).alias("end"))
+    edge = (F.col("start") % 4096 == 0) | (F.col("end") % 4096 == 4095)  # only runs at a block's edge can go on in its neighbour
+    return _joined(local.filter(edge)).unionByName(local.filter(~edge)).select((F.col("start") * chunk).alias("start"), ((F.col("end") - F.col("start") + 1) * chunk).alias("length"))
 
 
 def _joined(runs: DataFrame) -> DataFrame:
-    """Join runs that touch; a run touches at most its neighbours, so begins and ends pair up by rank in one ordered pass over edge runs."""
+    """Join runs that touch, in one ordered pass; callers give it runs at block edges only, two a block at most."""
     w = Window.partitionBy(F.lit(0)).orderBy("start")
     flagged = runs.withColumn("_n", (F.col("start") > F.lag("end").over(w) + 1).cast("int"))
     numbered = flagged.withColumn("_r", F.sum(F.coalesce("_n", F.lit(1))).over(w))

@@ -34,8 +34,9 @@ def verdict_bounds(df: DataFrame, prob: str, valid: Column) -> DataFrame:
 def top_share(df: DataFrame, by: str, size: str, k: int = 20) -> DataFrame:
     """The k most frequent values, their share of all rows and the mean size; ties by value."""
     counted = df.groupBy(by).agg(F.count("*").alias("n"), F.avg(size).alias("mean_size"))
-    shared = counted.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(0))))
-    return shared.orderBy(F.desc("n"), F.asc(by)).limit(k)
+    top = counted.orderBy(F.desc("n"), F.asc(by)).limit(k)
+    total = df.agg(F.count("*").alias("_total"))  # one row; a window would bring every value to one task
+    return top.crossJoin(F.broadcast(total)).withColumn("share", F.col("n") / F.col("_total")).drop("_total").orderBy(F.desc("n"), F.asc(by))
 
 
 def coverage(wanted: DataFrame, found: DataFrame, keys: list[str], group: str) -> DataFrame:
