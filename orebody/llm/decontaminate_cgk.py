@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orebody.llm.common import text_chunks, texts_of
+from orebody.llm.common import materialize, text_chunks, texts_of
 
 MIN_WORDS = 8
 MAX_EDITS = 0.2
@@ -216,8 +216,6 @@ def op10_cgk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that contain a benchmark item go."""
-    from orebody.llm.common import materialize
-
+    """Pipeline stage: documents that contain a benchmark item go. Rows without an id stay."""
     gone = materialize(contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct(), "leaks")
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

@@ -277,6 +277,6 @@ SELECT a AS doc_id, n::BIGINT AS n_shingles, min(b) AS component_id, a = min(b)
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: one document of each near-duplicate group stays; shingles of five words."""
+    """Pipeline stage: one document of each near-duplicate group stays; shingles of five words. Rows without an id stay."""
     gone = near_duplicates(docs, width=5).filter("not kept").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
