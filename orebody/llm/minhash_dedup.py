@@ -184,21 +184,28 @@ def unsettled(stars: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     """Pairs (hub, member) of one star, in different components, that may be linked although one of them isn't linked to their hub H.
 
     A link of O and M needs |O & M| >= percent / (100 + percent) * (|O| + |M|), and |O & M| <= min(|O & H|, |M & H|) + the shingles
-    that both have and H lacks. So either they share enough of the latter, found by a join on those shingles, or the former alone
-    suffices, found by a join on the few lengths of M for which it can. No link is lost, and no star is multiplied out."""
+    that both have and H lacks. Either the former alone suffices, found by a join on the few lengths of M for which it can; or they
+    share `need` of the latter, found by a join on those shingles. There each member's are ordered, rare ones first: the first that
+    two members share must have need - 1 more behind it on both sides, so that a frequent shingle late in the order, as copies
+    that lost the same word have, pairs nobody. No link is lost, and no star is multiplied out."""
     known = roots.select(F.col("id").alias("member"), "root")
     rated = materialize(stars.join(known, "member", "left").withColumn("root", F.coalesce("root", "member")).withColumn("linked", _similar(percent)), "rated")
-    failing = rated.filter(~F.col("linked"))
-    o = failing.select("hub", F.col("member").alias("o"), F.col("n").alias("no"), F.col("x").alias("xo"), F.col("root").alias("ro"), F.col("rest").alias("_rest"))
-    m = rated.join(failing.select("hub").distinct(), "hub", "left_semi").select("hub", F.col("member").alias("m"), F.col("n").alias("nm"), F.col("x").alias("xm"), F.col("root").alias("rm"), "linked", F.col("rest").alias("_rest"))
+    rest = rated.select("hub", "member", "n", "x", "root", "linked", F.explode("rest").alias("g"))
+    often = rest.groupBy("hub", "g").agg(F.count("*").alias("often"))
+    ordered = rest.join(often.filter("often > 1"), ["hub", "g"], "left").groupBy("hub", "member", "n", "x", "root", "linked").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("often", F.lit(1)).alias("often"), "g"))).alias("rest"))
+    least = lambda n, x: F.greatest(F.lit(1), F.ceil(F.col(n) * percent / 100 - 1e-9) - F.col(x))  # noqa: E731  of the latter, with any partner
+    placed = ordered.select("hub", "member", "n", "x", "root", "linked", F.posexplode("rest").alias("at", "r")).filter((F.col("r.often") > 1) & (F.col("at") <= F.col("n") - F.col("x") - least("n", "x")))
+    placed = materialize(placed.select("hub", "member", "n", "x", "root", "linked", "at", F.col("r.g").alias("g")), "placed")
+    side = lambda d, k: d.select("hub", *(["g"] if "g" in d.columns else []), F.col("member").alias(k), F.col("n").alias(f"n{k}"), F.col("x").alias(f"x{k}"), F.col("root").alias(f"r{k}"), *([F.col("at").alias(f"at{k}")] if "at" in d.columns else []), *(["linked"] if k == "m" else []))
     total = F.col("no") + F.col("nm")
     need = F.ceil(total * percent / (100 + percent) - 1e-9) - F.least("xo", "xm")
     apart = (F.col("ro") != F.col("rm")) & (F.col("linked") | (F.col("o") < F.col("m"))) & (F.least("no", "nm") * 100 >= F.greatest("no", "nm") * percent)
-    shared = o.withColumn("g", F.explode("_rest")).drop("_rest").join(m.withColumn("g", F.explode("_rest")).drop("_rest"), ["hub", "g"]).filter(apart)
-    shared = shared.groupBy("hub", "o", "m", "no", "nm", "xo", "xm").agg(F.count("*").alias("both")).filter(F.col("both") >= need)
+    early = (F.col("ato") <= F.col("no") - F.col("xo") - need) & (F.col("atm") <= F.col("nm") - F.col("xm") - need)
+    shared = side(placed.filter(~F.col("linked")), "o").join(side(placed, "m"), ["hub", "g"]).filter(apart & early)
+    o, m = side(rated.drop("rest").filter(~F.col("linked")), "o"), side(rated.drop("rest"), "m")
     low, high = F.ceil(F.col("no") * percent / 100 - 1e-9), F.floor(F.col("xo") * (100 + percent) / percent + 1e-9) - F.col("no")
-    reach = o.drop("_rest").withColumn("high", F.least(high, F.floor(F.col("no") * 100 / percent + 1e-9))).withColumn("low", low).filter("low <= high").withColumn("nm", F.explode(F.sequence("low", "high"))).drop("low", "high")
-    inner = reach.join(m.drop("_rest"), ["hub", "nm"]).filter(apart & (need <= 0))
+    reach = o.withColumn("high", F.least(high, F.floor(F.col("no") * 100 / percent + 1e-9))).withColumn("low", low).filter("low <= high").withColumn("nm", F.explode(F.sequence("low", "high"))).drop("low", "high")
+    inner = reach.join(m, ["hub", "nm"]).filter(apart & (need <= 0))
     both = shared.select("o", "m").union(inner.select("o", "m"))
     return both.select(F.least("o", "m").alias("hub"), F.greatest("o", "m").alias("member")).distinct()
 
