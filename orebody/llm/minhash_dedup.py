@@ -143,11 +143,9 @@ def _packed(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, "id long, z binary")
 
 
-def compared(pairs: DataFrame, packed: DataFrame, width: int, rest: bool) -> DataFrame:
+def compared(pairs: DataFrame, texts: DataFrame, width: int, rest: bool) -> DataFrame:
     """Pairs (hub, member, crowd) with their full sets' sizes and intersection: hub, member, hub_n, n, x, and with `rest` the member's
     shingles that the hub lacks. crowd bounds a hub's members, for its split."""
-    wanted = pairs.select(F.col("hub").alias("id")).union(pairs.select("member")).distinct()
-    texts = materialize(packed.join(wanted, "id"), "texts")
     dealt = pairs.withColumn("part", F.pmod(F.xxhash64("member"), F.ceil(F.col("crowd") / 128)).cast("int"))
     members = dealt.join(texts, dealt["member"] == texts["id"]).select("hub", "part", F.col("member").alias("other"), "z")
     hubs = dealt.select("hub", "part").distinct().join(texts, F.col("hub") == F.col("id")).select("hub", "part", F.lit(None).cast("long").alias("other"), "z")
@@ -243,14 +241,15 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     stars = salted_join(rows_, least, ["bucket"], salts=4, by=["rep"])
     pairs = stars.select("rep", F.col("h.rep").alias("hub"), "crowd").filter(F.col("rep") != F.col("hub")).groupBy("hub", F.col("rep").alias("member")).agg(F.max("crowd").alias("crowd"))
     pairs = materialize(pairs, "pairs")
-    packed = _packed(docs, key, text)
-    rated = materialize(compared(pairs, packed, width, True), "stars")
+    wanted = pairs.select(F.col("hub").alias("id")).union(pairs.select("member")).distinct()
+    texts = materialize(_packed(docs, key, text).join(wanted, "id"), "texts")  # once, for both rounds: the second has members of the first only
+    rated = materialize(compared(pairs, texts, width, True), "stars")
     links = rated.filter(_similar(percent)).select(F.col("hub").alias("u"), F.col("member").alias("v"))
     roots = components(links)
     more = materialize(unsettled(rated, roots, percent).join(pairs, ["hub", "member"], "left_anti"), "unsettled")
     if not more.isEmpty():
         crowds = more.groupBy("hub").agg(F.count("*").alias("crowd"))
-        found = compared(salted_join(more, crowds, ["hub"], salts=4, by=["member"]).select("hub", "member", "crowd"), packed, width, False)
+        found = compared(salted_join(more, crowds, ["hub"], salts=4, by=["member"]).select("hub", "member", "crowd"), texts, width, False)
         found = materialize(found.filter(_similar(percent)).select(F.col("hub").alias("u"), F.col("member").alias("v")), "links")
         if not found.isEmpty():
             roots = components(links.unionByName(found))
