@@ -2,15 +2,18 @@
 
 Words are counted over the whole training part. The most frequent words and the suffix groups of all other words are the
 items of an exchange clustering: each item in turn moves to the class that most raises the likelihood of the class bigrams,
-until a sweep moves few. The model is
+until a sweep moves few. Then every other word with at least PLACED training tokens becomes an item as well: Spark counts the
+classes to the left and right of each, and each moves to its best class by the same gain, all at once, in ROUNDS rounds with the
+class table counted anew. Only rarer words stay in their groups, which move along. The model is
 
     P(w | v) = P(class(w) | class(v)) * P(item(w) | class(w)) * P(w | item(w)),
 
 with class transitions drawn towards the class unigrams, items smoothed by an added constant, and words of a suffix group
-smoothed likewise with one place for unseen words. Perplexity is 10 ** (-score / n_tokens).
+smoothed likewise with one place for unseen words (a word that is an item has P(w | item) = 1). Perplexity is 10 ** (-score / n_tokens).
 
-Counts are made on all training rows. Only the item bigrams ((HEAD + GROUPS + 1)^2 at most) and the LOOKUP most frequent words come to
-the driver; the counts of all rarer words are joined to the texts in Spark.
+Counts are made on all training rows. Only the item bigrams ((HEAD + GROUPS + 1)^2 at most), the LOOKUP most frequent words and a
+64-bit hash and a class for each placed word (9 bytes) come to the driver; the counts of all rarer words are joined to the texts
+in Spark.
 
 Edge cases: null and empty texts are one end token; without training rows every count is 0 and the scores are those of the smoothing
 alone; rows with a null id are held in the training part and scored; rows that agree in id and text are scored once and
@@ -38,6 +41,9 @@ CLASSES = 64
 LOOKUP = 200_000
 FLUSH = 300_000
 SWEEPS = 12
+PLACED = 10  # training tokens from which a word has a class of its own choice
+ROUNDS = 2
+HELD = 2_000_000  # tokens whose neighbours are held before they are passed on
 DRAWN = 4.0  # strength of the class unigrams in the transitions
 ADDED = 0.5
 ITEMS = HEAD + GROUPS + 1
@@ -78,18 +84,18 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 class Codes(dict):
-    """word -> its rank among the looked-up words, or -1 - group; rare words are remembered up to a bound."""
+    """word -> its rank among the looked-up words, or -1 - item; rare words are remembered up to a bound."""
 
-    def __init__(self, ranked: list[bytes]) -> None:
+    def __init__(self, ranked: list[bytes], keys: np.ndarray) -> None:
         super().__init__(zip(ranked, range(len(ranked)), strict=True))
         self.most = len(ranked) + FLUSH
-        self.ranked = ranked
+        self.ranked, self.keys = ranked, keys
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.most:
             self.clear()
             self.update(zip(self.ranked, range(len(self.ranked)), strict=True))
-        code = self[word] = -1 - suffix_group(word)
+        code = self[word] = -1 - item_of(word, self.keys)
         return code
 
 
@@ -97,18 +103,9 @@ def item_bigrams(docs: DataFrame, head: list[bytes], text: str = "text") -> np.n
     """How often item b follows item a over all texts; every text ends in END and follows one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes = Codes(head)
         total = np.zeros(ITEMS * ITEMS, np.int64)
-        end = np.array([END])
-        for batch in batches:
-            for part in text_chunks(batch, text):
-                line = [end]
-                for t in texts_of(part, text):
-                    words = t.lower().split()
-                    c = np.fromiter(map(codes.__getitem__, words), np.int64, len(words))
-                    line += [np.where(c >= 0, c, HEAD - 1 - c), end]
-                x = np.concatenate(line)
-                total += np.bincount(x[:-1] * ITEMS + x[1:], minlength=ITEMS * ITEMS)
+        for x in _lines(batches, text, Items(head, np.zeros(0, np.int64))):
+            total += np.bincount(x[:-1] * ITEMS + x[1:], minlength=ITEMS * ITEMS)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["pair", "n"])
 
@@ -118,10 +115,181 @@ def item_bigrams(docs: DataFrame, head: list[bytes], text: str = "text") -> np.n
     return out.reshape(ITEMS, ITEMS)
 
 
+class Items(dict):
+    """word -> its item: a place in the head, HEAD + group, or ITEMS + the place of its hash in `keys`; others than the head are remembered up to a bound."""
+
+    def __init__(self, head: list[bytes], keys: np.ndarray) -> None:
+        super().__init__(zip(head, range(len(head)), strict=True))
+        self.head, self.keys = head, keys
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= HEAD + FLUSH:
+            self.clear()
+            self.update(zip(self.head, range(len(self.head)), strict=True))
+        item = self[word] = item_of(word, self.keys)
+        return item
+
+
+def word_key(word: bytes) -> int:
+    """The same number as Spark's xxhash64 of the word."""
+    h = xxhash.xxh64_intdigest(word, 42)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def item_of(word: bytes, keys: np.ndarray) -> int:
+    """The item of a word outside the head."""
+    h = word_key(word)
+    at = int(np.searchsorted(keys, np.int64(h)))
+    return ITEMS + at if at < len(keys) and keys[at] == h else HEAD + suffix_group(word)
+
+
+def _lines(batches: Iterator[pa.RecordBatch], text: str, items: Items) -> Iterator[np.ndarray]:
+    """The items of each chunk's texts, with END before, between and after them."""
+    end = np.array([END])
+    for batch in batches:
+        for part in text_chunks(batch, text):
+            line = [end]
+            for t in texts_of(part, text):
+                words = t.lower().split()
+                line += [np.fromiter(map(items.__getitem__, words), np.int64, len(words)), end]
+            yield np.concatenate(line)
+
+
+def class_bigrams(docs: DataFrame, head: list[bytes], keys: np.ndarray, cls: np.ndarray, text: str = "text", classes: int = CLASSES) -> np.ndarray:
+    """How often class b follows class a over all texts."""
+    shared = docs.sparkSession.sparkContext.broadcast((head, keys, cls.astype(np.uint8)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head, keys, cls = shared.value
+        items = Items(head, keys)
+        total = np.zeros(classes * classes, np.int64)
+        for x in _lines(batches, text, items):
+            k = cls[x].astype(np.int64)
+            total += np.bincount(k[:-1] * classes + k[1:], minlength=classes * classes)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["pair", "n"])
+
+    summed = docs.select(text).mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()  # classes^2 rows at most
+    out = np.zeros(classes * classes)
+    out[summed.column("pair").to_numpy()] = summed.column("n").to_numpy()
+    return out.reshape(classes, classes)
+
+
+def neighbour_classes(docs: DataFrame, head: list[bytes], keys: np.ndarray, cls: np.ndarray, text: str = "text", classes: int = CLASSES) -> DataFrame:
+    """item, seen: for groups and placed words, one byte for the class to the left and one for that to the right of each token, `classes`
+    standing for the item itself; those to the right have classes + 1 added. An item has a row for each lot of about HELD tokens."""
+    shared = docs.sparkSession.sparkContext.broadcast((head, keys, cls.astype(np.uint8)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head, keys, cls = shared.value
+        items = Items(head, keys)
+        held: list[np.ndarray] = []
+
+        def out() -> pa.RecordBatch:
+            x = np.concatenate(held)
+            held.clear()
+            at = np.flatnonzero((x >= HEAD) & (x != END))  # the first and last are END
+            at = at[np.argsort(x[at], kind="stable")]
+            k = x[at]
+            seen = np.empty((len(at), 2), np.uint8)
+            seen[:, 0] = np.where(x[at - 1] == k, classes, cls[x[at - 1]])
+            seen[:, 1] = np.where(x[at + 1] == k, classes, cls[x[at + 1]]) + classes + 1
+            first = np.flatnonzero(np.diff(k, prepend=-1))
+            offsets = np.append(2 * first, seen.size).astype(np.int32)
+            return pa.RecordBatch.from_arrays([pa.array(k[first]), pa.BinaryArray.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(seen.tobytes())])], ["item", "seen"])
+
+        n = 0
+        for x in _lines(batches, text, items):
+            held.append(x)
+            n += len(x)
+            if n > HELD:
+                yield out()
+                n = 0
+        if held:
+            yield out()
+
+    return docs.select(text).mapInArrow(run, "item long, seen binary")
+
+
+def moves(seen: DataFrame, cls: np.ndarray, table: np.ndarray, fixed: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """The items of `seen` that gain by another class under `table`, and those classes."""
+    classes = len(table)
+    shared = seen.sparkSession.sparkContext.broadcast((cls.astype(np.uint8), table))
+    width = 2 * (classes + 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cls, table = shared.value
+        last, last_n = -1, np.zeros(width, np.int64)  # the rows of an item stand together, maybe over two batches
+
+        def best(item: int, n: np.ndarray) -> int:
+            return choose(table, int(cls[item]), n[classes + 1 : -1].astype(float), n[:classes].astype(float), float(n[classes]), fixed)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            lists = batch.column("seen").to_pylist()
+            own, which = np.unique(batch.column("item").to_numpy(), return_inverse=True)
+            at = np.repeat(which * width, [len(v) for v in lists]) + np.frombuffer(b"".join(lists), np.uint8)
+            n = np.bincount(at, minlength=len(own) * width).reshape(-1, width)
+            own, n = own.tolist(), list(n)
+            if own[0] == last:
+                n[0] = n[0] + last_n
+            elif last >= 0:
+                own.insert(0, last)
+                n.insert(0, last_n)
+            last, last_n = own.pop(), n.pop().copy()
+            to = [best(i, v) for i, v in zip(own, n, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(to, pa.int32())], ["item", "cls"])
+        if last >= 0:
+            yield pa.RecordBatch.from_arrays([pa.array([last], pa.int64()), pa.array([best(last, last_n)], pa.int32())], ["item", "cls"])
+
+    found = seen.repartition("item").sortWithinPartitions("item").mapInArrow(run, "item long, cls int").toArrow()  # two numbers for each item
+    item, to = found.column("item").to_numpy(), found.column("cls").to_numpy()
+    moved = cls[item] != to
+    return item[moved], to[moved]
+
+
+def place_words(docs: DataFrame, head: list[bytes], keys: np.ndarray, cls: np.ndarray, text: str = "text", rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
+    """The classes of all items after the words of `keys` and the groups have chosen theirs, and the class bigrams; `cls` gives the start."""
+    table = class_bigrams(docs, head, keys, cls, text)
+    for _ in range(rounds if len(keys) else 0):
+        item, to = moves(neighbour_classes(docs, head, keys, cls, text), cls, table)
+        if not len(item):
+            break
+        cls = cls.copy()
+        cls[item] = to
+        table = class_bigrams(docs, head, keys, cls, text)
+    return cls, table
+
+
 def _xlogx(a: np.ndarray) -> np.ndarray:
     return a * np.log(np.maximum(a, 1e-300))
 
 
+def choose(table: np.ndarray, a: int, right: np.ndarray, left: np.ndarray, self_: float, fixed: int = 1) -> int:
+    """The class in which an item of class `a` makes the class bigrams likeliest. right, left: how often other items of each class
+    follow and precede it; self_: how often it follows itself. `table` holds the item."""
+    table = table.copy()
+    table[a, :] -= right  # take it out of its class
+    table[:, a] -= left
+    table[a, a] -= self_
+    gain = gains(table, right, left, self_)
+    gain[len(table) - fixed :] = -np.inf
+    b = int(np.argmax(gain))
+    return a if gain[b] <= gain[a] + 1e-9 else b
+
+
+def gains(table: np.ndarray, right: np.ndarray, left: np.ndarray, self_: float) -> np.ndarray:
+    """For each class, the gain in sum of n log n over cells, less that over margins, of putting an item into it that `table` lacks."""
+    row, col = table.sum(axis=1) + left, table.sum(axis=0) + right  # the other items' own totals, with their bigrams with it
+    r, c = np.flatnonzero(right), np.flatnonzero(left)
+    gain = (_xlogx(table[:, r] + right[r]) - _xlogx(table[:, r])).sum(axis=1) + (_xlogx(table[c] + left[c, None]) - _xlogx(table[c])).sum(axis=0)
+    d = np.diag(table)
+    gain += _xlogx(d + right + left + self_) - _xlogx(d + right) - _xlogx(d + left) + _xlogx(d)
+    out_n, in_n = right.sum() + self_, left.sum() + self_
+    return gain - (_xlogx(row + out_n) - _xlogx(row) + _xlogx(col + in_n) - _xlogx(col))
+
+
 def exchange(bigrams: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS, fixed: int = 1) -> np.ndarray:
     """The class of each item. At the start the most frequent items have classes of their own and all others share one; the last
     `fixed` items keep classes of their own."""
@@ -149,13 +317,7 @@ def exchange(bigrams: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS,
             table[a, :] -= right  # take w out of its class
             table[:, a] -= left
             table[a, a] -= self_
-            row, col = table.sum(axis=1) + left, table.sum(axis=0) + right  # the other items' own totals, with their bigrams with w
-            # the gain in sum of n log n over cells, less that over margins, of putting w into each class
-            gain = (_xlogx(table + right[None, :]) - _xlogx(table)).sum(axis=1) + (_xlogx(table + left[:, None]) - _xlogx(table)).sum(axis=0)
-            d = np.diag(table)
-            gain += _xlogx(d + right + left + self_) - _xlogx(d + right) - _xlogx(d + left) + _xlogx(d)
-            out_n, in_n = right.sum() + self_, left.sum() + self_
-            gain -= _xlogx(row + out_n) - _xlogx(row) + _xlogx(col + in_n) - _xlogx(col)
+            gain = gains(table, right, left, self_)
             gain[classes - fixed :] = -np.inf
             b = int(np.argmax(gain))
             if gain[b] <= gain[a] + 1e-9:
@@ -179,20 +341,28 @@ class ClassModel:
     cls: np.ndarray  # of each item
     transition: np.ndarray  # log10 P(class | class)
     item: np.ndarray  # log10 P(item | class)
+    scale: np.ndarray  # log10 of the smoothed tokens of each class
     group_n: np.ndarray  # training tokens in each suffix group
     group_v: np.ndarray  # different words there
 
 
 def build(bigrams: np.ndarray, group_n: np.ndarray, group_v: np.ndarray, classes: int = CLASSES) -> ClassModel:
+    """The model without placed words."""
     cls = exchange(bigrams, classes)
     one = np.zeros((ITEMS, classes))
     one[np.arange(ITEMS), cls] = 1
-    table = one.T @ bigrams @ one
+    return model_of(cls, one.T @ bigrams @ one, bigrams.sum(axis=0), group_n, group_v)
+
+
+def model_of(cls: np.ndarray, table: np.ndarray, item_n: np.ndarray, group_n: np.ndarray, group_v: np.ndarray) -> ClassModel:
+    """The model of given classes. item_n: the training tokens of the items that aren't placed words; those of the placed words are
+    what `table` has besides."""
+    classes = len(table)
     unigram = (table.sum(axis=0) + ADDED) / (table.sum() + ADDED * classes)
     transition = np.log10((table + DRAWN * unigram) / (table.sum(axis=1, keepdims=True) + DRAWN))
-    n = bigrams.sum(axis=0) + ADDED
-    item = np.log10(n / (one.T @ n)[cls])
-    return ClassModel(cls, transition, item, group_n, group_v)
+    scale = np.log10(np.maximum(table.sum(axis=0) + ADDED * np.bincount(cls, minlength=classes), 1e-300))  # an empty class has no item to scale
+    item = np.log10(item_n + ADDED) - scale[cls[:ITEMS]]
+    return ClassModel(cls, transition, item, scale, group_n, group_v)
 
 
 def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -205,27 +375,40 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     total, distinct = size[0] + ends, size[1] + (ends > 0)
     top = counts.orderBy(F.desc("c"), "word").limit(LOOKUP).toArrow()  # a bounded number of words
     ranked, rank_c = top.column("word").to_pylist(), top.column("c").to_numpy().astype(np.float64)
-    per_group = counts.groupBy("grp").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()  # GROUPS rows
+    head = ranked[:HEAD]
+    often = counts.filter(F.col("c") >= PLACED).select(F.xxhash64("word").alias("k"), F.col("grp").cast("tinyint")).toArrow()  # 9 bytes for each placed word
+    keys, first = np.unique(often.column("k").to_numpy(), return_index=True)
+    own = ~np.isin(keys, np.array([word_key(w) for w in head], np.int64))
+    keys, key_group = keys[own], often.column("grp").to_numpy()[first[own]]
+    per_group = counts.filter(F.col("c") < PLACED).groupBy("grp").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()  # GROUPS rows
     group_n, group_v = np.zeros(GROUPS), np.zeros(GROUPS)
     for r in per_group:
         group_n[r.grp], group_v[r.grp] = r.n, r.v
-    for w, c in zip(ranked[:HEAD], rank_c[:HEAD], strict=True):  # the head's words are items of their own
-        g = suffix_group(w)
-        group_n[g] -= c
-        group_v[g] -= 1
-    model = build(item_bigrams(train, ranked[:HEAD], text), group_n, group_v)
+    for w, c in zip(head, rank_c[:HEAD], strict=True):  # the head's words are items of their own, however rare
+        if c < PLACED:
+            g = suffix_group(w)
+            group_n[g] -= c
+            group_v[g] -= 1
+    cls = exchange(item_bigrams(train, head, text))
+    cls = np.concatenate([cls, cls[HEAD + key_group.astype(np.int64)]])  # each word starts in the class of its group
+    cls, table = place_words(train, head, keys, cls, text)
+    item_n = np.zeros(ITEMS)
+    item_n[: len(head)], item_n[HEAD:END], item_n[END] = rank_c[: len(head)], group_n, ends
+    model = model_of(cls, table, item_n, group_n, group_v)
 
     scale = np.log10(total + distinct + 1)
     base = np.log10(rank_c + 1) - scale
-    place = np.array([i if i < HEAD else HEAD + suffix_group(w) for i, w in enumerate(ranked)], np.int64)
-    word = np.array([0.0 if i < HEAD else np.log10(c + ADDED) - np.log10(group_n[p - HEAD] + ADDED * (group_v[p - HEAD] + 1)) for i, (c, p) in enumerate(zip(rank_c, place, strict=True))])
+    place = np.array([i if i < HEAD else item_of(w, keys) for i, w in enumerate(ranked)], np.int64)
+    word = np.array([0.0 if i < HEAD else np.log10(c + ADDED) for i, c in enumerate(rank_c)])  # the head's counts stand in model.item
     group_scale = np.log10(group_n + ADDED * (group_v + 1))
+    inner = np.append(model.item, 0.0)  # of an item, and of any placed word
+    inner[HEAD:END] -= group_scale
     end_base = float(np.log10(ends + 1) - scale)
-    shared = spark.sparkContext.broadcast((ranked, base, place, word, model, group_scale))  # LOOKUP words and some arrays of that length
+    shared = spark.sparkContext.broadcast((ranked, base, place, word, model.transition, model.scale, model.cls.astype(np.uint8), inner, keys))  # LOOKUP words, some arrays of that length and 9 bytes for each placed word
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranked, base, place, word, model, group_scale = shared.value
-        codes = Codes(ranked)
+        ranked, base, place, word, transition, class_scale, cls, inner, keys = shared.value
+        codes = Codes(ranked, keys)
         end = np.array([END])
         for batch in batches:
             for part in text_chunks(batch, text):
@@ -236,11 +419,11 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
                     known = c >= 0
                     x = np.empty(len(c), np.int64)
                     x[known] = place[c[known]]
-                    x[~known] = HEAD - 1 - c[~known]
+                    x[~known] = -1 - c[~known]
                     line = np.concatenate([end, x, end])
-                    k = model.cls[line]
+                    k = cls[line]
                     seen = c[known]
-                    s = model.transition[k[:-1], k[1:]].sum() + model.item[line[1:]].sum() + word[seen].sum() - group_scale[-1 - c[~known]].sum()
+                    s = transition[k[:-1], k[1:]].sum() + inner[np.minimum(line[1:], ITEMS)].sum() - class_scale[k[1:][line[1:] >= ITEMS]].sum() + word[seen].sum()
                     tail = Counter(words[j] for j in np.flatnonzero(~known).tolist())
                     ids.append(i)
                     hashes.append(xxhash.xxh3_128_digest(t))

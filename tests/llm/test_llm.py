@@ -277,6 +277,25 @@ def test_brown_sums_to_one():
     assert abs(p.sum() - 1) < 1e-9
 
 
+def test_brown_places_words_beyond_the_head(spark, monkeypatch):
+    rng = random.Random(7)
+    # "the" x "of" or "to" y "and": of 900 x and 900 y of one suffix group, 804 stand beyond the head
+    rows = [(i, " ".join(f"the x{rng.randrange(900):03d}zz of" if rng.random() < 0.5 else f"to y{rng.randrange(900):03d}zz and" for _ in range(250))) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    mean = lambda out: np.mean([r.score / r.n_tokens for r in out if r.held_out])
+    monkeypatch.setattr(brown_lm, "LOOKUP", 1200)  # some placed words get their counts by the join
+    placed = mean(brown_lm.score(df).collect())
+    monkeypatch.setattr(brown_lm, "LOOKUP", 200_000)
+    assert abs(mean(brown_lm.score(df).collect()) - placed) < 1e-9
+    assert placed > -1.1  # a placed word tells what follows it; all in one group scored -1.18
+
+
+def test_word_key(spark):
+    words = [bytes(range(65, 65 + n)) for n in range(60)]
+    got = spark.createDataFrame([(w,) for w in words], "w binary").select("w", F.xxhash64("w").alias("k")).collect()
+    assert all(r.k == brown_lm.word_key(bytes(r.w)) for r in got)
+
+
 # --- op8
 
 
