@@ -45,3 +45,24 @@ def test_entry_needs_no_other_package(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+WHOLE = "/root/testdata/sf0.01"
+
+
+@pytest.mark.skipif(not os.path.isdir(WHOLE), reason="needs the test tables")
+@pytest.mark.parametrize("name", ["reverse_pointers_all", "tree_ancestors_all", "lowest_common_ancestor_all", "bin_summary_all"])
+def test_whole_tables(spark, name):
+    """At this size a subset of the ids would show."""
+    c = duckdb.connect()
+    for t in TABLES:
+        c.execute(f"create view {t} as select * from '{WHOLE}/{t}.parquet'")
+    got, want = bindings.QUERIES[name](spark, WHOLE), c.execute(bindings.SQL[name])
+    order = sorted(d[0] for d in want.description)
+    at = [[d[0] for d in want.description].index(k) for k in order]
+    rows = want.fetchall()
+    assert sorted(str([plain(r[k]) for k in order]) for r in got.collect()) == sorted(str([plain(r[i]) for i in at]) for r in rows)
+    if name == "bin_summary_all":
+        assert sum(r[1] for r in rows) >= c.execute("select count(*) from events").fetchone()[0]
+    else:
+        assert len(rows) > {"reverse_pointers_all": 1000, "tree_ancestors_all": 230, "lowest_common_ancestor_all": 200}[name]
