@@ -1,14 +1,14 @@
 """HTML extraction with site template removal.
 
 Each page is parsed once per pass. Pass one hashes the element subtrees that could be site furniture and counts, per host in
-Spark, on how many pages each occurs; subtrees that recur on many pages of a host are templates. Pass two takes the main
-content (article or main, else the body), leaves out what is furniture by its tag, role or class and every template, and
-joins what remains, block by block. Inside the content root, prose (paragraphs, headings, quotes, lists,
-tables) and what holds it are never counted as templates, nor are the root and its ancestors, so that an article copied to many
-pages of a host stays.
+Spark, in how many different content roots each occurs; subtrees that recur in many of a host are templates. Pass two takes the
+main content (article or main, else the whole page), leaves out what is furniture by its tag, role or class and every template, and
+joins what remains, block by block. Roots are told apart by their text without furniture, so that the copies of an article on many
+pages of a host count once and stay; the root and its ancestors are never templates. A paragraph, heading or list item that recurs
+in different articles is a template too, but needs MIN_PROSE of them where other subtrees need MIN_PAGES, as short lines also recur by chance.
 
 Edge cases: null or empty html gives an empty text; unclosed and stray tags are tolerated, as browsers do; text without
-any element is one block; a null url has the empty host; repeated pages count once for each row that holds them; columns
+any element is one block; a null url has the empty host; repeated pages count once; columns
 that a caller's table has besides are ignored; an empty table gives no rows.
 """
 
@@ -29,6 +29,7 @@ from orebody.llm.common import materialize, salted_join, text_chunks
 from orebody.llm.url_graph import url_host
 
 MIN_PAGES = 3
+MIN_PROSE = 10
 MIN_SHARE = 0.02
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+|[^>]*)>""", re.S)
@@ -183,10 +184,10 @@ def content_roots(elements: list[Element]) -> list[Element]:
     return elements[:1]
 
 
-def _candidates(elements: list[Element], roots: list[Element]) -> tuple[list[Element], set[int]]:
-    """Elements that may be templates, and the ids of those that stand in a root's own text."""
+def _candidates(elements: list[Element], roots: list[Element]) -> tuple[list[Element], set[int], set[int]]:
+    """Elements that may be templates, the ids of those that stand in a root's own text, and of those that are or hold prose there."""
     root_ids = {id(r) for r in roots if r.tag != "#root"}
-    kept, state, own = [], {}, set()
+    kept, state, own, written = [], {}, set(), set()
     above: set[int] = set()
     for r in roots:
         up = r
@@ -199,12 +200,16 @@ def _candidates(elements: list[Element], roots: list[Element]) -> tuple[list[Ele
         prose = parent[1] or (in_root and e.tag in _PROSE)
         dropped = parent[2] or e.furniture
         state[id(e)] = (in_root, prose and not dropped, dropped)
-        if id(e) in above or e.tag in _NEVER or not e.words or (in_root and (prose or e.textual) and not dropped):
+        if id(e) in above or e.tag in _NEVER or not e.words:
             continue
+        if in_root and (prose or e.textual) and not dropped:
+            if e.tag not in _BLOCK:  # a mark would cut the prose at it
+                continue
+            written.add(id(e))
         kept.append(e)
         if not dropped and (in_root or not root_ids):
             own.add(id(e))
-    return kept, own
+    return kept, own, written
 
 
 def blocks_of(roots: list[Element], marks: set[int]) -> list[tuple[str, list[int]]]:
@@ -252,37 +257,55 @@ def _number(digest: bytes) -> int:
     return int.from_bytes(digest, "big", signed=True)
 
 
-def _analysed(source: str | None) -> tuple[list[Element], list[Element], set[int], list[Element]]:
+def root_texts(elements: list[Element], roots: list[Element]) -> dict[int, int]:
+    """By the id of each element: the hash of the text, without furniture, of the root that it stands in, or of all roots together."""
+    texts = ["\n".join(t for t, _ in blocks_of([r], set())) for r in roots]
+    hashed = [_number(hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=8).digest()) for t in [*texts, "\n".join(texts)]]
+    own = {id(r): h for r, h in zip(roots, hashed[:-1], strict=True)}
+    out: dict[int, int] = {}
+    for e in elements:
+        out[id(e)] = own.get(id(e), out.get(id(e.parent), hashed[-1]))
+    return out
+
+
+def _analysed(source: str | None) -> tuple[list[Element], list[Element], set[int], list[Element], set[int]]:
     elements = _in_order(parse(source or ""))
     _hash_all(elements)
     roots = content_roots(elements)
-    kept, own = _candidates(elements, roots)
-    return elements, roots, own, kept
+    kept, own, written = _candidates(elements, roots)
+    return elements, roots, own, kept, written
 
 
 def subtree_hashes(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """One row per page and different candidate subtree: host, hash, in_text (it stands in the text to be extracted)."""
+    """One row per page and different candidate subtree and root: host, hash, root, in_text (it stands in the text to be extracted), prose (it is or holds prose there)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_chunks(batch, "_html"):
-                hosts, hashes, inner = [], [], []
+                hosts, hashes, within, inner, prose = [], [], [], [], []
                 for host, source in zip(part.column("host").to_pylist(), part.column("_html").to_pylist(), strict=True):
-                    _, _, own, kept = _analysed(source)
-                    found: dict[int, bool] = {}
+                    elements, roots, own, kept, written = _analysed(source)
+                    texts = root_texts(elements, roots)
+                    found: dict[tuple[int, int], tuple[bool, bool]] = {}
                     for e in kept:
-                        found[_number(e.digest)] = found.get(_number(e.digest), False) or id(e) in own
+                        at = (_number(e.digest), texts[id(e)])
+                        was = found.get(at, (False, False))
+                        found[at] = (was[0] or id(e) in own, was[1] or id(e) in written)
                     hosts += [host] * len(found)
-                    hashes += found.keys()
-                    inner += found.values()
-                yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(hashes, pa.int64()), pa.array(inner, pa.bool_())], ["host", "hash", "in_text"])
+                    hashes += [h for h, _ in found]
+                    within += [r for _, r in found]
+                    inner += [i for i, _ in found.values()]
+                    prose += [p for _, p in found.values()]
+                yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(hashes, pa.int64()), pa.array(within, pa.int64()), pa.array(inner, pa.bool_()), pa.array(prose, pa.bool_())], ["host", "hash", "root", "in_text", "prose"])
 
-    return pages.select(url_host(F.col(url)).alias("host"), F.col(html).alias("_html")).mapInArrow(run, "host string, hash long, in_text boolean")
+    return pages.select(url_host(F.col(url)).alias("host"), F.col(html).alias("_html")).mapInArrow(run, "host string, hash long, root long, in_text boolean, prose boolean")
 
 
 def host_templates(pages: DataFrame, url: str = "url", html: str = "html", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """host, hash, n_pages, in_text: subtrees on at least `min_pages` pages and `min_share` of the host's pages."""
-    counts = subtree_hashes(pages, url, html).groupBy("host", "hash").agg(F.count("*").alias("n_pages"), F.max("in_text").alias("in_text")).filter(F.col("n_pages") >= min_pages)
+    """host, hash, n_pages, in_text: subtrees in at least `min_pages` different roots (MIN_PROSE if they are prose), and `min_share` of the host's pages."""
+    flags = [F.max("in_text").alias("in_text"), F.max("prose").alias("prose")]
+    single = subtree_hashes(pages, url, html).groupBy("host", "hash", "root").agg(*flags)
+    counts = single.groupBy("host", "hash").agg(F.count("*").alias("n_pages"), *flags).filter(F.col("n_pages") >= F.when(F.col("prose"), max(min_pages, MIN_PROSE)).otherwise(min_pages)).drop("prose")
     hosts = pages.select(url_host(F.col(url)).alias("host")).groupBy("host").agg(F.count("*").alias("_all"))
     return counts.join(hosts, "host").filter(F.col("n_pages") >= F.col("_all") * min_share).drop("_all")
 
@@ -297,7 +320,7 @@ def extract_text(pages: DataFrame, key: str = "page_id", url: str = "url", html:
             for part in text_chunks(batch, html):
                 texts, around = [], []
                 for source in part.column(html).to_pylist():
-                    _, roots, own, _ = _analysed(source)
+                    _, roots, own, _, _ = _analysed(source)
                     blocks = blocks_of(roots, own)
                     texts.append([t for t, _ in blocks])
                     around.append([a for _, a in blocks])

@@ -142,6 +142,16 @@ def test_html(spark):
     html_templates.parse('<a title="' + "x" * 100_000)
 
 
+def test_html_prose_templates(spark):
+    copy = lambda i: f"<article><h1>One</h1><p>Same text</p><aside>related {i}</aside></article>"  # noqa: E731  furniture doesn't make copies differ
+    page = lambda i: f"<article><h1>Head {i}</h1><p>Own {i}</p><p>Read our terms</p><ul><li>item {i}<li>Buy now</ul><div><p>Offer</p></div></article>"
+    rows = [(i, "http://h/", page(i)) for i in range(12)] + [(20 + i, "http://h/", copy(i)) for i in range(12)] + [(40 + i, "http://k/", f"<p>No article, copied</p><nav>{i}</nav>") for i in range(5)] + [(60, "http://o/", page(60))]
+    got = {r.page_id: r.text for r in html_templates.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[3] == "Head 3\nOwn 3\nitem 3"
+    assert got[22] == "One\nSame text" and got[42] == "No article, copied"
+    assert got[60] == "Head 60\nOwn 60\nRead our terms\nitem 60\nBuy now\nOffer"
+
+
 # --- op4
 
 
