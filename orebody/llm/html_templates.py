@@ -30,7 +30,6 @@ from orebody.llm.url_graph import url_host
 
 MIN_PAGES = 3
 MIN_PROSE = 10
-MIN_SHARE = 0.02
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+|[^>]*)>""", re.S)
 _ATTR = re.compile(r"""([^\s=/"'>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""")
@@ -301,18 +300,16 @@ def subtree_hashes(pages: DataFrame, url: str = "url", html: str = "html") -> Da
     return pages.select(url_host(F.col(url)).alias("host"), F.col(html).alias("_html")).mapInArrow(run, "host string, hash long, root long, in_text boolean, prose boolean")
 
 
-def host_templates(pages: DataFrame, url: str = "url", html: str = "html", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """host, hash, n_pages, in_text: subtrees in at least `min_pages` different roots (MIN_PROSE if they are prose), and `min_share` of the host's pages."""
+def host_templates(pages: DataFrame, url: str = "url", html: str = "html", min_pages: int = MIN_PAGES) -> DataFrame:
+    """host, hash, n_pages, in_text: subtrees in at least `min_pages` different roots (MIN_PROSE if they are prose), however many pages the host has."""
     flags = [F.max("in_text").alias("in_text"), F.max("prose").alias("prose")]
     single = subtree_hashes(pages, url, html).groupBy("host", "hash", "root").agg(*flags)
-    counts = single.groupBy("host", "hash").agg(F.count("*").alias("n_pages"), *flags).filter(F.col("n_pages") >= F.when(F.col("prose"), max(min_pages, MIN_PROSE)).otherwise(min_pages)).drop("prose")
-    hosts = pages.select(url_host(F.col(url)).alias("host")).groupBy("host").agg(F.count("*").alias("_all"))
-    return counts.join(hosts, "host").filter(F.col("n_pages") >= F.col("_all") * min_share).drop("_all")
+    return single.groupBy("host", "hash").agg(F.count("*").alias("n_pages"), *flags).filter(F.col("n_pages") >= F.when(F.col("prose"), max(min_pages, MIN_PROSE)).otherwise(min_pages)).drop("prose")
 
 
-def extract_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+def extract_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", min_pages: int = MIN_PAGES) -> DataFrame:
     """Columns: key, url, text, n_chars (code points)."""
-    found = materialize(host_templates(pages, url, html, min_pages, min_share).filter("in_text"), "templates")
+    found = materialize(host_templates(pages, url, html, min_pages).filter("in_text"), "templates")
     kind = StructType(list(pages.select(key, url).schema.fields)).add("_blocks", ArrayType(StringType())).add("_around", ArrayType(ArrayType(LongType())))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -152,6 +152,12 @@ def test_html_prose_templates(spark):
     assert got[60] == "Head 60\nOwn 60\nRead our terms\nitem 60\nBuy now\nOffer"
 
 
+def test_html_templates_of_a_big_host(spark):
+    rows = [(i, "http://big/", f"<article><p>Own {i}</p>{'<div>Box of a section</div>' if i < 4 else ''}</article>") for i in range(400)]  # on 1% of the host's pages
+    got = {r.page_id: r.text for r in html_templates.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[2] == "Own 2" and got[399] == "Own 399"
+
+
 # --- op4
 
 
