@@ -11,7 +11,7 @@ computed in place.
 
 Edge cases: a null text stays null and has no entities; an empty text stays empty; repeated rows get the same surrogates; null ids are kept;
 an empty table gives no rows; other columns pass through untouched, whatever their names, but for those that this adds.
-Numbers of 13 to 19 digits count as card numbers only if their check digit is right.
+Numbers of 13 to 19 digits count as card numbers only if their check digit is right. Names are found only after one of the titles listed below.
 """
 
 from __future__ import annotations
@@ -34,9 +34,9 @@ _LABEL = r"(?i:password|passwd|pwd|secret|token|api_?key)\s{0,2}[=:]\s{0,2}[\"']
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}][\p{L}\p{N}._%+\-]{0,63}+@(?:[\p{L}\p{N}][\p{L}\p{N}\-]{0,62}\.){1,8}\p{L}{2,24}(?![\p{L}\p{N}])",
     "iban": r"(?=[A-Z])(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
-    "secret": r"(?=[Ags])(?<![\p{L}\p{N}])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9_\-]{20,64})(?![\p{L}\p{N}])"
-    rf"|(?=[pPsStTaA])(?<![\p{{L}}\p{{N}}]){_LABEL}[A-Za-z0-9_\-+/]{{8,128}}(?![\p{{L}}\p{{N}}])"
-    r"|(?=[0-9a-f])(?<![\p{L}\p{N}])(?=[0-9a-f]{0,63}[a-f])(?=[0-9a-f]{0,63}\d)[0-9a-f]{32,64}(?![\p{L}\p{N}])",
+    "secret": r"(?=[Ags])(?<![\p{L}\p{N}])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9_\-]{20,})(?![\p{L}\p{N}])"
+    rf"|(?=[pPsStTaA])(?<![\p{{L}}\p{{N}}]){_LABEL}[A-Za-z0-9_\-+/]{{8,}}(?![\p{{L}}\p{{N}}])"
+    r"|(?=[0-9a-f])(?<![\p{L}\p{N}])(?=\d*+[a-f])(?=[a-f]*+\d)[0-9a-f]{32,}(?![\p{L}\p{N}])",
     "ip": rf"(?=\d)(?<![\p{{L}}\p{{N}}.])(?:{_OCTET}\.){{3}}{_OCTET}(?![\p{{L}}\p{{N}}]|\.\d)",
     "phone": r"(?=[+(\d])(?:(?<![\p{L}\p{N}+])(?:\+\d{1,3}[ .\-]?)?\(\d{2,4}\)[ .\-]?\d{3,4}[ .\-]?\d{3,4}(?!\d)|(?<![\p{L}\p{N}+])\+\d{1,3}(?:[ .\-]?\d{2,4}){2,4}(?!\d)|(?<![\p{L}\p{N}.\-])\d{3}[.\-]\d{3}[.\-]\d{4}(?![\p{N}\-]))",
     "ssn": r"(?=\d)(?<![\p{L}\p{N}\-])\d{3}-\d{2}-\d{4}(?![\p{N}\-])",
@@ -45,7 +45,7 @@ PATTERNS = {
 }
 PATTERN = "|".join(PATTERNS.values())
 #: A text in which none of these is found has no entity. Apart and each opening with a class of characters, as all texts are searched.
-HINTS = ["[0-9@]", rf"{_TITLE_START}(?:{'|'.join(sorted({t[1:] for t in _TITLES_M + _TITLES_F}))})\.? ", r"[=:]\s{0,2}[\"']?[A-Za-z0-9_\-+/]{8}"]
+HINTS = ["[0-9@]", rf"{_TITLE_START}(?:{'|'.join(sorted({t[1:] for t in _TITLES_M + _TITLES_F}))})\.? ", r"[=:]\s{0,2}[\"']?[A-Za-z0-9_\-+/]{8}|[Ags](?:KIA[0-9A-Z]{16}|h[pousr]_[A-Za-z0-9]{36}|k-[A-Za-z0-9_\-]{20})"]
 
 #: First names by script and gender, and syllables of family names by script.
 _FIRST = {

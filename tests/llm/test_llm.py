@@ -435,6 +435,15 @@ def test_surrogates(spark):
     assert pii_surrogates.with_surrogates(df.limit(0)).count() == 0
 
 
+def test_surrogates_of_long_secrets(spark):
+    values = ["0a1b" * 32, "sk-" + "Ab_x" * 30, "sk-abcdefghijKLMNOPQRSTuvwxyz", "Zz9x" * 50]
+    rows = [(0, f"key {values[0]} end"), (1, f"key {values[1]} end"), (2, f"key {values[2]} end"), (3, f"password={values[3]} end")]
+    got = {r.doc_id: r.text for r in pii_surrogates.with_surrogates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, text in rows:
+        part = values[i][3:] if i in (1, 2) else values[i]
+        assert len(got[i]) == len(text) and got[i].endswith(" end") and part[:20] not in got[i] and part[-20:] not in got[i]
+
+
 def test_surrogates_stay_distinct(spark, monkeypatch):
     """A space of surrogates that is far too small: draws must go on until all differ."""
     real = pii_surrogates.surrogate
