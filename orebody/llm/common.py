@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,12 +21,14 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The shared folder for intermediate tables: spark.checkpoint.dir, or, in local mode only, one of our own."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return shared.rstrip("/")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="orebody-")
     return _own_dirs[app]
 
@@ -43,14 +46,30 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remember(spark: SparkSession, path: str) -> None:
+    """Have `path` deleted with the tables of `materialize`."""
+    _written.append((spark, path))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of `materialize` that nothing reads any more."""
+    for t in tables:
+        roots = {f.rsplit("/", 1)[0] for f in t.inputFiles()}
+        for spark, path in [w for w in _written if any(r.endswith(w[1].rsplit("/", 1)[1]) for r in roots)]:
+            _delete(spark, path)
+            _written.remove((spark, path))
+
+
 def release() -> None:
     """Delete every table that `materialize` wrote in this process."""
     while _written:
-        spark, path = _written.pop()
         try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+            _delete(*_written.pop())
         except Exception:  # the session is gone; nothing is left to delete with
             return
 
@@ -76,6 +95,61 @@ def salted_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "i
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
 
+SIEVE_BITS = 1 << 27  # 16 MB: what a sieve has at most, however many numbers it is made of
+
+
+class Sieve:
+    """A bitmap of hashed numbers, of bounded size: `may_hold` is true for all that it was made of and for few others.
+
+    Used before a shuffle, to leave out rows that the join would drop; the join stays exact. Where more numbers than bits go in,
+    it lets more rows through and nothing else changes.
+    """
+
+    def __init__(self, numbers: DataFrame) -> None:
+        name = numbers.columns[0]
+        n = numbers.count()
+        self.bits = 1 << min(SIEVE_BITS.bit_length() - 1, max(16, (16 * n).bit_length()))
+        at = numbers.select((F.xxhash64(F.col(name)).bitwiseAND(F.lit(self.bits - 1))).alias("b"))
+        words = at.select(F.shiftright("b", 6).alias("w"), F.expr("shiftleft(1L, cast(b & 63 as int))").alias("v")).groupBy("w").agg(F.bit_or("v").alias("v")).toArrow()  # bits / 64 rows at most
+        self.words = np.zeros(self.bits // 64, np.int64)
+        self.words[words.column("w").to_numpy()] = words.column("v").to_numpy()
+        self.spark = numbers.sparkSession
+
+    def shared(self):  # noqa: ANN201
+        """The bitmap for use in tasks, with `may_hold`."""
+        return self.spark.sparkContext.broadcast(self.words)
+
+    @staticmethod
+    def places(hashes: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """For Spark's xxhash64 of some numbers: whether the bitmap has them."""
+        at = hashes & (len(words) * 64 - 1)
+        return (words[at >> 6] >> (at & 63)) & 1 == 1
+
+
+def sieved(df: DataFrame, key: str, sieve: Sieve, name: str = "_may") -> DataFrame:
+    """`df` with a column that is false only where the key (a number; null: false) isn't among the sieve's."""
+    shared = sieve.shared()
+    hashed = df.withColumn("__at", F.when(F.col(f"`{key}`").isNotNull(), F.xxhash64(F.col(f"`{key}`").cast("long"))))
+    schema = type(hashed.schema)(list(df.schema.fields)).add(name, "boolean")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = shared.value
+        for batch in batches:
+            at = batch.column(batch.num_columns - 1)
+            known = at.is_valid().to_numpy(zero_copy_only=False)
+            may = Sieve.places(at.fill_null(0).to_numpy(), words) & known
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(may)], schema.fieldNames())
+
+    return hashed.mapInArrow(run, schema)
+
+
+def without(df: DataFrame, gone: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The rows of `df` whose key isn't in `gone` (distinct numbers). Only rows that a sieve of `gone` holds are shuffled."""
+    may = sieved(df, key, Sieve(gone), "__may")
+    rest = may.filter("__may").join(gone, key, "left_anti").select(*[f"`{c}`" for c in df.columns])
+    return may.filter("not __may").select(*[f"`{c}`" for c in df.columns]).union(rest)
+
+
 def text_chunks(batch: pa.RecordBatch, column: str = "text", limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows whose texts together stay near `limit` bytes (a longer text stands alone)."""
     n = batch.num_rows

@@ -382,6 +382,40 @@ def test_bound_keeps_every_link(spark):
     assert want and want <= got
 
 
+def test_crowded_stars(spark, monkeypatch):
+    """Stars with more open members than `crowd` allows: found again by finer bands, with pairs that grow with members."""
+    rng = random.Random(9)
+    made = []
+    for k in (120, 240):
+        rows = [(0, " ".join(f"h{i}" for i in range(400)))]
+        for i in range(1, k):  # about 0.65 like the hub, and less like each other
+            gone = set(rng.sample(range(40), 13))
+            rows.append((i, " ".join(f"h{j}" for j in range(400) if j // 10 not in gone)))
+        for i in range(k, k + 10):  # linked to one of them, and not to the hub
+            own = rows[i - k + 1][1].split()
+            own[7] = f"x{i}"
+            rows.append((i, " ".join(own)))
+        sent = []
+        real = minhash_dedup.compared
+        monkeypatch.setattr(minhash_dedup, "compared", lambda pairs, *a, sent=sent, real=real: (sent.append(pairs.count()), real(pairs, *a))[1])
+        _, want = brute_components(rows, 4)
+        got = {r.doc_id: r.component_id for r in minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), crowd=8).collect()}
+        monkeypatch.setattr(minhash_dedup, "compared", real)
+        assert got == {i: want[j] for j, (i, _) in enumerate(rows)}
+        made.append(sum(sent))
+    assert made[1] < 2.7 * made[0]
+
+
+def test_sieve_and_without(spark):
+    df = spark.createDataFrame([(i, f"t{i}") for i in range(500)] + [(None, "none"), (7, "again")], "doc_id long, t string")
+    gone = spark.createDataFrame([(i,) for i in range(0, 500, 3)], "doc_id long")
+    got = sorted((r.doc_id is None, r.doc_id, r.t) for r in common.without(df, gone).collect())
+    assert [g[1] for g in got if not g[0]] == sorted([i for i in range(500) if i % 3] + [7]) and got[-1][2] == "none"
+    may = common.sieved(df, "doc_id", common.Sieve(gone)).filter("_may")
+    assert {r.doc_id for r in may.collect()} >= set(range(0, 500, 3)) and may.count() < 250
+    assert common.without(df, gone.limit(0)).count() == 502 and common.without(df.limit(0), gone).count() == 0
+
+
 def test_components(spark):
     rng = random.Random(12)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)] + [(i, i + 1) for i in range(300, 340)]
