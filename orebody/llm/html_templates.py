@@ -1,11 +1,15 @@
 """HTML extraction with site template removal.
 
-Each page is parsed once per pass. Pass one hashes the element subtrees that could be site furniture and counts, per host in
+Each page is parsed once per pass. Pass one hashes the element subtrees of the text to be extracted that could be of the site and counts, per host in
 Spark, in how many different content roots each occurs; subtrees that recur in many of a host are templates. Pass two takes the
 main content (article or main, else the whole page), leaves out what is furniture by its tag, role or class and every template, and
 joins what remains, block by block. Roots are told apart by their text without furniture, so that the copies of an article on many
-pages of a host count once and stay; the root and its ancestors are never templates. A paragraph, heading or list item that recurs
-in different articles is a template too, but needs MIN_PROSE of them where other subtrees need MIN_PAGES, as short lines also recur by chance.
+pages of a host count once and stay; the root and its ancestors are never templates. A paragraph, heading or list item inside an
+article is a template only if it stands in MIN_PROSE different articles and in PROSE_SHARE of all that the host has: articles on one host also
+share titles, sentences and license lines, which are their own text. Other subtrees need MIN_PAGES, on a host of any size.
+
+With rules=False nothing is furniture by its tag, role or class (scripts, styles and other elements without readable text
+aside), so that counting alone decides.
 
 Edge cases: null or empty html gives an empty text; unclosed and stray tags are tolerated, as browsers do; text without
 any element is one block; a null url has the empty host; repeated pages count once; columns
@@ -30,9 +34,12 @@ from orebody.llm.url_graph import url_host
 
 MIN_PAGES = 3
 MIN_PROSE = 10
+PROSE_SHARE = 0.25
+LISTED = 200_000  # templates that are sent to the tasks; more are joined
+_EVERY_ROOT = 0  # stands for a hash in the rows that count a host's roots
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+|[^>]*)>""", re.S)
-_ATTR = re.compile(r"""([^\s=/"'>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""")
+_ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 _RAW = {"script", "style", "template", "noscript", "textarea", "iframe", "title", "xmp", "noembed", "noframes"}
 _RAW_END = {t: re.compile(rf"</{t}[\s/>]", re.I) for t in _RAW}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -52,6 +59,12 @@ _FURNITURE_WORDS = {
     "popup", "modal", "overlay", "newsletter", "subscribe", "signup", "login", "social", "share", "sharing", "sidebar", "rail", "menu", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs",
     "footer", "masthead", "comment", "comments", "respond", "disqus", "reply", "replies", "related", "recommended", "widget", "pagination", "pager", "toolbar", "skip", "copyright", "disclaimer",
 }
+#: Parts that may stand beside a furniture word in a class or id inside an article: "ad-box" is furniture there, "ad-hoc" isn't.
+_STRUCTURE_WORDS = {
+    "area", "bar", "block", "body", "bottom", "box", "button", "buttons", "column", "container", "content", "footer", "form", "frame", "group", "header", "icon", "icons", "inner", "item", "items", "left", "link",
+    "links", "list", "main", "outer", "page", "panel", "reader", "right", "row", "section", "site", "slot", "text", "thread", "top", "unit", "user", "wrap", "wrapper", "",
+}
+_ALWAYS = _RAW | {"head", "select", "option", "object", "embed", "applet", "canvas", "svg", "audio", "video", "map", "input"}
 _CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}),
     "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tbody": ({"tr", "td", "th", "tbody", "thead", "tfoot"}, {"table"}), "option": ({"option"}, {"select"}),
@@ -70,20 +83,34 @@ class Element:
     textual: bool = False  # it is or holds a paragraph, heading or quote
 
 
-def _is_furniture(tag: str, attrs: str, inside: bool) -> tuple[bool, str]:
-    """Whether an element is furniture by its own tag, role, class or id; and its names for the hash."""
-    if not attrs:
-        return tag in _FURNITURE_TAGS or (tag == "header" and not inside), ""
-    found = {m[0].lower(): m[1] or m[2] or m[3] for m in _ATTR.findall(attrs)}
-    names = f"{found.get('class', '')} {found.get('id', '')}".strip().lower()
-    bare = attrs.lower().split()
-    words = set(re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", f"{found.get('class', '')} {found.get('id', '')}").lower())) if names else set()
-    hidden = "hidden" in bare or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
-    hit = tag in _FURNITURE_TAGS or found.get("role", "").lower() in _FURNITURE_ROLES or bool(words & _FURNITURE_WORDS) or hidden or (tag == "header" and not inside)
-    return hit and tag not in ("html", "body"), names
+def _parts(name: str) -> list[str]:
+    """The words of one class or id: "adBox" and "ad-box" have two."""
+    return re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower())
 
 
-def parse(source: str) -> Element:
+def _named_furniture(name: str, inside: bool) -> bool:
+    parts = _parts(name)
+    if not inside:
+        return not _FURNITURE_WORDS.isdisjoint(parts)
+    return not _FURNITURE_WORDS.isdisjoint(parts) and all(p in _FURNITURE_WORDS or p in _STRUCTURE_WORDS for p in parts)
+
+
+def _is_furniture(tag: str, attrs: str, inside: bool, rules: bool = True) -> tuple[bool, str]:
+    """Whether an element is furniture by its own tag, role, class or id; and its names for the hash."""
+    if not attrs:
+        return (tag in _FURNITURE_TAGS or (tag == "header" and not inside)) if rules else tag in _ALWAYS, ""
+    found: dict[str, str] = {}
+    for m in _ATTR.findall(attrs):
+        found.setdefault(m[0].lower(), m[1] or m[2] or m[3])
+    named = f"{found.get('class', '')} {found.get('id', '')}".strip()
+    if not rules:
+        return tag in _ALWAYS, named.lower()
+    hidden = "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
+    hit = tag in _FURNITURE_TAGS or found.get("role", "").lower() in _FURNITURE_ROLES or any(_named_furniture(n, inside) for n in named.split()) or hidden or (tag == "header" and not inside)
+    return hit and tag not in ("html", "body"), named.lower()
+
+
+def parse(source: str, rules: bool = True) -> Element:
     """The element tree; children are elements or text. Never fails."""
     top = Element("#root", None, "", False)
     node, at, inside = top, 0, 0
@@ -127,7 +154,7 @@ def parse(source: str) -> Element:
                 up = up.parent
             if last is not None:
                 node = last.parent
-        furniture, names = _is_furniture(tag, m[3], inside > 0)
+        furniture, names = _is_furniture(tag, m[3], inside > 0, rules)
         child = Element(tag, node, names, furniture)
         node.children.append(child)
         if tag in _RAW:
@@ -267,26 +294,29 @@ def root_texts(elements: list[Element], roots: list[Element]) -> dict[int, int]:
     return out
 
 
-def _analysed(source: str | None) -> tuple[list[Element], list[Element], set[int], list[Element], set[int]]:
-    elements = _in_order(parse(source or ""))
+def _analysed(source: str | None, rules: bool = True) -> tuple[list[Element], list[Element], set[int], list[Element], set[int]]:
+    elements = _in_order(parse(source or "", rules))
     _hash_all(elements)
     roots = content_roots(elements)
     kept, own, written = _candidates(elements, roots)
     return elements, roots, own, kept, written
 
 
-def subtree_hashes(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """One row per page and different candidate subtree and root: host, hash, root, in_text (it stands in the text to be extracted), prose (it is or holds prose there)."""
+def subtree_hashes(pages: DataFrame, url: str = "url", html: str = "html", rules: bool = True, only_text: bool = False) -> DataFrame:
+    """One row per page and different candidate subtree and root: host, hash, root, in_text (it stands in the text to be extracted),
+    prose (it is or holds prose there); and one per page and root with the hash _EVERY_ROOT. only_text: rows that are in_text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_chunks(batch, "_html"):
                 hosts, hashes, within, inner, prose = [], [], [], [], []
                 for host, source in zip(part.column("host").to_pylist(), part.column("_html").to_pylist(), strict=True):
-                    elements, roots, own, kept, written = _analysed(source)
+                    elements, roots, own, kept, written = _analysed(source, rules)
                     texts = root_texts(elements, roots)
-                    found: dict[tuple[int, int], tuple[bool, bool]] = {}
+                    found: dict[tuple[int, int], tuple[bool, bool]] = {(_EVERY_ROOT, texts[id(r)]): (True, True) for r in roots}
                     for e in kept:
+                        if only_text and id(e) not in own:
+                            continue
                         at = (_number(e.digest), texts[id(e)])
                         was = found.get(at, (False, False))
                         found[at] = (was[0] or id(e) in own, was[1] or id(e) in written)
@@ -300,34 +330,46 @@ def subtree_hashes(pages: DataFrame, url: str = "url", html: str = "html") -> Da
     return pages.select(url_host(F.col(url)).alias("host"), F.col(html).alias("_html")).mapInArrow(run, "host string, hash long, root long, in_text boolean, prose boolean")
 
 
-def host_templates(pages: DataFrame, url: str = "url", html: str = "html", min_pages: int = MIN_PAGES) -> DataFrame:
-    """host, hash, n_pages, in_text: subtrees in at least `min_pages` different roots (MIN_PROSE if they are prose), however many pages the host has."""
+def host_templates(pages: DataFrame, url: str = "url", html: str = "html", min_pages: int = MIN_PAGES, rules: bool = True, only_text: bool = False) -> DataFrame:
+    """host, hash, n_pages, in_text: subtrees in at least `min_pages` different roots, however many pages the host has; prose in at least
+    MIN_PROSE of them and in PROSE_SHARE of the host's."""
     flags = [F.max("in_text").alias("in_text"), F.max("prose").alias("prose")]
-    single = subtree_hashes(pages, url, html).groupBy("host", "hash", "root").agg(*flags)
-    return single.groupBy("host", "hash").agg(F.count("*").alias("n_pages"), *flags).filter(F.col("n_pages") >= F.when(F.col("prose"), max(min_pages, MIN_PROSE)).otherwise(min_pages)).drop("prose")
+    single = subtree_hashes(pages, url, html, rules, only_text).groupBy("host", "hash", "root").agg(*flags)
+    counted = single.groupBy("host", "hash").agg(F.count("*").alias("n_pages"), *flags).filter((F.col("n_pages") >= min_pages) | (F.col("hash") == _EVERY_ROOT))
+    counted = materialize(counted, "counted")
+    sizes = counted.filter(F.col("hash") == _EVERY_ROOT).select("host", F.col("n_pages").alias("roots"))
+    found = salted_join(counted.filter(F.col("hash") != _EVERY_ROOT), sizes, ["host"], "left", by=["hash"])
+    return found.filter(~F.col("prose") | ((F.col("n_pages") >= max(min_pages, MIN_PROSE)) & (F.col("n_pages") >= PROSE_SHARE * F.col("roots")))).select("host", "hash", "n_pages", "in_text")
 
 
-def extract_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", min_pages: int = MIN_PAGES) -> DataFrame:
+def extract_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", min_pages: int = MIN_PAGES, rules: bool = True) -> DataFrame:
     """Columns: key, url, text, n_chars (code points)."""
-    found = materialize(host_templates(pages, url, html, min_pages).filter("in_text"), "templates")
+    found = materialize(host_templates(pages, url, html, min_pages, rules, only_text=True).select("host", "hash"), "templates")
+    few = found.limit(LISTED + 1).count() <= LISTED
+    listed: dict[str, set[int]] = {}
+    for r in found.toLocalIterator() if few else ():
+        listed.setdefault(r.host, set()).add(r.hash)
+    shared = pages.sparkSession.sparkContext.broadcast(listed)  # LISTED at most
     kind = StructType(list(pages.select(key, url).schema.fields)).add("_blocks", ArrayType(StringType())).add("_around", ArrayType(ArrayType(LongType())))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        listed = shared.value
         for batch in batches:
             for part in text_chunks(batch, html):
                 texts, around = [], []
-                for source in part.column(html).to_pylist():
-                    _, roots, own, _, _ = _analysed(source)
-                    blocks = blocks_of(roots, own)
+                for host, source in zip(part.column("_host").to_pylist(), part.column(html).to_pylist(), strict=True):
+                    gone = listed.get(host, ())
+                    _, roots, own, _, _ = _analysed(source, rules)
+                    blocks = [b for b in blocks_of(roots, own) if not any(a in gone for a in b[1])]
                     texts.append([t for t, _ in blocks])
-                    around.append([a for _, a in blocks])
+                    around.append([[] if few else a for _, a in blocks])
                 yield pa.RecordBatch.from_arrays([part.column(key), part.column(url), pa.array(texts, pa.list_(pa.string())), pa.array(around, pa.list_(pa.list_(pa.int64())))], [key, url, "_blocks", "_around"])
 
-    blocks = pages.select(key, url, html).mapInArrow(run, kind)
-    if not found.isEmpty():  # some page's own text holds a template: look each page's subtrees up among them
+    blocks = pages.select(key, url, html, url_host(F.col(url)).alias("_host")).mapInArrow(run, kind)
+    if not few:  # too many templates for the tasks: look each page's subtrees up among them
         blocks = materialize(blocks.withColumn("_id", F.xxhash64(key, url, "_blocks", "_around")), "blocks")
         held = blocks.filter(F.exists("_around", lambda a: F.size(a) > 0)).select("_id", url_host(F.col(url)).alias("host"), F.explode(F.array_distinct(F.flatten("_around"))).alias("hash")).distinct()
-        hits = salted_join(held, found.select("host", "hash"), ["host", "hash"]).groupBy("_id").agg(F.collect_set("hash").alias("_gone"))  # at most one page's own subtrees
+        hits = salted_join(held, found, ["host", "hash"]).groupBy("_id").agg(F.collect_set("hash").alias("_gone"))  # at most one page's own subtrees
         blocks = salted_join(blocks, hits, ["_id"], "left", by=[key])
         gone = F.coalesce("_gone", F.array().cast("array<long>"))
         left = F.filter(F.arrays_zip("_blocks", "_around"), lambda b: ~F.arrays_overlap(b["_around"], gone))

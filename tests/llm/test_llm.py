@@ -158,6 +158,47 @@ def test_html_templates_of_a_big_host(spark):
     assert got[2] == "Own 2" and got[399] == "Own 399"
 
 
+def test_html_shared_prose_is_no_template(spark):
+    """Titles and lines that some articles of a host share are their own text."""
+    rows = [(i, "http://h/", f"<article><h1>{'Shared title' if i % 8 == 0 else f'Title {i}'}</h1><p>Own {i}</p>{'<p>Released under a license.</p>' if i % 6 == 0 else ''}</article>") for i in range(120)]
+    got = {r.page_id: r.text for r in html_templates.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[48] == "Shared title\nOwn 48\nReleased under a license."
+
+
+def test_html_counting_alone(spark, monkeypatch):
+    """Without the lists of tags and classes, menus, boxes and footers go because they recur; and so they do when templates are joined."""
+    page = lambda i: f"<body><nav><a href=/>Home</a><a href=/n>News</a></nav><div><h1>Head {i}</h1><p>Own {i}</p></div><div class=x>Buy our book</div><footer>&copy; The site</footer><script>s()</script></body>"
+    df = spark.createDataFrame([(i, "http://h/", page(i)) for i in range(8)] + [(20, "http://o/", page(20))], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_templates.extract_text(df, rules=False).collect()}
+    assert got[3] == "Head 3\nOwn 3" and got[20] == "HomeNews\nHead 20\nOwn 20\nBuy our book\n\u00a9 The site"
+    monkeypatch.setattr(html_templates, "LISTED", 0)
+    assert got == {r.page_id: r.text for r in html_templates.extract_text(df, rules=False).collect()}
+
+
+def test_html_templates_against_brute_force(spark):
+    """Pages of strips drawn from a few per host, some in articles, against counting in Python."""
+    rng = random.Random(21)
+    strips = [f"<section>strip {k}</section>" for k in range(9)]
+    rows, parts = [], {}
+    for i in range(80):
+        host = rng.choice("abc")
+        own = [k for k in range(9) if rng.random() < (0.02, 0.05, 0.1, 0.2, 0.3, 0.4, 0.01, 0.03, 0.5)[k]]
+        parts[i] = (host, own)
+        body = "".join(strips[k] for k in own) + f"<p>words of {i}</p>"
+        rows.append((i, f"https://{host}.org/{i}", f"<nav>menu</nav><article>{body}</article>" if i % 2 else f"<nav>menu</nav>{body}"))
+    counts = collections.Counter((h, k) for h, own in parts.values() for k in own)
+    got = {r.page_id: r.text for r in html_templates.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i, (h, own) in parts.items():
+        assert got[i] == "\n".join([f"strip {k}" for k in own if counts[h, k] < 3] + [f"words of {i}"])
+
+
+def test_html_attributes(spark):
+    kept = ['<p title="the hidden gem">a</p>', '<div class="related-work"><p>b</p></div>', '<p class="ad-hoc">c</p>', '<section id="reply-to-critics"><p>d</p></section>', "<p data-x=hidden>e</p>"]
+    gone = ["<p hidden>f</p>", '<div class="ad-box"><p>g</p></div>', '<div class="commentList"><p>h</p></div>', "<div style='display: none'>i</div>", "<div class='a comments'>j</div>", "<p hidden=''>k</p>"]
+    df = spark.createDataFrame([(1, "http://h/", f"<article>{''.join(kept + gone)}</article>")], "page_id long, url string, html string")
+    assert html_templates.extract_text(df).first().text == "a\nb\nc\nd\ne"
+
+
 # --- op4
 
 
