@@ -2,7 +2,7 @@
 
 Words are counted over the whole training part. The most frequent words and the suffix groups of all other words are the
 items of an exchange clustering: each item in turn moves to the class that most raises the likelihood of the class bigrams,
-until a sweep moves few. Then every other word with at least PLACED training tokens becomes an item as well: Spark counts the
+until a sweep moves none. Then every other word with at least PLACED training tokens becomes an item as well: Spark counts the
 classes to the left and right of each, and each moves to its best class by the same gain, all at once, in ROUNDS rounds with the
 class table counted anew. Only rarer words stay in their groups, which move along. The model is
 
@@ -11,9 +11,9 @@ class table counted anew. Only rarer words stay in their groups, which move alon
 with class transitions drawn towards the class unigrams, items smoothed by an added constant, and words of a suffix group
 smoothed likewise with one place for unseen words (a word that is an item has P(w | item) = 1). Perplexity is 10 ** (-score / n_tokens).
 
-Counts are made on all training rows. Only the item bigrams ((HEAD + GROUPS + 1)^2 at most), the LOOKUP most frequent words and a
+Counts are made on all training rows. Only the item bigrams ((HEAD + GROUPS + 1)^2 at most), about LOOKUP of the most frequent words and a
 64-bit hash and a class for each placed word (9 bytes) come to the driver; the counts of all rarer words are joined to the texts
-in Spark.
+in Spark. Texts are cut into words and coded a chunk at a time by Arrow; only a chunk's different words are looked up.
 
 Edge cases: null and empty texts are one end token; without training rows every count is 0 and the scores are those of the smoothing
 alone; rows with a null id are held in the training part and scored; rows that agree in id and text are scored once and
@@ -23,24 +23,24 @@ repeated in the result; an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orebody.llm.common import materialize, text_chunks, texts_of
+from orebody.llm.common import discard, materialize, text_chunks, texts_of
 
 HEAD = 1000
 GROUPS = 128
 CLASSES = 64
 LOOKUP = 200_000
-FLUSH = 300_000
-SWEEPS = 12
+CHUNK = 16 << 20  # bytes of text that are coded at once
 PLACED = 10  # training tokens from which a word has a class of its own choice
 ROUNDS = 2
 HELD = 2_000_000  # tokens whose neighbours are held before they are passed on
@@ -60,45 +60,34 @@ def suffix_group(word: bytes) -> int:
     return zlib.crc32(word[-2:]) % GROUPS
 
 
+def coded(part: pa.RecordBatch, text: str) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The different words of a chunk, A-Z lower-cased, the place of each token's word among them, and the tokens of each row."""
+    column = part.column(text)
+    column = column.fill_null("" if pa.types.is_string(column.type) or pa.types.is_large_string(column.type) else b"")
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(column))
+    words, ends = lists.flatten(), np.asarray(lists.offsets).astype(np.int64)
+    real = pc.not_equal(words, pa.scalar("", words.type)).to_numpy(zero_copy_only=False)  # white space at the ends leaves empty words
+    before = np.concatenate([[0], np.cumsum(real)])
+    at = ends - ends[0]
+    encoded = words.filter(pa.array(real)).dictionary_encode()
+    if isinstance(encoded, pa.ChunkedArray):
+        encoded = encoded.combine_chunks()
+    return encoded.dictionary.cast(pa.binary()), encoded.indices.to_numpy(zero_copy_only=False).astype(np.int64), np.diff(before[at])
+
+
 def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """word (binary), grp, c: over all texts, A-Z lower-cased."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
-
-        def out() -> pa.RecordBatch:
-            words = list(held)
-            batch = pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array([suffix_group(w) for w in words], pa.int32()), pa.array(held.values(), pa.int64())], ["word", "grp", "n"])
-            held.clear()
-            return batch
-
         for batch in batches:
-            for part in text_chunks(batch, text):
-                for t in texts_of(part, text):
-                    held.update(t.lower().split())
-                if len(held) > FLUSH:
-                    yield out()
-        yield out()
+            for part in text_chunks(batch, text, CHUNK):
+                words, codes, _ = coded(part, text)
+                n = np.bincount(codes, minlength=len(words))
+                yield pa.RecordBatch.from_arrays([words, pa.array(list(map(suffix_group, words.to_pylist())), pa.int32()), pa.array(n, pa.int64())], ["word", "grp", "n"])
 
     return docs.select(text).mapInArrow(run, "word binary, grp int, n long").groupBy("word", "grp").agg(F.sum("n").alias("c"))
 
 
-class Codes(dict):
-    """word -> its rank among the looked-up words, or -1 - item; rare words are remembered up to a bound."""
-
-    def __init__(self, ranked: list[bytes], keys: np.ndarray) -> None:
-        super().__init__(zip(ranked, range(len(ranked)), strict=True))
-        self.most = len(ranked) + FLUSH
-        self.ranked, self.keys = ranked, keys
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.most:
-            self.clear()
-            self.update(zip(self.ranked, range(len(self.ranked)), strict=True))
-        code = self[word] = -1 - item_of(word, self.keys)
-        return code
-
-
 def item_bigrams(docs: DataFrame, head: list[bytes], text: str = "text") -> np.ndarray:
     """How often item b follows item a over all texts; every text ends in END and follows one."""
 
@@ -115,19 +104,27 @@ def item_bigrams(docs: DataFrame, head: list[bytes], text: str = "text") -> np.n
     return out.reshape(ITEMS, ITEMS)
 
 
-class Items(dict):
-    """word -> its item: a place in the head, HEAD + group, or ITEMS + the place of its hash in `keys`; others than the head are remembered up to a bound."""
+class Items:
+    """Words to items: a place in the head, HEAD + group, or ITEMS + the place of the word's hash in `keys`."""
 
     def __init__(self, head: list[bytes], keys: np.ndarray) -> None:
-        super().__init__(zip(head, range(len(head)), strict=True))
-        self.head, self.keys = head, keys
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= HEAD + FLUSH:
-            self.clear()
-            self.update(zip(self.head, range(len(self.head)), strict=True))
-        item = self[word] = item_of(word, self.keys)
-        return item
+        self.head, self.keys = dict(zip(head, range(len(head)), strict=True)), keys
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        out = np.fromiter(map(self.head.get, words, repeat(-1)), np.int64, len(words))
+        left = np.flatnonzero(out < 0)
+        if not len(left):
+            return out
+        other = [words[i] for i in left.tolist()]
+        h = np.fromiter(map(xxhash.xxh64_intdigest, other, repeat(42)), np.uint64, len(other)).view(np.int64)
+        at = np.searchsorted(self.keys, h)
+        placed = np.zeros(len(other), bool)
+        inside = at < len(self.keys)
+        placed[inside] = self.keys[at[inside]] == h[inside]
+        found = ITEMS + at
+        found[~placed] = [HEAD + suffix_group(other[i]) for i in np.flatnonzero(~placed).tolist()]
+        out[left] = found
+        return out
 
 
 def word_key(word: bytes) -> int:
@@ -136,23 +133,19 @@ def word_key(word: bytes) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def item_of(word: bytes, keys: np.ndarray) -> int:
-    """The item of a word outside the head."""
-    h = word_key(word)
-    at = int(np.searchsorted(keys, np.int64(h)))
-    return ITEMS + at if at < len(keys) and keys[at] == h else HEAD + suffix_group(word)
+def _between(x: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The items of rows with END before, between and after the rows."""
+    out = np.full(len(x) + len(lengths) + 1, END, np.int64)
+    out[np.arange(len(x)) + 1 + np.repeat(np.arange(len(lengths)), lengths)] = x
+    return out
 
 
 def _lines(batches: Iterator[pa.RecordBatch], text: str, items: Items) -> Iterator[np.ndarray]:
     """The items of each chunk's texts, with END before, between and after them."""
-    end = np.array([END])
     for batch in batches:
-        for part in text_chunks(batch, text):
-            line = [end]
-            for t in texts_of(part, text):
-                words = t.lower().split()
-                line += [np.fromiter(map(items.__getitem__, words), np.int64, len(words)), end]
-            yield np.concatenate(line)
+        for part in text_chunks(batch, text, CHUNK):
+            words, codes, lengths = coded(part, text)
+            yield _between(items.of(words.to_pylist())[codes], lengths)
 
 
 def class_bigrams(docs: DataFrame, head: list[bytes], keys: np.ndarray, cls: np.ndarray, text: str = "text", classes: int = CLASSES) -> np.ndarray:
@@ -177,7 +170,8 @@ def class_bigrams(docs: DataFrame, head: list[bytes], keys: np.ndarray, cls: np.
 
 def neighbour_classes(docs: DataFrame, head: list[bytes], keys: np.ndarray, cls: np.ndarray, text: str = "text", classes: int = CLASSES) -> DataFrame:
     """item, seen: for groups and placed words, one byte for the class to the left and one for that to the right of each token, `classes`
-    standing for the item itself; those to the right have classes + 1 added. An item has a row for each lot of about HELD tokens."""
+    standing for the item itself; those to the right have classes + 1 added. An item has a row for each lot of about HELD tokens. Rows with
+    a null item hold the class bigrams of a part of the texts, as classes^2 64-bit numbers."""
     shared = docs.sparkSession.sparkContext.broadcast((head, keys, cls.astype(np.uint8)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,14 +193,18 @@ def neighbour_classes(docs: DataFrame, head: list[bytes], keys: np.ndarray, cls:
             return pa.RecordBatch.from_arrays([pa.array(k[first]), pa.BinaryArray.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(seen.tobytes())])], ["item", "seen"])
 
         n = 0
+        total = np.zeros(classes * classes, np.int64)
         for x in _lines(batches, text, items):
             held.append(x)
             n += len(x)
+            k = cls[x].astype(np.int64)
+            total += np.bincount(k[:-1] * classes + k[1:], minlength=classes * classes)
             if n > HELD:
                 yield out()
                 n = 0
         if held:
             yield out()
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["item", "seen"])
 
     return docs.select(text).mapInArrow(run, "item long, seen binary")
 
@@ -249,17 +247,38 @@ def moves(seen: DataFrame, cls: np.ndarray, table: np.ndarray, fixed: int = 1) -
     return item[moved], to[moved]
 
 
-def place_words(docs: DataFrame, head: list[bytes], keys: np.ndarray, cls: np.ndarray, text: str = "text", rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """The classes of all items after the words of `keys` and the groups have chosen theirs, and the class bigrams; `cls` gives the start."""
-    table = class_bigrams(docs, head, keys, cls, text)
-    for _ in range(rounds if len(keys) else 0):
-        item, to = moves(neighbour_classes(docs, head, keys, cls, text), cls, table)
-        if not len(item):
+def _table_of(seen: DataFrame, classes: int) -> np.ndarray:
+    """The class bigrams that `neighbour_classes` counted besides: a sum of one row a partition, made in Spark."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(classes * classes, np.int64)
+        for batch in batches:
+            for v in batch.column(0).to_pylist():
+                total += np.frombuffer(v, np.int64)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["pair", "n"])
+
+    summed = seen.filter("item is null").select("seen").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()  # classes^2 rows at most
+    out = np.zeros(classes * classes)
+    out[summed.column("pair").to_numpy()] = summed.column("n").to_numpy()
+    return out.reshape(classes, classes)
+
+
+def place_words(docs: DataFrame, head: list[bytes], keys: np.ndarray, cls: np.ndarray, table: np.ndarray, text: str = "text", rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
+    """The classes of all items after the words of `keys` and the groups have chosen theirs, and the class bigrams. `cls` gives the
+    start and `table` its class bigrams. One pass over the texts a round, and one for the last table."""
+    moved = False
+    for i in range(rounds if len(keys) else 0):
+        seen = materialize(neighbour_classes(docs, head, keys, cls, text), "neighbours")
+        table = _table_of(seen, len(table)) if i else table
+        item, to = moves(seen.filter("item is not null"), cls, table)
+        discard(seen)
+        moved = len(item) > 0
+        if not moved:
             break
         cls = cls.copy()
         cls[item] = to
-        table = class_bigrams(docs, head, keys, cls, text)
-    return cls, table
+    return cls, class_bigrams(docs, head, keys, cls, text) if moved else table
 
 
 def _xlogx(a: np.ndarray) -> np.ndarray:
@@ -290,9 +309,9 @@ def gains(table: np.ndarray, right: np.ndarray, left: np.ndarray, self_: float)
     return gain - (_xlogx(row + out_n) - _xlogx(row) + _xlogx(col + in_n) - _xlogx(col))
 
 
-def exchange(bigrams: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS, fixed: int = 1) -> np.ndarray:
+def exchange(bigrams: np.ndarray, classes: int = CLASSES, sweeps: int | None = None, fixed: int = 1) -> np.ndarray:
     """The class of each item. At the start the most frequent items have classes of their own and all others share one; the last
-    `fixed` items keep classes of their own."""
+    `fixed` items keep classes of their own. Each move raises the likelihood, so that sweeps without end come to one that moves none."""
     m = len(bigrams)
     free = m - fixed
     weight = bigrams.sum(axis=0) + bigrams.sum(axis=1)
@@ -305,8 +324,9 @@ def exchange(bigrams: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS,
     to = bigrams @ one  # item -> class
     of = bigrams.T @ one  # class -> item, by item
     table = one.T @ to
-    for _ in range(sweeps):
-        moved = 0
+    moved, sweep = 1, 0
+    while moved and sweep != sweeps:
+        moved, sweep = 0, sweep + 1
         for w in order:
             if not weight[w]:
                 continue
@@ -331,8 +351,6 @@ def exchange(bigrams: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS,
                 to[:, b] += bigrams[:, w]
                 of[:, a] -= bigrams[w, :]
                 of[:, b] += bigrams[w, :]
-        if moved <= free // 500:
-            break
     return cls
 
 
@@ -365,16 +383,40 @@ def model_of(cls: np.ndarray, table: np.ndarray, item_n: np.ndarray, group_n: np
     return ClassModel(cls, transition, item, scale, group_n, group_v)
 
 
-def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of `docs`: key, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity."""
-    spark = docs.sparkSession
-    train = docs.select(key, text).filter(in_training(key))
+@dataclass
+class Trained:
+    """What training leaves: the counted words (a table), sizes, the words that are looked up with their counts, and the model."""
+
+    counts: DataFrame
+    total: int  # tokens, ends included
+    distinct: int  # different tokens, the end included
+    ends: int
+    ranked: list[bytes]  # by falling counts; the first HEAD are the head
+    rank_c: np.ndarray
+    keys: np.ndarray  # hashes of the placed words
+    model: ClassModel
+
+
+def train_model(train: DataFrame, text: str = "text") -> Trained:
+    """Counts, classes and smoothed probabilities of the texts of `train`."""
     counts = materialize(word_counts(train, text), "words")
     size = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     ends = train.count()
     total, distinct = size[0] + ends, size[1] + (ends > 0)
-    top = counts.orderBy(F.desc("c"), "word").limit(LOOKUP).toArrow()  # a bounded number of words
-    ranked, rank_c = top.column("word").to_pylist(), top.column("c").to_numpy().astype(np.float64)
+    head_rows = counts.orderBy(F.desc("c"), "word").limit(HEAD).collect()
+    step = F.floor(F.log2("c") * 16)
+    above, least = 0, None  # the words of the highest steps that together are LOOKUP at most
+    for r in counts.groupBy(step.alias("s")).count().orderBy(F.desc("s")).collect():  # 16 rows a doubling of the counts
+        above += r["count"]
+        if above > LOOKUP:
+            break
+        least = r.s
+    looked = {bytes(r.word): r.c for r in head_rows}
+    if least is not None:
+        top = counts.filter(step >= least).select("word", "c").toArrow()  # LOOKUP at most
+        looked |= dict(zip(top.column("word").to_pylist(), top.column("c").to_pylist(), strict=True))
+    ranked = sorted(looked, key=lambda w: (-looked[w], w))
+    rank_c = np.array([looked[w] for w in ranked], np.float64)
     head = ranked[:HEAD]
     often = counts.filter(F.col("c") >= PLACED).select(F.xxhash64("word").alias("k"), F.col("grp").cast("tinyint")).toArrow()  # 9 bytes for each placed word
     keys, first = np.unique(often.column("k").to_numpy(), return_index=True)
@@ -389,53 +431,59 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
             g = suffix_group(w)
             group_n[g] -= c
             group_v[g] -= 1
-    cls = exchange(item_bigrams(train, head, text))
+    bigrams = item_bigrams(train, head, text)
+    cls = exchange(bigrams)
+    one = np.zeros((ITEMS, CLASSES))
+    one[np.arange(ITEMS), cls] = 1
     cls = np.concatenate([cls, cls[HEAD + key_group.astype(np.int64)]])  # each word starts in the class of its group
-    cls, table = place_words(train, head, keys, cls, text)
+    cls, table = place_words(train, head, keys, cls, one.T @ bigrams @ one, text)
     item_n = np.zeros(ITEMS)
     item_n[: len(head)], item_n[HEAD:END], item_n[END] = rank_c[: len(head)], group_n, ends
-    model = model_of(cls, table, item_n, group_n, group_v)
+    return Trained(counts, int(total), int(distinct), int(ends), ranked, rank_c, keys, model_of(cls, table, item_n, group_n, group_v))
+
 
-    scale = np.log10(total + distinct + 1)
-    base = np.log10(rank_c + 1) - scale
-    place = np.array([i if i < HEAD else item_of(w, keys) for i, w in enumerate(ranked)], np.int64)
-    word = np.array([0.0 if i < HEAD else np.log10(c + ADDED) for i, c in enumerate(rank_c)])  # the head's counts stand in model.item
-    group_scale = np.log10(group_n + ADDED * (group_v + 1))
+def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per row of `docs`: key, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity."""
+    spark = docs.sparkSession
+    m = train_model(docs.select(key, text).filter(in_training(key)), text)
+    counts, total, ends, model = m.counts, m.total, m.ends, m.model
+    scale = np.log10(total + m.distinct + 1)
+    base = np.append(np.log10(m.rank_c + 1) - scale, -scale)  # the last: of a word that isn't looked up, without its count
+    word = np.array([0.0 if i < HEAD else np.log10(c + ADDED) for i, c in enumerate(m.rank_c)] + [0.0])  # the head's counts stand in model.item
     inner = np.append(model.item, 0.0)  # of an item, and of any placed word
-    inner[HEAD:END] -= group_scale
+    inner[HEAD:END] -= np.log10(model.group_n + ADDED * (model.group_v + 1))
     end_base = float(np.log10(ends + 1) - scale)
-    shared = spark.sparkContext.broadcast((ranked, base, place, word, model.transition, model.scale, model.cls.astype(np.uint8), inner, keys))  # LOOKUP words, some arrays of that length and 9 bytes for each placed word
+    shared = spark.sparkContext.broadcast((m.ranked, base, word, model.transition, model.scale, model.cls.astype(np.uint8), inner, m.keys))  # LOOKUP words, some arrays of that length and 9 bytes for each placed word
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranked, base, place, word, transition, class_scale, cls, inner, keys = shared.value
-        codes = Codes(ranked, keys)
-        end = np.array([END])
+        ranked, base, word, transition, class_scale, cls, inner, keys = shared.value
+        ranks, items = dict(zip(ranked, range(len(ranked)), strict=True)), Items(ranked[:HEAD], keys)
         for batch in batches:
-            for part in text_chunks(batch, text):
-                ids, hashes, n_tok, n_known, bases, scores, rare, rare_n = [], [], [], [], [], [], [], []
-                for i, t in zip(part.column(key).to_pylist(), texts_of(part, text), strict=True):
-                    words = t.lower().split()
-                    c = np.fromiter(map(codes.__getitem__, words), np.int64, len(words))
-                    known = c >= 0
-                    x = np.empty(len(c), np.int64)
-                    x[known] = place[c[known]]
-                    x[~known] = -1 - c[~known]
-                    line = np.concatenate([end, x, end])
-                    k = cls[line]
-                    seen = c[known]
-                    s = transition[k[:-1], k[1:]].sum() + inner[np.minimum(line[1:], ITEMS)].sum() - class_scale[k[1:][line[1:] >= ITEMS]].sum() + word[seen].sum()
-                    tail = Counter(words[j] for j in np.flatnonzero(~known).tolist())
-                    ids.append(i)
-                    hashes.append(xxhash.xxh3_128_digest(t))
-                    n_tok.append(len(words) + 1)
-                    n_known.append(len(seen) + (ends > 0))
-                    bases.append(float(base[seen].sum()) + end_base - scale * (len(words) - len(seen)))
-                    scores.append(float(s))
-                    rare.append(list(tail))
-                    rare_n.append(list(tail.values()))
-                kinds = (pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64()))
-                columns = (hashes, n_tok, n_known, bases, scores, rare, rare_n)
-                yield pa.RecordBatch.from_arrays([part.column(key), *[pa.array(v, t) for v, t in zip(columns, kinds, strict=True)]], [key, "h", "n_tokens", "n_known", "b", "s", "rare", "rare_n"])
+            for part in text_chunks(batch, text, CHUNK):
+                words, codes, lengths = coded(part, text)
+                listed = words.to_pylist()
+                rank = np.fromiter(map(ranks.get, listed, repeat(-1)), np.int64, len(listed))
+                line = _between(items.of(listed)[codes], lengths)
+                k = cls[line]
+                to = line[1:]
+                terms = transition[k[:-1], k[1:]] + inner[np.minimum(to, ITEMS)] - np.where(to >= ITEMS, class_scale[k[1:]], 0.0)
+                is_word = np.ones(len(to), bool)
+                is_word[np.cumsum(lengths + 1) - 1] = False  # each row's own end
+                r = rank[codes]
+                terms[is_word] += word[r]
+                plain = np.full(len(to), end_base)
+                plain[is_word] = base[r]
+                first = np.cumsum(lengths + 1) - lengths - 1
+                row = np.repeat(np.arange(len(lengths)), lengths)
+                rare, rare_n = np.unique(row[r < 0] * len(listed) + codes[r < 0], return_counts=True)
+                offsets = np.searchsorted(rare, np.arange(len(lengths) + 1) * len(listed)).astype(np.int32)
+                lists = lambda values: pa.ListArray.from_arrays(pa.array(offsets), values)  # noqa: E731, B023
+                known = np.bincount(row[r >= 0], minlength=len(lengths)) + (ends > 0)
+                columns = [
+                    part.column(key), pa.array(list(map(xxhash.xxh3_128_digest, texts_of(part, text))), pa.binary()), pa.array(lengths + 1), pa.array(known.astype(np.int64)), pa.array(np.add.reduceat(plain, first)),
+                    pa.array(np.add.reduceat(terms, first)), lists(words.take(pa.array(rare % max(1, len(listed))))), lists(pa.array(rare_n.astype(np.int64))),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, [key, "h", "n_tokens", "n_known", "b", "s", "rare", "rare_n"])
 
     kind = docs.schema[key].dataType.simpleString()
     scored = materialize(docs.select(key, text).mapInArrow(run, f"{key} {kind}, h binary, n_tokens long, n_known long, b double, s double, rare array<binary>, rare_n array<long>"), "scored")
@@ -447,7 +495,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     out = mine.join(terms, F.col("_k").eqNullSafe(F.col(key)) & (mine["h"] == terms["h"]), "left")
     value = F.col("s") + F.coalesce("ts", F.lit(0.0))
     return out.select(
-        F.col("_k").alias(key), (~in_training("_k")).alias("held_out"), "n_tokens", (F.col("n_known") + F.coalesce("tk", F.lit(0))).cast("long").alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"),
+        F.col("_k").alias(key), (~in_training("_k")).alias("held_out"), "n_tokens", (F.col("n_known") + F.coalesce("tk", F.lit(0))).cast("long").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
         (F.col("b") + F.coalesce("tb", F.lit(0.0))).alias("base_score"), value.alias("score"), F.pow(F.lit(10.0), -value / F.col("n_tokens")).alias("perplexity"),
     )
 

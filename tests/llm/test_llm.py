@@ -315,6 +315,57 @@ def test_brown(spark, docs, monkeypatch):
     assert brown_lm.score(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("lookup", [40, 200_000])
+def test_brown_score_by_hand(spark, docs, monkeypatch, lookup):
+    """The score of every text from its definition, given the classes that training chose."""
+    monkeypatch.setattr(brown_lm, "LOOKUP", lookup)
+    monkeypatch.setattr(brown_lm, "PLACED", 4)
+    rng = random.Random(3)
+    more = [(1000 + i, " ".join(f"v{int(rng.random() ** 2 * 1800)}" for _ in range(rng.randint(0, 300))), "en", "s", 0) for i in range(60)]
+    own = docs[0].filter("doc_id < 20").union(spark.createDataFrame(more, DOCS))
+    texts = {r.doc_id: ASCII_WORD.findall(lower(r.text or "")) for r in own.collect()}
+    inside = [w for i, w in texts.items() if zlib.crc32(str(i).encode()) % 7 != 2]
+    m = brown_lm.train_model(own.dropDuplicates(["doc_id"]).filter(brown_lm.in_training()))
+    head, keys = m.ranked[: brown_lm.HEAD], m.keys.tolist()
+    assert len(keys) > 100
+    c = collections.Counter(w for ws in inside for w in ws)
+    assert [n for _, n in c.most_common(len(head))] == m.rank_c[: len(head)].tolist() and all(c[w.decode()] == n for w, n in zip(head, m.rank_c, strict=False))
+    item = lambda w: head.index(w.encode()) if w.encode() in head else brown_lm.ITEMS + keys.index(brown_lm.word_key(w.encode())) if brown_lm.word_key(w.encode()) in keys else brown_lm.HEAD + brown_lm.suffix_group(w.encode())
+    cls = lambda x: int(m.model.cls[x])
+    lines = {i: [brown_lm.END, *map(item, ws), brown_lm.END] for i, ws in texts.items()}
+    pairs, seen = collections.Counter(), collections.Counter()
+    for i, ws in texts.items():
+        if ws in inside and zlib.crc32(str(i).encode()) % 7 != 2:
+            pairs.update((cls(a), cls(b)) for a, b in zip(lines[i], lines[i][1:]))
+            seen.update(lines[i][1:])
+    k, add, drawn = brown_lm.CLASSES, brown_lm.ADDED, brown_lm.DRAWN
+    after, before = collections.Counter(), collections.Counter()
+    for (a, b), n in pairs.items():
+        before[a] += n
+        after[b] += n
+    n_class = collections.Counter(cls(x) for x in range(len(m.model.cls)))
+    total = sum(pairs.values())
+    group_v = collections.Counter(item(w) for w in c)
+    for r in brown_lm.score(own.dropDuplicates(["doc_id"])).collect():
+        want = 0.0
+        for a, b, w in zip(lines[r.doc_id], lines[r.doc_id][1:], [*texts[r.doc_id], None], strict=False):
+            p = (pairs[cls(a), cls(b)] + drawn * (after[cls(b)] + add) / (total + add * k)) / (before[cls(a)] + drawn)
+            p *= (seen[b] + add) / (after[cls(b)] + add * n_class[cls(b)])
+            if brown_lm.HEAD <= b < brown_lm.END:
+                p *= (c[w] + add) / (seen[b] + add * (group_v[b] + 1))
+            want += math.log10(p)
+        assert abs(want - r.score) < 1e-6 * max(1, abs(want))
+
+
+def test_words_are_coded_as_the_contract_says():
+    import pyarrow as pa
+
+    texts = ["A b\tC\n\n d\x0b\x0ce\rf ", None, "", " \n", "\x1cx\x1f \u00a0y\u2003z É", "a"]
+    words, codes, lengths = brown_lm.coded(pa.RecordBatch.from_arrays([pa.array(texts)], ["text"]), "text")
+    want = [ASCII_WORD.findall(lower(t or "")) for t in texts]
+    assert lengths.tolist() == list(map(len, want)) and [words[i].as_py().decode() for i in codes.tolist()] == [w for ws in want for w in ws]
+
+
 def test_exchange_finds_classes():
     rng = np.random.default_rng(0)
     a = np.zeros((41, 41))
