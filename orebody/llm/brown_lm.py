@@ -13,7 +13,8 @@ smoothed likewise with one place for unseen words (a word that is an item has P(
 
 Counts are made on all training rows. Only the item bigrams ((HEAD + GROUPS + 1)^2 at most), about LOOKUP of the most frequent words and a
 64-bit hash and a class for each placed word (9 bytes) come to the driver; the counts of all rarer words are joined to the texts
-in Spark. Texts are cut into words and coded a chunk at a time by Arrow; only a chunk's different words are looked up.
+in Spark. Texts are cut into words and coded a chunk at a time by Arrow; only a chunk's different words are looked up. The training
+texts' items are written once, four bytes a token, and the passes that count classes read these.
 
 Edge cases: null and empty texts are one end token; without training rows every count is 0 and the scores are those of the smoothing
 alone; rows with a null id are held in the training part and scored; rows that agree in id and text are scored once and
@@ -41,6 +42,7 @@ GROUPS = 128
 CLASSES = 64
 LOOKUP = 200_000
 CHUNK = 16 << 20  # bytes of text that are coded at once
+PIECE = 500_000  # items in a row of coded texts, but for longer texts
 PLACED = 10  # training tokens from which a word has a class of its own choice
 ROUNDS = 2
 HELD = 2_000_000  # tokens whose neighbours are held before they are passed on
@@ -88,20 +90,57 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(text).mapInArrow(run, "word binary, grp int, n long").groupBy("word", "grp").agg(F.sum("n").alias("c"))
 
 
-def item_bigrams(docs: DataFrame, head: list[bytes], text: str = "text") -> np.ndarray:
-    """How often item b follows item a over all texts; every text ends in END and follows one."""
+def _summed(counted: DataFrame, side: int) -> np.ndarray:
+    """A square table from rows (pair, n)."""
+    total = counted.groupBy("pair").agg(F.sum("n").alias("n")).toArrow()  # side^2 rows at most
+    out = np.zeros(side * side)
+    out[total.column("pair").to_numpy()] = total.column("n").to_numpy()
+    return out.reshape(side, side)
+
+
+def _sparse(total: np.ndarray) -> pa.RecordBatch:
+    at = np.flatnonzero(total)
+    return pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["pair", "n"])
+
+
+def coded_lines(docs: DataFrame, head: list[bytes], keys: np.ndarray, text: str = "text") -> DataFrame:
+    """line: the items of a run of texts as 32-bit numbers, with END before, between and after the texts."""
+    shared = docs.sparkSession.sparkContext.broadcast((head, keys))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items = Items(*shared.value)
+        for batch in batches:
+            for part in text_chunks(batch, text, CHUNK):
+                words, codes, lengths = coded(part, text)
+                line = _between(items.of(words.to_pylist())[codes], lengths).astype(np.int32)
+                ends = np.flatnonzero(line == END)
+                cuts = np.unique(ends[np.searchsorted(ends, np.arange(0, len(line), PIECE))])
+                cuts = np.append(cuts, len(line) - 1) if cuts[-1] != len(line) - 1 else cuts
+                pieces = [line[a : b + 1].tobytes() for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(pieces, pa.binary())], ["line"])
+
+    return docs.select(text).mapInArrow(run, "line binary")
+
+
+def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    for batch in batches:
+        for v in batch.column(0):
+            yield np.frombuffer(v.as_buffer(), np.int32).astype(np.int64)
+
+
+def item_bigrams(lines: DataFrame, key_group: np.ndarray) -> np.ndarray:
+    """How often item b follows item a over all texts, with placed words in their groups; every text ends in END and follows one."""
+    shared = lines.sparkSession.sparkContext.broadcast(np.concatenate([np.arange(ITEMS), HEAD + key_group.astype(np.int64)]).astype(np.int16))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = shared.value
         total = np.zeros(ITEMS * ITEMS, np.int64)
-        for x in _lines(batches, text, Items(head, np.zeros(0, np.int64))):
+        for x in _lines(batches):
+            x = place[x].astype(np.int64)
             total += np.bincount(x[:-1] * ITEMS + x[1:], minlength=ITEMS * ITEMS)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["pair", "n"])
+        yield _sparse(total)
 
-    summed = docs.select(text).mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()  # ITEMS^2 rows at most
-    out = np.zeros(ITEMS * ITEMS)
-    out[summed.column("pair").to_numpy()] = summed.column("n").to_numpy()
-    return out.reshape(ITEMS, ITEMS)
+    return _summed(lines.select("line").mapInArrow(run, "pair long, n long"), ITEMS)
 
 
 class Items:
@@ -140,43 +179,29 @@ def _between(x: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return out
 
 
-def _lines(batches: Iterator[pa.RecordBatch], text: str, items: Items) -> Iterator[np.ndarray]:
-    """The items of each chunk's texts, with END before, between and after them."""
-    for batch in batches:
-        for part in text_chunks(batch, text, CHUNK):
-            words, codes, lengths = coded(part, text)
-            yield _between(items.of(words.to_pylist())[codes], lengths)
-
-
-def class_bigrams(docs: DataFrame, head: list[bytes], keys: np.ndarray, cls: np.ndarray, text: str = "text", classes: int = CLASSES) -> np.ndarray:
+def class_bigrams(lines: DataFrame, cls: np.ndarray, classes: int = CLASSES) -> np.ndarray:
     """How often class b follows class a over all texts."""
-    shared = docs.sparkSession.sparkContext.broadcast((head, keys, cls.astype(np.uint8)))
+    shared = lines.sparkSession.sparkContext.broadcast(cls.astype(np.uint8))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, keys, cls = shared.value
-        items = Items(head, keys)
+        cls = shared.value
         total = np.zeros(classes * classes, np.int64)
-        for x in _lines(batches, text, items):
+        for x in _lines(batches):
             k = cls[x].astype(np.int64)
             total += np.bincount(k[:-1] * classes + k[1:], minlength=classes * classes)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["pair", "n"])
+        yield _sparse(total)
 
-    summed = docs.select(text).mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()  # classes^2 rows at most
-    out = np.zeros(classes * classes)
-    out[summed.column("pair").to_numpy()] = summed.column("n").to_numpy()
-    return out.reshape(classes, classes)
+    return _summed(lines.select("line").mapInArrow(run, "pair long, n long"), classes)
 
 
-def neighbour_classes(docs: DataFrame, head: list[bytes], keys: np.ndarray, cls: np.ndarray, text: str = "text", classes: int = CLASSES) -> DataFrame:
+def neighbour_classes(lines: DataFrame, cls: np.ndarray, classes: int = CLASSES) -> DataFrame:
     """item, seen: for groups and placed words, one byte for the class to the left and one for that to the right of each token, `classes`
     standing for the item itself; those to the right have classes + 1 added. An item has a row for each lot of about HELD tokens. Rows with
     a null item hold the class bigrams of a part of the texts, as classes^2 64-bit numbers."""
-    shared = docs.sparkSession.sparkContext.broadcast((head, keys, cls.astype(np.uint8)))
+    shared = lines.sparkSession.sparkContext.broadcast(cls.astype(np.uint8))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, keys, cls = shared.value
-        items = Items(head, keys)
+        cls = shared.value
         held: list[np.ndarray] = []
 
         def out() -> pa.RecordBatch:
@@ -194,7 +219,7 @@ def neighbour_classes(docs: DataFrame, head: list[bytes], keys: np.ndarray, cls:
 
         n = 0
         total = np.zeros(classes * classes, np.int64)
-        for x in _lines(batches, text, items):
+        for x in _lines(batches):
             held.append(x)
             n += len(x)
             k = cls[x].astype(np.int64)
@@ -206,7 +231,7 @@ def neighbour_classes(docs: DataFrame, head: list[bytes], keys: np.ndarray, cls:
             yield out()
         yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["item", "seen"])
 
-    return docs.select(text).mapInArrow(run, "item long, seen binary")
+    return lines.select("line").mapInArrow(run, "item long, seen binary")
 
 
 def moves(seen: DataFrame, cls: np.ndarray, table: np.ndarray, fixed: int = 1) -> tuple[np.ndarray, np.ndarray]:
@@ -219,27 +244,26 @@ def moves(seen: DataFrame, cls: np.ndarray, table: np.ndarray, fixed: int = 1) -
         cls, table = shared.value
         last, last_n = -1, np.zeros(width, np.int64)  # the rows of an item stand together, maybe over two batches
 
-        def best(item: int, n: np.ndarray) -> int:
-            return choose(table, int(cls[item]), n[classes + 1 : -1].astype(float), n[:classes].astype(float), float(n[classes]), fixed)
+        def best(own: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            n = n.astype(float)
+            to = [choose_many(table, cls[own[i : i + 512]].astype(np.int64), n[i : i + 512, classes + 1 : -1], n[i : i + 512, :classes], n[i : i + 512, classes], fixed) for i in range(0, len(own), 512)]
+            return pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.concatenate([np.zeros(0, np.int64), *to]).astype(np.int32))], ["item", "cls"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            lists = batch.column("seen").to_pylist()
+            lists = batch.column("seen")
             own, which = np.unique(batch.column("item").to_numpy(), return_inverse=True)
-            at = np.repeat(which * width, [len(v) for v in lists]) + np.frombuffer(b"".join(lists), np.uint8)
+            at = np.repeat(which * width, pc.binary_length(lists).to_numpy(zero_copy_only=False)) + np.frombuffer(b"".join(lists.to_pylist()), np.uint8)
             n = np.bincount(at, minlength=len(own) * width).reshape(-1, width)
-            own, n = own.tolist(), list(n)
             if own[0] == last:
-                n[0] = n[0] + last_n
+                n[0] += last_n
             elif last >= 0:
-                own.insert(0, last)
-                n.insert(0, last_n)
-            last, last_n = own.pop(), n.pop().copy()
-            to = [best(i, v) for i, v in zip(own, n, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(to, pa.int32())], ["item", "cls"])
+                own, n = np.insert(own, 0, last), np.insert(n, 0, last_n, axis=0)
+            last, last_n = int(own[-1]), n[-1].copy()
+            yield best(own[:-1], n[:-1])
         if last >= 0:
-            yield pa.RecordBatch.from_arrays([pa.array([last], pa.int64()), pa.array([best(last, last_n)], pa.int32())], ["item", "cls"])
+            yield best(np.array([last]), last_n[None])
 
     found = seen.repartition("item").sortWithinPartitions("item").mapInArrow(run, "item long, cls int").toArrow()  # two numbers for each item
     item, to = found.column("item").to_numpy(), found.column("cls").to_numpy()
@@ -248,28 +272,24 @@ def moves(seen: DataFrame, cls: np.ndarray, table: np.ndarray, fixed: int = 1) -
 
 
 def _table_of(seen: DataFrame, classes: int) -> np.ndarray:
-    """The class bigrams that `neighbour_classes` counted besides: a sum of one row a partition, made in Spark."""
+    """The class bigrams that `neighbour_classes` counted besides."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(classes * classes, np.int64)
         for batch in batches:
             for v in batch.column(0).to_pylist():
                 total += np.frombuffer(v, np.int64)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["pair", "n"])
+        yield _sparse(total)
 
-    summed = seen.filter("item is null").select("seen").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()  # classes^2 rows at most
-    out = np.zeros(classes * classes)
-    out[summed.column("pair").to_numpy()] = summed.column("n").to_numpy()
-    return out.reshape(classes, classes)
+    return _summed(seen.filter("item is null").select("seen").mapInArrow(run, "pair long, n long"), classes)
 
 
-def place_words(docs: DataFrame, head: list[bytes], keys: np.ndarray, cls: np.ndarray, table: np.ndarray, text: str = "text", rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """The classes of all items after the words of `keys` and the groups have chosen theirs, and the class bigrams. `cls` gives the
-    start and `table` its class bigrams. One pass over the texts a round, and one for the last table."""
+def place_words(lines: DataFrame, cls: np.ndarray, table: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
+    """The classes of all items after the placed words and the groups have chosen theirs, and the class bigrams. `cls` gives the start
+    and `table` its class bigrams. One pass over the coded texts a round, and one for the last table."""
     moved = False
-    for i in range(rounds if len(keys) else 0):
-        seen = materialize(neighbour_classes(docs, head, keys, cls, text), "neighbours")
+    for i in range(rounds if len(cls) > ITEMS else 0):
+        seen = materialize(neighbour_classes(lines, cls), "neighbours")
         table = _table_of(seen, len(table)) if i else table
         item, to = moves(seen.filter("item is not null"), cls, table)
         discard(seen)
@@ -278,7 +298,7 @@ def place_words(docs: DataFrame, head: list[bytes], keys: np.ndarray, cls: np.nd
             break
         cls = cls.copy()
         cls[item] = to
-    return cls, class_bigrams(docs, head, keys, cls, text) if moved else table
+    return cls, class_bigrams(lines, cls) if moved else table
 
 
 def _xlogx(a: np.ndarray) -> np.ndarray:
@@ -298,6 +318,47 @@ def choose(table: np.ndarray, a: int, right: np.ndarray, left: np.ndarray, self_
     return a if gain[b] <= gain[a] + 1e-9 else b
 
 
+def _part(table: np.ndarray, own: np.ndarray, cls: np.ndarray, added: np.ndarray, other: np.ndarray, self_: np.ndarray) -> np.ndarray:
+    """For each item and class, the gain of one side's cells: `added` (item by class) on top of the columns of `table`, from which the
+    item has been taken; `other` is what it has on the other side."""
+    out = np.zeros(added.shape)
+    item, c = np.nonzero(added)
+    if not len(item):
+        return out
+    cells, a = table.T[c], cls[item]
+    each = np.arange(len(item))
+    before = own.T[c]
+    cells[each, a] -= added[item, c]
+    back = np.flatnonzero(c == a)  # these columns hold the item's other side as well
+    cells[back] -= other[item[back]]
+    cells[back, a[back]] -= self_[item[back]]
+    before[each, a] = _xlogx(cells[each, a])
+    before[back] = _xlogx(cells[back])
+    gain = _xlogx(cells + added[item, c][:, None]) - before
+    first = np.flatnonzero(np.diff(item, prepend=-1))
+    out[item[first]] = np.add.reduceat(gain, first)
+    return out
+
+
+def choose_many(table: np.ndarray, cls: np.ndarray, right: np.ndarray, left: np.ndarray, self_: np.ndarray, fixed: int = 1) -> np.ndarray:
+    """`choose` for many items, each on its own against the same table."""
+    n, each = len(cls), np.arange(len(cls))
+    logs = _xlogx(table)
+    gain = _part(table, logs, cls, right, left, self_) + _part(table.T, logs.T, cls, left, right, self_)
+    row = np.repeat(table.sum(axis=1)[None], n, axis=0)  # without the item, but for what its neighbours have with it
+    col = np.repeat(table.sum(axis=0)[None], n, axis=0)
+    d = np.repeat(np.diag(table)[None], n, axis=0)
+    out_n, in_n = right.sum(axis=1) + self_, left.sum(axis=1) + self_
+    row[each, cls] -= out_n
+    col[each, cls] -= in_n
+    d[each, cls] -= right[each, cls] + left[each, cls] + self_
+    gain += _xlogx(d + right + left + self_[:, None]) - _xlogx(d + right) - _xlogx(d + left) + _xlogx(d)
+    gain -= _xlogx(row + out_n[:, None]) - _xlogx(row) + _xlogx(col + in_n[:, None]) - _xlogx(col)
+    gain[:, len(table) - fixed :] = -np.inf
+    best = np.argmax(gain, axis=1)
+    return np.where(gain[each, best] <= gain[each, cls] + 1e-9, cls, best)
+
+
 def gains(table: np.ndarray, right: np.ndarray, left: np.ndarray, self_: float) -> np.ndarray:
     """For each class, the gain in sum of n log n over cells, less that over margins, of putting an item into it that `table` lacks."""
     row, col = table.sum(axis=1) + left, table.sum(axis=0) + right  # the other items' own totals, with their bigrams with it
@@ -431,12 +492,14 @@ def train_model(train: DataFrame, text: str = "text") -> Trained:
             g = suffix_group(w)
             group_n[g] -= c
             group_v[g] -= 1
-    bigrams = item_bigrams(train, head, text)
+    lines = materialize(coded_lines(train, head, keys, text), "lines")
+    bigrams = item_bigrams(lines, key_group)
     cls = exchange(bigrams)
     one = np.zeros((ITEMS, CLASSES))
     one[np.arange(ITEMS), cls] = 1
     cls = np.concatenate([cls, cls[HEAD + key_group.astype(np.int64)]])  # each word starts in the class of its group
-    cls, table = place_words(train, head, keys, cls, one.T @ bigrams @ one, text)
+    cls, table = place_words(lines, cls, one.T @ bigrams @ one)
+    discard(lines)
     item_n = np.zeros(ITEMS)
     item_n[: len(head)], item_n[HEAD:END], item_n[END] = rank_c[: len(head)], group_n, ends
     return Trained(counts, int(total), int(distinct), int(ends), ranked, rank_c, keys, model_of(cls, table, item_n, group_n, group_v))

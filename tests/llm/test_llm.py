@@ -321,7 +321,7 @@ def test_brown_score_by_hand(spark, docs, monkeypatch, lookup):
     monkeypatch.setattr(brown_lm, "LOOKUP", lookup)
     monkeypatch.setattr(brown_lm, "PLACED", 4)
     rng = random.Random(3)
-    more = [(1000 + i, " ".join(f"v{int(rng.random() ** 2 * 1800)}" for _ in range(rng.randint(0, 300))), "en", "s", 0) for i in range(60)]
+    more = [(1000 + i, " ".join(f"v{int(rng.random() ** 2 * 1800)}" for _ in range(rng.randint(0, 900))), "en", "s", 0) for i in range(60)]
     own = docs[0].filter("doc_id < 20").union(spark.createDataFrame(more, DOCS))
     texts = {r.doc_id: ASCII_WORD.findall(lower(r.text or "")) for r in own.collect()}
     inside = [w for i, w in texts.items() if zlib.crc32(str(i).encode()) % 7 != 2]
@@ -357,6 +357,22 @@ def test_brown_score_by_hand(spark, docs, monkeypatch, lookup):
         assert abs(want - r.score) < 1e-6 * max(1, abs(want))
 
 
+def test_choose_many_is_choose():
+    rng = np.random.default_rng(5)
+    for _ in range(20):
+        classes, n = 9, 30
+        cls = rng.integers(0, classes - 1, n)
+        a = rng.integers(0, 6, (n, n)).astype(float) * (rng.random((n, n)) < 0.3)
+        one = np.eye(classes)[cls]
+        table = one.T @ a @ one
+        right, left = a @ one, a.T @ one
+        alone = np.diag(a).copy()
+        right[np.arange(n), cls] -= alone
+        left[np.arange(n), cls] -= alone
+        want = [brown_lm.choose(table, int(cls[i]), right[i], left[i], alone[i]) for i in range(n)]
+        assert brown_lm.choose_many(table, cls, right, left, alone).tolist() == want
+
+
 def test_words_are_coded_as_the_contract_says():
     import pyarrow as pa
 
