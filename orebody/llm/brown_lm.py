@@ -41,11 +41,11 @@ HEAD = 1000
 GROUPS = 128
 CLASSES = 64
 LOOKUP = 200_000
-CHUNK = 16 << 20  # bytes of text that are coded at once
-PIECE = 500_000  # items in a row of coded texts, but for longer texts
+CHUNK = 6 << 20  # bytes of text that are coded at once
+PIECE = 200_000  # items in a row of coded texts, but for longer texts
 PLACED = 10  # training tokens from which a word has a class of its own choice
 ROUNDS = 2
-HELD = 2_000_000  # tokens whose neighbours are held before they are passed on
+HELD = 1_000_000  # tokens whose neighbours are held before they are passed on
 DRAWN = 4.0  # strength of the class unigrams in the transitions
 ADDED = 0.5
 ITEMS = HEAD + GROUPS + 1
