@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orebody.llm.common import discard, materialize, text_chunks, texts_of
+from orebody.llm.common import coded, discard, materialize, text_chunks, texts_of
 
 HEAD = 1000
 GROUPS = 128
@@ -62,28 +62,13 @@ def suffix_group(word: bytes) -> int:
     return zlib.crc32(word[-2:]) % GROUPS
 
 
-def coded(part: pa.RecordBatch, text: str) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """The different words of a chunk, A-Z lower-cased, the place of each token's word among them, and the tokens of each row."""
-    column = part.column(text)
-    column = column.fill_null("" if pa.types.is_string(column.type) or pa.types.is_large_string(column.type) else b"")
-    lists = pc.ascii_split_whitespace(pc.ascii_lower(column))
-    words, ends = lists.flatten(), np.asarray(lists.offsets).astype(np.int64)
-    real = pc.not_equal(words, pa.scalar("", words.type)).to_numpy(zero_copy_only=False)  # white space at the ends leaves empty words
-    before = np.concatenate([[0], np.cumsum(real)])
-    at = ends - ends[0]
-    encoded = words.filter(pa.array(real)).dictionary_encode()
-    if isinstance(encoded, pa.ChunkedArray):
-        encoded = encoded.combine_chunks()
-    return encoded.dictionary.cast(pa.binary()), encoded.indices.to_numpy(zero_copy_only=False).astype(np.int64), np.diff(before[at])
-
-
 def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """word (binary), grp, c: over all texts, A-Z lower-cased."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_chunks(batch, text, CHUNK):
-                words, codes, _ = coded(part, text)
+                words, codes, _ = coded(part, text, True)
                 n = np.bincount(codes, minlength=len(words))
                 yield pa.RecordBatch.from_arrays([words, pa.array(list(map(suffix_group, words.to_pylist())), pa.int32()), pa.array(n, pa.int64())], ["word", "grp", "n"])
 
@@ -111,7 +96,7 @@ def coded_lines(docs: DataFrame, head: list[bytes], keys: np.ndarray, text: str
         items = Items(*shared.value)
         for batch in batches:
             for part in text_chunks(batch, text, CHUNK):
-                words, codes, lengths = coded(part, text)
+                words, codes, lengths = coded(part, text, True)
                 line = _between(items.of(words.to_pylist())[codes], lengths).astype(np.int32)
                 ends = np.flatnonzero(line == END)
                 cuts = np.unique(ends[np.searchsorted(ends, np.arange(0, len(line), PIECE))])
@@ -523,7 +508,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
         ranks, items = dict(zip(ranked, range(len(ranked)), strict=True)), Items(ranked[:HEAD], keys)
         for batch in batches:
             for part in text_chunks(batch, text, CHUNK):
-                words, codes, lengths = coded(part, text)
+                words, codes, lengths = coded(part, text, True)
                 listed = words.to_pylist()
                 rank = np.fromiter(map(ranks.get, listed, repeat(-1)), np.int64, len(listed))
                 line = _between(items.of(listed)[codes], lengths)

@@ -165,6 +165,19 @@ def text_chunks(batch: pa.RecordBatch, column: str = "text", limit: int = 4 << 2
     yield batch.slice(start, n - start)
 
 
+def coded(part: pa.RecordBatch, text: str, lower: bool) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The different words of a chunk (as bytes; with A-Z lower-cased if asked for), the place of each token's word among them, and the
+    tokens of each row. Words are parted by ASCII white space; null texts have none."""
+    column = part.column(text)
+    column = column.fill_null("" if pa.types.is_string(column.type) or pa.types.is_large_string(column.type) else b"")
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(column) if lower else column)
+    words, ends = lists.flatten(), np.asarray(lists.offsets).astype(np.int64)
+    real = pc.not_equal(words, pa.scalar("", words.type)).to_numpy(zero_copy_only=False)  # white space at the ends leaves empty words
+    before = np.concatenate([[0], np.cumsum(real)])
+    encoded = words.filter(pa.array(real)).dictionary_encode()
+    return encoded.dictionary.cast(pa.binary()), encoded.indices.to_numpy(zero_copy_only=False).astype(np.int64), np.diff(before[ends - ends[0]])
+
+
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     """The UTF-8 bytes of each text; null becomes empty."""
     return [x or b"" for x in batch.column(column).cast(pa.binary()).to_pylist()]

@@ -377,7 +377,7 @@ def test_words_are_coded_as_the_contract_says():
     import pyarrow as pa
 
     texts = ["A b\tC\n\n d\x0b\x0ce\rf ", None, "", " \n", "\x1cx\x1f \u00a0y\u2003z É", "a"]
-    words, codes, lengths = brown_lm.coded(pa.RecordBatch.from_arrays([pa.array(texts)], ["text"]), "text")
+    words, codes, lengths = common.coded(pa.RecordBatch.from_arrays([pa.array(texts)], ["text"]), "text", True)
     want = [ASCII_WORD.findall(lower(t or "")) for t in texts]
     assert lengths.tolist() == list(map(len, want)) and [words[i].as_py().decode() for i in codes.tolist()] == [w for ws in want for w in ws]
 
@@ -653,6 +653,45 @@ def test_contamination(spark):
     assert decontaminate_cgk.contamination(df.limit(0), bench).count() == 0
 
 
+def planted_text(rng, item, edits, before, after):
+    own = list(item)
+    for _ in range(edits):
+        at = rng.randrange(len(own))
+        own[at : at + 1] = rng.choice([[], ["new"], [own[at], f"x{rng.randrange(99)}"]])
+    return before + own + after
+
+
+def test_short_items_and_frequent_words(spark):
+    """Items of any length are found word for word; below five words nothing else counts."""
+    items = [(1, "alpha"), (2, "beta, gamma"), (3, "the of the"), (4, "one two three four"), (5, "a b c d e"), (6, "--"), (7, "the the the the the the the the the the")]
+    texts = {10: "x ALPHA y", 11: "beta gamma", 12: "beta x gamma", 13: "of the of the", 14: "one two three", 15: "zero one two, three four five", 16: "a b X d e", 17: "a b X d Y", 18: "the " * 9, 19: "the " * 7, 20: "", 21: "alphabet"}
+    docs = spark.createDataFrame([*texts.items(), (22, None)], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id, r.edits) for r in decontaminate_cgk.contamination(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(10, 1, 0), (11, 2, 0), (13, 3, 0), (15, 4, 0), (16, 5, 1), (18, 7, 1)}
+
+
+def test_recall_at_the_edit_limit(spark):
+    """Items of many lengths with as many edits as are allowed."""
+    rng = random.Random(17)
+    vocabulary = [f"w{int(rng.random() ** 3 * 900)}" for _ in range(4000)]
+    words = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    items = [(i, words(n)) for i, n in enumerate([5, 8, 10, 15, 20, 30, 40, 60, 90, 150] * 3)]
+    rows, want = [], set()
+    for i, (k, item) in enumerate(items * 12):
+        line = planted_text(rng, item, int(0.2 * len(item)), words(rng.randint(0, 60)), words(rng.randint(0, 60)))
+        rows.append((i, " ".join(line)))
+        assert brute_search(item, line) <= int(0.2 * len(item))
+        want.add((i, k))
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in items], "item_id long, text string")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): r.edits for r in decontaminate_cgk.contamination(docs, bench).collect()}
+    assert len(want & set(got)) >= decontaminate_cgk.RECALL * len(want)
+    by_id, sides = dict(rows), dict(items)
+    assert all(e == brute_search(sides[k], by_id[i].split()) for (i, k), e in list(got.items())[::7])
+    small = {(r.doc_id, r.item_id): r.edits for r in decontaminate_cgk.contamination(docs, bench, block=3000).collect()}
+    assert len(set(small) ^ set(got)) <= 0.01 * len(got)  # the walks are drawn anew for each block
+
+
 # --- the pipeline and the SQL
 
 
