@@ -586,6 +586,75 @@ def test_surrogates_of_long_secrets(spark):
         assert len(got[i]) == len(text) and got[i].endswith(" end") and part[:20] not in got[i] and part[-20:] not in got[i]
 
 
+def test_surrogates_keep_identities(spark):
+    text = "Mr. John Smith came. John Smith left. Mr. Smith too. Dr. Smith stays. Smith's hat, JOHN SMITH. Mrs Smith and Mrs. Ann Smith. Mr. Tim O'Neil-Jones, O'Neil-Jones."
+    rows = [(1, text), (2, "Prof. Smith wrote; Smith is a name, Blacksmith none."), (3, "Smith without a title."), (4, "доктор Иванова и госпожа Иванова")]
+    got = {r.doc_id: r.text for r in pii_surrogates.with_surrogates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    m = re.fullmatch(r"Mr\. (\w+) (\w+) came\. (\w+ \w+) left\. Mr\. (\w+) too\. Dr\. (\w+) stays\. (\w+)'s hat, (\w+ \w+)\. Mrs (\w+) and Mrs\. (\w+) (\w+)\. Mr\. (\w+) (\w+), (\w+)\.", got[1])
+    first, family = m[1], m[2]
+    assert m[3] == f"{first} {family}" and m[7] == f"{first} {family}".upper() and {m[4], m[5], m[6], m[8], m[10]} == {family}
+    assert first in pii_surrogates._FIRST["latin", "m"] and m[9] in pii_surrogates._FIRST["latin", "f"] and m[12] == m[13] != family
+    assert "Smith" not in got[1] and "SMITH" not in got[1] and "John" not in got[1] and "Neil" not in got[1]
+    assert got[2] == f"Prof. {family} wrote; {family} is a name, Blacksmith none." and got[3] == rows[2][1]
+    assert re.fullmatch(r"доктор (\w+ова) и госпожа \1", got[4])
+
+
+def test_surrogates_of_ibans(spark):
+    number = lambda x: int("".join(str(int(c, 36)) for c in x[4:] + x[:4]))
+    given = ["GB82 WEST 1234 5698 7654 32", "DE89 3704 0044 0532 0130 00", "DE88370400440532013000", "FR1420041010050500013M02606"]
+    got = [r.text[5:-4] for r in pii_surrogates.with_surrogates(spark.createDataFrame([(i, f"from {x} end") for i, x in enumerate(given)], "doc_id long, text string")).orderBy("doc_id").collect()]
+    for a, b in zip(given, got, strict=True):
+        assert a != b and [c == " " for c in a] == [c == " " for c in b] and a[:2] == b[:2]
+        assert (number(b.replace(" ", "")) % 97 == 1) == (number(a.replace(" ", "")) % 97 == 1)
+
+
+def test_surrogate_key_and_full_space(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "call +1 (743) 555-3824")], "doc_id long, text string")
+    spark.conf.set("spark.orebody.pii.key", "k")
+    try:
+        assert pii_surrogates.with_surrogates(df).first().text == pii_surrogates.with_surrogates(df, key="k").first().text
+    finally:
+        spark.conf.unset("spark.orebody.pii.key")
+    monkeypatch.setattr(pii_surrogates, "MOST_DRAWS", 3)
+    monkeypatch.setattr(pii_surrogates, "surrogate", lambda kind, canon, digest, plain: F.lit("12125550000"))
+    two = spark.createDataFrame([(i, f"call +1 (212) 555-{i:04d}") for i in (1, 2)], "doc_id long, text string")
+    with pytest.raises(RuntimeError, match="phone"):
+        pii_surrogates.with_surrogates(two)
+
+
+def brute_mentions(text):
+    """What a plain reading finds: kinds by hand-written tests over single tokens."""
+    out = []
+    for w in re.findall(r"\S+", text):
+        w = w.strip(".,;()")
+        if re.fullmatch(r"[\w.]+@[\w.]+\.[a-z]+", w):
+            out.append(("email", w))
+        elif w.count(".") == 3 and all(p.isdigit() and int(p) < 256 and str(int(p)) == p for p in w.split(".")):
+            out.append(("ip", w))
+        elif re.fullmatch(r"\d{16}", w) and sum(sum(divmod(int(d) * (1 + i % 2), 10)) for i, d in enumerate(reversed(w))) % 10 == 0:
+            out.append(("card", w))
+        elif len(w) >= 32 and not set(w) - set("0123456789abcdef") and set(w) & set("abcdef") and set(w) & set("0123456789"):
+            out.append(("secret", w))
+    return out
+
+
+def test_surrogates_against_plain_reading(spark):
+    rng = random.Random(31)
+    made = [lambda: f"{rng.choice('abc')}{rng.randrange(30)}@mail{rng.randrange(4)}.org", lambda: ".".join(str(rng.randrange(300)) for _ in range(4)), lambda: str(rng.randrange(4 * 10**15, 6 * 10**15)), lambda: f"{rng.getrandbits(136):034x}", lambda: rng.choice(["plain", "words", "12.5", "1999"])]
+    rows = [(i, " ".join(rng.choice(made)() + rng.choice(["", ",", "."]) for _ in range(40))) for i in range(40)]
+    got = {r.doc_id: r for r in pii_surrogates.with_surrogates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    back, forth = {}, {}
+    for i, text in rows:
+        want, after = brute_mentions(text), got[i].text.split()
+        assert got[i].entity_kinds == [k for k, _ in want]
+        for a, b in zip(text.split(), after, strict=True):
+            a, b = a.strip(".,"), b.strip(".,")
+            if a in {w for _, w in want}:
+                assert a != b and forth.setdefault(a, b) == b and back.setdefault(b, a) == a
+            else:
+                assert a == b
+
+
 def test_surrogates_stay_distinct(spark, monkeypatch):
     """A space of surrogates that is far too small: draws must go on until all differ."""
     real = pii_surrogates.surrogate
