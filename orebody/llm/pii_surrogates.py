@@ -18,7 +18,7 @@ only under the same key.
 
 Edge cases: a null text stays null and has no entities; an empty text stays empty; repeated rows get the same surrogates; null ids are kept;
 an empty table gives no rows; other columns pass through untouched, whatever their names, but for those that this adds.
-Numbers of 13 to 19 digits count as card numbers only if their check digit is right.
+Numbers of 13 to 19 digits, in one piece or in the groups that cards have, count as card numbers only if their check digit is right.
 """
 
 from __future__ import annotations
@@ -58,7 +58,7 @@ PATTERNS = {
     "ip": rf"(?=\d)(?<![\p{{L}}\p{{N}}.])(?:{_OCTET}\.){{3}}{_OCTET}(?![\p{{L}}\p{{N}}]|\.\d)",
     "phone": r"(?=[+(\d])(?:(?<![\p{L}\p{N}+])(?:\+\d{1,3}[ .\-]?)?\(\d{2,4}\)[ .\-]?\d{3,4}[ .\-]?\d{3,4}(?!\d)|(?<![\p{L}\p{N}+])\+\d{1,3}(?:[ .\-]?\d{2,4}){2,4}(?!\d)|(?<![\p{L}\p{N}.\-])\d{3}[.\-]\d{3}[.\-]\d{4}(?![\p{N}\-]))",
     "ssn": r"(?=\d)(?<![\p{L}\p{N}\-])\d{3}-\d{2}-\d{4}(?![\p{N}\-])",
-    "card": r"(?=\d)(?<![\p{L}\p{N}.\-])\d(?:[ \-]?\d){12,18}(?![\p{L}\p{N}])",
+    "card": r"(?=\d)(?<![\p{L}\p{N}.\-])(?:\d{13,19}|(?:\d{4}[ \-]){3}\d{1,7}|\d{4}[ \-]\d{6}[ \-]\d{4,5})(?![\p{L}\p{N}])",
     "name": rf"(?={_TITLE_START})(?<!\p{{L}})(?:{_TITLE})\.? {_WORD}(?: {_WORD})?(?!\p{{L}})",
 }
 PATTERN = "|".join(PATTERNS.values())
@@ -275,7 +275,7 @@ def _mentioned(docs: DataFrame, text: str) -> DataFrame:
 def _entities(mentioned: DataFrame, *keep: str) -> DataFrame:
     """kind, canon (and `keep`): what the mentions of each row name, once a row."""
     both = F.flatten(F.transform("__pii_found", lambda e: F.array(F.struct(e["sort"].alias("kind"), e["canon"].alias("canon")), F.struct(F.lit("given").alias("kind"), e["first"].alias("canon")))))
-    return mentioned.filter(F.size("__pii_found") > 0).select(*keep, F.explode(F.array_distinct(both)).alias("e")).select(*keep, "e.kind", "e.canon").filter("kind is not null and canon is not null")
+    return mentioned.select(*keep, F.explode(F.array_distinct(both)).alias("e")).select(*keep, "e.kind", "e.canon").filter("kind is not null and canon is not null")
 
 
 def checked_entities(docs: DataFrame, text: str = "text", key: str | None = None) -> DataFrame:
