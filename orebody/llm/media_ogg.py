@@ -177,6 +177,8 @@ def encode_samples(payload: bytes, rate: int = RATE, packet: int = PACKET) -> by
 def decode_samples(media: bytes) -> tuple[bytes, dict[int, Stream], int]:
     """The samples of `encode_samples`, the streams, and the sample rate. Raises ValueError if a part is missing."""
     streams = demultiplex(media)
+    if not streams:
+        raise ValueError("no logical stream")
     parts, rate, total = [], 0, 0
     for s in streams.values():
         head = s.packets[0].data
@@ -211,7 +213,7 @@ def text_payload(text: bytes) -> bytes:
 
 
 def encode_text_media(df: DataFrame, text: str = "text", out: str = "media") -> DataFrame:
-    """Add a column with each text stored as an Ogg file of 8-bit samples (null text: as empty)."""
+    """Add a column with each text stored as an Ogg file of 8-bit samples (null text: as empty). It takes the place of a column of that name."""
     fields = [f for f in df.schema.fields if f.name != out]
     schema = StructType([*fields]).add(out, "binary")
     names = [f.name for f in fields]
@@ -267,28 +269,38 @@ def _exploded(df: DataFrame, media: str, keys: tuple[str, ...], schema, rows) ->
 
 
 _ARROW = {"integer": pa.int32(), "long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "binary": pa.binary()}
-_DIGEST = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+_DIGEST = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, error string"
 
 
 def media_digest(df: DataFrame, key: str = "doc_id", media: str = "media", length: str = "n_bytes") -> DataFrame:
-    """Read stored media back and describe it: payload and media digests and sample features."""
-    kind = df.schema[key].dataType.simpleString()
+    """Read stored media back and describe it: payload and media digests and sample features. Null media has nulls; damaged media has its own
+    length and digest, nulls for what can't be read, and the reason in `error`."""
+    schema = type(df.schema)([df.schema[key]])
+    for field in _DIGEST.replace("n_bytes", length, 1).split(", "):
+        schema = schema.add(*field.split(" "))
+
+    def described(data: bytes | None) -> tuple:
+        if data is None:
+            return (None,) * 7
+        own = (len(data), hashlib.sha256(data).hexdigest())
+        try:
+            payload, streams, rate = decode_samples(data)
+        except (ValueError, struct.error, IndexError) as e:
+            return None, None, None, *own, None, str(e) or type(e).__name__
+        return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), *own, sample_features(payload, streams, rate), None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string())
         for batch in batches:
-            rows = []
-            for data in batch.column(media).to_pylist():
-                payload, streams, rate = decode_samples(data)
-                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(data), hashlib.sha256(data).hexdigest(), sample_features(payload, streams, rate)))
-            columns = list(zip(*rows, strict=True)) if rows else [()] * 6
-            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(key), batch.column(length), *[pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]], [key, length, "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+            for part in text_chunks(batch, media):
+                columns = list(zip(*map(described, part.column(media).to_pylist()), strict=True))
+                yield pa.RecordBatch.from_arrays([part.column(key), part.column(length), *[pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]], schema.fieldNames())
 
-    return df.select(key, length, media).mapInArrow(run, f"{key} {kind}, {_DIGEST}")
+    return df.select(key, length, media).mapInArrow(run, schema)
 
 
 def op1_ogg(spark, sf_dir: str) -> DataFrame:  # noqa: ANN001
     """Every document's text stored as Ogg and read back."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     stored = encode_text_media(docs.withColumn("n_bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")))
-    return media_digest(stored.drop("text"))
+    return media_digest(stored.drop("text")).drop("error")
