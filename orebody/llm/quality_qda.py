@@ -2,19 +2,24 @@
 
 Each text is turned into a few statistics (shares of letters, capitals and symbols, repetition, length of words and so on),
 transformed towards normality and standardised. Each class has its own mean and a covariance shrunk towards the pooled
-covariance and towards the identity; a score is the logistic of the difference of log densities plus log priors, with
+covariance and towards the identity; a score is the logistic of the log prior odds plus the difference of log densities, with
 Mahalanobis distances taken from Cholesky factors computed once.
 
+Shares over a few words say little. So a text of n words counts n / (n + PRIOR_WORDS) of its own statistics and the rest of those that the
+training rows of label 1 have on average, and n / (n + 1) of the difference of densities; a text without words scores the prior share.
+
 Fitting may use a bounded sample of the labelled rows (`max_labels`, chosen by a hash of the id); class sums are made in
 Spark, so only sums reach the driver. Every other row is scored whole.
 
-Edge cases: null and empty texts have the statistics of ordinary prose and so a defined score; labels that are null or neither 0 nor 1 are left out, as
-are ids with contradicting labels and null ids; repeated rows are scored alike; with only one class labelled, every score is that class's
+Edge cases: null and empty texts score the share of label 1; labels that are null or neither 0 nor 1 are left out, as
+are ids with contradicting labels and null ids; repeated rows are scored alike; classes without any spread keep the spread of the identity;
+with only one class labelled, every score is that class's
 prior (1.0 or 0.0), with none 0.5; an empty table gives no rows; columns other than id, text and label are ignored.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from operator import eq
@@ -37,32 +42,33 @@ _SMALL = b"abcdefghijklmnopqrstuvwxyz"
 _SPACE = b" \t\n\x0b\x0c\r"
 _PLAIN = b".,;:'\"()-?"
 _HIGH = bytes(range(128, 256))
-#: Statistics of ordinary prose. A text of n words counts n / (n + PRIOR_WORDS) of its own statistics and the rest of these, as
-#: shares over a few words say little; a text without words has just these.
-PROSE = {"capitals": 0.2, "digits": 0.0, "symbols": 0.0, "word_length": 1.9, "different_words": 0.94, "repeated_next": 0.02, "short_words": 0.6, "sentence_ends": 0.25, "bare_symbol_words": 0.0, "repeated_lines": 0.0, "marked_words": 0.0}
+_RUN = re.compile(rb"([!-/:-@\[-`{-~])\1+")
 PRIOR_WORDS = 12
-STATISTICS = list(PROSE)
+FLOOR = 1e-3  # of the variance towards which covariances are shrunk, in units of the standardised statistics
+STATISTICS = ["capitals", "digits", "symbols", "word_length", "different_words", "repeated_next", "short_words", "sentence_ends", "bare_symbol_words", "repeated_lines", "symbol_runs", "different_symbols"]
 
 
 def statistics(text: bytes) -> list[float]:
-    """The transformed statistics of one text, drawn towards those of prose where the text is short."""
+    """The words of a text, and its transformed statistics (zeros if it has no words)."""
     words = text.split()
     n = len(words)
     if not n:
-        return list(PROSE.values())
+        return [0.0] * (1 + len(STATISTICS))
     size = len(text) - sum(map(text.count, (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c")))
     without = lambda chars: size - (len(text.translate(None, chars + _SPACE)))
     capitals, digits = without(_CAPITALS), without(_DIGITS)
-    odd = len(text.translate(None, _CAPITALS + _DIGITS + _SMALL + _SPACE + _PLAIN + _HIGH))
+    symbols = text.translate(None, _CAPITALS + _DIGITS + _SMALL + _SPACE + _PLAIN + _HIGH)
+    odd = len(symbols)
     letters = max(1, size - digits - odd)
     repeats = sum(map(eq, words, words[1:]))
     lines = [x for x in text.split(b"\n") if x.strip()]
     ends = text.count(b". ") + text.count(b".\n") + text.endswith(b".")
     lengths = np.fromiter(map(len, words), np.int64, n)
     bare = sum(1 for w in words if len(w) == 1 and not (w.isalnum() or w >= b"\x80"))
-    marked = sum(map(text.count, (b"!!", b"***", b"&&&", b"%%%", b"$$$", b"###", b"???", b"~~~", b"@@@")))
+    runs = sum(len(m[0]) for m in _RUN.finditer(text))
     root = lambda p: float(np.arcsin(min(1.0, max(0.0, p)) ** 0.5))
-    own = [
+    return [
+        float(n),
         root(capitals / letters),
         root(digits / size),
         root(odd / size),
@@ -73,10 +79,15 @@ def statistics(text: bytes) -> list[float]:
         root(ends / n),
         root(bare / n),
         root(1 - len(set(lines)) / len(lines)) if len(lines) > 3 else 0.0,
-        root(marked / n),
+        root(runs / size),
+        root(len(set(symbols)) / 32),
     ]
-    w = n / (n + PRIOR_WORDS)
-    return [w * a + (1 - w) * b for a, b in zip(own, PROSE.values(), strict=True)]
+
+
+def table_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The statistics of texts, a row each, and their words."""
+    x = np.array([statistics(t) for t in texts]).reshape(-1, 1 + len(STATISTICS))
+    return x[:, 1:], x[:, 0]
 
 
 @dataclass
@@ -86,20 +97,23 @@ class Model:
     mean: np.ndarray
     scale: np.ndarray
     prior: float
+    usual: np.ndarray | None = None  # the statistics towards which short texts are drawn
     means: np.ndarray | None = None
     inverses: np.ndarray | None = None
     log_dets: np.ndarray | None = None
 
-    def scores(self, x: np.ndarray) -> np.ndarray:
-        """Probability of class 1 for rows of statistics."""
+    def scores(self, x: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Probability of class 1 for rows of statistics of n words."""
         if self.means is None:
             return np.full(len(x), self.prior)
-        z = np.clip((x - self.mean) / self.scale, -CLIP, CLIP)
+        w = (n / (n + PRIOR_WORDS))[:, None]
+        z = np.clip((w * x + (1 - w) * self.usual - self.mean) / self.scale, -CLIP, CLIP)
         logs = []
         for k in (0, 1):
             y = (z - self.means[k]) @ self.inverses[k].T
-            logs.append(np.log(self.prior if k else 1 - self.prior) - 0.5 * (self.log_dets[k] + (y * y).sum(axis=1)))
-        return 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -700, 700)))
+            logs.append(-0.5 * (self.log_dets[k] + (y * y).sum(axis=1)))
+        odds = np.log(self.prior / (1 - self.prior)) + n / (n + 1) * (logs[1] - logs[0])
+        return 1 / (1 + np.exp(np.clip(-odds, -700, 700)))
 
 
 def held_out(key: str = "doc_id") -> Column:
@@ -118,39 +132,45 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     sample = bounded_labels(labels, key, label, max_labels)
     known = docs.select(key, text).join(F.broadcast(sample), key)  # `max_labels` small rows at most
     d = len(STATISTICS)
+    side = d + 1  # the weighted statistics w x, and the rest 1 - w of the weight
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, 1 + d + d * d))
+        total = np.zeros((2, 1 + d + side + side * side))
         for batch in batches:
             for part in text_chunks(batch, text):
-                x = np.array([statistics(t) for t in texts_of(part, text)]).reshape(-1, d)
+                x, words = table_of(texts_of(part, text))
                 y = part.column("_y").to_numpy(zero_copy_only=False)
+                w = (words / (words + PRIOR_WORDS))[:, None]
+                parts = np.hstack([w * x, 1 - w])
                 for k in (0, 1):
-                    own = x[y == k]
-                    total[k] += np.concatenate([[len(own)], own.sum(axis=0), (own.T @ own).ravel()])
+                    own = parts[y == k]
+                    total[k] += np.concatenate([[len(own)], x[y == k].sum(axis=0), own.sum(axis=0), (own.T @ own).ravel()])
         yield pa.RecordBatch.from_arrays([pa.array([0, 1], pa.int32()), pa.array(list(total), pa.list_(pa.float64()))], ["y", "s"])
 
-    parts = known.mapInArrow(sums, "y int, s array<double>").select("y", F.posexplode("s").alias("i", "v")).groupBy("y", "i").agg(F.sum("v").alias("v")).collect()  # 2 * 133 numbers
-    total = np.zeros((2, 1 + d + d * d))
-    for r in parts:
+    rows = known.mapInArrow(sums, "y int, s array<double>").select("y", F.posexplode("s").alias("i", "v")).groupBy("y", "i").agg(F.sum("v").alias("v")).collect()  # 2 * 195 numbers
+    total = np.zeros((2, 1 + d + side + side * side))
+    for r in rows:
         total[r.y, r.i] = r.v
     n = total[:, 0]
     if n.min() < 2:
         return Model(np.zeros(d), np.ones(d), 0.5 if not n.sum() else float(n[1] / n.sum()))
-    mean = total[:, 1 : 1 + d].sum(axis=0) / n.sum()
-    second = total[:, 1 + d :].reshape(2, d, d)
+    usual = total[1, 1 : 1 + d] / n[1]
+    drawn = np.vstack([np.eye(d), usual])  # w x + (1 - w) usual is (w x, 1 - w) times this
+    first = total[:, 1 + d : 1 + d + side] @ drawn
+    second = drawn.T @ total[:, 1 + d + side :].reshape(2, side, side) @ drawn
+    mean = first.sum(axis=0) / n.sum()
     scale = np.sqrt(np.maximum(np.diag(second.sum(axis=0)) / n.sum() - mean**2, 1e-6))
-    means = (total[:, 1 : 1 + d] / n[:, None] - mean) / scale
-    inside = [(second[k] / n[k] - np.outer(m := total[k, 1 : 1 + d] / n[k], m)) / np.outer(scale, scale) for k in (0, 1)]
+    means = (first / n[:, None] - mean) / scale
+    inside = [(second[k] / n[k] - np.outer(m := first[k] / n[k], m)) / np.outer(scale, scale) for k in (0, 1)]
     common = (n[0] * inside[0] + n[1] * inside[1]) / n.sum()
     inverses, log_dets = [], []
     for k in (0, 1):
         s = (1 - pooled) * inside[k] + pooled * common
-        s = (1 - identity) * s + identity * np.trace(s) / d * np.eye(d)
+        s = (1 - identity) * s + identity * max(np.trace(s) / d, FLOOR) * np.eye(d)
         factor = np.linalg.cholesky(s)
         inverses.append(np.linalg.inv(factor))
         log_dets.append(2 * np.log(np.diag(factor)).sum())
-    return Model(mean, scale, float(n[1] / n.sum()), means, np.array(inverses), np.array(log_dets))
+    return Model(mean, scale, float(n[1] / n.sum()), usual, means, np.array(inverses), np.array(log_dets))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
@@ -162,8 +182,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_chunks(batch, text):
-                x = np.array([statistics(t) for t in texts_of(part, text)]).reshape(-1, len(STATISTICS))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(model.scores(x))], [*names, out])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(model.scores(*table_of(texts_of(part, text))))], [*names, out])
 
     return kept.mapInArrow(run, schema)
 
