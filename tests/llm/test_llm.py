@@ -95,6 +95,11 @@ def test_ogg_columns(spark, docs):
     assert media_ogg.media_packets(few).filter("whole").count() >= 9
     assert media_ogg.media_pages(spark.createDataFrame([(1, None), (2, b"")], "doc_id long, media binary")).count() == 0
     assert media_ogg.encode_text_media(df.limit(0)).count() == 0
+    whole = media_ogg.encode_samples(media_ogg.text_payload(b"text" * 30))
+    bad = media_ogg.media_digest(spark.createDataFrame([(1, 0, None), (2, 0, b""), (3, 0, whole[:-30]), (4, 0, whole), (5, 0, b"OggS" * 9)], "doc_id long, n_bytes long, media binary")).collect()
+    by = {r.doc_id: r for r in bad}
+    assert by[1].media_bytes is None and by[1].error is None and by[4].error is None and by[4].payload_bytes == 128
+    assert all(by[i].error and by[i].payload_sha256 is None and by[i].media_bytes is not None for i in (3, 5))
 
 
 # --- op2
@@ -122,6 +127,43 @@ def test_quality(spark):
     assert np.allclose(inverse, np.tril(inverse))  # a Cholesky factor
 
 
+def test_quality_of_constant_classes(spark):
+    rows = [(i, "good text of words." if i % 2 else "!!! ### bad") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    model = quality_qda.fit(df, spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int"))
+    assert all((r.score >= 0.5) == bool(r.doc_id % 2) for r in quality_qda.score(df, model).collect())
+    empty = quality_qda.score(spark.createDataFrame([(1, ""), (2, None)], "doc_id long, text string"), model).collect()
+    assert all(abs(r.score - model.prior) < 1e-12 for r in empty)
+
+
+def test_quality_against_plain_densities(spark):
+    """Scores from numpy's own covariances and densities of the drawn statistics."""
+    rng = random.Random(12)
+    rows = [(i, " ".join(rng.choice(["a", "river", "GREEN", "12", "walks.", "##", "of"][: 4 + 3 * (i % 2)]) for _ in range(rng.randint(3, 60)))) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    model = quality_qda.fit(df, spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, quality int"))
+    train = [(i, t) for i, t in rows if zlib.crc32(str(i).encode()) % 3 != 1]
+    raw, n = quality_qda.table_of([t.encode() for _, t in train])
+    y = np.array([i % 2 for i, _ in train])
+    usual = raw[y == 1].mean(axis=0)
+    drawn = lambda x, n: (n[:, None] * x + quality_qda.PRIOR_WORDS * usual) / (n[:, None] + quality_qda.PRIOR_WORDS)
+    x = drawn(raw, n)
+    mean, scale = x.mean(axis=0), np.sqrt(np.maximum(x.var(axis=0), 1e-6))
+    z = (x - mean) / scale
+    inside = [np.cov(z[y == k].T, bias=True) for k in (0, 1)]
+    pooled = sum((y == k).mean() * inside[k] for k in (0, 1))
+    odds = lambda v, k, c: -0.5 * (np.linalg.slogdet(c)[1] + (v - z[y == k].mean(axis=0)) @ np.linalg.solve(c, v - z[y == k].mean(axis=0)))
+    shrunk = []
+    for k in (0, 1):
+        c = (1 - quality_qda.SHRINK_POOLED) * inside[k] + quality_qda.SHRINK_POOLED * pooled
+        shrunk.append((1 - quality_qda.SHRINK_IDENTITY) * c + quality_qda.SHRINK_IDENTITY * np.trace(c) / len(c) * np.eye(len(c)))
+    for r in quality_qda.score(df, model).collect()[:40]:
+        own, words = quality_qda.table_of([r.text.encode()])
+        v = np.clip((drawn(own, words)[0] - mean) / scale, -quality_qda.CLIP, quality_qda.CLIP)
+        want = math.log(y.mean() / (1 - y.mean())) + words[0] / (words[0] + 1) * (odds(v, 1, shrunk[1]) - odds(v, 0, shrunk[0]))
+        assert abs(1 / (1 + math.exp(-max(-700, min(700, want)))) - r.score) < 1e-6
+
+
 # --- op3
 
 
@@ -266,7 +308,19 @@ def test_url_propagation(spark):
     assert all(abs(got[h][k] - x[h][k]) < 1e-9 for h in x for k in (0, 1))
     html = '<a href="http://bad.org/x">1</a> <A HREF=//Two.org>2</a> <a href="/own">3</a>'
     pages = spark.createDataFrame([(1, "http://one.org/", html), (2, "http://www.one.org/", None)], "page_id long, url string, html string")
-    assert {(r.src, r.dst) for r in url_graph.host_edges(pages).collect()} == {("one.org", "bad.org"), ("one.org", "two.org"), ("www.one.org", "one.org")}
+    assert {(r.src, r.dst) for r in url_graph.host_edges(pages).collect()} == {("one.org", "bad.org"), ("one.org", "two.org"), ("www.one.org", "one.org"), ("one.org", "www.one.org")}
+
+
+def test_url_fixed_point(spark):
+    """Two hosts that link to each other only, far past a few rounds; and a verdict that the links decide."""
+    n = url_graph.rounds_for(0.85, 1e-3)
+    assert 0.85**n / 0.15 <= 1e-3 < 0.85 ** (n - 1) / 0.15
+    df = spark.createDataFrame([("a", 0.0, 0.08), ("b", 0.0, 0.08)], "host string, trust double, distrust double")
+    got = url_graph.propagate(df, spark.createDataFrame([("a", "b"), ("b", "a")], "src string, dst string")).collect()
+    assert all(abs(r.distrust - 0.08 / 0.15) < 1e-3 for r in got)
+    pages = [(i, f"http://bad.q.net/es/{i}", None) for i in range(3)] + [(10, "http://friend.org/x", '<a href="http://bad.q.net/es/1">1</a>'), (11, "http://plain.org/x", "<a href=/y>y</a>")]  # distrust of bad.q.net reaches who links to it
+    verdicts = {r.page_id: r.verdict for r in url_graph.judge_urls(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert verdicts[0] == "block" and verdicts[10] == "block" and verdicts[11] == "allow"
 
 
 # --- op6
