@@ -1,6 +1,12 @@
 """The documents' way to training batches: quality, near-duplicates, decontamination, personal data, packing.
 
-Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents. Near-duplicates are judged
+on shingles of five words here, as stages are unless a contract says otherwise.
+
+Edge cases: rows with null ids pass near-duplicates and decontamination, as these remove rows by their ids; null and empty texts have no
+shingles, items or entities and are one token when packed, and the quality stage keeps them if most labelled documents are good; repeated
+rows share one id, and so stay or go together, but for near-duplicates, where all rows of the kept id stay; ties go to the least id;
+empty tables give no rows; columns besides those of documents pass through all stages but packing.
 """
 
 from __future__ import annotations
@@ -10,7 +16,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orebody.llm.common import scratch_dir
+from orebody.llm.common import remember, scratch_dir
 from orebody.llm.decontaminate_cgk import keep_clean
 from orebody.llm.minhash_dedup import keep_one
 from orebody.llm.packing import pack
@@ -41,6 +47,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = f"{scratch_dir(spark)}/orebody-pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{name}")
+        remember(spark, f"{base}/{name}")  # deleted with the stages' own tables
         docs = spark.read.parquet(f"{base}/{name}")
     return STAGES[-1][1](spark, docs, sf_dir)
 
