@@ -99,7 +99,7 @@ SIEVE_BITS = 1 << 27  # 16 MB: what a sieve has at most, however many numbers it
 
 
 class Sieve:
-    """A bitmap of hashed numbers, of bounded size: `may_hold` is true for all that it was made of and for few others.
+    """A bitmap of hashed numbers, of bounded size: `places` is true for all that it was made of and for few others.
 
     Used before a shuffle, to leave out rows that the join would drop; the join stays exact. Where more numbers than bits go in,
     it lets more rows through and nothing else changes.
@@ -116,7 +116,7 @@ class Sieve:
         self.spark = numbers.sparkSession
 
     def shared(self):  # noqa: ANN201
-        """The bitmap for use in tasks, with `may_hold`."""
+        """The bitmap for use in tasks, with `places`."""
         return self.spark.sparkContext.broadcast(self.words)
 
     @staticmethod
@@ -169,7 +169,7 @@ def coded(part: pa.RecordBatch, text: str, lower: bool) -> tuple[pa.Array, np.nd
     """The different words of a chunk (as bytes; with A-Z lower-cased if asked for), the place of each token's word among them, and the
     tokens of each row. Words are parted by ASCII white space; null texts have none."""
     column = part.column(text)
-    column = column.fill_null("" if pa.types.is_string(column.type) or pa.types.is_large_string(column.type) else b"")
+    column = (column.view(pa.string()) if pa.types.is_binary(column.type) else column).fill_null("")
     lists = pc.ascii_split_whitespace(pc.ascii_lower(column) if lower else column)
     words, ends = lists.flatten(), np.asarray(lists.offsets).astype(np.int64)
     real = pc.not_equal(words, pa.scalar("", words.type)).to_numpy(zero_copy_only=False)  # white space at the ends leaves empty words

@@ -26,7 +26,7 @@ linked through the id; an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructType
 
-from orebody.llm.common import Sieve, discard, materialize, salted_join, sieved, text_chunks, texts_of, without
+from orebody.llm.common import Sieve, coded, discard, materialize, salted_join, text_chunks, texts_of, without
 
 BANDS = 28
 ROWS = 5
@@ -45,7 +45,7 @@ FINE_ROWS = 12
 CROWD = 128
 SIMILARITY = 80  # per cent
 SHINGLE = 4  # words; the query's contract says four
-MEMO = 300_000
+PACKED = 1 << 20  # bytes of compressed texts that are opened at once
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -57,28 +57,27 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class WordHashes(dict):
-    """word -> 64-bit hash, remembered for a bounded number of words."""
+def shingle_sets(part: pa.RecordBatch, text: str, width: int = SHINGLE) -> Iterator[np.ndarray]:
+    """For each row of a chunk, the sorted distinct 64-bit hashes of its text's word shingles, A-Z lower-cased."""
+    words, codes, lengths = coded(part, text, True)
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words.to_pylist()), np.uint64, len(words))[codes]
+    at = 0
+    for n in lengths.tolist():
+        h = hashes[at : at + n]
+        at += n
+        if not n:
+            yield np.empty(0, np.uint64)
+            continue
+        w = min(width, n)
+        s = h[: n - w + 1].copy()
+        for i in range(1, w):
+            s = s * _M1 + h[i : n - w + 1 + i]
+        yield np.unique(mix(s + np.uint64(w)))
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= MEMO:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
 
-
-def shingle_set(text: bytes, memo: dict, width: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the word shingles of a text, A-Z lower-cased."""
-    words = text.lower().split()  # bytes: only A-Z change, and only the six ASCII white space characters part words
-    n = len(words)
-    if not n:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(memo.__getitem__, words), np.uint64, n)
-    w = min(width, n)
-    s = h[: n - w + 1].copy()
-    for i in range(1, w):
-        s = s * _M1 + h[i : n - w + 1 + i]
-    return np.unique(mix(s + np.uint64(w)))
+def unpacked(part: pa.RecordBatch, unpack: Callable[[bytes], bytes]) -> pa.RecordBatch:
+    """A chunk of compressed texts in the open, as `text`."""
+    return pa.RecordBatch.from_arrays([*part.columns, pa.array([unpack(z) for z in part.column("z").to_pylist()], pa.binary())], [*part.schema.names, "text"])
 
 
 def ask(t: np.ndarray, i: np.ndarray, bins: int) -> np.ndarray:
@@ -122,34 +121,37 @@ def band_keys(sig: np.ndarray, bands: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, key: str, text: str, width: int, bands: int, rows: int, seed: int = 0) -> DataFrame:
-    """key, n_shingles, set_key (null for empty sets), bands. Another seed: other permutations."""
+    """key, n_shingles, set_key (null for empty sets), bands. Another seed: other permutations. A column `z` holds compressed texts."""
     schema = StructType(list(docs.select(F.col(key).cast("long").alias("id")).schema.fields)).add("n_shingles", LongType()).add("set_key", BinaryType()).add("bands", ArrayType(LongType()))
+    packed = text == "z"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, bins = WordHashes(), bands * rows
+        bins, unpack = bands * rows, zstandard.ZstdDecompressor().decompress
         order = densify_order(bins, max(64, 100_000 // bins))
         other = mix(np.full(1, seed, np.uint64))  # 0 for seed 0
         for batch in batches:
-            for part in text_chunks(batch, "text"):
+            for part in text_chunks(batch, text, *([PACKED] if packed else [])):
                 counts, keys, flat = [], [], []
-                for t in texts_of(part, "text"):
-                    s = shingle_set(t, memo, width)
+                for s in shingle_sets(unpacked(part, unpack) if packed else part, "text", width):
                     counts.append(len(s))
                     keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                     flat.append(band_keys(signature(np.sort(mix(s ^ other)) if seed else s, bins, order), bands) if len(s) else None)
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(counts, pa.int64()), pa.array(keys, pa.binary()), pa.array(flat, pa.list_(pa.int64()))], ["id", "n_shingles", "set_key", "bands"])
 
-    return docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("z" if packed else "text")).mapInArrow(run, schema)
 
 
 def _packed(docs: DataFrame, key: str, text: str, wanted: DataFrame) -> DataFrame:
     """id, z: compressed texts of the ids in `wanted` and a few others, to be shuffled to where their pairs are."""
-    asked = sieved(docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")), "id", Sieve(wanted)).filter("_may").select("id", "text")
+    shared = Sieve(wanted).shared()
+    own = F.col(key).cast("long")
+    asked = docs.select(own.alias("id"), F.col(text).alias("text"), F.xxhash64(own).alias("at")).filter("id is not null")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=3).compress
+        words, pack = shared.value, zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
-            for part in text_chunks(batch, "text"):
+            few = batch.filter(pa.array(Sieve.places(batch.column("at").to_numpy(), words)))
+            for part in text_chunks(few, "text"):
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([pack(t) for t in texts_of(part, "text")], pa.binary())], ["id", "z"])
 
     return asked.mapInArrow(run, "id long, z binary")
@@ -164,24 +166,24 @@ def compared(pairs: DataFrame, texts: DataFrame, width: int, rest: bool) -> Data
     rows = hubs.unionByName(members).repartition("hub", "part").sortWithinPartitions("hub", "part", F.col("other").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, unpack = WordHashes(), zstandard.ZstdDecompressor().decompress
+        unpack = zstandard.ZstdDecompressor().decompress
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
         own: list[np.ndarray] = []
         now = None
         for batch in batches:
-            out: list[tuple] = []
-            for hub, part, other, z in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                s = shingle_set(unpack(z), memo, width)
-                if (hub, part) != now:
-                    own, now = [], (hub, part)
-                if other is None:
-                    own.append(s)
-                    continue
-                for h in own:  # one, unless ids repeat
-                    inner = np.isin(s, h, assume_unique=True)
-                    out.append((hub, other, len(h), len(s), int(inner.sum()), s[~inner].view(np.int64) if rest else None))
-            cols = list(zip(*out, strict=True)) if out else [()] * 6
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["hub", "member", "hub_n", "n", "x", "rest"])
+            for chunk in text_chunks(batch, "z", PACKED):
+                out: list[tuple] = []
+                for hub, part, other, s in zip(*(chunk.column(c).to_pylist() for c in ("hub", "part", "other")), shingle_sets(unpacked(chunk, unpack), "text", width), strict=True):
+                    if (hub, part) != now:
+                        own, now = [], (hub, part)
+                    if other is None:
+                        own.append(s)
+                        continue
+                    for h in own:  # one, unless ids repeat
+                        inner = np.isin(s, h, assume_unique=True)
+                        out.append((hub, other, len(h), len(s), int(inner.sum()), s[~inner].view(np.int64) if rest else None))
+                cols = list(zip(*out, strict=True)) if out else [()] * 6
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["hub", "member", "hub_n", "n", "x", "rest"])
 
     return rows.mapInArrow(run, "hub long, member long, hub_n long, n long, x long, rest array<long>")
 
@@ -339,15 +341,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
 
 def _finer(texts: DataFrame, ids: DataFrame, pairs: DataFrame, links: DataFrame, width: int, percent: int) -> DataFrame:
     """Links among the texts of `ids`, by finer bands; pairs that have been compared already aren't again."""
-    plain = texts.join(ids, "id", "left_semi")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor().decompress
-        for batch in batches:
-            for part in text_chunks(batch, "z", 1 << 20):
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([unpack(z) for z in part.column("z").to_pylist()], pa.binary())], ["id", "text"])
-
-    signed = signatures(plain.mapInArrow(run, "id long, text binary"), "id", "text", width, FINE_BANDS, FINE_ROWS, seed=1)
+    signed = signatures(texts.join(ids, "id", "left_semi"), "id", "z", width, FINE_BANDS, FINE_ROWS, seed=1)
     fine = star_pairs(materialize(signed.filter("set_key is not null").select(F.col("id").alias("rep"), "bands"), "finer"))
     stars = materialize(compared(fine, texts, width, True), "stars")
     found = materialize(_as_links(stars, percent), "links")
