@@ -10,6 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -155,6 +156,8 @@ def text_chunks(batch: pa.RecordBatch, column: str = "text", limit: int = 4 << 2
     n = batch.num_rows
     if not n:
         return
+    if TaskContext.get() is not None:  # a worker, whose memory counts: the system's pool gives it back sooner than Arrow's own
+        pa.set_memory_pool(pa.system_memory_pool())
     lengths = [x or 0 for x in pc.binary_length(batch.column(column)).to_pylist()]
     start = total = 0
     for i, size in enumerate(lengths):
