@@ -5,26 +5,47 @@ Loops run on the driver, one Spark plan a round; what a round makes is written t
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
+SALTS = 8
+MOST_ROUNDS = 1000
+_written: list[tuple[SparkSession, str]] = []
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write and read back, in the folder that spark.checkpoint.dir names (one of our own where it is unset)."""
+    """Write and read back, in the folder that spark.checkpoint.dir names (in local mode only: one of our own where it is unset). The
+    files are deleted when the Python process ends."""
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = _own.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="orebody-graph-"))
     path = f"{base.rstrip('/')}/graph-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+@atexit.register
+def release() -> None:
+    """Delete what `cut` wrote in this process."""
+    while _written:
+        spark, path = _written.pop()
+        try:
+            target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        except Exception:  # the session is gone; nothing is left to delete with
+            return
+
+
 def follow(rows: DataFrame, ref: str, types: DataFrame) -> DataFrame:
     """What a reference column points at, as columns ref_*."""
     target = types.select([F.col(c).alias(f"ref_{c}") for c in types.columns])
@@ -60,16 +81,19 @@ def expand(seed: DataFrame, edges: DataFrame, depth: int, score: str | None = No
     """Breadth-first from seed(node, path, score) along edges(src, dst, label): each node once, at its least depth, with the
     best score and then the least path. Scores fall by `factor` an edge; those not above `least` stop. Round-synchronous, so the
     result does not depend on the order of tasks."""
-    seen = cut(seed.select("node", F.col("path"), F.col("score").cast("double").alias("score"), F.lit(0).alias("depth")))
-    front = seen
+    fronts = [cut(seed.select("node", F.col("path"), F.col("score").cast("double").alias("score"), F.lit(0).alias("depth")))]
+    salt = lambda c: F.pmod(F.xxhash64(c), F.lit(SALTS)).cast("int")  # noqa: E731  a node's edges are dealt over SALTS tasks
+    dealt = edges.withColumn("_salt", salt("dst"))
     for d in range(1, depth + 1):
-        out = front.join(edges, front["node"] == edges["src"]).select(F.col("dst").alias("node"), F.concat("path", F.array("label")).alias("path"), (F.col("score") * factor).alias("score")).filter(F.col("score") > least)
+        front = fronts[-1].withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        out = front.join(dealt, (front["node"] == dealt["src"]) & (front["_salt"] == dealt["_salt"])).select(F.col("dst").alias("node"), F.concat("path", F.array("label")).alias("path"), (F.col("score") * factor).alias("score")).filter(F.col("score") > least)
         best = out.groupBy("node").agg(F.min(F.struct((-F.col("score")).alias("s"), "path")).alias("b")).select("node", F.col("b.path").alias("path"), (-F.col("b.s")).alias("score"))
+        seen = reduce(DataFrame.unionByName, [f.select("node") for f in fronts])  # each front is written once
         front = cut(best.join(seen, "node", "left_anti").withColumn("depth", F.lit(d)))
         if front.isEmpty():
             break
-        seen = cut(seen.unionByName(front))
-    return seen
+        fronts.append(front)
+    return reduce(DataFrame.unionByName, fronts)
 
 
 def admit(child_prob: Column, other_prob: Column, relation: Column, gap: float = 0.1) -> Column:
@@ -77,21 +101,26 @@ def admit(child_prob: Column, other_prob: Column, relation: Column, gap: float =
     return F.when(relation.isin("equal", "second_embeds"), "inside").when(relation == "first_embeds", "around").when(child_prob > other_prob + gap, "replace").when(other_prob > child_prob + gap, "keep_old").otherwise("keep_both")
 
 
+#: Fixed values of the model: what an object's probability is multiplied by for an invalid address, invalid pointers, a wrong magic number.
+BAD_ADDRESS, BAD_POINTERS, BAD_MAGIC = 0.01, 0.1, 0.7
+
+
 def node_probability(parent: Column, valid_address: Column, valid_pointers: Column, magic_ok: Column, valid_share: Column) -> Column:
     """The parent's probability, a little less, times a factor for each failing test and the share of valid children."""
     p = F.coalesce(parent, F.lit(1.0)) * (1 - 1e-5)
-    p = p * F.when(valid_address, 1.0).otherwise(0.01) * F.when(valid_pointers, 1.0).otherwise(0.1) * F.when(magic_ok, 1.0).otherwise(0.7)
+    p = p * F.when(valid_address, 1.0).otherwise(BAD_ADDRESS) * F.when(valid_pointers, 1.0).otherwise(BAD_POINTERS) * F.when(magic_ok, 1.0).otherwise(BAD_MAGIC)
     bad = F.lit(1.0) - F.coalesce(valid_share, F.lit(1.0))
     return p * (bad * 0.2 + (1 - bad))
 
 
-def fixed_point(nodes: DataFrame, edges: DataFrame, rounds: int = 20, tolerance: float = 1e-6) -> DataFrame:
-    """p = min(1, initial * parent's p * mean of children's p * encounters), until nothing moves by more than the tolerance.
+def fixed_point(nodes: DataFrame, edges: DataFrame, rounds: int | None = None, tolerance: float = 1e-6) -> DataFrame:
+    """p = min(1, initial * parent's p * mean of children's p * encounters), until nothing moves by more than the tolerance,
+    or for a given number of rounds; values that still swing after MOST_ROUNDS raise an error.
 
-    nodes: id, initial, encounters; edges: parent, child. A node seen n > 1 times counts 1.5 * (n - 1)."""
+    nodes: id, initial, encounters; edges: parent, child. A node seen n > 1 times counts 1.5 * (n - 1) (fixed values of the model)."""
     factor = F.when(F.col("encounters") > 1, 1.5 * (F.col("encounters") - 1)).otherwise(1.0)
     cur = cut(nodes.select("id", "initial", factor.alias("f"), F.least(F.lit(1.0), F.col("initial") * factor).alias("p")))
-    for _ in range(rounds):
+    for _ in range(MOST_ROUNDS if rounds is None else rounds):
         kids = edges.join(cur.select(F.col("id").alias("child"), F.col("p").alias("cp")), "child").groupBy(F.col("parent").alias("id")).agg(F.avg("cp").alias("kids"))
         up = edges.join(cur.select(F.col("id").alias("parent"), F.col("p").alias("pp")), "parent").groupBy(F.col("child").alias("id")).agg(F.max("pp").alias("up"))
         new = cur.join(kids, "id", "left").join(up, "id", "left")
@@ -100,22 +129,33 @@ def fixed_point(nodes: DataFrame, edges: DataFrame, rounds: int = 20, tolerance:
         moved = nxt.agg(F.max("_d")).first()[0] or 0.0
         cur = nxt.drop("_d")
         if moved <= tolerance:
-            break
+            return cur.select("id", "p")
+    if rounds is None:
+        raise RuntimeError(f"probabilities still moved by {moved} after {MOST_ROUNDS} rounds")
     return cur.select("id", "p")
 
 
-def walk_list(heads: DataFrame, links: DataFrame, limit: int = 1 << 20) -> DataFrame:
-    """The nodes of linked lists in order: head, node, place. links: node, next. Ends at null, at the head, or where a
-    list runs into itself. Path doubling keeps the rounds logarithmic in the length for well-formed lists."""
-    front = heads.select("head", F.col("first").alias("node"), F.lit(0).cast("bigint").alias("place")).filter("node is not null and node <> head")
-    seen = cut(front)
-    front, n = seen, 0
-    while n < limit and not front.isEmpty():
-        n += 1
-        step = front.join(links, "node").select("head", F.col("next").alias("node"), (F.col("place") + 1).alias("place")).filter("node is not null and node <> head")
-        front = cut(step.join(seen.select("head", "node"), ["head", "node"], "left_anti"))
-        seen = seen.unionByName(front) if n % 8 else cut(seen.unionByName(front))
-    return seen
+def walk_list(heads: DataFrame, links: DataFrame) -> DataFrame:
+    """The nodes of linked lists in order: head, node, place. heads: head, first; links: node, next. Ends at null, at the head, or
+    where a list runs into itself.
+
+    Path doubling: after round i the links lead 2^i steps on, and every list's known part has that many nodes, so that the rounds are
+    logarithmic in the length. A list that comes back to one of its nodes stops growing with new nodes; each node counts at its first
+    place."""
+    jump = cut(links.filter("node is not null and next is not null").groupBy("node").agg(F.min("next").alias("next")))
+    seen = cut(heads.select("head", F.col("first").alias("node"), F.lit(0).cast("bigint").alias("place")).filter("node is not null"))
+    step = 1
+    while True:
+        grown = seen.join(jump, "node").select("head", F.col("next").alias("node"), (F.col("place") + step).alias("place"))
+        both = seen.unionByName(grown).groupBy("head", "node").agg(F.min("place").alias("place"))
+        both = cut(both)
+        if both.count() == seen.count():  # nothing new within twice the length
+            break
+        seen, step = both, 2 * step
+        ahead = jump.select(F.col("node").alias("next"), F.col("next").alias("_far"))
+        jump = cut(jump.join(ahead, "next").select("node", F.col("_far").alias("next")))
+    stop = seen.filter("node = head").select("head", F.col("place").alias("_stop"))  # a list that comes to its head ends there
+    return seen.join(stop, "head", "left").filter("_stop is null or place < _stop").drop("_stop")
 
 
 def neighbours_ok(links: DataFrame) -> DataFrame:
@@ -127,15 +167,17 @@ def neighbours_ok(links: DataFrame) -> DataFrame:
     return both.select("node", ok.alias("ok"))
 
 
-def ancestors(parents: DataFrame, depth: int = 64) -> DataFrame:
-    """Each node with the array of its ancestors, nearest first (SNK4's order, G12's input). parents: node, parent."""
-    cur = cut(parents.select("node", F.col("parent").alias("_top"), F.when(F.col("parent").isNull(), F.array().cast("array<string>")).otherwise(F.array(F.col("parent").cast("string"))).alias("above")))
-    for _ in range(depth):
-        up = parents.select(F.col("node").alias("_top"), F.col("parent").alias("_p"))
-        nxt = cut(cur.join(up, "_top", "left").select("node", F.col("_p").alias("_top"), F.when(F.col("_p").isNotNull(), F.concat("above", F.array(F.col("_p").cast("string")))).otherwise(F.col("above")).alias("above")))
-        cur = nxt
-        if cur.filter("_top is not null").isEmpty():
-            break
+def ancestors(parents: DataFrame) -> DataFrame:
+    """Each node with the array of its ancestors, nearest first (SNK4's order, G12's input). parents: node, parent. However deep:
+    each round doubles the length of the lines; parents that run in a circle raise an error."""
+    cur = cut(parents.select("node", F.when(F.col("parent").isNull(), F.array().cast("array<string>")).otherwise(F.array(F.col("parent").cast("string"))).alias("above"), F.col("parent").alias("_top")))
+    most, rounds = parents.count(), 0
+    while not cur.filter("_top is not null").isEmpty():
+        if 2**rounds > 2 * most:
+            raise ValueError("the parents run in a circle")
+        rounds += 1
+        up = cur.select(F.col("node").alias("_top"), F.col("above").alias("_more"), F.col("_top").alias("_next"))
+        cur = cut(cur.join(up, "_top", "left").select("node", F.concat("above", F.coalesce("_more", F.array().cast("array<string>"))).alias("above"), F.col("_next").alias("_top")))
     return cur.select("node", "above")
 
 
@@ -207,17 +249,18 @@ def radix_leaves(roots: DataFrame, slots: DataFrame, bits: int) -> DataFrame:
             return done.select("tree", "key", F.col("node").alias("item"))
 
 
-def containing_offset(members: DataFrame, types: DataFrame, roots: DataFrame, structured: Column, depth: int = 16) -> DataFrame:
+def containing_offset(members: DataFrame, types: DataFrame, roots: DataFrame, structured: Column) -> DataFrame:
     """Every structured type that covers an offset of a root type, through nested structs and all branches of unions: root,
     type_id, rest (the offset inside it), depth. roots: root, at; members: struct_id, offset, ref_type_id; types: type_id, size, kind."""
     nested = types.filter(structured).select(F.col("type_id").alias("ref_type_id"), F.col("size").alias("_size"))
     inner = members.join(nested, "ref_type_id").select("struct_id", F.col("offset").alias("_off"), F.col("ref_type_id").alias("_to"), "_size")
     front = cut(roots.select("root", F.col("root").alias("type_id"), F.col("at").cast("bigint").alias("rest"), F.lit(0).alias("depth")))
     out = front
-    for d in range(1, depth + 1):
+    most = types.count()
+    for d in range(1, most + 2):  # types nest no deeper than there are types
         hit = front.join(inner, (F.col("type_id") == F.col("struct_id")) & (F.col("rest") >= F.col("_off")) & (F.col("rest") < F.col("_off") + F.col("_size")))
         front = cut(hit.select("root", F.col("_to").alias("type_id"), (F.col("rest") - F.col("_off")).cast("bigint").alias("rest"), F.lit(d).alias("depth")).distinct())
         if front.isEmpty():
-            break
+            return out
         out = out.unionByName(front)
-    return out
+    raise ValueError("types hold themselves")

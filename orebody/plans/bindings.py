@@ -341,16 +341,6 @@ def _(t):
 
 @query(
     "reverse_pointers",
-    "SELECT o_orderkey, CAST(count(*) AS BIGINT) AS n FROM orders JOIN lineitem ON l_partkey * 8 BETWEEN o_orderkey * 8 AND o_orderkey * 8 + 15 WHERE o_orderkey < 1000 GROUP BY o_orderkey",
-)
-def _(t):
-    edges = t("lineitem").groupBy("l_partkey").agg(F.count("*").alias("c")).select((F.col("l_partkey") * 8).alias("target"), "c")
-    objs = t("orders").filter("o_orderkey < 1000").select("o_orderkey", (F.col("o_orderkey") * 8).alias("lo"), (F.col("o_orderkey") * 8 + 15).alias("hi"))
-    return intervals.stab(edges, objs, "target", "lo", "hi", 64).groupBy("o_orderkey").agg(big(F.sum("c"), "n"))
-
-
-@query(
-    "reverse_pointers_all",
     "SELECT o_orderkey, CAST(count(*) AS BIGINT) AS n FROM orders JOIN lineitem ON l_partkey * 8 BETWEEN o_orderkey * 8 AND o_orderkey * 8 + 15 GROUP BY o_orderkey",
 )
 def _(t):
@@ -401,15 +391,6 @@ def _(t):
 
 @query(
     "bin_summary",
-    f"""WITH {OBJ_SQL}, c AS (SELECT prob, bits, unnest(range(least(greatest(addr, 0) // 5000, 99), least(least(end_, 499999) // 5000, 99) + 1)) AS cell FROM OBJ WHERE end_ >= 0 AND addr <= 499999)
-    SELECT cell, CAST(count(*) AS BIGINT) AS n, min(prob) AS min_prob, max(prob) AS max_prob, CAST(bit_or(bits) AS INTEGER) AS kinds FROM c GROUP BY cell""",
-)
-def _(t):
-    return intervals.bin_cells(obj(t), "addr", "end_", 0, 499_999, 100).groupBy("cell").agg(*intervals.summary("prob", "bits"))
-
-
-@query(
-    "bin_summary_all",
     f"""WITH {OBJ_SQL}, r AS (SELECT min(addr) AS lo, greatest(1, (max(end_) - min(addr) + 1) // 100) AS width FROM OBJ),
     c AS (SELECT prob, bits, unnest(range(least((addr - lo) // width, 99), least((end_ - lo) // width, 99) + 1)) AS cell FROM OBJ, r)
     SELECT cell, CAST(count(*) AS BIGINT) AS n, min(prob) AS min_prob, max(prob) AS max_prob, CAST(bit_or(bits) AS INTEGER) AS kinds FROM c GROUP BY cell""",
@@ -866,16 +847,16 @@ def _(t):
     return graph.expand(seed, e, 3, factor=0.5, least=0.1).select("node", "depth", F.round("score", 9).alias("score"))
 
 
-def _tree(t, customers: str = "c_custkey < 200") -> DataFrame:
+def _tree(t) -> DataFrame:
     key = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
     none = F.lit(None).cast("string")
     return (
         t("region").select(key("r", "r_regionkey").alias("node"), none.alias("parent")).unionByName(t("nation").select(key("n", "n_nationkey").alias("node"), key("r", "n_regionkey").alias("parent")))
-        .unionByName(t("customer").filter(customers).select(key("c", "c_custkey").alias("node"), key("n", "c_nationkey").alias("parent")))
+        .unionByName(t("customer").select(key("c", "c_custkey").alias("node"), key("n", "c_nationkey").alias("parent")))
     )
 
 
-_TREE_SQL = "tree AS (SELECT 'r' || r_regionkey AS node, NULL AS parent FROM region UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer WHERE c_custkey < 200)"
+_TREE_SQL = "tree AS (SELECT 'r' || r_regionkey AS node, NULL AS parent FROM region UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer)"
 
 
 @query("tree_ancestors", f"WITH {_TREE_SQL} SELECT a.node, concat_ws('.', a.parent, b.parent) AS above FROM tree a LEFT JOIN tree b ON a.parent = b.node")
@@ -885,28 +866,13 @@ def _(t):
 
 @query(
     "lowest_common_ancestor",
-    """WITH c AS (SELECT c_custkey AS k, c_nationkey AS n, n_regionkey AS r FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey < 200)
-    SELECT 'c' || x.k AS a, 'c' || y.k AS b, CASE WHEN x.k = y.k THEN 'c' || x.k WHEN x.n = y.n THEN 'n' || x.n WHEN x.r = y.r THEN 'r' || x.r END AS lca FROM c x JOIN c y ON y.k = (x.k * 7 + 3) % 200""",
-)
-def _(t):
-    pairs = t("customer").filter("c_custkey < 200").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("a"), F.concat(F.lit("c"), ((F.col("c_custkey") * 7 + 3) % 200).cast("string")).alias("b"))
-    return graph.lowest_common_ancestor(pairs, graph.ancestors(_tree(t)))
-
-
-@query("tree_ancestors_all", f"WITH {_TREE_SQL.replace(' WHERE c_custkey < 200', '')} SELECT a.node, concat_ws('.', a.parent, b.parent) AS above FROM tree a LEFT JOIN tree b ON a.parent = b.node")
-def _(t):
-    return graph.ancestors(_tree(t, "true")).select("node", F.concat_ws(".", "above").alias("above"))
-
-
-@query(
-    "lowest_common_ancestor_all",
     """WITH c AS (SELECT c_custkey AS k, c_nationkey AS n, n_regionkey AS r FROM customer JOIN nation ON c_nationkey = n_nationkey)
     SELECT 'c' || x.k AS a, 'c' || y.k AS b, CASE WHEN x.k = y.k THEN 'c' || x.k WHEN x.n = y.n THEN 'n' || x.n WHEN x.r = y.r THEN 'r' || x.r END AS lca FROM c x JOIN c y ON y.k = (x.k * 7 + 3) % (SELECT count(*) FROM customer)""",
 )
 def _(t):
     n = t("customer").count()
     pairs = t("customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("a"), F.concat(F.lit("c"), ((F.col("c_custkey") * 7 + 3) % n).cast("string")).alias("b"))
-    return graph.lowest_common_ancestor(pairs, graph.ancestors(_tree(t, "true")))
+    return graph.lowest_common_ancestor(pairs, graph.ancestors(_tree(t)))
 
 
 @query("per_cpu_instances", "SELECT s_suppkey, n_nationkey AS cpu, s_suppkey * 64 + n_nationkey * 100000 AS address FROM supplier, nation WHERE n_nationkey < 4")

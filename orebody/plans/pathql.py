@@ -15,10 +15,6 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_SYMBOL = r"[A-Za-z0-9_]+"
-_COMPONENT = re.compile(rf"\s*(?:\(\s*(?P<cast>{_SYMBOL})(?:\s*-\s*(?P<off>{_SYMBOL}))?\s*\))?\s*(?P<sym>{_SYMBOL})\s*(?:<\s*(?P<cand>\d+)\s*>\s*)?(?P<idx>(?:\[\s*\d+\s*\]\s*)*)\s*")
-
-
 class QueryError(ValueError):
     """A path that can't be read or bound."""
 
@@ -32,15 +28,67 @@ class Component:
     indexes: tuple[int, ...] = ()
 
 
+class _Reader:
+    """Reads one component's text from left to right."""
+
+    def __init__(self, text: str) -> None:
+        self.text, self.at = text, 0
+
+    def peek(self) -> str:
+        while self.at < len(self.text) and self.text[self.at].isspace():
+            self.at += 1
+        return self.text[self.at : self.at + 1]
+
+    def take(self, mark: str) -> bool:
+        found = self.peek() == mark
+        self.at += found
+        return found
+
+    def word(self) -> str:
+        self.peek()
+        start = self.at
+        while self.at < len(self.text) and self.text[self.at].isascii() and (self.text[self.at].isalnum() or self.text[self.at] == "_"):
+            self.at += 1
+        if start == self.at:
+            self.fail("a name")
+        return self.text[start : self.at]
+
+    def number(self) -> int:
+        word = self.word()
+        return int(word) if word.isdigit() else self.fail("a number")
+
+    def close(self, mark: str) -> None:
+        if not self.take(mark):
+            self.fail(mark)
+
+    def fail(self, wanted: str):  # noqa: ANN201
+        raise QueryError(f"{wanted} expected at place {self.at} of path component {self.text!r}")
+
+
+def _component(text: str) -> Component:
+    r = _Reader(text)
+    cast = container = candidate = None
+    if r.take("("):
+        cast = r.word()
+        if r.take("-"):
+            container = r.word()
+        r.close(")")
+    symbol = r.word()
+    if r.take("<"):
+        candidate = r.number()
+        r.close(">")
+    indexes = []
+    while r.take("["):
+        indexes.append(r.number())
+        r.close("]")
+    if r.peek():
+        r.fail("the end")
+    return Component(symbol, cast, container, candidate, tuple(indexes))
+
+
 def parse_path(text: str) -> list[Component]:
     """The components of a path; an empty path has none."""
-    out = []
-    for part in text.split(".") if text.strip() else []:
-        m = _COMPONENT.fullmatch(part)
-        if not m:
-            raise QueryError(f"could not parse a part of the query string: {part}")
-        out.append(Component(m["sym"], m["cast"], m["off"], None if m["cand"] is None else int(m["cand"]), tuple(int(x) for x in re.findall(r"\d+", m["idx"]))))
-    return out
+    return [_component(part) for part in text.split(".")] if text.strip() else []
 
 
 # --- catalogs held on the driver: types are few (one row per struct of a program), data are not

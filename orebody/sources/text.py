@@ -26,11 +26,10 @@ def hex_address(digits: Column) -> Column:
 
 
 def system_map(spark: SparkSession, path: str) -> DataFrame:
-    """SRC4: address, type (one letter), name."""
-    pattern = r"^\s*([0-9a-fA-F]+)\s+(.)\s+(.*)$"
-    found = lines(spark, path).filter(F.col("line").rlike(pattern))
-    part = lambda i: F.trim(F.regexp_extract("line", pattern, i))
-    return found.select(hex_address(part(1)).alias("address"), part(2).alias("type"), part(3).alias("name")).filter("address is not null and type <> '' and name <> ''")
+    """SRC4: address, type (one letter), name: three words parted by white space, the last with all that follows."""
+    words = lines(spark, path).select(F.split(F.trim(F.translate("line", "\t\r", "  ")), " +", 3).alias("w"))
+    real = words.filter((F.size("w") == 3) & (F.length(F.col("w")[1]) == 1) & (F.length(F.translate(F.lower(F.col("w")[0]), "0123456789abcdef", "")) == 0))
+    return real.select(hex_address(F.col("w")[0]).alias("address"), F.col("w")[1].alias("type"), F.col("w")[2].alias("name")).filter("address is not null and name <> ''")
 
 
 def kernel_config(spark: SparkSession, path: str) -> DataFrame:
@@ -55,13 +54,13 @@ def allocation_log(spark: SparkSession, path: str, low: int | None = None, high:
     return out if low is None else out.filter(F.col("address").between(low, high))
 
 
-TRACE = r"TRACE ([^ ]+) (alloc|free) 0x([0-9a-f]+) inuse"
-
-
 def trace_events(text: DataFrame, line: str = "line") -> DataFrame:
-    """SRC12: cache, address, delta of each trace line; works on streams as well."""
-    part = lambda i: F.regexp_extract(F.col(line), TRACE, i)
-    return text.filter(F.col(line).rlike(TRACE)).select(part(1).alias("cache"), hex_address(part(3)).alias("address"), F.when(part(2) == "alloc", 1).otherwise(-1).alias("delta"))
+    """SRC12: cache, address, delta of each trace line; works on streams as well. A trace line holds, as words after one another: TRACE,
+    the cache, alloc or free, the address after 0x, and a word that starts with inuse; words before and after them don't matter."""
+    words = text.select(F.split(F.substring_index(F.concat(F.lit(" "), F.col(line)), " TRACE ", -1), " ").alias("w")).filter(F.col(line).contains("TRACE ") & (F.size("w") >= 4))
+    digits = F.substring(F.col("w")[2], 3, 99)
+    real = words.filter(F.col("w")[1].isin("alloc", "free") & F.col("w")[2].startswith("0x") & (digits != "") & (F.translate(digits, "0123456789abcdef", "") == "") & F.col("w")[3].startswith("inuse"))
+    return real.select(F.col("w")[0].alias("cache"), hex_address(digits).alias("address"), F.when(F.col("w")[1] == "alloc", 1).otherwise(-1).alias("delta"))
 
 
 def fold_trace(events: DataFrame, keys: list[str], delta: str) -> DataFrame:
@@ -90,8 +89,10 @@ def debug_records(text: DataFrame, file: str = "file", line_no: str = "line_no",
     numbered = text.withColumn("_rec", F.sum(head.cast("int")).over(w)).filter(F.col("_rec") > 0)
     part = lambda p, i: F.regexp_extract(line, p, i)
     heads = F.max(F.when(head, F.struct(part(_HEAD, 2).alias("id"), part(_HEAD, 1).try_cast("int").alias("depth"), part(_HEAD, 3).alias("tag"))))
-    attrs = F.map_from_entries(F.array_distinct(F.collect_list(F.when(~head & F.col(line).rlike(_ATTR), F.struct(part(_ATTR, 1).alias("key"), part(_ATTR, 2).alias("value"))))))
-    return numbered.groupBy(file, "_rec").agg(heads.alias("h"), attrs.alias("attrs")).select(file, F.conv("h.id", 16, 10).cast("bigint").alias("record_id"), "h.depth", "h.tag", "attrs")
+    given = F.array_sort(F.collect_list(F.when(~head & F.col(line).rlike(_ATTR), F.struct(F.col(line_no).alias("at"), part(_ATTR, 1).alias("key"), part(_ATTR, 2).alias("value")))))
+    # of an attribute that a record names twice, the first counts
+    attrs = F.map_from_entries(F.transform(F.filter("given", lambda x: ~F.exists("given", lambda y: (y["key"] == x["key"]) & (y["at"] < x["at"]))), lambda x: F.struct(x["key"], x["value"])))
+    return numbered.groupBy(file, "_rec").agg(heads.alias("h"), given.alias("given")).withColumn("attrs", attrs).select(file, F.conv("h.id", 16, 10).cast("bigint").alias("record_id"), "h.depth", "h.tag", "attrs")
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:

@@ -51,7 +51,7 @@ WHOLE = "/root/testdata/sf0.01"
 
 
 @pytest.mark.skipif(not os.path.isdir(WHOLE), reason="needs the test tables")
-@pytest.mark.parametrize("name", ["reverse_pointers_all", "tree_ancestors_all", "lowest_common_ancestor_all", "bin_summary_all"])
+@pytest.mark.parametrize("name", ["reverse_pointers", "tree_ancestors", "lowest_common_ancestor", "bin_summary"])
 def test_whole_tables(spark, name):
     """At this size a subset of the ids would show."""
     c = duckdb.connect()
@@ -62,7 +62,7 @@ def test_whole_tables(spark, name):
     at = [[d[0] for d in want.description].index(k) for k in order]
     rows = want.fetchall()
     assert sorted(str([plain(r[k]) for k in order]) for r in got.collect()) == sorted(str([plain(r[i]) for i in at]) for r in rows)
-    if name == "bin_summary_all":
+    if name == "bin_summary":
         assert sum(r[1] for r in rows) >= c.execute("select count(*) from events").fetchone()[0]
     else:
-        assert len(rows) > {"reverse_pointers_all": 1000, "tree_ancestors_all": 230, "lowest_common_ancestor_all": 200}[name]
+        assert len(rows) > {"reverse_pointers": 1000, "tree_ancestors": 230, "lowest_common_ancestor": 200}[name]
