@@ -7,7 +7,9 @@ and brought back into its type's range. Comparisons of unsigned values compare u
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -25,7 +27,7 @@ SIZES = {"char": ("i8", 1), "short": ("i16", 2), "int": ("i32", 4), "long": ("i6
 
 _TOKEN = re.compile(
     r"""\s*(?:(?P<float>(?:\d+\.\d*|\.\d+)(?:[eE][+-]?\d+)?[fFlL]?|\d+[eE][+-]?\d+[fFlL]?)|(?P<int>0[xX][0-9a-fA-F]+|\d+)(?P<suffix>[uUlL]*)
-    |(?P<char>'(?:\\.|[^'\\])')|(?P<name>[A-Za-z_]\w*(?:\.[A-Za-z_]\w*)*)|(?P<op><<|>>|<=|>=|==|!=|&&|\|\||[-+*/%&|^~!<>()?:,]))""",
+    |(?P<char>'(?:\\.|[^'\\])')|(?P<name>[A-Za-z_]\w*(?:\.[A-Za-z_]\w*)*)|(?P<op>\+\+|--|<<|>>|<=|>=|==|!=|&&|\|\||[-+*/%&|^~!<>()?:,]))""",
     re.X,
 )
 _LEVELS = [["||"], ["&&"], ["|"], ["^"], ["&"], ["==", "!="], ["<", ">", "<=", ">="], ["<<", ">>"], ["+", "-"], ["*", "/", "%"]]
@@ -70,7 +72,7 @@ def parse(text: str) -> Node:
             inner = conditional()
             need(")")
             return inner
-        if m["op"] in ("-", "+", "~", "!"):
+        if m["op"] in ("-", "+", "~", "!", "*", "++", "--"):
             return Node(m["op"] + "u", (primary(),))
         if m["float"]:
             return Node("const", value=float(m["float"].rstrip("fFlL")), type="f32" if m["float"][-1] in "fF" else "f64")
@@ -92,6 +94,33 @@ def parse(text: str) -> Node:
             body = m["char"][1:-1]
             return Node("const", value=_ESCAPES.get(body[1], ord(body[1])) if body[0] == "\\" else ord(body), type="i32")
         if m["name"]:
+            if m["name"] in ("offsetof", "__builtin_offsetof") and peek() == "(":
+                pos += 1
+                words = []
+                while pos < len(tokens) and tokens[pos]["name"]:
+                    words.append(tokens[pos]["name"])
+                    pos += 1
+                need(",")
+                path = tokens[pos]["name"] if pos < len(tokens) else None
+                if not words or not path:
+                    raise ExpressionError(f"offsetof needs a type and a member in {text!r}")
+                pos += 1
+                need(")")
+                return Node("offsetof", value=(words[-1], path))
+            if m["name"] == "__builtin_types_compatible_p" and peek() == "(":
+                pos += 1
+                first = type_name()
+                need(",")
+                second = type_name()
+                need(")")
+                return Node("const", value=int(first.op == second.op == "type" and first.type == second.type), type="i32")
+            if m["name"] == "__builtin_object_size" and peek() == "(":
+                pos += 1
+                conditional()
+                need(",")
+                which = conditional()
+                need(")")
+                return Node("const", value=0 if which.value in (2, 3) else (1 << 64) - 1, type="u64")  # of objects that aren't known
             if m["name"] in ("sizeof", "__alignof__", "__builtin_constant_p", "__builtin_expect", "__builtin_choose_expr") and peek() == "(":
                 pos += 1
                 args = [type_name() if m["name"] in ("sizeof", "__alignof__") else conditional()]
@@ -100,7 +129,10 @@ def parse(text: str) -> Node:
                     args.append(conditional())
                 need(")")
                 return Node(m["name"], tuple(args))
-            return Node("var", value=m["name"])
+            out = Node("var", value=m["name"])
+            while peek() in ("++", "--"):  # the value is the one before
+                pos += 1
+            return out
         raise ExpressionError(f"{m['op']!r} is out of place in {text!r}")
 
     def type_name() -> Node:
@@ -116,7 +148,7 @@ def parse(text: str) -> Node:
                 pos += 1
                 stars += 1
             base = [w for w in words if w != "unsigned"] or ["int"]
-            return Node("type", value=8 if stars else SIZES[base[-1]][1])
+            return Node("type", value=8 if stars else SIZES[base[-1]][1], type=("u" if "unsigned" in words else "") + base[-1] + "*" * stars)
         return conditional()
 
     def binary(level: int) -> Node:
@@ -191,9 +223,38 @@ def convert(c: Column, have: str, want: str) -> Column:
     return wrap(F.when(c >= 0, F.floor(c)).otherwise(F.ceil(c)), want) if have in FLOATS else wrap(number(c, have), want)
 
 
-def compile_expr(tree: Node | str, variables: dict[str, tuple[Column, str]]) -> tuple[Column, str]:
-    """The column and its type. variables: name -> (column, type); names may be dotted paths."""
+def enumerators(values: dict[str, int]) -> dict[str, tuple[Column, str]]:
+    """An enum's names as variables: int where all fit, else the first wider type."""
+    wide = "i32" if all(-(1 << 31) <= v < 1 << 31 for v in values.values()) else "i64"
+    return {k: (F.lit(v).cast("bigint"), wide) for k, v in values.items()}
+
+
+def guarded(candidates: list[tuple[Node | str, Node | str]], variables: dict[str, tuple[Column, str]]) -> tuple[Column, str]:
+    """The first candidate (guard, expression) whose guard isn't 0, brought to the candidates' common type; null if none is."""
+    made = [(compile_expr(g, variables)[0], *compile_expr(e, variables)) for g, e in candidates]
+    t = reduce(common_type, [m[2] for m in made])
+    out = F.lit(None)
+    for test, c, have in reversed(made):
+        out = F.when(test != 0, convert(c, have, t)).otherwise(out)
+    return out, t
+
+
+def compile_expr(tree: Node | str, variables: dict[str, tuple[Column, str]], offsets: Callable[[str, str], int] | None = None, memory: Callable[[Column, str], tuple[Column, str]] | None = None) -> tuple[Column, str]:
+    """The column and its type. variables: name -> (column, type); names may be dotted paths (E10: members of what a path query has read).
+    offsets(type, path) gives a member's offset (a catalog's `offset`), memory(address, type) what a pointer leads to."""
     n = parse(tree) if isinstance(tree, str) else tree
+    inner = lambda x: compile_expr(x, variables, offsets, memory)
+    if n.op == "offsetof":
+        found = -1 if offsets is None else offsets(*n.value)
+        if found < 0:
+            raise ExpressionError(f"no offset of {n.value[1]} in {n.value[0]}")
+        return F.lit(found).cast("bigint"), "u64"
+    if n.op == "*u":
+        if memory is None:
+            raise ExpressionError("a dereference needs memory")
+        return memory(*inner(n.args[0]))
+    if n.op in ("++u", "--u"):
+        return inner(Node("+" if n.op == "++u" else "-", (n.args[0], Node("const", value=1, type="i32"))))
     if n.op == "const":
         v = n.value
         return (F.lit(v), n.type) if n.type in FLOATS else (F.lit(v - (1 << 64) if v >= 1 << 63 else v).cast("bigint"), n.type)
@@ -203,15 +264,15 @@ def compile_expr(tree: Node | str, variables: dict[str, tuple[Column, str]]) ->
         return variables[n.value]
     if n.op in ("sizeof", "__alignof__"):
         a = n.args[0]
-        size = a.value if a.op == "type" else {"f32": 4, "f64": 8}.get(t := compile_expr(a, variables)[1]) or _bits(t)[0] // 8
+        size = a.value if a.op == "type" else {"f32": 4, "f64": 8}.get(t := inner(a)[1]) or _bits(t)[0] // 8
         return F.lit(size).cast("bigint"), "u64"
     if n.op == "__builtin_constant_p":
         return F.lit(int(_constant(n.args[0]))).cast("bigint"), "i32"
     if n.op == "__builtin_expect":
-        c, t = compile_expr(n.args[0], variables)
+        c, t = inner(n.args[0])
         return convert(c, t, "i64"), "i64"
     if n.op in ("?:", "__builtin_choose_expr"):
-        (c, ct), (a, at), (b, bt) = (compile_expr(x, variables) for x in n.args)
+        (c, ct), (a, at), (b, bt) = map(inner, n.args)
         if n.op != "?:":
             raise_if = _constant(n.args[0])
             if not raise_if:
@@ -219,7 +280,7 @@ def compile_expr(tree: Node | str, variables: dict[str, tuple[Column, str]]) ->
         t = common_type(at, bt)
         return F.when(c != 0, convert(a, at, t)).otherwise(convert(b, bt, t)), t
     if n.op.endswith("u"):
-        c, t = compile_expr(n.args[0], variables)
+        c, t = inner(n.args[0])
         if n.op == "!u":
             return F.when(c == 0, 1).otherwise(0).cast("bigint"), "i32"
         p = promoted(t)
@@ -229,7 +290,7 @@ def compile_expr(tree: Node | str, variables: dict[str, tuple[Column, str]]) ->
                 raise ExpressionError("~ of a float")
             return wrap(F.bitwise_not(c), p), p
         return (c if n.op == "+u" else -c if p in FLOATS else wrap(-number(c, p), p)), p
-    (a, at), (b, bt) = (compile_expr(x, variables) for x in n.args)
+    (a, at), (b, bt) = map(inner, n.args)
     if n.op in ("&&", "||"):
         both = ((a != 0) & (b != 0)) if n.op == "&&" else ((a != 0) | (b != 0))
         return F.when(both, 1).otherwise(0).cast("bigint"), "u8"

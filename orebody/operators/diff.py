@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from orebody.operators.intervals import carried
+
 CHUNK = 16
 
 
@@ -55,11 +57,12 @@ def byte_runs(before: DataFrame, after: DataFrame, page: int = 4096, chunk: int
 
 
 def _joined(runs: DataFrame) -> DataFrame:
-    """Join runs that touch, in one ordered pass; callers give it runs at block edges only, two a block at most."""
-    w = Window.partitionBy(F.lit(0)).orderBy("start")
-    flagged = runs.withColumn("_n", (F.col("start") > F.lag("end").over(w) + 1).cast("int"))
-    numbered = flagged.withColumn("_r", F.sum(F.coalesce("_n", F.lit(1))).over(w))
-    return numbered.groupBy("_r").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_r")
+    """Join runs that touch: a run begins a joined one if none ends right before it, and every run belongs to the last such beginning,
+    which is carried over the blocks."""
+    ends = runs.select((F.col("end") + 1).alias("start"), F.lit(False).alias("_new"))
+    flagged = runs.join(ends.distinct(), "start", "left").withColumn("_head", F.when(F.col("_new").isNull(), F.col("start")))
+    owned = carried(flagged, "start", "_head", "_before").withColumn("_r", F.coalesce("_head", "_before"))
+    return owned.groupBy("_r").agg(F.max("end").alias("end")).select(F.col("_r").alias("start"), "end")
 
 
 def run_summary(runs: DataFrame, by: list[str], length: str) -> DataFrame:
@@ -78,13 +81,12 @@ def hash_changed(current: DataFrame, expected: DataFrame, key: str, data: str |
 def consecutive_cosine(df: DataFrame, order: str, vector: str, block: int = 4096) -> DataFrame:
     """Each row with the one before: dot product, cosine (-1 if a length is 0) and both lengths.
 
-    The row before is the greatest smaller id: found inside id blocks, and for a block's first row by a pass over one row a block."""
+    The row before is the greatest smaller id: found inside id blocks, and for a block's first row carried from the block before."""
     rows = df.select(F.col(order).alias("_o"), F.col(vector).alias("_v")).withColumn("_b", F.floor(F.col("_o") / block))
     inside = Window.partitionBy("_b").orderBy("_o")
     last = rows.groupBy("_b").agg(F.max_by("_v", "_o").alias("_lv"))
-    before = Window.orderBy("_b")
-    carried = last.select("_b", F.lag("_lv").over(before).alias("_carry"))
-    paired = rows.withColumn("_p", F.lag("_v").over(inside)).withColumn("_first", F.row_number().over(inside) == 1).join(carried, "_b")
+    before = carried(last, "_b", "_lv", "_carry").select("_b", "_carry")
+    paired = rows.withColumn("_p", F.lag("_v").over(inside)).withColumn("_first", F.row_number().over(inside) == 1).join(before, "_b")
     paired = paired.withColumn("_p", F.when(F.col("_first"), F.col("_carry")).otherwise(F.col("_p"))).filter("_p is not null")
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
     out = paired.select(F.col("_o").alias(order), dot("_p", "_v").alias("dot"), F.sqrt(dot("_p", "_p")).alias("len_prev"), F.sqrt(dot("_v", "_v")).alias("len_cur"))

@@ -2,7 +2,8 @@
 
 Intervals are inclusive at both ends. Joins are equi-joins on buckets: an interval is laid on the coarsest grid that it needs and on
 every coarser one, pairs meet on the coarser of their two grids and only in the bucket in which the later one starts, so that
-no pair comes twice and no interval is copied more than a few times, however long it is.
+no pair comes twice and no interval is copied more than a few times. Intervals too long for any grid, of which a table holds few, are
+repeated once for each of SALTS lots into which the other side is dealt.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 LEVELS = 4
 RATIO = 64
 SPAN = 8
+SALTS = 64
+FAN = 4096  # neighbours that one task carries a value over
 
 
 def _own_level(start: Column, end: Column, width: int) -> Column:
@@ -27,32 +30,55 @@ def _laid(df: DataFrame, start: Column, end: Column, width: int, met: set[int])
     """Rows by (level, bucket), with the interval's own level: laid on its own grid and on the coarser ones in `met`."""
 
     def cells_of(k: int) -> Column:
-        if k == LEVELS:  # one cell for all: the last resort
-            cells = F.array(F.struct(F.lit(k).alias("level"), F.lit(0).cast("bigint").alias("bucket")))
-        else:
-            w = width * RATIO**k
-            cells = F.transform(F.sequence(F.floor(start / w), F.floor(end / w)), lambda b: F.struct(F.lit(k).alias("level"), b.alias("bucket")))
+        w = width * RATIO**k
+        cells = F.transform(F.sequence(F.floor(start / w), F.floor(end / w)), lambda b: F.struct(F.lit(k).alias("level"), b.alias("bucket")))
         here = (F.col("_own") == k) | (F.lit(k in met) & (F.col("_own") < k))
         return F.when(here, cells).otherwise(F.array().cast("array<struct<level:int,bucket:bigint>>"))
 
-    laid = df.withColumn("_own", _own_level(start, end, width)).withColumn("_cell", F.explode(F.concat(*map(cells_of, range(LEVELS + 1)))))
+    laid = df.withColumn("_cell", F.explode(F.concat(*map(cells_of, range(LEVELS)))))
     return laid.withColumn("_level", F.col("_cell.level")).withColumn("_bucket", F.col("_cell.bucket")).drop("_cell")
 
 
+def _with_long(long: DataFrame, other: DataFrame, by: str) -> DataFrame:
+    """Pairs of the few long intervals with the other side, which is dealt into lots by `by`."""
+    dealt = other.withColumn("_lot", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
+    return long.withColumn("_lot", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).join(dealt, "_lot").drop("_lot")
+
+
 def overlap_join(left: DataFrame, right: DataFrame, left_start: str, left_end: str, right_start: str, right_end: str, width: int) -> DataFrame:
     """All pairs that share a point. Columns of both sides; their names must differ. `width`: about twice a usual length.
 
-    The all-embracing level 4 meets only intervals longer than 8 * 64^3 widths, of which a table holds few.
+    Which grids are needed at all is asked of both sides while the plan is made: five rows each.
     """
-    left, right = left.filter(F.col(left_start) <= F.col(left_end)), right.filter(F.col(right_start) <= F.col(right_end))
-    levels = lambda d, s, e: {r[0] for r in d.select(_own_level(F.col(s), F.col(e), width)).distinct().collect()}  # noqa: E731  five rows at most
-    in_left, in_right = levels(left, left_start, left_end), levels(right, right_start, right_end)
-    a = _laid(left, F.col(left_start), F.col(left_end), width, in_right).withColumnRenamed("_own", "_own_a")
-    b = _laid(right, F.col(right_start), F.col(right_end), width, in_left).withColumnRenamed("_own", "_own_b")
+    left = left.filter(F.col(left_start) <= F.col(left_end)).withColumn("_own", _own_level(F.col(left_start), F.col(left_end), width))
+    right = right.filter(F.col(right_start) <= F.col(right_end)).withColumn("_own", _own_level(F.col(right_start), F.col(right_end), width))
+    levels = lambda d: {r[0] for r in d.select("_own").distinct().collect()}  # noqa: E731  five rows at most
+    in_left, in_right = levels(left), levels(right)
+    names = [*[c for c in left.columns if c != "_own"], *[c for c in right.columns if c != "_own"]]
+    a = _laid(left.filter(F.col("_own") < LEVELS), F.col(left_start), F.col(left_end), width, in_right).withColumnRenamed("_own", "_own_a")
+    b = _laid(right.filter(F.col("_own") < LEVELS), F.col(right_start), F.col(right_end), width, in_left).withColumnRenamed("_own", "_own_b")
     level_width = F.lit(width).cast("double") * F.pow(F.lit(RATIO), F.col("_level"))
-    home = F.when(F.col("_level") == LEVELS, F.lit(0)).otherwise(F.floor(F.greatest(left_start, right_start) / level_width))
-    pairs = a.join(b, ["_level", "_bucket"]).filter((F.greatest("_own_a", "_own_b") == F.col("_level")) & (F.col("_bucket") == home) & (F.col(left_start) <= F.col(right_end)) & (F.col(right_start) <= F.col(left_end)))
-    return pairs.drop("_level", "_bucket", "_own_a", "_own_b")
+    home = F.floor(F.greatest(left_start, right_start) / level_width)
+    meet = (F.col(left_start) <= F.col(right_end)) & (F.col(right_start) <= F.col(left_end))
+    pairs = a.join(b, ["_level", "_bucket"]).filter((F.greatest("_own_a", "_own_b") == F.col("_level")) & (F.col("_bucket") == home) & meet).select(*names)
+    if LEVELS in in_left:
+        pairs = pairs.unionByName(_with_long(left.filter(F.col("_own") == LEVELS).drop("_own"), right.drop("_own"), right_start).filter(meet).select(*names))
+    if LEVELS in in_right:
+        pairs = pairs.unionByName(_with_long(right.filter(F.col("_own") == LEVELS).drop("_own"), left.filter(F.col("_own") < LEVELS).drop("_own"), left_start).filter(meet).select(*names))
+    return pairs
+
+
+def carried(df: DataFrame, place: str, value: str, out: str, levels: int = 3) -> DataFrame:
+    """`df` (one row a place) with the last value that isn't null at any place before. Windows hold FAN neighbouring places; the last values
+    of these are carried on in the same way, so that only one row for FAN^levels places is ordered in one task."""
+    inside = lambda *by: Window.partitionBy(*by).orderBy(place).rowsBetween(Window.unboundedPreceding, -1)
+    if not levels:
+        return df.withColumn(out, F.last(value, ignorenulls=True).over(inside(F.lit(0))))
+    lot, near, far = f"_lot{levels}", f"_near{levels}", f"_far{levels}"
+    lots = df.withColumn(lot, F.floor(F.col(place) / FAN)).withColumn(near, F.last(value, ignorenulls=True).over(inside(lot)))
+    tops = lots.groupBy(lot).agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.col(place))).alias(value)).withColumnRenamed(lot, place)
+    above = carried(tops, place, value, far, levels - 1).select(F.col(place).alias(lot), far)
+    return lots.join(above, lot, "left").withColumn(out, F.coalesce(near, far)).drop(lot, near, far)
 
 
 def stab(points: DataFrame, intervals: DataFrame, point: str, start: str, end: str, width: int) -> DataFrame:
@@ -70,7 +96,7 @@ def as_of(probes: DataFrame, objects: DataFrame, probe: str, start: str, size: s
     """The object with the greatest start not after the probe, if it contains it (size <= 0: only its very start).
 
     Probes and objects are cut into address buckets; each bucket takes its own last start or, where it has none yet, the last of
-    the buckets before it. The only ordered pass over everything is over one row per bucket. Among objects with one start the one
+    the buckets before it, by `carried`. Among objects with one start the one
     with the greatest `keep` values counts. `both`: inner, or left to keep probes that nothing contains.
     """
     rank = F.struct(F.col(start).alias("_s"), F.col(size).alias("_z"), *[F.col(c) for c in keep])
@@ -78,11 +104,10 @@ def as_of(probes: DataFrame, objects: DataFrame, probe: str, start: str, size: s
     marked = probes.withColumn("_b", F.floor(F.col(probe) / bucket)).withColumn("_at", F.col(probe))
     lasts = objs.groupBy("_b").agg(F.max_by("_o", "_at").alias("_last"))
     every = lasts.join(marked.select("_b").distinct(), "_b", "full")
-    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    carried = every.select("_b", F.last("_last", ignorenulls=True).over(before).alias("_carry"))
+    earlier = carried(every, "_b", "_last", "_carry").select("_b", "_carry")
     line = marked.withColumn("_o", F.lit(None).cast(objs.schema["_o"].dataType)).withColumn("_kind", F.lit(1)).unionByName(objs.withColumn("_kind", F.lit(0)), allowMissingColumns=True)
     w = Window.partitionBy("_b").orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0)
-    found = line.withColumn("_f", F.last("_o", ignorenulls=True).over(w)).filter("_kind = 1").join(carried, "_b", "left").withColumn("_f", F.coalesce("_f", "_carry"))
+    found = line.withColumn("_f", F.last("_o", ignorenulls=True).over(w)).filter("_kind = 1").join(earlier, "_b", "left").withColumn("_f", F.coalesce("_f", "_carry"))
     inside = F.col("_f").isNotNull() & (F.when(F.col("_f._z") <= 0, F.col(probe) == F.col("_f._s")).otherwise(F.col(probe) < F.col("_f._s") + F.col("_f._z")))
     out = found.withColumn("_f", F.when(inside, F.col("_f")))
     if both == "inner":
@@ -91,13 +116,19 @@ def as_of(probes: DataFrame, objects: DataFrame, probe: str, start: str, size: s
 
 
 def relation(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> Column:
-    """None, equal, first_embeds (a holds b), second_embeds, cover (they share an end), overlap."""
+    """None, equal, first_embeds (a holds b), second_embeds, overlap, by the ends alone; `type_relation` tells cover from equal."""
     return (
         F.when((a_start > b_end) | (b_start > a_end), "none").when((a_start == b_start) & (a_end == b_end), "equal")
         .when((a_start <= b_start) & (a_end >= b_end), "first_embeds").when((b_start <= a_start) & (b_end >= a_end), "second_embeds").otherwise("overlap")
     )
 
 
+def type_relation(by_ends: Column, same_type: Column, first_holds: Column, second_holds: Column) -> Column:
+    """J13 with types: of intervals that lie within one another, what their types say; cover where neither type holds the other there."""
+    within = by_ends.isin("equal", "first_embeds", "second_embeds")
+    return F.when(~within, by_ends).when((by_ends == "equal") & same_type, "equal").when((by_ends != "second_embeds") & first_holds, "first_embeds").when((by_ends != "first_embeds") & second_holds, "second_embeds").otherwise("cover")
+
+
 def merge(df: DataFrame, keys: list[str], start: str, end: str, touching: int = 1, block: int = 1 << 20) -> DataFrame:
     """Maximal runs of intervals that overlap or lie within `touching` of each other: keys, start, end, n.
 

@@ -24,6 +24,31 @@ def object_validity(objects: DataFrame, log: DataFrame, address: str, size: str,
     return probed.withColumn("validity", verdict)
 
 
+def allocation_verdict(objects: DataFrame, log: DataFrame, globals_: DataFrame, casts: DataFrame, address: str, size: str, type_id: str, bucket: int, well_formed: Column | None = None, embeds: Column | None = None) -> DataFrame:
+    """V1 with all its verdicts. log: slot, slot_size, slot_type; globals_: address, type of global variables; casts: slot_type and the
+    type as which its objects may be seen.
+
+    invalid: not well formed; unknown: no log at all; without an allocation at the address: no_slab_type (the log holds no cache of the
+    type), valid_global (a variable of the type stands there) or not_found; maybe: the cache's type isn't known; at the slot's start
+    valid (same type) or valid_cast; elsewhere embedded (`embeds`, or else by size) or conflict."""
+    probed = as_of(objects, log, address, "slot", "slot_size", ["slot_type"], bucket, both="left")
+    slab_types = log.select(F.col("slot_type").alias(type_id)).filter(F.col(type_id).isNotNull()).distinct().withColumn("_slab", F.lit(True))
+    known = globals_.select(F.col("address").alias(address), F.col("type").alias(type_id)).distinct().withColumn("_global", F.lit(True))
+    seen_as = casts.select("slot_type", F.col("type").alias(type_id)).distinct().withColumn("_cast", F.lit(True))
+    told = probed.join(slab_types, type_id, "left").join(known, [address, type_id], "left").join(seen_as, ["slot_type", type_id], "left")
+    start = F.col(address) == F.col("slot")
+    inner = embeds if embeds is not None else F.col(address) + F.col(size) <= F.col("slot") + F.col("slot_size")
+    verdict = F.when(~(F.lit(True) if well_formed is None else well_formed), "invalid")
+    if log.isEmpty():
+        verdict = verdict.otherwise("unknown")
+    else:
+        verdict = (
+            verdict.when(F.col("slot").isNull() & F.col("_slab").isNull(), "no_slab_type").when(F.col("slot").isNull() & F.col("_global").isNotNull(), "valid_global").when(F.col("slot").isNull(), "not_found")
+            .when(F.col("slot_type").isNull(), "maybe").when(start & (F.col(type_id) == F.col("slot_type")), "valid").when(start & F.col("_cast").isNotNull(), "valid_cast").when(inner, "embedded").otherwise("conflict")
+        )
+    return told.select(*objects.columns, "slot", "slot_type", verdict.alias("verdict"))
+
+
 def cache_types(caches: DataFrame, types: DataFrame, aliases: dict[str, str] | None = None) -> DataFrame:
     """V2: cache -> type: an alias, else the name without _cache or a final s, exact before prefix; sizes must agree; of prefixes the
     name of nearest length wins. caches: cache, object_size; types: name, size, type_id."""

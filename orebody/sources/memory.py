@@ -34,11 +34,17 @@ class Dumps:
     def __init__(self, spark: SparkSession) -> None:
         self.spark, self.slots = spark, {}
 
-    def load(self, path: str) -> int:
+    def load(self, path: str, expected: int | None = None) -> int:
+        """The slot of an image. expected: the bytes that its system should have; an image far off is refused."""
         for i, (p, _) in self.slots.items():
             if p == path:
                 return i
         i = next(n for n in range(len(self.slots) + 1) if n not in self.slots)
+        if expected is not None:
+            target = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            found = target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(target).getLen()
+            if not check_size(expected, found):
+                raise ValueError(f"{path} holds {found} bytes where about {expected} were expected")
         self.slots[i] = (path, read_image(self.spark, path, i))
         return i
 
