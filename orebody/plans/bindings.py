@@ -12,8 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orebody.functions import expr, filters, patterns
-from orebody.operators import diff, graph, intervals, rules, stats, validate
+from orebody.operators import diff, graph, instances, intervals, rules, stats, validate
 from orebody.plans.pathql import Edge, KeyPaths
+from orebody.session import Symbols
 from orebody.sources.text import fold_trace
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -156,19 +157,22 @@ def _(t):
 
 @query("distinct_names", "SELECT DISTINCT p_type FROM part")
 def _(t):
-    return t("part").select("p_type").distinct()
+    return Symbols({"parts": t("part")}).names("parts", "p_type")
 
 
 @query("list_types_projection", "SELECT p_partkey, p_type, p_name, p_size, p_brand || ':' || CAST(p_partkey % 100 AS VARCHAR) AS source FROM part")
 def _(t):
-    return t("part").select("p_partkey", "p_type", "p_name", "p_size", F.concat_ws(":", "p_brand", (F.col("p_partkey") % 100).cast("string")).alias("source")).orderBy("p_partkey")
+    types = t("part").withColumn("source", F.concat_ws(":", "p_brand", (F.col("p_partkey") % 100).cast("string")))
+    return Symbols({"types": types}).list_types(order="p_partkey").select("p_partkey", "p_type", "p_name", "p_size", "source")
 
 
 @query("show_nested", "SELECT n_nationkey, n_name, CAST(count(s_suppkey) AS BIGINT) AS n_members, coalesce(string_agg(s_name, ',' ORDER BY s_suppkey), '') AS members FROM nation LEFT JOIN supplier ON n_nationkey = s_nationkey GROUP BY ALL")
 def _(t):
-    m = t("supplier").groupBy("s_nationkey").agg(F.count("*").alias("_n"), F.array_sort(F.collect_list(F.struct("s_suppkey", "s_name"))).alias("_m"))
-    names = F.array_join(F.transform("_m", lambda x: x["s_name"]), ",")
-    return t("nation").join(m, F.col("n_nationkey") == F.col("s_nationkey"), "left").select("n_nationkey", "n_name", F.coalesce("_n", F.lit(0)).alias("n_members"), F.coalesce(names, F.lit("")).alias("members"))
+    types = t("nation").select(F.col("n_nationkey").alias("type_id"), F.col("n_name").alias("name"))
+    members = t("supplier").select(F.col("s_nationkey").alias("type_id"), F.col("s_name").alias("name"), F.col("s_suppkey").alias("offset"))
+    rows = instances.shown(types, members, types.sparkSession.createDataFrame([("none", "x")], "rule string, pattern string"), F.lit(True))
+    found = F.coalesce("members", F.array().cast("array<struct<offset:bigint,name:string>>"))
+    return rows.select(F.col("type_id").alias("n_nationkey"), F.col("name").alias("n_name"), big(F.size(found), "n_members"), F.array_join(F.transform(found, lambda x: x["name"]), ",").alias("members"))
 
 
 @query("address_sanity", f"""WITH {OBJ_SQL} SELECT event_id, addr - 4096 = 0 OR (addr - 4096 BETWEEN -4095 AND -1) OR addr - 4096 IN (1048832, 2097664) AS is_default,
@@ -563,7 +567,8 @@ def _(t):
 
 @query("best_first", f"WITH {OBJ_SQL} SELECT event_id, prob FROM OBJ WHERE prob < 1 ORDER BY prob DESC, event_id LIMIT 50")
 def _(t):
-    return obj(t).filter("prob < 1").orderBy(F.desc("prob"), "event_id").limit(50).select("event_id", "prob")
+    queue = obj(t).filter("prob < 1").withColumn("key", F.struct("prob", (-F.col("event_id")).alias("later")))
+    return graph.best_first(queue, "key", 50).select("event_id", "prob")
 
 
 @query(
@@ -917,3 +922,126 @@ def _(t):
     a = F.when(F.col("event_id") % 2 == 0, -F.col("event_id") - 1).otherwise(F.col("event_id"))
     w = Window.partitionBy(F.col("event_id") % 100).orderBy(filters.unsigned_key(F.col("a")))
     return obj(t).select("event_id", a.alias("a")).withColumn("rank", F.row_number().over(w)).select("event_id", "rank")
+
+
+# --- instances
+
+
+_SAME = {"click": 0, "view": 0, "purchase": 1, "signup": 2, "error": 2}
+_SAME_SQL = " ".join(f"WHEN '{k}' THEN {v}" for k, v in _SAME.items())
+
+
+@query("variables_of_type", "SELECT c_custkey, c_name FROM customer WHERE c_nationkey % 7 IN (SELECT n_nationkey % 7 FROM nation WHERE n_regionkey = 2 AND n_nationkey < 12)")
+def _(t):
+    equal = t("nation").select(F.col("n_nationkey").alias("type_id"), (F.col("n_nationkey") % 7).alias("canon_id"))
+    return instances.of_type(t("customer"), t("nation").filter("n_regionkey = 2 and n_nationkey < 12").select("n_nationkey"), equal, "c_nationkey").select("c_custkey", "c_name")
+
+
+@query("instances_of_type", f"WITH {OBJ_SQL} SELECT event_id, addr FROM OBJ WHERE CASE kind {_SAME_SQL} END = 0")
+def _(t):
+    o = obj(t)
+    kinds = o.sparkSession.createDataFrame(list(_SAME.items()), "type_id string, canon_id int")
+    return instances.of_type(o, kinds.filter("type_id = 'view'").select("type_id"), kinds, "kind").select("event_id", "addr")
+
+
+@query(
+    "instance_filter",
+    """SELECT o_orderkey FROM (SELECT o_orderkey, o_orderpriority, CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE o_custkey * 2 END AS id FROM orders) o LEFT JOIN customer ON id > 0 AND id = c_custkey
+    WHERE o_orderpriority IN ('1-URGENT', '2-HIGH') AND (c_custkey IS NULL OR c_mktsegment = 'BUILDING')""",
+)
+def _(t):
+    found = t("orders").select("o_orderkey", "o_orderpriority", F.when(F.col("o_orderkey") % 3 == 0, F.lit(0)).otherwise(F.col("o_custkey") * 2).alias("id"))
+    return instances.matching(found, t("customer"), F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"), F.col("c_mktsegment") == "BUILDING", "id", "c_custkey").select("o_orderkey")
+
+
+@query(
+    "new_nodes",
+    f"""WITH {OBJ_SQL}, c AS (SELECT event_id, addr + (event_id % 5) * 8 AS s, addr + (event_id % 5) * 8 + 15 AS e, kind, kind = 'error' AS f FROM OBJ WHERE event_id % 3 = 0), k AS (SELECT addr AS s, end_ AS e, kind, kind = 'error' AS f FROM OBJ WHERE event_id % 3 <> 2)
+    SELECT event_id FROM c WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.s <= c.s AND k.e >= c.e AND k.kind = c.kind) AND NOT EXISTS (SELECT 1 FROM k WHERE k.s <= c.e AND k.e >= c.s AND k.f AND c.f)""",
+)
+def _(t):
+    o = obj(t).withColumn("is_function", F.col("kind") == "error")
+    c = o.filter("event_id % 3 = 0").select("event_id", (F.col("addr") + (F.col("event_id") % 5) * 8).alias("start"), F.col("kind").alias("type"), "is_function").withColumn("end", F.col("start") + 15)
+    k = o.filter("event_id % 3 <> 2").select(F.col("addr").alias("start"), F.col("end_").alias("end"), F.col("kind").alias("type"), "is_function")
+    return instances.new_nodes(c, k, "event_id", WIDTH).select("event_id")
+
+
+@query(
+    "member_expansion",
+    """WITH n AS (SELECT o_orderkey AS node, o_orderkey * 1000 AS address, o_orderpriority AS ty FROM orders), p AS (SELECT l_orderkey * 1000 + 16 AS address, min(l_partkey) * 64 AS value FROM lineitem GROUP BY l_orderkey UNION ALL SELECT l_orderkey * 1000 + 24, CASE WHEN min(l_suppkey) % 5 = 0 THEN 0 ELSE min(l_suppkey) * 64 END FROM lineitem GROUP BY l_orderkey),
+    r AS (SELECT node, 'ptr' AS member, 0 AS place, node AS child_address, 'ruled' AS child_type, 'object' AS child_kind FROM n WHERE ty = '2-HIGH' AND node % 10 = 0)
+    SELECT node, 'inl' AS member, 0 AS place, address + 8 AS child_address, 'inner' AS child_type, 'object' AS child_kind FROM n WHERE ty = '1-URGENT'
+    UNION ALL SELECT node, 'arr', CAST(i AS INTEGER), address + 32 + i * 8, 'elem', 'object' FROM n, range(3) x(i) WHERE ty = '1-URGENT'
+    UNION ALL SELECT node, 'ptr', 0, value, 'target', 'object' FROM n JOIN p ON p.address = n.address + 16 WHERE ty = '2-HIGH' AND value <> 0 AND node % 10 <> 0
+    UNION ALL SELECT node, 'fn', 0, value, 'code', 'function' FROM n JOIN p ON p.address = n.address + 24 WHERE ty = '3-MEDIUM' AND value <> 0
+    UNION ALL SELECT * FROM r""",
+)
+def _(t):
+    nodes = t("orders").select(F.col("o_orderkey").alias("node"), F.col("o_orderpriority").alias("type_id"), (F.col("o_orderkey") * 1000).alias("address"))
+    members = nodes.sparkSession.createDataFrame(
+        [("1-URGENT", "inl", 8, "Struct", "inner", 16, 1), ("1-URGENT", "arr", 32, "Array", "elem", 8, 3), ("2-HIGH", "ptr", 16, "Pointer", "target", 8, 1), ("3-MEDIUM", "fn", 24, "FuncPointer", "code", 8, 1)],
+        "type_id string, member string, offset long, kind string, ref_type string, size long, length int",
+    )
+    held = t("lineitem").groupBy("l_orderkey").agg((F.min("l_partkey") * 64).alias("p"), F.min("l_suppkey").alias("s"))
+    at = lambda d: (F.col("l_orderkey") * 1000 + d).alias("address")
+    pointers = held.select(at(16), F.col("p").alias("value")).unionByName(held.select(at(24), F.when(F.col("s") % 5 == 0, F.lit(0)).otherwise(F.col("s") * 64).alias("value")))
+    ruled = nodes.filter("type_id = '2-HIGH' and node % 10 = 0").select("node", F.lit("ptr").alias("member"), F.col("node").alias("child_address"), F.lit("ruled").alias("child_type"))
+    return instances.members_by_kind(nodes, members, pointers, ruled).select("node", "member", "place", "child_address", "child_type", "child_kind")
+
+
+@query("list_instances", "SELECT o_custkey, CAST(row_number() OVER w - 1 AS INTEGER) AS place, o_orderkey AS item, lead(o_orderkey) OVER w AS list_next FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)")
+def _(t):
+    lists = t("orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list("o_orderkey")).alias("items"))  # one customer's orders
+    return instances.list_elements(lists, "items").select("o_custkey", "place", "item", "list_next")
+
+
+@query(
+    "show_symbols",
+    """SELECT r_name AS name, (SELECT string_agg(n_name, ',' ORDER BY n_nationkey) FROM nation WHERE n_regionkey = r_regionkey) AS members,
+    concat_ws(',', CASE WHEN regexp_full_match(r_name, '.*A') THEN 'ends' END, CASE WHEN regexp_full_match(r_name, 'A.*') THEN 'starts' END) AS rules FROM region WHERE r_regionkey <= 3""",
+)
+def _(t):
+    types = t("region").select(F.col("r_regionkey").alias("type_id"), F.col("r_name").alias("name"))
+    members = t("nation").select(F.col("n_regionkey").alias("type_id"), F.col("n_name").alias("name"), F.col("n_nationkey").alias("offset"))
+    found = instances.shown(types, members, types.sparkSession.createDataFrame([("ends", ".*A"), ("starts", "A.*")], "rule string, pattern string"), F.col("type_id") <= 3)
+    return found.select("name", F.array_join(F.transform("members", lambda m: m["name"]), ",").alias("members"), F.coalesce(F.array_join("rules", ","), F.lit("")).alias("rules"))
+
+
+@query(
+    "instance_methods",
+    f"""WITH {OBJ_SQL}, x AS (SELECT event_id, addr * 1048576 + size AS a, size FROM OBJ) SELECT event_id, a + 4294967295 AS moved, a // 4294967296 AS high, a % 4294967296 AS low, a + size * 3 AS third,
+    CAST(sign(event_id % 1000 - 500) AS INTEGER) AS side, event_id % 4 <> 0 AND a <> 0 AS valid FROM x""",
+)
+def _(t):
+    a = F.col("addr") * 1048576 + F.col("size")
+    rows = obj(t).select("event_id", a.alias("a"), "size", F.when(F.col("event_id") % 4 != 0, F.col("kind")).alias("type_id"))
+    i = instances
+    return rows.select("event_id", i.moved(F.col("a"), 4294967295).alias("moved"), i.high_word(F.col("a")).alias("high"), i.low_word(F.col("a")).alias("low"), i.element(F.col("a"), F.col("size"), F.lit(3)).alias("third"), i.compared(F.col("event_id") % 1000, F.lit(500)).alias("side"), i.is_valid(F.col("a"), F.col("type_id")).alias("valid"))
+
+
+@query(
+    "allocation_verdicts",
+    f"""WITH {OBJ_SQL}, {_LOG_SQL}, g AS (SELECT event_id*64 AS address, event_type AS type FROM events WHERE event_id % 10 = 3), best AS (SELECT event_id, addr, max(slot) AS slot FROM OBJ JOIN alloc ON slot <= addr GROUP BY ALL),
+    hit AS (SELECT b.event_id, b.slot, slot_size, slot_type FROM best b JOIN alloc USING (slot) WHERE addr < slot + slot_size)
+    SELECT event_id, CASE WHEN event_id % 11 = 0 THEN 'invalid' WHEN slot IS NULL AND kind NOT IN (SELECT slot_type FROM alloc WHERE slot_type IS NOT NULL AND slot_type <> 'error') AND kind = 'error' THEN 'no_slab_type'
+    WHEN slot IS NULL AND EXISTS (SELECT 1 FROM g WHERE address = addr AND type = kind) THEN 'valid_global' WHEN slot IS NULL THEN 'not_found' WHEN slot_type IS NULL THEN 'maybe' WHEN addr = slot AND kind = slot_type THEN 'valid'
+    WHEN addr = slot AND slot_type = 'view' AND kind = 'click' THEN 'valid_cast' WHEN addr + size <= slot + slot_size THEN 'embedded' ELSE 'conflict' END AS verdict FROM
+    (SELECT event_id, addr, size, CASE WHEN event_id % 8 = 0 AND kind = 'view' THEN 'click' ELSE kind END AS kind FROM OBJ) LEFT JOIN (SELECT event_id, slot, slot_size, CASE WHEN slot_type = 'error' THEN NULL ELSE slot_type END AS slot_type FROM hit) USING (event_id)""",
+)
+def _(t):
+    o = obj(t).withColumn("kind", F.when((F.col("event_id") % 8 == 0) & (F.col("kind") == "view"), "click").otherwise(F.col("kind")))
+    log = _log(t).withColumn("slot_type", F.when(F.col("slot_type") != "error", F.col("slot_type")))
+    g = t("events").filter("event_id % 10 = 3").select((F.col("event_id") * 64).alias("address"), F.col("event_type").alias("type"))
+    casts = o.sparkSession.createDataFrame([("view", "click")], "slot_type string, type string")
+    return validate.allocation_verdict(o, log, g, casts, "addr", "size", "kind", 8192, F.col("event_id") % 11 != 0).select("event_id", "verdict")
+
+
+@query(
+    "expr_guarded",
+    """SELECT p_partkey, CASE WHEN p_size > 25 THEN CAST(p_size + 3 AS BIGINT) WHEN p_partkey % 2 = 1 THEN CAST(p_partkey * 2 AS BIGINT) END AS picked, CAST(p_size + 1 AS BIGINT) AS up, CAST(16 + p_size AS BIGINT) AS member, CAST(CASE WHEN p_size % 3 = 0 THEN 7 ELSE -2 END AS BIGINT) AS named FROM part""",
+)
+def _(t):
+    names = {"p_size": (F.col("p_size").cast("bigint"), "i32"), "key": (F.col("p_partkey"), "i64"), **expr.enumerators({"RED": 7, "BLUE": -2, "THREE": 3})}
+    picked, _ = expr.guarded([("p_size > 25", "p_size + THREE"), ("key % 2 == 1", "key * 2")], names)
+    at = lambda text: expr.compile_expr(text, names, offsets=lambda ty, path: {("task", "list.next"): 16}.get((ty, path), -1))[0]
+    return t("part").select("p_partkey", picked.alias("picked"), at("++p_size").alias("up"), at("offsetof(struct task, list.next) + p_size").alias("member"), at("p_size % THREE == 0 ? RED : BLUE").alias("named"))

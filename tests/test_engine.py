@@ -319,3 +319,86 @@ def test_session(spark, tmp_path):
     assert s.symbols.exists("types", "name", "main") and s.symbols.names("types", "name", "m*").count() == 1 and s.symbols.list_sources().first().n == 2
     column = rules.expression_target("src->next - 4", "src", {"next": (F.lit(100).cast("bigint"), "i64")})
     assert spark.range(1).select(column).first()[0] == 96
+
+
+def test_long_intervals_and_carries(spark):
+    """Intervals too long for any grid on either side, and carries over more places than a task holds."""
+    rng = random.Random(5)
+    make = lambda n, k: [(i, (a := rng.randrange(10**9)), a + (rng.randrange(5 * 10**8, 10**9) if i % k == 0 else rng.randrange(3000))) for i in range(n)]
+    a, b = make(300, 20), make(250, 50)
+    left, right = spark.createDataFrame(a, "i long, ls long, le long"), spark.createDataFrame(b, "j long, rs long, re long")
+    got = [(r.i, r.j) for r in intervals.overlap_join(left, right, "ls", "le", "rs", "re", 16).collect()]
+    assert sorted(got) == sorted((i, j) for i, s, e in a for j, s2, e2 in b if s <= e2 and s2 <= e)
+    places = sorted(rng.sample(range(10**8), 400))
+    values = [rng.choice([None, None, k]) for k in range(400)]
+    got = {r.p: r.c for r in intervals.carried(spark.createDataFrame(list(zip(places, values, strict=True)), "p long, v long"), "p", "v", "c").collect()}
+    last = None
+    for p, v in zip(places, values, strict=True):
+        assert got[p] == last
+        last = v if v is not None else last
+
+
+def test_joined_byte_runs_over_blocks(spark):
+    runs = [(0, 4095), (4096, 8191), (8192, 8195), (9000, 12287), (12288, 12290), (20480, 20480)]
+    got = sorted((r["start"], r["end"]) for r in diff._joined(spark.createDataFrame(runs, "start long, end long")).collect())
+    assert got == [(0, 8195), (9000, 12290), (20480, 20480)]
+
+
+def test_long_lists_and_deep_trees(spark):
+    n = 300
+    links = spark.createDataFrame([(i, i + 1) for i in range(1, n)] + [(n, 0), (1000, 1001), (1001, 1000)], "node long, next long")
+    got = sorted((r.head, r.place, r.node) for r in graph.walk_list(spark.createDataFrame([(0, 1), (7, 1000)], "head long, first long"), links).collect())
+    assert got == [(0, i - 1, i) for i in range(1, n + 1)] + [(7, 0, 1000), (7, 1, 1001)]
+    deep = spark.createDataFrame([(str(i), str(i - 1) if i else None) for i in range(100)], "node string, parent string")
+    above = {r.node: r.above for r in graph.ancestors(deep).collect()}
+    assert above["99"] == [str(i) for i in range(98, -1, -1)] and above["0"] == []
+    with pytest.raises(ValueError):
+        graph.ancestors(spark.createDataFrame([("a", "b"), ("b", "a")], "node string, parent string"))
+
+
+def test_fixed_point_ends(spark):
+    nodes, edges = spark.createDataFrame([(1, 0.9, 1), (2, 0.5, 2)], "id long, initial double, encounters int"), spark.createDataFrame([(1, 2)], "parent long, child long")
+    got = {r.id: r.p for r in graph.fixed_point(nodes, edges).collect()}
+    a, b = 0.9, 0.75
+    for _ in range(200):
+        a, b = min(1.0, 0.9 * b), min(1.0, 0.5 * a * 1.5)
+    assert abs(got[1] - a) < 1e-4 and abs(got[2] - b) < 1e-4
+
+
+def test_expressions_with_memory_and_types():
+    from orebody.functions import expr
+
+    assert expr.parse("__builtin_types_compatible_p(unsigned long, unsigned long)").value == 1 and expr.parse("__builtin_types_compatible_p(int*, int)").value == 0
+    assert expr.parse("__builtin_object_size(x, 2)").value == 0 and expr.parse("__builtin_object_size(x, 0)").value == (1 << 64) - 1
+    with pytest.raises(expr.ExpressionError):
+        expr.compile_expr("*p", {"p": (F.lit(1), "u64")})
+    with pytest.raises(expr.ExpressionError):
+        expr.compile_expr("offsetof(struct a, b)", {})
+
+
+def test_dereference(spark):
+    from orebody.functions import expr
+
+    held = {8: 5, 16: 9}
+    memory = lambda c, t: (F.create_map(*[F.lit(x).cast("bigint") for kv in held.items() for x in kv])[c], "i32")
+    df = spark.createDataFrame([(8,), (16,)], "p long")
+    names = {"p": (F.col("p"), "u64")}
+    assert [r[0] for r in df.select(expr.compile_expr("*p + 1", names, memory=memory)[0]).collect()] == [6, 10]
+
+
+def test_path_reader():
+    from orebody.plans.pathql import Component, QueryError, parse_path
+
+    assert parse_path(" (task - list) a <2> [1] [ 3 ] . b") == [Component("a", "task", "list", 2, (1, 3)), Component("b")]
+    assert parse_path("  ") == []
+    for bad in ("a..b", "(a b", "a[1", "a<x>", "a b", "a[-1]", "é"):
+        with pytest.raises(QueryError):
+            parse_path(bad)
+
+
+def test_repeated_attributes(spark):
+    from orebody.sources.text import debug_records
+
+    lines = [" <1><2a>: Abbrev Number: 2 (DW_TAG_member)", "    <2b>   DW_AT_name : a", "    <2c>   DW_AT_name : b", "    <2d>   DW_AT_type : <0x10>"]
+    got = debug_records(spark.createDataFrame([("f", i, x) for i, x in enumerate(lines)], "file string, line_no long, line string")).collect()
+    assert len(got) == 1 and got[0].attrs == {"name": "a", "type": "<0x10>"}
