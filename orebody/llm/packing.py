@@ -58,6 +58,12 @@ def optimal_boundaries(histogram: dict[int, int], buckets: int) -> list[int]:
     return out[::-1]
 
 
+def _block_of(key: str, blocks: int) -> Column:
+    """A number below `blocks` (2^28 at most) for each piece, from a digest that SQL engines have in common."""
+    digest = F.md5(F.concat_ws("|", F.col(key).cast("string"), F.col("piece").cast("string"), F.col("n_tokens").cast("string")).cast("binary"))
+    return (F.conv(F.substring(digest, 1, 7), 16, 10).cast("long") % blocks).cast("int")
+
+
 def pack(df: DataFrame, key: str = "doc_id", text: str = "text", length: Column | None = None, context: int = CONTEXT, buckets: int = BUCKETS, budget: int = BUDGET, blocks: int = BLOCKS) -> DataFrame:
     """One row per piece: key, piece, first_token, n_tokens, bucket, bucket_len, padding, batch, slot.
 
@@ -72,7 +78,7 @@ def pack(df: DataFrame, key: str = "doc_id", text: str = "text", length: Column
     bounds = optimal_boundaries(histogram, buckets) or [1]
     bucket = F.coalesce(*[F.when(F.col("n_tokens") <= b, F.lit(i)) for i, b in enumerate(bounds)])
     placed = pieces.withColumn("bucket", bucket).withColumn("bucket_len", F.element_at(F.array(*map(F.lit, bounds)), F.col("bucket") + 1))
-    placed = placed.withColumn("_block", F.pmod(F.xxhash64(key, "piece", "n_tokens"), F.lit(blocks)).cast("int"))
+    placed = placed.withColumn("_block", _block_of(key, blocks))
     sizes = placed.groupBy("bucket", "_block").agg(F.count("*").alias("_c"))  # buckets * blocks rows at most
     before = Window.partitionBy("bucket").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("bucket", "_block", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before"))
@@ -89,3 +95,24 @@ def pack(df: DataFrame, key: str = "doc_id", text: str = "text", length: Column
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document packed into length buckets and token-budget batches."""
     return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+OP4_SQL = rf"""
+WITH RECURSIVE lens AS (SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) + 1 AS n FROM documents
+), cut AS (SELECT doc_id, n, unnest(range((n - 1) // {CONTEXT} + 1)) AS piece FROM lens
+), pieces AS (SELECT doc_id, piece, piece * {CONTEXT} AS first_token, least({CONTEXT}, n - piece * {CONTEXT}) AS n_tokens FROM cut
+), h AS (SELECT n_tokens AS l, count(*) AS c, row_number() OVER (ORDER BY n_tokens) AS j FROM pieces GROUP BY n_tokens
+), sums AS (SELECT j, l, (sum(c) OVER (ORDER BY j))::BIGINT AS r, (sum(c * l) OVER (ORDER BY j))::BIGINT AS t FROM h UNION ALL SELECT 0, 0, 0, 0
+), best AS (
+  SELECT 0 AS k, 0::BIGINT AS j, 0::BIGINT AS padding, []::BIGINT[] AS bounds
+  UNION ALL
+  SELECT k + 1, b.j, min(padding + (b.r - a.r) * b.l - (b.t - a.t)), arg_min(list_append(bounds, b.l), (padding + (b.r - a.r) * b.l - (b.t - a.t)) * 4096 + a.j)
+  FROM best JOIN sums a ON a.j = best.j JOIN sums b ON b.j > a.j WHERE k < least({BUCKETS}, (SELECT count(*) FROM h)) GROUP BY k, b.j
+), chosen AS (SELECT bounds FROM best WHERE k = least({BUCKETS}, (SELECT count(*) FROM h)) AND j = (SELECT count(*) FROM h)
+), placed AS (
+  SELECT doc_id, piece, first_token, n_tokens, len(list_filter(bounds, lambda b: b < n_tokens)) AS bucket, bounds[len(list_filter(bounds, lambda b: b < n_tokens)) + 1] AS bucket_len,
+    ('0x' || substr(md5(concat_ws('|', doc_id, piece, n_tokens)), 1, 7))::BIGINT % {BLOCKS} AS block FROM pieces, chosen
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY block, doc_id NULLS FIRST, piece, n_tokens) - 1 AS place, greatest(1, {BUDGET} // bucket_len) AS capacity FROM placed)
+SELECT doc_id, piece::INTEGER AS piece, first_token::BIGINT AS first_token, n_tokens::INTEGER AS n_tokens, bucket::INTEGER AS bucket, bucket_len::INTEGER AS bucket_len, (bucket_len - n_tokens)::INTEGER AS padding,
+  (place // capacity)::BIGINT AS batch, (place % capacity)::INTEGER AS slot FROM ranked
+"""

@@ -25,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_url_graph": url_graph.OP5_SQL, "op6_shards": sharding.OP6_SQL, "op8_minhash": minhash_dedup.OP8_SQL}
+    return {"op4_packing": packing.OP4_SQL, "op5_url_graph": url_graph.OP5_SQL, "op6_shards": sharding.OP6_SQL, "op8_minhash": minhash_dedup.OP8_SQL}

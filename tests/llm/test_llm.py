@@ -849,7 +849,7 @@ def test_pipeline_against_brute_force(spark):
     assert first.count() * 0.6 < kept.count() < first.count()
 
 
-@pytest.mark.parametrize("name", ["op5_url_graph", "op6_shards", "op8_minhash"])
+@pytest.mark.parametrize("name", ["op4_packing", "op5_url_graph", "op6_shards", "op8_minhash"])
 def test_sql(spark, name):
     import duckdb
 
