@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from orebody.operators.intervals import carried
+from orebody.operators.intervals import carried, merge
+from orebody.operators.scans import ranged, running, segments
+from orebody.operators.store import cut
 
 CHUNK = 16
 
@@ -18,6 +22,34 @@ def object_diff(left: DataFrame, right: DataFrame, keys: list[str], fields: list
     return joined.select(*keys, paths.alias("paths")).filter(F.size("paths") > 0)
 
 
+def recursive_diff(pairs: DataFrame, left_values: DataFrame, right_values: DataFrame, left_links: DataFrame, right_links: DataFrame) -> DataFrame:
+    """P16, recursive: root, path: the dotted paths at which two object graphs differ. pairs: root, a, b; values: object, field, value; links:
+    object, field, target (one row for an object's field).
+
+    A frontier of pairs of objects: fields that only one side has or whose values differ (null equals null) are reported, links that both have lead to the
+    next pairs, links that only one has are reported. Each pair counts once for a root, at its least number of steps and there at its least
+    path, so that circles end."""
+    front = cut(pairs.select("root", "a", "b", F.lit("").alias("path")).groupBy("root", "a", "b").agg(F.min("path").alias("path")))
+    seen, out = [], []
+    dotted = F.concat_ws(".", F.when(F.col("path") != "", F.col("path")), "field")
+    while not front.isEmpty():
+        seen.append(front.select("root", "a", "b"))
+        both = front.select("root", "path", "a", "b")
+
+        def sides(left: DataFrame, right: DataFrame, value: str) -> DataFrame:
+            one = both.join(left.select(F.col("object").alias("a"), "field", F.col(value).alias("_l"), F.lit(True).alias("_has_l")), "a").select("root", "path", "a", "b", "field", "_l", "_has_l")  # noqa: B023
+            two = both.join(right.select(F.col("object").alias("b"), "field", F.col(value).alias("_r"), F.lit(True).alias("_has_r")), "b").select("root", "path", "a", "b", "field", "_r", "_has_r")  # noqa: B023
+            return one.join(two, ["root", "path", "a", "b", "field"], "full")
+
+        values, links = sides(left_values, right_values, "value"), cut(sides(left_links, right_links, "target"))
+        lone = F.col("_has_l").isNull() | F.col("_has_r").isNull()
+        out.append(cut(values.filter(lone | ~F.col("_l").eqNullSafe(F.col("_r"))).select("root", dotted.alias("path"))))
+        out.append(links.filter(lone | (F.col("_l").isNull() != F.col("_r").isNull())).select("root", dotted.alias("path")))
+        on = links.filter("_l is not null and _r is not null").select("root", F.col("_l").alias("a"), F.col("_r").alias("b"), dotted.alias("path")).groupBy("root", "a", "b").agg(F.min("path").alias("path"))
+        front = cut(on.join(reduce(DataFrame.unionByName, seen), ["root", "a", "b"], "left_anti"))
+    return reduce(DataFrame.unionByName, out).distinct() if out else pairs.select("root", F.lit("").alias("path")).limit(0)
+
+
 def objects_equal(left_leaves: DataFrame, right_leaves: DataFrame, deep: bool = False) -> DataFrame:
     """Object, equal - by leaf values (object, path, value, depth); nested structures only if `deep`."""
     pick = lambda d: d if deep else d.filter("depth <= 1")
@@ -26,10 +58,11 @@ def objects_equal(left_leaves: DataFrame, right_leaves: DataFrame, deep: bool =
 
 
 def runs_of(df: DataFrame, group: list[str], place: str, step: int = 1, length: str = "run") -> DataFrame:
-    """Islands of consecutive places: group, start, length in places. One window over a group's own rows."""
-    w = Window.partitionBy(*group).orderBy(place)
-    island = F.col(place) - F.row_number().over(w) * step
-    return df.select(*group, place).distinct().withColumn("_i", island).groupBy(*group, "_i").agg(F.min(place).alias("start"), F.count("*").alias(length)).drop("_i")
+    """Islands of consecutive places: group, start, length in places. The place before is carried over ranges of a group's rows."""
+    line = ranged(df.select(*group, place).distinct(), [*group, place])
+    before = running(line, group, [place], place, "_before")
+    head = F.when(F.col("_before").isNull() | (F.col(place) - F.col("_before") != step), F.col(place))
+    return segments(before, group, [place], head, "start", [F.count("*").alias(length)], [F.sum(length).alias(length)])
 
 
 def page_chunks(pages: DataFrame, chunk: int = CHUNK) -> DataFrame:
@@ -49,20 +82,17 @@ def byte_runs(before: DataFrame, after: DataFrame, page: int = 4096, chunk: int
     piece = lambda c, i: F.substring(c, i * chunk + 1, F.lit(chunk))
     differs = (lambda i: F.substring("_a", (i + 1) * chunk, F.lit(1)) != F.substring("data", (i + 1) * chunk, F.lit(1))) if compat else (lambda i: piece("_a", i) != piece("data", i))
     places = F.filter(F.sequence(F.lit(0), n - 1), differs)
-    rows = both.select("frame", F.explode(places).alias("_i")).select((F.col("frame") * (page // chunk) + F.col("_i")).alias("place"))
-    blocked = rows.withColumn("_b", F.floor(F.col("place") / 4096))  # runs in blocks, then over the blocks' runs
-    local = runs_of(blocked, ["_b"], "place").select("start", (F.col("start") + F.col("run") - 1).alias("end"))
-    edge = (F.col("start") % 4096 == 0) | (F.col("end") % 4096 == 4095)  # only runs at a block's edge can go on in its neighbour
-    return _joined(local.filter(edge)).unionByName(local.filter(~edge)).select((F.col("start") * chunk).alias("start"), ((F.col("end") - F.col("start") + 1) * chunk).alias("length"))
+    rows = both.select("frame", F.explode(places).alias("_i")).withColumn("_n", F.row_number().over(Window.partitionBy("frame").orderBy("_i")))  # a page's chunks
+    local = rows.groupBy("frame", (F.col("_i") - F.col("_n")).alias("_g")).agg(F.min("_i").alias("_s"), F.max("_i").alias("_e"))
+    per = page // chunk
+    inside = local.select((F.col("frame") * per + F.col("_s")).alias("start"), (F.col("frame") * per + F.col("_e")).alias("end"))
+    edge = (F.col("start") % per == 0) | (F.col("end") % per == per - 1)  # only runs at a page's edge can go on in its neighbour
+    return _joined(inside.filter(edge)).unionByName(inside.filter(~edge)).select((F.col("start") * chunk).alias("start"), ((F.col("end") - F.col("start") + 1) * chunk).alias("length"))
 
 
 def _joined(runs: DataFrame) -> DataFrame:
-    """Join runs that touch: a run begins a joined one if none ends right before it, and every run belongs to the last such beginning,
-    which is carried over the blocks."""
-    ends = runs.select((F.col("end") + 1).alias("start"), F.lit(False).alias("_new"))
-    flagged = runs.join(ends.distinct(), "start", "left").withColumn("_head", F.when(F.col("_new").isNull(), F.col("start")))
-    owned = carried(flagged, "start", "_head", "_before").withColumn("_r", F.coalesce("_head", "_before"))
-    return owned.groupBy("_r").agg(F.max("end").alias("end")).select(F.col("_r").alias("start"), "end")
+    """Join runs that touch."""
+    return merge(runs, [], "start", "end").drop("n")
 
 
 def run_summary(runs: DataFrame, by: list[str], length: str) -> DataFrame:

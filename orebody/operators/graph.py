@@ -5,45 +5,16 @@ Loops run on the driver, one Spark plan a round; what a round makes is written t
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_own: dict[str, str] = {}
+from orebody.operators.scans import neighbours
+from orebody.operators.store import cut, discard
+
 SALTS = 8
 MOST_ROUNDS = 1000
-_written: list[tuple[SparkSession, str]] = []
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write and read back, in the folder that spark.checkpoint.dir names (in local mode only: one of our own where it is unset). The
-    files are deleted when the Python process ends."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if spark.sparkContext.master.split("[")[0] != "local":
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = _own.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="orebody-graph-"))
-    path = f"{base.rstrip('/')}/graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-@atexit.register
-def release() -> None:
-    """Delete what `cut` wrote in this process."""
-    while _written:
-        spark, path = _written.pop()
-        try:
-            target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-        except Exception:  # the session is gone; nothing is left to delete with
-            return
 
 
 def follow(rows: DataFrame, ref: str, types: DataFrame) -> DataFrame:
@@ -52,20 +23,24 @@ def follow(rows: DataFrame, ref: str, types: DataFrame) -> DataFrame:
     return rows.join(target, F.col(ref) == F.col("ref_type_id"), "left")
 
 
-def closure(types: DataFrame, mask: int, kind: str = "kind", ref: str = "ref_type_id", rounds: int = 32) -> DataFrame:
+def closure(types: DataFrame, mask: int, kind: str = "kind", ref: str = "ref_type_id") -> DataFrame:
     """For each type, where its chain of references ends when only kinds in `mask` are seen through: type_id, end_id, depth.
 
-    Path doubling: round i doubles the length that a chain has been followed, so 32 rounds exceed any chain."""
+    Path doubling: each round doubles the length that chains have been followed. Types that name each other in a circle have no end: a chain
+    longer than there are types raises an error."""
     step = types.select("type_id", F.when((F.col(kind).bitwiseAND(F.lit(mask)) != 0) & F.col(ref).isNotNull(), F.col(ref)).alias("to"))
-    reach = cut(step.select("type_id", F.coalesce("to", "type_id").alias("end_id"), F.col("to").isNotNull().cast("int").alias("depth")))
-    for _ in range(rounds):
-        nxt = reach.select(F.col("type_id").alias("end_id"), F.col("end_id").alias("_e"), F.col("depth").alias("_d"))
-        grown = cut(reach.join(nxt, "end_id", "left").select("type_id", F.coalesce("_e", "end_id").alias("end_id"), (F.col("depth") + F.coalesce("_d", F.lit(0))).alias("depth"), (F.coalesce("_d", F.lit(0)) > 0).alias("_m")))
-        done = grown.filter("_m").isEmpty()
-        reach = grown.drop("_m")
-        if done:
-            break
-    return reach
+    reach = cut(step.select("type_id", F.coalesce("to", "type_id").alias("end_id"), F.col("to").isNotNull().cast("bigint").alias("depth")))
+    most = reach.count()
+    while True:
+        nxt = reach.filter("depth > 0").select(F.col("type_id").alias("end_id"), F.col("end_id").alias("_e"), F.col("depth").alias("_d"))
+        grown = cut(reach.join(nxt, "end_id", "left").select("type_id", F.coalesce("_e", "end_id").alias("end_id"), (F.col("depth") + F.coalesce("_d", F.lit(0))).alias("depth"), F.col("_d").isNotNull().alias("_m")))
+        discard(reach)
+        moved, longest = grown.agg(F.bool_or("_m"), F.max("depth")).first()
+        reach = grown
+        if not moved:
+            return reach.select("type_id", "end_id", F.col("depth").cast("int").alias("depth"))
+        if longest > most:
+            raise ValueError("types refer to each other in a circle")
 
 
 def used_by(types: DataFrame, members: DataFrame, wanted: DataFrame, equivalent: DataFrame | None = None) -> DataFrame:
@@ -113,26 +88,57 @@ def node_probability(parent: Column, valid_address: Column, valid_pointers: Colu
     return p * (bad * 0.2 + (1 - bad))
 
 
-def fixed_point(nodes: DataFrame, edges: DataFrame, rounds: int | None = None, tolerance: float = 1e-6) -> DataFrame:
-    """p = min(1, initial * parent's p * mean of children's p * encounters), until nothing moves by more than the tolerance,
+def fixed_point(nodes: DataFrame, edges: DataFrame, rounds: int | None = None, tolerance: float = 1e-6, log: list[int] | None = None) -> DataFrame:
+    """p = min(1, initial * greatest parent's p * mean of children's p * encounters), until nothing moves by more than the tolerance,
     or for a given number of rounds; values that still swing after MOST_ROUNDS raise an error.
 
-    nodes: id, initial, encounters; edges: parent, child. A node seen n > 1 times counts 1.5 * (n - 1) (fixed values of the model)."""
+    nodes: id, initial, encounters; edges: parent, child. A node seen n > 1 times counts 1.5 * (n - 1) (fixed values of the model). While more than an
+    eighth of the nodes moves, a round works out all of them; after that only nodes with a parent or child that moved, and what it finds is kept
+    beside the last whole table until that in turn is an eighth of it. log: gets the number of nodes worked out in each round."""
     factor = F.when(F.col("encounters") > 1, 1.5 * (F.col("encounters") - 1)).otherwise(1.0)
-    cur = cut(nodes.select("id", "initial", factor.alias("f"), F.least(F.lit(1.0), F.col("initial") * factor).alias("p")))
-    for _ in range(MOST_ROUNDS if rounds is None else rounds):
-        kids = edges.join(cur.select(F.col("id").alias("child"), F.col("p").alias("cp")), "child").groupBy(F.col("parent").alias("id")).agg(F.avg("cp").alias("kids"))
-        up = edges.join(cur.select(F.col("id").alias("parent"), F.col("p").alias("pp")), "parent").groupBy(F.col("child").alias("id")).agg(F.max("pp").alias("up"))
-        new = cur.join(kids, "id", "left").join(up, "id", "left")
+    base = cut(nodes.select("id", "initial", factor.alias("f"), F.least(F.lit(1.0), F.col("initial") * factor).alias("p")))
+    many = base.count()
+    news: DataFrame | None = None  # id, q: newer values than the base's
+    moved, n_moved, gone = None, many, 0.0
+
+    def stepped(now: DataFrame, due: DataFrame, down: DataFrame, up: DataFrame) -> DataFrame:
+        """The due nodes with their next value. Of an edge's two ends the one that is looked up has one row a key, so that a hub's edges may be
+        dealt out, and what a hub gets is summed up in parts."""
+        kids = down.join(now.select(F.col("id").alias("child"), F.col("p").alias("cp")), "child").groupBy(F.col("parent").alias("id")).agg(F.avg("cp").alias("kids"))
+        ups = up.join(now.select(F.col("id").alias("parent"), F.col("p").alias("pp")), "parent").groupBy(F.col("child").alias("id")).agg(F.max("pp").alias("up"))
         value = F.least(F.lit(1.0), F.col("initial") * F.coalesce("up", F.lit(1.0)) * F.coalesce("kids", F.lit(1.0)) * F.col("f"))
-        nxt = cut(new.select("id", "initial", "f", value.alias("p"), F.abs(value - F.col("p")).alias("_d")))
-        moved = nxt.agg(F.max("_d")).first()[0] or 0.0
-        cur = nxt.drop("_d")
-        if moved <= tolerance:
-            return cur.select("id", "p")
-    if rounds is None:
-        raise RuntimeError(f"probabilities still moved by {moved} after {MOST_ROUNDS} rounds")
-    return cur.select("id", "p")
+        return cut(due.join(kids, "id", "left").join(ups, "id", "left").select("id", "initial", "f", value.alias("p"), F.abs(value - F.col("p")).alias("_d")))
+
+    for _ in range(MOST_ROUNDS if rounds is None else rounds):
+        now = base if news is None else base.join(news, "id", "left").select("id", "initial", "f", F.coalesce("q", "p").alias("p"))
+        if n_moved * 8 > many:
+            fresh = stepped(now, now, edges, edges)
+            discard(base, *([] if news is None else [news]))
+            base, news = fresh, None
+        else:
+            changed = moved.select("id")
+            near = edges.join(changed.withColumnRenamed("id", "parent"), "parent", "left_semi").select(F.col("child").alias("id"))
+            near = cut(near.union(edges.join(changed.withColumnRenamed("id", "child"), "child", "left_semi").select("parent")).distinct())
+            own = lambda side: edges.join(near.withColumnRenamed("id", side), side, "left_semi")  # noqa: B023, E731
+            fresh = stepped(now, now.join(near, "id", "left_semi"), own("parent"), own("child"))
+            latest = fresh.select("id", F.col("p").alias("q"))
+            grown = cut(latest if news is None else news.join(latest, "id", "left_anti").unionByName(latest))
+            discard(near, *([] if news is None else [news]))
+            news = grown
+        worked, gone, n_moved = fresh.agg(F.count("*"), F.coalesce(F.max("_d"), F.lit(0.0)), F.coalesce(F.sum((F.col("_d") != 0).cast("long")), F.lit(0))).first()
+        moved = fresh.filter("_d <> 0")
+        if log is not None:
+            log.append(worked)
+        if news is not None and news.count() * 8 > many:
+            whole = cut(base.join(news, "id", "left").select("id", "initial", "f", F.coalesce("q", "p").alias("p"), F.lit(0.0).alias("_d")))
+            discard(base, news)
+            base, news = whole, None
+        if gone <= tolerance:
+            break
+    else:
+        if rounds is None:
+            raise RuntimeError(f"probabilities still moved by {gone} after {MOST_ROUNDS} rounds")
+    return base.select("id", "p") if news is None else base.join(news, "id", "left").select("id", F.coalesce("q", "p").alias("p"))
 
 
 def walk_list(heads: DataFrame, links: DataFrame) -> DataFrame:
@@ -167,24 +173,80 @@ def neighbours_ok(links: DataFrame) -> DataFrame:
     return both.select("node", ok.alias("ok"))
 
 
-def ancestors(parents: DataFrame) -> DataFrame:
-    """Each node with the array of its ancestors, nearest first (SNK4's order, G12's input). parents: node, parent. However deep:
-    each round doubles the length of the lines; parents that run in a circle raise an error."""
-    cur = cut(parents.select("node", F.when(F.col("parent").isNull(), F.array().cast("array<string>")).otherwise(F.array(F.col("parent").cast("string"))).alias("above"), F.col("parent").alias("_top")))
-    most, rounds = parents.count(), 0
-    while not cur.filter("_top is not null").isEmpty():
-        if 2**rounds > 2 * most:
-            raise ValueError("the parents run in a circle")
-        rounds += 1
-        up = cur.select(F.col("node").alias("_top"), F.col("above").alias("_more"), F.col("_top").alias("_next"))
-        cur = cut(cur.join(up, "_top", "left").select("node", F.concat("above", F.coalesce("_more", F.array().cast("array<string>"))).alias("above"), F.col("_next").alias("_top")))
-    return cur.select("node", "above")
+class Jumps:
+    """The ancestors of a forest's nodes at the distances 1, 2, 4, ...: a table for each, and every node's depth (0 at a root). All together
+    they hold n * log2(depth) rows at most, however deep the trees are. parents: node, parent; a circle raises an error."""
+
+    def __init__(self, parents: DataFrame) -> None:
+        state = cut(parents.select("node", F.col("parent").alias("up"), F.col("parent").isNotNull().cast("bigint").alias("depth")))
+        most, self.levels = state.count(), []
+        while not (going := state.filter("up is not null")).isEmpty():
+            if 1 << len(self.levels) > 2 * most:
+                raise ValueError("the parents run in a circle")
+            self.levels.append(cut(going.select("node", "up")))
+            above = state.select(F.col("node").alias("up"), F.col("up").alias("_next"), F.col("depth").alias("_more"))
+            # a parent that isn't a node itself is a root of its own
+            step = going.join(above, "up", "left").select("node", F.col("_next").alias("up"), (F.col("depth") + F.coalesce("_more", F.lit(0))).alias("depth"))
+            grown = cut(state.filter("up is null").unionByName(step))
+            discard(state)
+            state = grown
+        self.depths = state.select("node", "depth")
+
+    def raised(self, rows: DataFrame, node: str, by: str) -> DataFrame:
+        """Rows with `node` replaced by its ancestor `by` steps up (by: less than 2^levels); null above a root."""
+        for k, table in enumerate(self.levels):
+            up = table.select(F.col("node").alias(node), F.col("up").alias("_up"))
+            bit = F.call_function("shiftright", F.col(by), F.lit(k)).bitwiseAND(F.lit(1)) == 1
+            stay, go = rows.filter(~bit), rows.filter(bit)
+            rows = cut(stay.unionByName(go.join(up, node, "left").withColumn(node, F.col("_up")).drop("_up")))
+        return rows
+
+    def lines(self, nodes: DataFrame | None = None, within: int | None = None) -> DataFrame:
+        """SNK4, G12: node, above, distance (from 1): a row for each ancestor, to a distance of `within`. For chosen nodes, or all: what comes back
+        has a row for each of them and ancestor, so that deep trees are better asked for few nodes or a bounded distance."""
+        own = self.depths.select("node") if nodes is None else nodes.select("node")
+        out = own.select("node", F.col("node").alias("above"), F.lit(0).cast("bigint").alias("distance"))
+        for k in range(len(self.levels) - 1, -1, -1):
+            up = self.levels[k].select(F.col("node").alias("above"), F.col("up").alias("_up"))
+            further = out.join(up, "above").select("node", F.col("_up").alias("above"), (F.col("distance") + (1 << k)).alias("distance"))
+            out = cut(out.unionByName(further if within is None else further.filter(F.col("distance") <= within)))
+        return out.filter("distance > 0")
 
 
-def lowest_common_ancestor(pairs: DataFrame, above: DataFrame) -> DataFrame:
-    """Pairs (a, b) with the nearest node above or equal to both; null if there is none."""
-    line = lambda side: above.select(F.col("node").alias(side), F.concat(F.array(F.col("node").cast("string")), F.col("above")).alias(f"_{side}"))
-    return pairs.join(line("a"), "a").join(line("b"), "b").select("a", "b", F.try_element_at(F.array_intersect("_a", "_b"), F.lit(1)).alias("lca"))
+def ancestors(parents: DataFrame) -> DataFrame:
+    """Each node with the array of its ancestors, nearest first. parents: node, parent; parents that run in a circle raise an error.
+
+    An array holds a node's whole line; for deep trees ask `Jumps` for depths, ancestors at a distance, or lines as rows."""
+    jumps = Jumps(parents)
+    lines = jumps.lines().groupBy("node").agg(F.array_sort(F.collect_list(F.struct("distance", F.col("above").cast("string").alias("above")))).alias("l"))
+    return parents.select("node").join(lines, "node", "left").select("node", F.coalesce(F.transform("l", lambda x: x["above"]), F.array().cast("array<string>")).alias("above"))
+
+
+def lowest_common_ancestor(pairs: DataFrame, above: DataFrame | Jumps) -> DataFrame:
+    """Pairs (a, b) with the nearest node above or equal to both; null if there is none. above: `Jumps`, or what `ancestors` returns.
+
+    Binary lifting: the deeper node is raised to the other's depth, then both by ever smaller steps while they stay apart; log2(depth)
+    joins over the pairs, and no line of ancestors is ever gathered."""
+    if not isinstance(above, Jumps):
+        above = Jumps(above.select(F.col("node").cast("string").alias("node"), F.try_element_at("above", F.lit(1)).alias("parent")))
+    depth = lambda side: above.depths.select(F.col("node").alias(f"_{side}"), F.col("depth").alias(f"_d{side}"))
+    rows = pairs.select("a", "b", F.col("a").cast("string").alias("_a"), F.col("b").cast("string").alias("_b")).join(depth("a"), "_a").join(depth("b"), "_b")
+    rows = cut(rows.withColumns({"_ra": F.greatest(F.col("_da") - F.col("_db"), F.lit(0)), "_rb": F.greatest(F.col("_db") - F.col("_da"), F.lit(0))}).drop("_da", "_db"))
+    for side in ("a", "b"):
+        rows = above.raised(rows, f"_{side}", f"_r{side}")
+    for k in range(len(above.levels) - 1, -1, -1):
+        up = lambda side: above.levels[k].select(F.col("node").alias(f"_{side}"), F.col("up").alias(f"_u{side}"))  # noqa: B023, E731
+        apart, met = rows.filter("_a <> _b"), rows.filter("_a = _b")
+        tried = apart.join(up("a"), "_a", "left").join(up("b"), "_b", "left")
+        move = F.coalesce(F.col("_ua") != F.col("_ub"), F.lit(False))
+        rows = cut(met.unionByName(tried.withColumns({"_a": F.when(move, F.col("_ua")).otherwise(F.col("_a")), "_b": F.when(move, F.col("_ub")).otherwise(F.col("_b"))}).drop("_ua", "_ub")))
+    if above.levels:
+        parent = lambda side: above.levels[0].select(F.col("node").alias(f"_{side}"), F.col("up").alias(f"_u{side}"))
+        rows = rows.join(parent("a"), "_a", "left").join(parent("b"), "_b", "left")
+        lca = F.when(F.col("_a") == F.col("_b"), F.col("_a")).when(F.col("_ua") == F.col("_ub"), F.col("_ua"))
+    else:
+        lca = F.when(F.col("_a") == F.col("_b"), F.col("_a"))
+    return rows.select("a", "b", lca.alias("lca"))
 
 
 def per_cpu(instances: DataFrame, offsets: DataFrame, address: str, every: bool = True) -> DataFrame:
@@ -232,8 +294,7 @@ def full_name(path: str) -> Column:
 
 def neighbours_window(df: DataFrame, group: str, order: str) -> DataFrame:
     """The rows of a group as a list: next and prev by order."""
-    w = Window.partitionBy(group).orderBy(order)
-    return df.withColumn("next", F.lead(order).over(w)).withColumn("prev", F.lag(order).over(w))
+    return neighbours(df, [group], order, before="prev", after="next")
 
 
 def radix_leaves(roots: DataFrame, slots: DataFrame, bits: int) -> DataFrame:

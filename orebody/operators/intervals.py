@@ -2,8 +2,8 @@
 
 Intervals are inclusive at both ends. Joins are equi-joins on buckets: an interval is laid on the coarsest grid that it needs and on
 every coarser one, pairs meet on the coarser of their two grids and only in the bucket in which the later one starts, so that
-no pair comes twice and no interval is copied more than a few times. Intervals too long for any grid, of which a table holds few, are
-repeated once for each of SALTS lots into which the other side is dealt.
+no pair comes twice and no interval is copied more than a few times. Intervals too long for any grid are laid on the cells of `dyadic` that
+they consist of, in which exactly those points lie that they contain.
 """
 
 from __future__ import annotations
@@ -13,10 +13,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from orebody.operators import dyadic
+from orebody.operators.scans import neighbours, ranged, running, segments
+
 LEVELS = 4
 RATIO = 64
 SPAN = 8
-SALTS = 64
 FAN = 4096  # neighbours that one task carries a value over
 
 
@@ -39,21 +41,23 @@ def _laid(df: DataFrame, start: Column, end: Column, width: int, met: set[int])
     return laid.withColumn("_level", F.col("_cell.level")).withColumn("_bucket", F.col("_cell.bucket")).drop("_cell")
 
 
-def _with_long(long: DataFrame, other: DataFrame, by: str) -> DataFrame:
-    """Pairs of the few long intervals with the other side, which is dealt into lots by `by`."""
-    dealt = other.withColumn("_lot", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
-    return long.withColumn("_lot", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).join(dealt, "_lot").drop("_lot")
+def _with_long(long: DataFrame, other: DataFrame, long_start: str, long_end: str, other_start: str, other_end: str) -> DataFrame:
+    """Pairs of the long intervals with the other side: those that begin in them, and those in which they begin and that began before."""
+    begin_inside = dyadic.contained(other, long, other_start, F.col(long_start), F.col(long_end))
+    begun_before = dyadic.contained(long, other, long_start, F.col(other_start) + 1, F.col(other_end))
+    return begin_inside.unionByName(begun_before)
 
 
-def overlap_join(left: DataFrame, right: DataFrame, left_start: str, left_end: str, right_start: str, right_end: str, width: int) -> DataFrame:
+def overlap_join(left: DataFrame, right: DataFrame, left_start: str, left_end: str, right_start: str, right_end: str, width: int, known: set[int] | None = None) -> DataFrame:
     """All pairs that share a point. Columns of both sides; their names must differ. `width`: about twice a usual length.
 
-    Which grids are needed at all is asked of both sides while the plan is made: five rows each.
+    Which grids are needed at all is asked of both sides while the plan is made, five rows each, unless a set that holds all of
+    them is `known` (see `grids`).
     """
     left = left.filter(F.col(left_start) <= F.col(left_end)).withColumn("_own", _own_level(F.col(left_start), F.col(left_end), width))
     right = right.filter(F.col(right_start) <= F.col(right_end)).withColumn("_own", _own_level(F.col(right_start), F.col(right_end), width))
     levels = lambda d: {r[0] for r in d.select("_own").distinct().collect()}  # noqa: E731  five rows at most
-    in_left, in_right = levels(left), levels(right)
+    in_left, in_right = (levels(left), levels(right)) if known is None else (known, known)
     names = [*[c for c in left.columns if c != "_own"], *[c for c in right.columns if c != "_own"]]
     a = _laid(left.filter(F.col("_own") < LEVELS), F.col(left_start), F.col(left_end), width, in_right).withColumnRenamed("_own", "_own_a")
     b = _laid(right.filter(F.col("_own") < LEVELS), F.col(right_start), F.col(right_end), width, in_left).withColumnRenamed("_own", "_own_b")
@@ -62,12 +66,18 @@ def overlap_join(left: DataFrame, right: DataFrame, left_start: str, left_end: s
     meet = (F.col(left_start) <= F.col(right_end)) & (F.col(right_start) <= F.col(left_end))
     pairs = a.join(b, ["_level", "_bucket"]).filter((F.greatest("_own_a", "_own_b") == F.col("_level")) & (F.col("_bucket") == home) & meet).select(*names)
     if LEVELS in in_left:
-        pairs = pairs.unionByName(_with_long(left.filter(F.col("_own") == LEVELS).drop("_own"), right.drop("_own"), right_start).filter(meet).select(*names))
+        pairs = pairs.unionByName(_with_long(left.filter(F.col("_own") == LEVELS).drop("_own"), right.drop("_own"), left_start, left_end, right_start, right_end).select(*names))
     if LEVELS in in_right:
-        pairs = pairs.unionByName(_with_long(right.filter(F.col("_own") == LEVELS).drop("_own"), left.filter(F.col("_own") < LEVELS).drop("_own"), left_start).filter(meet).select(*names))
+        pairs = pairs.unionByName(_with_long(right.filter(F.col("_own") == LEVELS).drop("_own"), left.filter(F.col("_own") < LEVELS).drop("_own"), right_start, right_end, left_start, left_end).select(*names))
     return pairs
 
 
+def grids(sizes: DataFrame, size: str, width: int) -> set[int]:
+    """The grids that intervals of these sizes, or of size 1, need in `overlap_join`."""
+    own = sizes.select(_own_level(F.lit(1), F.col(size), width).alias("k")).distinct()
+    return {0} | {r[0] for r in own.filter("k is not null").collect()}  # five rows at most
+
+
 def carried(df: DataFrame, place: str, value: str, out: str, levels: int = 3) -> DataFrame:
     """`df` (one row a place) with the last value that isn't null at any place before. Windows hold FAN neighbouring places; the last values
     of these are carried on in the same way, so that only one row for FAN^levels places is ordered in one task."""
@@ -92,22 +102,17 @@ def in_range(intervals: DataFrame, start: str, end: str, low: int, high: int) ->
     return intervals.filter((F.col(start) <= high) & (F.col(end) >= low))
 
 
-def as_of(probes: DataFrame, objects: DataFrame, probe: str, start: str, size: str, keep: list[str], bucket: int, both: str = "inner") -> DataFrame:
+def as_of(probes: DataFrame, objects: DataFrame, probe: str, start: str, size: str, keep: list[str], bucket: int | None = None, both: str = "inner") -> DataFrame:
     """The object with the greatest start not after the probe, if it contains it (size <= 0: only its very start).
 
-    Probes and objects are cut into address buckets; each bucket takes its own last start or, where it has none yet, the last of
-    the buckets before it, by `carried`. Among objects with one start the one
-    with the greatest `keep` values counts. `both`: inner, or left to keep probes that nothing contains.
+    One ordered line of probes and objects, scanned in ranges of equal size however the addresses lie (`bucket`, which once set them, has no
+    effect). Among objects with one start the one with the greatest `keep` values counts. `both`: inner, or left to keep probes that nothing contains.
     """
     rank = F.struct(F.col(start).alias("_s"), F.col(size).alias("_z"), *[F.col(c) for c in keep])
-    objs = objects.groupBy(start).agg(F.max(rank).alias("_o")).select(F.floor(F.col(start) / bucket).alias("_b"), F.col(start).alias("_at"), "_o")
-    marked = probes.withColumn("_b", F.floor(F.col(probe) / bucket)).withColumn("_at", F.col(probe))
-    lasts = objs.groupBy("_b").agg(F.max_by("_o", "_at").alias("_last"))
-    every = lasts.join(marked.select("_b").distinct(), "_b", "full")
-    earlier = carried(every, "_b", "_last", "_carry").select("_b", "_carry")
-    line = marked.withColumn("_o", F.lit(None).cast(objs.schema["_o"].dataType)).withColumn("_kind", F.lit(1)).unionByName(objs.withColumn("_kind", F.lit(0)), allowMissingColumns=True)
-    w = Window.partitionBy("_b").orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0)
-    found = line.withColumn("_f", F.last("_o", ignorenulls=True).over(w)).filter("_kind = 1").join(earlier, "_b", "left").withColumn("_f", F.coalesce("_f", "_carry"))
+    objs = objects.groupBy(start).agg(F.max(rank).alias("_o")).select(F.col(start).cast("bigint").alias("_at"), "_o", F.lit(0).alias("_kind"), F.lit(0).cast("bigint").alias("_tie"))
+    marked = probes.withColumns({"_at": F.col(probe).cast("bigint"), "_o": F.lit(None).cast(objs.schema["_o"].dataType), "_kind": F.lit(1), "_tie": F.xxhash64(*probes.columns)})
+    line = ranged(marked.unionByName(objs, allowMissingColumns=True), ["_at", "_kind", "_tie"])
+    found = running(line, [], ["_at", "_kind", "_tie"], "_o", "_f", how="last", own=True).filter("_kind = 1")
     inside = F.col("_f").isNotNull() & (F.when(F.col("_f._z") <= 0, F.col(probe) == F.col("_f._s")).otherwise(F.col(probe) < F.col("_f._s") + F.col("_f._z")))
     out = found.withColumn("_f", F.when(inside, F.col("_f")))
     if both == "inner":
@@ -129,20 +134,35 @@ def type_relation(by_ends: Column, same_type: Column, first_holds: Column, secon
     return F.when(~within, by_ends).when((by_ends == "equal") & same_type, "equal").when((by_ends != "second_embeds") & first_holds, "first_embeds").when((by_ends != "first_embeds") & second_holds, "second_embeds").otherwise("cover")
 
 
-def merge(df: DataFrame, keys: list[str], start: str, end: str, touching: int = 1, block: int = 1 << 20) -> DataFrame:
+def merge(df: DataFrame, keys: list[str], start: str, end: str, touching: int = 1, block: int | None = None) -> DataFrame:
     """Maximal runs of intervals that overlap or lie within `touching` of each other: keys, start, end, n.
 
-    Runs are first made inside blocks of the line, then over those, so that one key with many intervals is shared out.
+    The greatest end so far is carried along each key over ranges of equal size, so that one key with many intervals is shared out (`block`, which
+    once cut them at fixed places, has no effect).
     """
-    def runs(d: DataFrame, by: list[str]) -> DataFrame:
-        w = Window.partitionBy(*by).orderBy(start, end)
-        reach = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
-        new = F.coalesce((F.col(start) > reach + touching).cast("int"), F.lit(1))
-        numbered = d.withColumn("_new", new).withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-        return numbered.groupBy(*by, "_run").agg(F.min(start).alias(start), F.max(end).alias(end), F.sum("n").alias("n")).drop("_run")
-
-    local = runs(df.select(*keys, start, end, F.lit(1).alias("n"), F.floor(F.col(start) / block).alias("_block")), [*keys, "_block"])
-    return runs(local.drop("_block"), keys)
+    line = ranged(df.groupBy(*keys, start, end).agg(F.count("*").alias("n")), [*keys, start, end])
+    reached = running(line, keys, [start, end], end, "_reach")
+    head = F.when(F.col("_reach").isNull() | (F.col("_start") > F.col("_reach") + touching), F.col("_start"))
+    sums = [F.max(end).alias(end), F.sum("n").alias("n")]
+    return segments(reached.withColumnRenamed(start, "_start"), keys, ["_start", end], head, start, sums, sums).select(*keys, start, end, "n")
+
+
+def gaps(df: DataFrame, start: str, end: str, low: int = -(1 << 61), high: int = 1 << 61) -> DataFrame:
+    """What merged intervals leave of [low, high]: start, end."""
+    ends = merge(df.filter(F.col(start) <= F.col(end)), [], start, end).select(F.col(start).alias("_s"), F.col(end).alias("_e"))
+    edges = ends.unionByName(ends.sparkSession.range(1).select(F.lit(low - 1).alias("_s"), F.lit(low - 1).alias("_e")))
+    line = neighbours(edges, [], "_s", after="_next")
+    out = line.select((F.col("_e") + 1).alias(start), (F.coalesce("_next", F.lit(high + 1)) - 1).alias(end))
+    return out.filter(F.col(start) <= F.col(end))
+
+
+def subtract(df: DataFrame, start: str, end: str, without: DataFrame, without_start: str, without_end: str, width: int) -> DataFrame:
+    """V7: what excluded ranges leave of each interval: its row once for each part left, with the part's ends; a swallowed interval has none.
+
+    The excluded ranges become the gaps between them, with which an ordinary overlap join cuts the intervals into their parts."""
+    left = gaps(without.select(F.col(without_start).cast("bigint").alias("_gs"), F.col(without_end).cast("bigint").alias("_ge")), "_gs", "_ge")
+    met = overlap_join(df, left, start, end, "_gs", "_ge", width)
+    return met.withColumns({start: F.greatest(F.col(start), F.col("_gs")), end: F.least(F.col(end), F.col("_ge"))}).select(*df.columns)
 
 
 def summary(prob: str, kind: str, valid: str | None = None, counted: Column | None = None) -> list[Column]:

@@ -1,8 +1,13 @@
-"""Rules: activation, priority, ambiguity, conflicts."""
+"""Rules: activation, access paths, priority, ambiguity, deferral, actions, conflicts.
+
+`match` is for a few rules of any condition. `RuleIndex` and `RuleEngine` are for many rules over type names: names find their rules by equality
+or by three letters that a wildcard must contain, so that a row is never tested against each of a thousand rules.
+"""
 
 from __future__ import annotations
 
 import os
+import re
 import xml.etree.ElementTree as ET
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -12,6 +17,8 @@ from pyspark.sql import functions as F
 
 from orebody.functions.expr import compile_expr
 from orebody.functions.filters import TypeFilter, expand_key
+from orebody.functions.patterns import NamePattern, compile_pattern, matches
+from orebody.operators.store import cut
 
 
 @dataclass
@@ -67,8 +74,8 @@ def conflicts(df: DataFrame, key: list[str], verdict: str) -> DataFrame:
 def reanchor(df: DataFrame, result: str, base: str, size: str, members: DataFrame) -> DataFrame:
     """A result inside its input is put on the member at that offset: adds member (null where none starts there)."""
     inside = F.when((F.col(result) >= F.col(base)) & (F.col(result) < F.col(base) + F.col(size)), F.col(result) - F.col(base))
-    m = members.select("struct_id", F.col("offset").alias("_off"), F.col("name").alias("member"))
-    return df.withColumn("_off", inside).join(m, (df["type_id"] == m["struct_id"]) & (F.col("_off") == m["_off"]), "left").drop("_off", "struct_id")
+    m = members.select(F.col("struct_id").alias("_struct"), F.col("offset").alias("_at"), F.col("name").alias("member"))
+    return df.withColumn("_off", inside).join(m, (F.col("type_id") == F.col("_struct")) & (F.col("_off") == F.col("_at")), "left").drop("_off", "_at", "_struct")
 
 
 class RuleSet:
@@ -117,6 +124,178 @@ def action(name: str) -> Callable:
     return register
 
 
+MOST_RULES = 100_000  # a written list; tables made of it are broadcast
+GRAM = 3
+
+
+def _literals(glob: str) -> list[str]:
+    """The stretches of a wildcard that must stand in a name as they are."""
+    return [x for x in re.split(r"[*?]|\[.[^\]]*\]", glob.lower()) if x]
+
+
+class RuleIndex:
+    """Which of many name patterns fit a row's name. Patterns: literals, wildcards, regular expressions or None (any), by their place in the list.
+
+    The most selective way is taken for each: literals by an equi-join, wildcards by one of their three-letter sequences, the one that the
+    fewest names contain (if `tuned`), and then the expression; only patterns without such a sequence are tried on every row. Joins are with tables
+    of the rules, which are broadcast: a list of more than MOST_RULES is refused.
+    """
+
+    def __init__(self, spark: SparkSession, patterns: list[str | None]) -> None:
+        if len(patterns) > MOST_RULES:
+            raise ValueError(f"{len(patterns)} rules; {MOST_RULES} are the most")
+        self.spark = spark
+        self.exact: list[tuple[int, str]] = []
+        self.wild: list[tuple[int, list[str], str]] = []
+        self.rest: list[tuple[int, NamePattern]] = []
+        for i, text in enumerate(patterns):
+            p = compile_pattern(text)
+            grams = sorted({x[k : k + GRAM] for x in _literals(text.strip()) for k in range(len(x) - GRAM + 1)}) if p.kind == "wildcard" else []
+            if p.kind == "literal":
+                self.exact.append((i, p.text.lower()))
+            elif grams and all(x.isascii() for x in grams):
+                self.wild.append((i, grams, f"(?si)^(?:{p.text})$"))
+            else:
+                self.rest.append((i, p))
+        self.chosen = {i: grams[0] for i, grams, _ in self.wild}
+
+    @staticmethod
+    def _spread(rows: DataFrame, name: str) -> DataFrame:
+        """Rows once for each different three-letter sequence of their name, as `_gram`."""
+        low = F.lower(F.col(name))
+        every = F.transform(F.sequence(F.lit(1), F.length(low) - (GRAM - 1)), lambda i: F.substring(low, i, F.lit(GRAM)))
+        return rows.filter(F.length(low) >= GRAM).withColumn("_gram", F.explode(F.array_distinct(every)))
+
+    def tuned(self, rows: DataFrame, name: str) -> RuleIndex:
+        """Choose for each wildcard the sequence that the fewest of these names contain. One pass; a row for each sequence of the rules comes back."""
+        known = {g for _, grams, _ in self.wild for g in grams}
+        if known:
+            table = F.broadcast(self.spark.createDataFrame([(g,) for g in sorted(known)], "_gram string"))
+            n = {r[0]: r[1] for r in self._spread(rows.select(name), name).join(table, "_gram").groupBy("_gram").count().collect()}
+            self.chosen = {i: min(grams, key=lambda g: (n.get(g, 0), g)) for i, grams, _ in self.wild}
+        return self
+
+    def candidates(self, rows: DataFrame, name: str) -> DataFrame:
+        """`rows` with rule_no, once for each pattern that fits."""
+        low = F.lower(F.col(name))
+        out = []
+        if self.exact:
+            table = self.spark.createDataFrame(self.exact, "rule_no int, _text string")
+            out.append(rows.join(F.broadcast(table), low == F.col("_text")).drop("_text"))
+        if self.wild:
+            table = self.spark.createDataFrame([(i, self.chosen[i], regex) for i, _, regex in self.wild], "rule_no int, _gram string, _regex string")
+            out.append(self._spread(rows, name).join(F.broadcast(table), "_gram").filter(F.expr(f"`{name}` rlike _regex")).drop("_gram", "_regex").select(*rows.columns, "rule_no"))
+        if self.rest:
+            said = F.array_compact(F.array(*[F.when(matches(F.col(name), p), F.lit(i)) for i, p in self.rest]))
+            out.append(rows.withColumn("rule_no", F.explode(said)))
+        if not out:
+            return rows.withColumn("rule_no", F.lit(0)).limit(0)
+        first = out[0].select(*rows.columns, "rule_no")
+        for more in out[1:]:
+            first = first.unionByName(more.select(*rows.columns, "rule_no"))
+        return first
+
+
+@dataclass
+class PathRule:
+    """A rule on a type and on the members that are read from it, one after another; `action` names one of ACTIONS, whose result, an address, is an
+    instance of `target_type`."""
+
+    name: str
+    type_name: str | None
+    members: list[str] = field(default_factory=list)
+    action: str = ""
+    target_type: str = ""
+    priority: int = 0
+    enabled: bool = True
+
+
+class RuleEngine:
+    """Rules evaluated until nothing more follows.
+
+    A rule that wants more members than an instance has been asked for waits; `extend` then reads one member more of such instances, and the waiting
+    rules are tried on what it returns. Where a rule's action yields an address, an instance of the rule's target type stands there, to which the
+    rules apply anew. Each (type, address, members read) is looked at once, so that circles end.
+    """
+
+    def __init__(self, rules: list[PathRule], extend: Callable[[DataFrame], DataFrame]) -> None:
+        """extend: from instances (type_name, address, path, at) rows with a member more: the same columns, `path` one longer and `at` where the member
+        stands; further columns may serve the actions."""
+        self.rules, self.extend = [r for r in rules if r.enabled], extend
+        unknown = sorted({r.action for r in self.rules} - set(ACTIONS))
+        if unknown:
+            raise ValueError(f"unknown actions: {', '.join(unknown)}")
+
+    def evaluate(self, instances: DataFrame) -> DataFrame:
+        """instances: type_name, address. Returns type_name, address, path, rule_name, priority, target_type, result, ambiguous, generation: the
+        deciding rule of each instance and path for which one matched; a rule on fewer members of the same instance wins over one on more
+        if its priority isn't lower."""
+        spark = instances.sparkSession
+        index = RuleIndex(spark, [r.type_name for r in self.rules])
+        table = F.broadcast(spark.createDataFrame(
+            [(i, r.name, r.priority, [_whole(compile_pattern(m)) for m in r.members], r.action, r.target_type) for i, r in enumerate(self.rules)],
+            "rule_no int, rule_name string, priority int, wants array<string>, action string, target_type string",
+        ))
+        fresh = cut(instances.select("type_name", F.col("address").cast("bigint").alias("address")).distinct())
+        seen, decided, generation = [], [], 0
+        while not fresh.isEmpty():
+            seen.append(fresh)
+            start = fresh.withColumns({"path": F.array().cast("array<string>"), "at": F.col("address")})
+            active = cut(index.candidates(start, "type_name").join(table, "rule_no"))
+            rounds = []
+            while not active.isEmpty():
+                given, wanted = F.size("path"), F.size("wants")
+                told = defer(active, given, wanted)
+                hit = told.filter("state = 'match'")
+                result = F.lit(None).cast("bigint")
+                for name in sorted({r.action for r in self.rules}):
+                    result = F.when(F.col("action") == name, ACTIONS[name](F.col("at")).cast("bigint")).otherwise(result)
+                rounds.append(cut(hit.withColumn("result", result).filter("result is not null").select("type_name", "address", "path", "rule_no", "rule_name", "priority", "target_type", "result")))
+                waiting = told.filter("state = 'defer'")
+                longer = self.extend(waiting.select("type_name", "address", "path", "at").distinct()).withColumn("_before", F.slice("path", 1, F.size("path") - 1))
+                again = waiting.select(F.col("type_name").alias("_t"), F.col("address").alias("_a"), F.col("path").alias("_p"), "rule_no", "rule_name", "priority", "wants", "action", "target_type")
+                met = longer.join(again, (F.col("type_name") == F.col("_t")) & (F.col("address") == F.col("_a")) & (F.col("_before") == F.col("_p")))
+                active = cut(met.filter(F.expr("element_at(path, -1) rlike element_at(wants, size(path))")).drop("_before", "_t", "_a", "_p"))
+            matched = rounds[0] if rounds else None
+            for more in rounds[1:]:
+                matched = matched.unionByName(more)
+            if matched is None:
+                break
+            own = cut(self._decided(matched).withColumn("generation", F.lit(generation)))
+            decided.append(own)
+            known = seen[0].select("type_name", "address")
+            for more in seen[1:]:
+                known = known.unionByName(more.select("type_name", "address"))
+            fresh = cut(own.select(F.col("target_type").alias("type_name"), F.col("result").alias("address")).distinct().join(known, ["type_name", "address"], "left_anti"))
+            generation += 1
+        if not decided:
+            return self._decided(instances.select("type_name", F.col("address").cast("bigint").alias("address"), F.array().cast("array<string>").alias("path"), F.lit(0).alias("rule_no"), F.lit("").alias("rule_name"), F.lit(0).alias("priority"), F.lit("").alias("target_type"), F.lit(0).cast("bigint").alias("result"))).withColumn("generation", F.lit(0)).limit(0)
+        out = decided[0]
+        for more in decided[1:]:
+            out = out.unionByName(more)
+        return out
+
+    @staticmethod
+    def _decided(matched: DataFrame) -> DataFrame:
+        """The best rule of each instance and path, then those of shorter paths against those of longer ones."""
+        target = F.concat_ws("@", "target_type", F.col("result").cast("string"))
+        best = decide(matched.withColumn("target", target), ["type_name", "address", "path"])
+        above = best.select("type_name", "address", F.col("path").alias("_up"), F.col("priority").alias("_over"))
+        beaten = best.join(above, ["type_name", "address"]).filter((F.size("_up") < F.size("path")) & (F.slice("path", 1, F.size("_up")) == F.col("_up")) & (F.col("_over") >= F.col("priority")))
+        kept = best.join(beaten.select("type_name", "address", "path").distinct(), ["type_name", "address", "path"], "left_anti")
+        parts = F.split("target", "@")
+        return kept.select("type_name", "address", "path", "rule_name", "priority", parts[0].alias("target_type"), F.get(parts, F.lit(1)).cast("bigint").alias("result"), "ambiguous")
+
+
+def _whole(p: NamePattern) -> str:
+    """A pattern as one expression."""
+    if p.kind == "any":
+        return ""
+    if p.kind == "literal":
+        return "(?i)^" + re.sub(r"([\\.^$|()\[\]{}*+?])", r"\\\1", p.text) + "$"
+    return f"(?si)^(?:{p.text})$" if p.kind == "wildcard" else f"(?i){p.text}" if p.ignore_case else p.text
+
+
 def read_rules(path: str, seen: set[str] | None = None) -> list[dict]:
     """SRC10: rules from XML: filters, system, action, priority; includes are read once and looked for beside the file and
     in its include paths. Raises ValueError for unknown elements."""

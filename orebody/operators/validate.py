@@ -56,8 +56,11 @@ def cache_types(caches: DataFrame, types: DataFrame, aliases: dict[str, str] | N
     table = F.create_map(*[x for k, v in (aliases or {}).items() for x in (F.lit(k), F.lit(v))]) if aliases else None
     wanted = F.coalesce(table[F.col("cache")], base) if table is not None else base
     named = caches.withColumn("_w", wanted)
-    t = types.select(F.col("name").alias("_n"), F.col("size").alias("_s"), F.col("type_id").alias("_t"))
-    pair = named.join(t, (F.col("_s") == F.col("object_size")) & ((F.col("_n") == F.col("_w")) | F.col("_n").startswith(F.col("_w"))))
+    # every name once for each of its beginnings: names meet the caches that ask for such a beginning and size, and no others
+    starts = F.transform(F.sequence(F.lit(0), F.length("name")), lambda n: F.substring(F.col("name"), F.lit(1), n))
+    t = types.select(F.col("name").alias("_n"), F.col("size").alias("_s"), F.col("type_id").alias("_t"), F.explode(starts).alias("_b"))
+    asked = named.select(F.col("_w").alias("_b"), F.col("object_size").alias("_s")).distinct()
+    pair = named.join(t.join(asked, ["_b", "_s"], "left_semi"), (F.col("_s") == F.col("object_size")) & (F.col("_b") == F.col("_w")))
     best = F.min(F.struct((F.col("_n") != F.col("_w")).alias("inexact"), F.abs(F.length("_n") - F.length("_w")).alias("far"), F.col("_n").alias("type_name"), F.col("_t").alias("type_id")))
     return pair.groupBy("cache").agg(best.alias("b")).select("cache", "b.type_name", "b.type_id")
 
@@ -123,14 +126,17 @@ def translate_linear(address: Column, regions: list[tuple[int, int, int]]) -> Co
 
 def translate(rows: DataFrame, address: str, entries: DataFrame, root: int, levels: int = 4, entry_bytes: int = 8, index_bits: int = 9, page_bits: int = 12) -> DataFrame:
     """Physical addresses by walking page tables: one join a level. entries: at (physical address of an entry), entry.
-    Adds physical (null if not present) and page_size; large pages end the walk early."""
+    The root's table, which all rows ask, has 2^index_bits entries at most and is broadcast; below it a busy entry is one row that a skewed join
+    meets in parts. Adds physical (null if not present) and page_size; large pages end the walk early."""
     mask = (1 << 52) - (1 << page_bits)
     cur = rows.withColumn("_base", F.lit(root).cast("bigint")).withColumn("physical", F.lit(None).cast("bigint")).withColumn("page_size", F.lit(None).cast("bigint"))
     table = entries.select(F.col("at").alias("_at"), F.col("entry").alias("_e"))
     for level in range(levels - 1, -1, -1):
         shift = page_bits + level * index_bits
         index = F.call_function("shiftrightunsigned", F.col(address), F.lit(shift)).bitwiseAND(F.lit((1 << index_bits) - 1))
-        cur = cur.withColumn("_at", F.col("_base") + index * entry_bytes).join(table, "_at", "left").drop("_at")
+        top = level == levels - 1
+        own = F.broadcast(table.filter(F.col("_at").between(root, root + (entry_bytes << index_bits) - 1)).dropDuplicates(["_at"])) if top else table
+        cur = cur.withColumn("_at", F.col("_base") + index * entry_bytes).join(own, "_at", "left").drop("_at")
         present = F.coalesce(F.col("_e").bitwiseAND(F.lit(1)) == 1, F.lit(False))
         large = F.lit(True) if level == 0 else (F.col("_e").bitwiseAND(F.lit(0x80)) != 0) & F.lit(level < levels - 1)
         frame = F.col("_e").bitwiseAND(F.lit(mask & ~((1 << shift) - 1)))

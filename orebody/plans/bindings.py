@@ -12,9 +12,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orebody.functions import expr, filters, patterns
-from orebody.operators import diff, graph, instances, intervals, rules, stats, validate
+from orebody.operators import diff, dyadic, graph, instances, intervals, revmap, rules, stats, trees, validate
 from orebody.plans.pathql import Edge, KeyPaths
 from orebody.session import Symbols
+from orebody.sources import memory
+from orebody.sources import text as text_source
 from orebody.sources.text import fold_trace
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -1045,3 +1047,283 @@ def _(t):
     picked, _ = expr.guarded([("p_size > 25", "p_size + THREE"), ("key % 2 == 1", "key * 2")], names)
     at = lambda text: expr.compile_expr(text, names, offsets=lambda ty, path: {("task", "list.next"): 16}.get((ty, path), -1))[0]
     return t("part").select("p_partkey", picked.alias("picked"), at("++p_size").alias("up"), at("offsetof(struct task, list.next) + p_size").alias("member"), at("p_size % THREE == 0 ? RED : BLUE").alias("named"))
+
+
+# --- ranges from cells, exclusions, deep trees, the reverse map, recursive differences, rules by index, debug records
+
+
+@query(
+    "range_summary",
+    f"""WITH {OBJ_SQL}, top AS (SELECT max(end_) + 1 AS m FROM OBJ), r AS (SELECT o_orderkey AS rid, o_orderkey * 7919 % m AS lo, o_orderkey * 7919 % m + o_custkey * 331 % 20000 AS hi FROM orders, top)
+    SELECT rid, CAST(count(*) AS BIGINT) AS n, min(prob) AS min_prob, max(prob) AS max_prob, CAST(bit_or(bits) AS INTEGER) AS kinds, CAST(sum(size) AS BIGINT) AS bytes FROM r JOIN OBJ ON addr <= hi AND end_ >= lo GROUP BY rid""",
+)
+def _(t):
+    o = obj(t)
+    top = (o.agg(F.max("end_")).first()[0] or 0) + 1
+    low = F.col("o_orderkey") * 7919 % top
+    ranges = t("orders").select(F.col("o_orderkey").alias("rid"), low.alias("lo"), (low + F.col("o_custkey") * 331 % 20000).alias("hi"))
+    size = lambda f: f.cast("bigint").alias("bytes")
+    made = dyadic.RangeSummaries(o, "addr", "end_", [*intervals.summary("prob", "bits"), size(F.sum("size"))], [*intervals.merged_summary(), size(F.sum("bytes"))])
+    return made.of_ranges(ranges, "rid", "lo", "hi")
+
+
+@query(
+    "point_summary",
+    f"""WITH {OBJ_SQL} SELECT l_orderkey AS pid, CAST(count(*) AS BIGINT) AS n, min(prob) AS min_prob, max(prob) AS max_prob, CAST(bit_or(bits) AS INTEGER) AS kinds
+    FROM (SELECT DISTINCT l_orderkey FROM lineitem) JOIN OBJ ON l_orderkey * 43 BETWEEN addr AND end_ GROUP BY l_orderkey""",
+)
+def _(t):
+    points = t("lineitem").select(F.col("l_orderkey").alias("pid"), (F.col("l_orderkey") * 43).alias("at")).distinct()
+    return dyadic.RangeSummaries(obj(t), "addr", "end_", intervals.summary("prob", "bits"), intervals.merged_summary()).at_points(points, "pid", "at")
+
+
+@query(
+    "changed_without_patches",
+    """WITH r AS (SELECT o_orderkey, o_orderkey * 50 AS s, o_orderkey * 50 + 20 + o_custkey % 60 AS e FROM orders), x AS (SELECT l_partkey * 37 + l_orderkey * 11 AS xs, l_partkey * 37 + l_orderkey * 11 + l_linenumber * 9 AS xe FROM lineitem WHERE l_returnflag = 'R'),
+    m AS (SELECT *, max(xe) OVER (ORDER BY xs, xe ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM x), i AS (SELECT *, sum(CASE WHEN reach IS NULL OR xs > reach + 1 THEN 1 ELSE 0 END) OVER (ORDER BY xs, xe ROWS UNBOUNDED PRECEDING) AS g FROM m),
+    d AS (SELECT min(xs) AS xs, max(xe) AS xe FROM i GROUP BY g), gaps AS (SELECT xe + 1 AS gs, coalesce(lead(xs) OVER (ORDER BY xs), 1125899906842624) - 1 AS ge FROM d UNION ALL SELECT -1, coalesce(min(xs), 1125899906842624) - 1 FROM d)
+    SELECT o_orderkey, greatest(s, gs) AS s, least(e, ge) AS e FROM r JOIN gaps ON gs <= e AND ge >= s""",
+)
+def _(t):
+    runs = t("orders").select("o_orderkey", (F.col("o_orderkey") * 50).alias("s"), (F.col("o_orderkey") * 50 + 20 + F.col("o_custkey") % 60).alias("e"))
+    start = F.col("l_partkey") * 37 + F.col("l_orderkey") * 11
+    patches = t("lineitem").filter("l_returnflag = 'R'").select(start.alias("xs"), (start + F.col("l_linenumber") * 9).alias("xe"))
+    return intervals.subtract(runs, "s", "e", patches, "xs", "xe", 64)
+
+
+@query(
+    "type_relations",
+    f"""WITH {OBJ_SQL}, p AS (SELECT a.event_id, a.kind AS ka, b.kind AS kb, a.addr AS s, a.end_ AS e, b.addr AS x, b.end_ AS y FROM OBJ a JOIN OBJ b ON b.addr <= a.end_ AND b.end_ >= a.addr AND a.event_id <> b.event_id),
+    h AS (SELECT *, ka = 'click' AND kb = 'view' AS f, kb = 'click' AND ka = 'view' AS g FROM p)
+    SELECT v, CAST(count(*) AS BIGINT) AS n FROM (SELECT CASE WHEN NOT ((s <= x AND e >= y) OR (x <= s AND y >= e)) THEN 'overlap' WHEN s = x AND e = y AND ka = kb THEN 'equal' WHEN s <= x AND e >= y AND f THEN 'first_embeds' WHEN x <= s AND y >= e AND g THEN 'second_embeds' ELSE 'cover' END AS v FROM h) GROUP BY v""",
+)
+def _(t):
+    a = obj(t).select("event_id", "kind", "addr", "end_")
+    b = a.select(F.col("event_id").alias("other"), F.col("kind").alias("k"), F.col("addr").alias("x"), F.col("end_").alias("y"))
+    met = intervals.overlap_join(a, b, "addr", "end_", "x", "y", WIDTH).filter("event_id <> other")
+    holds = lambda outer, inner: (F.col(outer) == "click") & (F.col(inner) == "view")
+    said = intervals.type_relation(intervals.relation(F.col("addr"), F.col("end_"), F.col("x"), F.col("y")), F.col("kind") == F.col("k"), holds("kind", "k"), holds("k", "kind"))
+    return met.groupBy(said.alias("v")).agg(F.count("*").alias("n"))
+
+
+_CHAIN_SQL = "chain AS (SELECT c_custkey AS node, CASE WHEN c_custkey >= 40 THEN c_custkey - 40 WHEN c_custkey > 0 THEN (c_custkey - 1) // 3 END AS parent FROM customer)"
+
+
+def _chains(t) -> DataFrame:
+    """A tree of customers: bushy at the root, with 40 long branches."""
+    k = F.col("c_custkey")
+    return t("customer").select(k.alias("node"), F.when(k >= 40, k - 40).when(k > 0, F.floor((k - 1) / 3)).alias("parent"))
+
+
+@query("tree_depths", f"WITH RECURSIVE {_CHAIN_SQL}, d AS (SELECT node, 0 AS depth FROM chain WHERE parent IS NULL UNION ALL SELECT c.node, d.depth + 1 FROM d JOIN chain c ON c.parent = d.node) SELECT node, CAST(depth AS BIGINT) AS depth FROM d")
+def _(t):
+    return graph.Jumps(_chains(t)).depths
+
+
+@query(
+    "deep_common_ancestor",
+    f"""WITH RECURSIVE {_CHAIN_SQL}, u AS (SELECT node, node AS up, 0 AS d FROM chain UNION ALL SELECT u.node, c.parent, u.d + 1 FROM u JOIN chain c ON c.node = u.up WHERE c.parent IS NOT NULL), p AS (SELECT c_custkey AS a, (c_custkey * 7 + 3) % (SELECT count(*) FROM customer) AS b FROM customer)
+    SELECT a, b, CAST(arg_min(x.up, x.d) AS VARCHAR) AS lca FROM p JOIN u x ON x.node = a JOIN u y ON y.node = b AND y.up = x.up GROUP BY a, b""",
+)
+def _(t):
+    n = t("customer").count()
+    text = _chains(t).select(F.col("node").cast("string").alias("node"), F.col("parent").cast("string").alias("parent"))
+    return graph.lowest_common_ancestor(t("customer").select(F.col("c_custkey").alias("a"), ((F.col("c_custkey") * 7 + 3) % n).alias("b")), graph.Jumps(text))
+
+
+@query(
+    "tree_in_lines",
+    f"""WITH RECURSIVE {_CHAIN_SQL}, d AS (SELECT node, lpad(node::VARCHAR, 8, '0') AS path FROM chain WHERE parent IS NULL UNION ALL SELECT c.node, d.path || lpad(c.node::VARCHAR, 8, '0') FROM d JOIN chain c ON c.parent = d.node)
+    SELECT node, CAST(row_number() OVER (ORDER BY path) - 1 AS BIGINT) AS place, repeat('  ', CAST(length(path) // 8 - 1 AS INTEGER)) || node AS line FROM d""",
+)
+def _(t):
+    return memory.tree_dump(_chains(t), "node").select("node", "place", "line")
+
+
+_KEYED_SQL = "keyed AS (SELECT c_custkey + 1 AS node, CASE WHEN c_custkey < 31 THEN 2 * (c_custkey + 1) WHEN c_custkey % 2 = 0 THEN c_custkey + 1 + 32 END AS lft, CASE WHEN c_custkey < 31 THEN 2 * (c_custkey + 1) + 1 WHEN c_custkey % 2 = 1 THEN c_custkey + 1 + 32 END AS rgt FROM customer)"
+
+
+@query(
+    "keyed_tree_in_order",
+    f"""WITH RECURSIVE {_KEYED_SQL}, d AS (SELECT node, lft, rgt, '' AS path FROM keyed WHERE node = 1 UNION ALL SELECT k.node, k.lft, k.rgt, d.path || CASE WHEN k.node = d.lft THEN 'a' ELSE 'c' END FROM d JOIN keyed k ON k.node = d.lft OR k.node = d.rgt)
+    SELECT node, CAST(row_number() OVER (ORDER BY path || 'b') - 1 AS BIGINT) AS place FROM d""",
+)
+def _(t):
+    k = F.col("c_custkey")
+    node, long = k + 1, k + 33
+    nodes = t("customer").select(node.alias("node"), F.when(k < 31, 2 * node).when(k % 2 == 0, long).alias("left"), F.when(k < 31, 2 * node + 1).when(k % 2 == 1, long).alias("right"))
+    return trees.in_order(nodes).filter("root = 1").select("node", "place")
+
+
+@query(
+    "hash_chains",
+    """WITH r AS (SELECT o_orderkey AS node, o_orderkey % 97 AS head, row_number() OVER (PARTITION BY o_orderkey % 97 ORDER BY o_orderkey) - 1 AS place FROM orders)
+    SELECT -1 - head AS head, node, CAST(place AS BIGINT) AS place, NOT (place > 0 AND node % 13 = 0) AS linked FROM r""",
+)
+def _(t):
+    rows = graph.neighbours_window(t("orders").select(F.col("o_orderkey").alias("node"), (F.col("o_orderkey") % 97).alias("head")), "head", "node")
+    owner = -1 - F.col("head")
+    pprev = F.when(F.col("prev").isNull(), owner).when(F.col("node") % 13 == 0, F.lit(-1000)).otherwise(F.col("prev") + 8)
+    return trees.hash_chains(rows.filter("prev is null").select(owner.alias("head"), F.col("node").alias("first")), rows.select("node", "next", pprev.alias("pprev")), next_offset=8)
+
+
+@query(
+    "settled_probabilities",
+    """WITH n AS (SELECT o_orderkey AS id, 0.5 + o_custkey % 50 / 100.0::DOUBLE AS i, CASE WHEN o_custkey % 5 = 0 THEN 1.5 ELSE 1.0 END::DOUBLE AS f FROM orders), e AS (SELECT (o_orderkey - 1) // 4 AS parent, o_orderkey AS child FROM orders WHERE o_orderkey > 0),
+    p0 AS (SELECT id, least(1.0::DOUBLE, i * f) AS p FROM n)
+    """ + "".join(f""", p{k} AS (SELECT n.id, least(1.0::DOUBLE, i * coalesce(u.p, 1.0::DOUBLE) * coalesce(d.p, 1.0::DOUBLE) * f) AS p FROM n LEFT JOIN (SELECT child AS id, max(p) AS p FROM e JOIN p{k - 1} ON id = parent GROUP BY child) u USING (id) LEFT JOIN (SELECT parent AS id, avg(p) AS p FROM e JOIN p{k - 1} ON id = child GROUP BY parent) d USING (id))""" for k in range(1, 4)) + " SELECT id, round(p, 6) AS p FROM p3",
+)
+def _(t):
+    nodes = t("orders").select(F.col("o_orderkey").alias("id"), (0.5 + F.col("o_custkey") % 50 / 100.0).alias("initial"), F.when(F.col("o_custkey") % 5 == 0, 2).otherwise(1).alias("encounters"))
+    edges = t("orders").filter("o_orderkey > 0").select(F.floor((F.col("o_orderkey") - 1) / 4).alias("parent"), F.col("o_orderkey").alias("child"))
+    return graph.fixed_point(nodes, edges, rounds=3).select("id", F.round("p", 6).alias("p"))
+
+
+_MAP_LEAST, _MAP_STEPS = 0.45, 6
+
+
+def _map_sql() -> str:
+    """The reverse map by buckets, written out: what is in a bucket comes from the seeds, from better buckets, or from itself."""
+    fate = lambda s, p, x: f"NOT EXISTS (SELECT 1 FROM {s} z WHERE z.p > {p} + 0.1 AND z.a <= {x}.a + {x}.size - 1 AND z.a + z.size - 1 >= {x}.a) AND NOT EXISTS (SELECT 1 FROM {s} z WHERE z.i = {x}.i AND z.ty = {x}.ty)"
+    parts = []
+    for b in range(_MAP_STEPS):
+        high, low, s = 1 - b * 0.1, max(1 - (b + 1) * 0.1, _MAP_LEAST), f"s{b}"
+        inside = lambda p: f"{p} > {low}::DOUBLE AND {p} <= {high}::DOUBLE"  # noqa: B023, E731
+        parts.append(f"""b{b} AS (SELECT x.i, x.ty, x.p FROM (SELECT f.*, sp * f / (1 - 1e-5::DOUBLE) AS p FROM seeds JOIN f USING (i, ty) UNION SELECT f.*, z.p * f AS p FROM {s} z JOIN e ON e.i = z.i AND e.ty = z.ty JOIN f ON f.i = e.di AND f.ty = e.dty) x WHERE {inside("x.p")} AND {fate(s, "x.p", "x")}
+          UNION SELECT f.i, f.ty, r.p * f.f FROM b{b} r JOIN e ON e.i = r.i AND e.ty = r.ty JOIN f ON f.i = e.di AND f.ty = e.dty WHERE {inside("r.p * f.f")} AND {fate(s, "r.p * f.f", "f")})""")
+        parts.append(f"s{b + 1} AS MATERIALIZED (SELECT i, ty, p, a, size FROM {s} UNION ALL SELECT i, ty, max(p), min(a), min(size) FROM b{b} JOIN f USING (i, ty) GROUP BY i, ty)")
+    return f"""WITH RECURSIVE o AS (SELECT c_custkey AS i, count(*) OVER () AS n FROM customer), k AS (SELECT i, ty, 2000 + 24 * i AS a, CASE ty WHEN 'A' THEN 40 ELSE 16 END AS size, n FROM o, (VALUES ('A'), ('B')) v(ty)),
+    e AS MATERIALIZED (SELECT i, ty, di, dty FROM (SELECT i, ty, n, CASE ty WHEN 'A' THEN unnest([9 * i, 9 * i + 1, 13 * i]) ELSE unnest([9 * i, NULL, NULL]) END AS di, CASE ty WHEN 'A' THEN unnest(['B', 'A', 'A']) ELSE 'A' END AS dty FROM k) WHERE i > 0 AND di < n),
+    h AS (SELECT i, ty, avg(CASE WHEN di % 9 <> 4 THEN 1.0 ELSE 0.0 END) AS share FROM e GROUP BY i, ty),
+    f AS MATERIALIZED (SELECT i, ty, a, size, (1 - 1e-5::DOUBLE) * CASE WHEN i % 9 <> 4 THEN 1.0::DOUBLE ELSE 0.01::DOUBLE END * CASE WHEN i % 4 <> 1 OR i = 1 THEN 1.0::DOUBLE ELSE 0.7::DOUBLE END * ((1 - coalesce(share, 1.0::DOUBLE)) * 0.2::DOUBLE + (1 - (1 - coalesce(share, 1.0::DOUBLE)))) AS f FROM k LEFT JOIN h USING (i, ty)),
+    seeds AS (SELECT i, 'A' AS ty, 1.0::DOUBLE AS sp FROM o WHERE i = 1 UNION ALL SELECT i, 'B', 0.85::DOUBLE FROM o WHERE i % 31 = 3 UNION ALL SELECT i, 'A', 0.62::DOUBLE FROM o WHERE i % 17 = 4),
+    s0 AS (SELECT i, ty, 0.0::DOUBLE AS p, a, size FROM f WHERE FALSE), {", ".join(parts)}
+    SELECT a AS address, a + size - 1 AS end_, ty AS type_id, round(p, 9) AS prob FROM s{_MAP_STEPS}"""
+
+
+@query("reverse_map", _map_sql())
+def _(t):
+    n = t("customer").count()
+    spark = t("customer").sparkSession
+    i, at = F.col("c_custkey"), (lambda c: c * 24 + 2000)
+    aim = lambda offset, to: t("customer").filter(i > 0).select((at(i) + offset).alias("address"), F.when(to < n, at(to)).otherwise(0).alias("value"))
+    pointers = aim(0, 9 * i).unionByName(aim(8, 9 * i + 1)).unionByName(aim(16, 13 * i))
+    members = spark.createDataFrame([("A", "b", 0, "Pointer", "B", 8, 1), ("A", "next", 8, "Pointer", "A", 8, 1), ("A", "far", 16, "Pointer", "A", 8, 1), ("B", "a", 0, "Pointer", "A", 8, 1)], "type_id string, member string, offset long, kind string, ref_type string, size long, length int")
+    k = (F.col("address") - 2000) / 24
+    seed = lambda kind, p, test: t("customer").filter(test).select(at(i).alias("address"), F.lit(kind).alias("type_id"), F.lit(p).alias("prob"))
+    seeds = seed("A", 1.0, i == 1).unionByName(seed("B", 0.85, i % 31 == 3)).unionByName(seed("A", 0.62, i % 17 == 4))
+    build = revmap.ReverseMap(
+        spark.createDataFrame([("A", 40), ("B", 16)], "type_id string, size long"), members, pointers, lambda d: d.withColumn("valid", k % 9 != 4), lambda d: d.withColumn("magic_ok", (k % 4 != 1) | (k == 1)),
+        gap=0.1, least=_MAP_LEAST, width=WIDTH,
+    )
+    return build.build(seeds).select("address", F.col("end").alias("end_"), "type_id", F.round("prob", 9).alias("prob"))
+
+
+@query("slab_map", f"WITH {OBJ_SQL} SELECT DISTINCT addr || ':' || kind AS node, addr AS address, end_, kind AS type_id FROM OBJ")
+def _(t):
+    return revmap.slab_map(obj(t).select(F.col("addr").alias("slot"), F.col("size").alias("slot_size"), F.col("kind").alias("slot_type"))).select("node", "address", F.col("end").alias("end_"), "type_id")
+
+
+@query(
+    "recursive_difference",
+    """WITH w AS (SELECT o_orderkey AS k, o_orderstatus, o_orderpriority, c_mktsegment, n_nationkey, n_name, r_regionkey, r_name FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey),
+    p AS (SELECT a.k, a, b FROM w a JOIN w b ON b.k = a.k + 1)
+    SELECT k AS root, 'status' AS path FROM p WHERE a.o_orderstatus <> b.o_orderstatus UNION ALL SELECT k, 'priority' FROM p WHERE a.o_orderpriority <> b.o_orderpriority UNION ALL SELECT k, 'cust.segment' FROM p WHERE a.c_mktsegment <> b.c_mktsegment
+    UNION ALL SELECT k, 'cust.nation.name' FROM p WHERE a.n_name <> b.n_name UNION ALL SELECT k, 'cust.nation.region.name' FROM p WHERE a.r_name <> b.r_name""",
+)
+def _(t):
+    key = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    value = lambda table, o, field, c: t(table).select(o.alias("object"), F.lit(field).alias("field"), F.col(c).alias("value"))
+    link = lambda table, o, field, c: t(table).select(o.alias("object"), F.lit(field).alias("field"), c.alias("target"))
+    o, c, n, r = key("o", "o_orderkey"), key("c", "c_custkey"), key("n", "n_nationkey"), key("r", "r_regionkey")
+    values = value("orders", o, "status", "o_orderstatus").unionByName(value("orders", o, "priority", "o_orderpriority")).unionByName(value("customer", c, "segment", "c_mktsegment")).unionByName(value("nation", n, "name", "n_name")).unionByName(value("region", r, "name", "r_name"))
+    back = link("region", r, "largest", key("r", "r_regionkey"))  # regions name themselves, a circle
+    links = link("orders", o, "cust", key("c", "o_custkey")).unionByName(link("customer", c, "nation", key("n", "c_nationkey"))).unionByName(link("nation", n, "region", key("r", "n_regionkey"))).unionByName(back)
+    last = t("orders").agg(F.max("o_orderkey")).first()[0] or 0
+    pairs = t("orders").filter(F.col("o_orderkey") < last).select(F.col("o_orderkey").alias("root"), o.alias("a"), F.concat(F.lit("o"), (F.col("o_orderkey") + 1).cast("string")).alias("b"))
+    return diff.recursive_diff(pairs, values, values, links, links)
+
+
+def _name_rules() -> list[str]:
+    """A thousand patterns over customers' names."""
+    return [(f"Customer#{i * 7:09d}", f"*{i:04d}", f"customer#*{i % 100:02d}?{i % 10}*")[i % 3] for i in range(1000)]
+
+
+@query(
+    "rule_index",
+    """WITH p AS (SELECT i AS rule_no, CASE i % 3 WHEN 0 THEN '^customer#' || lpad((i * 7)::VARCHAR, 9, '0') || '$' WHEN 1 THEN lpad(i::VARCHAR, 4, '0') || '$' ELSE '^customer#.*' || lpad((i % 100)::VARCHAR, 2, '0') || '.' || i % 10 END AS re FROM range(1000) r(i))
+    SELECT c_custkey, CAST(rule_no AS INTEGER) AS rule_no FROM customer JOIN p ON regexp_matches(lower(c_name), re)""",
+)
+def _(t):
+    names = t("customer").select("c_custkey", "c_name")
+    return rules.RuleIndex(names.sparkSession, _name_rules()).tuned(names, "c_name").candidates(names, "c_name").select("c_custkey", "rule_no")
+
+
+@rules.action("same")
+def _same(at: Column) -> Column:
+    """The member itself."""
+    return at
+
+
+@rules.action("even_half")
+def _even_half(at: Column) -> Column:
+    """Half of an even address; odd ones lead nowhere."""
+    return F.when(at % 2 == 0, F.floor(at / 2))
+
+
+@query(
+    "rule_engine",
+    """WITH l AS (SELECT l_orderkey AS o, l_linenumber AS n, min(l_partkey) * 7 + 100000001 AS part FROM lineitem GROUP BY 1, 2), x AS (SELECT 'order_' || lower(o_orderstatus) AS ty, o_orderkey * 1000 AS a, l.n, l.part FROM orders JOIN l ON l.o = o_orderkey),
+    g0 AS (SELECT ty, a, 'line' || n AS path, CASE WHEN ty = 'order_f' AND n = 1 THEN 'first' ELSE 'any_line' END AS rule_name, CASE WHEN ty = 'order_f' AND n = 1 THEN 'head' ELSE 'line' END AS target_type, a + n AS result, 0 AS generation FROM x
+      UNION ALL SELECT ty, a, 'line2.part', 'part', 'part', part, 0 FROM x WHERE n = 2),
+    g1 AS (SELECT DISTINCT 'part' AS ty, result AS a, '' AS path, 'halved' AS rule_name, 'half' AS target_type, result // 2 AS result, 1 AS generation FROM g0 WHERE target_type = 'part' AND result % 2 = 0),
+    g2 AS (SELECT DISTINCT 'half', result, '', 'halved_again', 'quarter', result // 2, 2 FROM g1 WHERE result % 2 = 0)
+    SELECT ty AS type_name, a AS address, path, rule_name, target_type, result, CAST(generation AS INTEGER) AS generation FROM (FROM g0 UNION ALL FROM g1 UNION ALL FROM g2)""",
+)
+def _(t):
+    lines = t("lineitem").groupBy(F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("n")).agg((F.min("l_partkey") * 7 + 100_000_001).alias("part"))
+    lines = lines.select((F.col("o") * 1000).alias("_own"), (F.col("o") * 1000 + F.col("n")).alias("_at"), "n", "part")
+
+    def extend(df: DataFrame) -> DataFrame:
+        """An order's members are its lines, a line's member is its part."""
+        whole = df.filter(F.size("path") == 0).join(lines, F.col("at") == F.col("_own")).select("type_name", "address", F.concat("path", F.array(F.concat(F.lit("line"), F.col("n").cast("string")))).alias("path"), F.col("_at").alias("at"))
+        part = df.filter(F.size("path") == 1).join(lines, F.col("at") == F.col("_at")).select("type_name", "address", F.concat("path", F.array(F.lit("part"))).alias("path"), F.col("part").alias("at"))
+        return whole.unionByName(part)
+
+    known = [
+        rules.PathRule("first", "order_f", ["line1"], "same", "head", 2), rules.PathRule("any_line", "order_?", ["line*"], "same", "line", 1), rules.PathRule("part", "order_*", ["line2", "part"], "same", "part", 5),
+        rules.PathRule("weak_part", "order_*", ["line3", "part"], "same", "weak", 1), rules.PathRule("halved", "part", [], "even_half", "half"), rules.PathRule("halved_again", "half", [], "even_half", "quarter"),
+    ]
+    orders = t("orders").select(F.concat(F.lit("order_"), F.lower("o_orderstatus")).alias("type_name"), (F.col("o_orderkey") * 1000).alias("address"))
+    return rules.RuleEngine(known, extend).evaluate(orders).select("type_name", "address", F.array_join("path", ".").alias("path"), "rule_name", "target_type", "result", F.col("generation").cast("int").alias("generation"))
+
+
+@query(
+    "debug_members",
+    """SELECT l_orderkey * 16 AS struct_id, l_orderkey * 16 + l_linenumber AS idx, 'line' || l_linenumber AS name, min(l_partkey) AS ref_type_id, CAST(l_linenumber * 8 AS BIGINT) AS offset_ FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders) GROUP BY l_orderkey, l_linenumber""",
+)
+def _(t):
+    hexed = lambda c: F.lower(F.hex(c))
+    head = lambda depth, c, tag: F.concat(F.lit(f" <{depth}><"), hexed(c), F.lit(f">: Abbrev Number: 2 (DW_TAG_{tag})"))
+    line = lambda df, at, *texts: df.select(F.explode(F.arrays_zip(F.array(*[at + k for k in range(len(texts))]).alias("line_no"), F.array(*texts).alias("line"))).alias("x")).select("x.*")
+    o, m = F.col("o_orderkey"), F.col("l_orderkey") * 16 + F.col("l_linenumber")
+    structs = line(t("orders"), o * 100, head(1, o * 16, "structure_type"), F.concat(F.lit("    <0>   DW_AT_name : order"), o.cast("string")))
+    held = t("lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("p")).join(t("orders").select(o.alias("l_orderkey")), "l_orderkey", "left_semi")
+    members = line(
+        held, F.col("l_orderkey") * 100 + F.col("l_linenumber") * 10, head(2, m, "member"), F.concat(F.lit("    <0>   DW_AT_name : line"), F.col("l_linenumber").cast("string")), F.concat(F.lit("    <0>   DW_AT_type : <0x"), hexed("p"), F.lit(">")),
+        F.concat(F.lit("    <0>   DW_AT_data_member_location: 2 byte block: 23 8 (DW_OP_plus_uconst: "), (F.col("l_linenumber") * 8).cast("string"), F.lit(")")),
+    )
+    listing = structs.unionByName(members).withColumns({"file": F.lit("listing"), "split": F.floor(F.col("line_no") / 7321)})
+    made = text_source.typed_rows(text_source.debug_records(listing, split="split"))["members"]
+    return made.select("struct_id", "idx", "name", "ref_type_id", F.col("offset").alias("offset_"))
+
+
+@query(
+    "instance_checks",
+    f"""WITH {OBJ_SQL} SELECT event_id, CASE WHEN kind IN ('click', 'view') THEN 'valid' END AS slab, CASE WHEN event_id % 3 <> 0 THEN size < 100 END AS magic, CASE WHEN prob > 0.5 THEN prob END AS prob FROM OBJ""",
+)
+def _(t):
+    o = obj(t)
+    slab = o.select("event_id", F.when(F.col("kind").isin("click", "view"), "valid").alias("slab"))
+    magic = o.filter("event_id % 3 <> 0").select("event_id", (F.col("size") < 100).alias("magic"))
+    return validate.verify_instance(slab, magic, o.filter("prob > 0.5").select("event_id", "prob"), "event_id")

@@ -193,17 +193,20 @@ class Catalog:
 
 
 def read_bytes(rows: DataFrame, address: str, size: int, pages: DataFrame, out: str, page: int = 4096) -> DataFrame:
-    """`size` bytes at each row's address from pages(frame, data); null where a page is missing. A read may cross pages:
-    it touches at most two of them, and rows that touch one join once."""
+    """`size` (a page at most) bytes at each row's address from pages(frame, data); null where a page is missing.
+
+    Rows that stay in a page join it once and take their bytes from it there; only those that cross into the next one join that as well."""
     shift = page.bit_length() - 1
-    frame = lambda c: F.call_function("shiftrightunsigned", c, F.lit(shift))
-    inside = F.pmod(F.col(address), F.lit(page))
+    inside = F.pmod(F.col(address), F.lit(page)).cast("int")
     p0, p1 = pages.select(F.col("frame").alias("_f0"), F.col("data").alias("_d0")), pages.select(F.col("frame").alias("_f1"), F.col("data").alias("_d1"))
-    joined = rows.withColumn("_f0", frame(F.col(address))).join(p0, "_f0", "left")
-    crossing = joined.withColumn("_f1", F.when(inside + size > page, F.col("_f0") + 1)).join(p1, "_f1", "left")
-    first = F.substring("_d0", inside + 1, F.lit(size))
-    both = F.when(F.col("_f1").isNull(), first).otherwise(F.concat(first, F.substring("_d1", F.lit(1), size - (page - inside))))
-    return crossing.withColumn(out, F.when(F.length(both) == size, both)).drop("_f0", "_f1", "_d0", "_d1")
+    placed = rows.withColumn("_f0", F.call_function("shiftrightunsigned", F.col(address), F.lit(shift)))
+    whole = lambda c: F.when(F.length(c) == size, c)
+    within = placed.filter((inside + size <= page) | F.col(address).isNull()).join(p0, "_f0", "left")
+    within = within.withColumn(out, F.substring("_d0", inside + 1, F.lit(size))).withColumn(out, whole(F.col(out))).drop("_f0", "_d0")
+    crossing = placed.filter(inside + size > page).join(p0, "_f0", "left").withColumn("_b0", F.substring("_d0", inside + 1, F.lit(size))).drop("_d0")
+    crossing = crossing.withColumn("_f1", F.col("_f0") + 1).join(p1, "_f1", "left")
+    both = F.concat("_b0", F.substring("_d1", F.lit(1), size - (page - inside)))
+    return within.unionByName(crossing.withColumn(out, whole(both)).drop("_f0", "_f1", "_b0", "_d1"))
 
 
 def integer(data: Column, size: int, signed: bool) -> Column:

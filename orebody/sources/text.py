@@ -80,23 +80,112 @@ _HEAD = r"^\s*<([0-9a-fA-F]+)><([0-9a-fA-F]+)>.*?\(DW_TAG_(\w+)\)"
 _ATTR = r"^\s*(?:<[0-9a-fA-F]+>)?\s*DW_AT_(\w+)\s*:\s*(?:\(indirect string, offset: 0x[0-9a-fA-F]+\):\s*)?(.*?)\s*$"
 
 
-def debug_records(text: DataFrame, file: str = "file", line_no: str = "line_no", line: str = "line") -> DataFrame:
-    """SRC1, SRC3: debug entries: file, record_id, depth, tag, attrs (map). A record is a header line and the attribute lines after it.
-
-    Records are numbered by a running count inside their file; a file is one program's listing and is scanned as one stream."""
-    w = Window.partitionBy(file).orderBy(line_no)
-    head = F.col(line).rlike(_HEAD)
-    numbered = text.withColumn("_rec", F.sum(head.cast("int")).over(w)).filter(F.col("_rec") > 0)
-    part = lambda p, i: F.regexp_extract(line, p, i)
-    heads = F.max(F.when(head, F.struct(part(_HEAD, 2).alias("id"), part(_HEAD, 1).try_cast("int").alias("depth"), part(_HEAD, 3).alias("tag"))))
-    given = F.array_sort(F.collect_list(F.when(~head & F.col(line).rlike(_ATTR), F.struct(F.col(line_no).alias("at"), part(_ATTR, 1).alias("key"), part(_ATTR, 2).alias("value")))))
+def _heads(line: str) -> dict[str, Column]:
+    part = lambda i: F.regexp_extract(line, _HEAD, i)
+    return {"id": part(2), "depth": part(1), "tag": part(3)}
+
+
+def debug_records(text: DataFrame, file: str = "file", line_no: str = "line_no", line: str = "line", split: str | None = None) -> DataFrame:
+    """SRC1, SRC3: debug entries: file, record_id, depth, tag, attrs (map), parent_id. A record is a header line and the attribute lines after it; its
+    parent is the nearest record before it of smaller depth.
+
+    split: the column that numbers the splits of a file in ascending order (None: a file is one). Each split is read by itself: it numbers its records
+    and finds their parents with a stack. What it can't know is asked of the splits before it: to which record its first
+    attribute lines belong, and the parents of records whose scope began earlier. For that a split tells, for each depth, its last record
+    that is still open at its end; a depth's splits are looked through in order, a row a split.
+    """
+    lines_ = text.select(F.col(file).alias("file"), (F.lit(0) if split is None else F.col(split)).cast("bigint").alias("split"), F.col(line_no).alias("at"), F.col(line).alias("line"))
+    head = F.col("line").rlike(_HEAD)
+    real = lines_.withColumn("head", head).filter(F.col("head") | F.col("line").rlike(_ATTR))
+    w = Window.partitionBy("file", "split").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    numbered = real.withColumn("rec", F.sum(F.col("head").cast("long")).over(w))
+    earlier = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    ends = numbered.groupBy("file", "split").agg(F.max("rec").alias("n")).withColumn("from", F.last(F.when(F.col("n") > 0, F.struct("split", "n")), ignorenulls=True).over(earlier))  # a row a split
+    attr = lambda i: F.regexp_extract("line", _ATTR, i)
+    given = numbered.filter("not head").select("file", "split", "rec", F.struct(F.col("split").alias("split"), F.col("at").alias("at"), attr(1).alias("key"), attr(2).alias("value")).alias("a"))
+    stray = given.filter("rec = 0").join(ends, ["file", "split"]).filter("from is not null").select("file", F.col("from.split").alias("split"), F.col("from.n").alias("rec"), "a")
+    owned = given.filter("rec > 0").unionByName(stray).groupBy("file", "split", "rec").agg(F.array_sort(F.collect_list("a")).alias("given"))
+    heads = _heads("line")
+    records = numbered.filter("head").select("file", "split", "rec", F.conv(heads["id"], 16, 10).cast("bigint").alias("record_id"), heads["depth"].try_cast("int").alias("depth"), heads["tag"].alias("tag"))
     # of an attribute that a record names twice, the first counts
-    attrs = F.map_from_entries(F.transform(F.filter("given", lambda x: ~F.exists("given", lambda y: (y["key"] == x["key"]) & (y["at"] < x["at"]))), lambda x: F.struct(x["key"], x["value"])))
-    return numbered.groupBy(file, "_rec").agg(heads.alias("h"), given.alias("given")).withColumn("attrs", attrs).select(file, F.conv("h.id", 16, 10).cast("bigint").alias("record_id"), "h.depth", "h.tag", "attrs")
+    first = F.filter("given", lambda x: ~F.exists("given", lambda y: (y["key"] == x["key"]) & (F.struct(y["split"], y["at"]) < F.struct(x["split"], x["at"]))))
+    attrs = F.map_from_entries(F.transform(first, lambda x: F.struct(x["key"], x["value"])))
+    whole = records.join(owned, ["file", "split", "rec"], "left").withColumn("attrs", F.coalesce(attrs, F.map_from_entries(F.array().cast("array<struct<k:string,v:string>>"))))
+    return whole.join(_parents(records), ["file", "split", "rec"]).select(F.col("file").alias(file), "record_id", "depth", "tag", "attrs", "parent_id")
+
+
+def _parents(records: DataFrame) -> DataFrame:
+    """file, split, rec, parent_id from file, split, rec, record_id, depth (a depth that can't be read counts as 0)."""
+
+    def scoped(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("rec")
+        stack: list[tuple[int, int]] = []  # of depth and record, both ascending
+        parents: list[int | None] = []
+        depths = rows["depth"].fillna(0).astype(int).tolist()
+        ids = rows["record_id"].tolist()
+        for depth, name in zip(depths, ids, strict=True):
+            while stack and stack[-1][0] >= depth:
+                stack.pop()
+            parents.append(stack[-1][1] if stack else None)
+            stack.append((depth, name))
+        still = set(stack)
+        return pd.DataFrame({"file": key[0], "split": key[1], "rec": rows["rec"], "parent_id": pd.array(parents, "Int64"), "level": depths, "record_id": ids, "open": [(d, i) in still for d, i in zip(depths, ids, strict=True)]})
+
+    found = records.groupBy("file", "split").applyInPandas(scoped, "file string, split long, rec long, parent_id long, level int, record_id long, open boolean")  # a split's records
+    inner, outer = found.filter("parent_id is not null"), found.filter("parent_id is null")
+    # the nearest smaller depth before a split: of the depths below, that whose last open record came last
+    wanted = outer.select("file", "split", "level").distinct().filter("level > 0")
+    asked = wanted.select("file", "split", F.col("level").alias("want"), F.explode(F.sequence(F.lit(0), F.col("level") - 1)).alias("level"), F.lit(None).cast("struct<split:bigint,rec:bigint,record_id:bigint>").alias("last"))
+    told = found.filter("open").groupBy("file", "split", "level").agg(F.max(F.struct("split", "rec", "record_id")).alias("last")).withColumn("want", F.lit(None).cast("int"))
+    before = Window.partitionBy("file", "level").orderBy("split").rangeBetween(Window.unboundedPreceding, -1)
+    answers = told.unionByName(asked).withColumn("_up", F.max("last").over(before)).filter("want is not null").groupBy("file", "split", F.col("want").alias("level")).agg(F.max("_up").alias("_up"))
+    rest = outer.drop("parent_id").join(answers, ["file", "split", "level"], "left").select("file", "split", "rec", F.col("_up.record_id").alias("parent_id"))
+    return inner.select("file", "split", "rec", "parent_id").unionByName(rest)
+
+
+#: Tags that are types, with the kind that they make (fixed names of the format).
+TYPE_TAGS = {
+    "base_type": "Base", "structure_type": "Struct", "union_type": "Union", "enumeration_type": "Enum", "pointer_type": "Pointer", "array_type": "Array",
+    "typedef": "Typedef", "const_type": "Const", "volatile_type": "Volatile", "subroutine_type": "FuncPointer",
+}
+
+
+def typed_rows(records: DataFrame) -> dict[str, DataFrame]:
+    """SRC1, SRC3: the catalog's rows that debug entries make: types (type_id, kind, name, size, ref_type_id, length), members (struct_id, idx, name,
+    ref_type_id, offset, bit_size), enumerators (type_id, name, value), variables (var_id, name, type_id, address) and functions (func_id,
+    name, type_id, pc_low, pc_high). Sub-entries are merged into what holds them: subranges give an array its length, members and
+    enumerators their owner."""
+    a = lambda k: F.try_element_at("attrs", F.lit(k))
+    ref = hex_address(F.regexp_extract(a("type"), "<(?:0x)?([0-9a-fA-F]+)>", 1))
+    ref = F.when(a("type").isNotNull() & (F.regexp_extract(a("type"), "<(?:0x)?([0-9a-fA-F]+)>", 1) != ""), ref)
+    hexed = lambda c: F.when(F.regexp_extract(c, "(?:0x)?([0-9a-fA-F]+)", 1) != "", hex_address(F.regexp_extract(c, "(?:0x)?([0-9a-fA-F]+)", 1)))
+    whole = lambda k: F.regexp_extract(a(k), r"^(-?\d+)", 1).try_cast("bigint")
+    of = F.struct("file", "parent_id")
+    kind = F.create_map(*[F.lit(x) for kv in TYPE_TAGS.items() for x in kv])[F.col("tag")]
+    rows = records.withColumn("_of", of)
+    lengths = rows.filter("tag = 'subrange_type'").groupBy("file", F.col("parent_id").alias("type_id")).agg(F.product(F.coalesce(whole("count"), whole("upper_bound") + 1)).cast("bigint").alias("length"))
+    types = rows.filter(kind.isNotNull()).select("file", F.col("record_id").alias("type_id"), kind.alias("kind"), a("name").alias("name"), whole("byte_size").alias("size"), ref.alias("ref_type_id"))
+    located = F.regexp_extract(a("data_member_location"), r"(?:plus_uconst: |^)(\d+)\)?\s*$", 1).try_cast("bigint")
+    members = rows.filter("tag = 'member'").select("file", F.col("parent_id").alias("struct_id"), F.col("record_id").alias("idx"), a("name").alias("name"), ref.alias("ref_type_id"), F.coalesce(located, F.lit(0)).alias("offset"), whole("bit_size").alias("bit_size"))
+    address = F.regexp_extract(a("location"), r"DW_OP_addr: ([0-9a-fA-F]+)", 1)
+    return {
+        "types": types.join(lengths, ["file", "type_id"], "left"),
+        "members": members,
+        "enumerators": rows.filter("tag = 'enumerator'").select("file", F.col("parent_id").alias("type_id"), a("name").alias("name"), whole("const_value").alias("value")),
+        "variables": rows.filter("tag = 'variable'").select("file", F.col("record_id").alias("var_id"), a("name").alias("name"), ref.alias("type_id"), F.when(address != "", hex_address(address)).alias("address")).filter("address is not null"),
+        "functions": rows.filter("tag = 'subprogram'").select("file", F.col("record_id").alias("func_id"), a("name").alias("name"), ref.alias("type_id"), hexed(a("low_pc")).alias("pc_low"), hexed(a("high_pc")).alias("pc_high")),
+    }
+
+
+def split_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines with their place: file, split (the byte at which the part of the file begins that a task read) and line_no, which grows inside a split.
+    A large file is read by many tasks, none of which holds it whole."""
+    rows = spark.read.text(path)
+    return rows.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("line_no"), F.col("value").alias("line"))
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines with their number in their file: each file is read by one task, in order."""
+    """Lines with their number in their file: each file is read by one task, in order. For files of a task's size; `split_lines` is for others."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for name, data in zip(b["path"], b["content"], strict=True):
