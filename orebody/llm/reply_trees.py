@@ -142,9 +142,12 @@ def under_mask(formatted: Column, loss: Column) -> Column:
 def threads(rows: DataFrame, key: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """Plain conversations as reply trees: each row answers the one before it in its conversation (ties: by role, then text)."""
     place = F.row_number().over(Window.partitionBy(key).orderBy(turn, role, text))  # a conversation must fit one row in the end
-    numbered = rows.select(F.col(key).alias("label"), F.col(role).alias("role"), F.col(text).alias("text"), place.alias("place"))
-    name = lambda at: F.concat(F.coalesce(F.col("label").cast("string"), F.lit("")), F.lit("|"), at.cast("string"))
-    return replies(numbered.withColumns({"id": name(F.col("place")), "parent": F.when(F.col("place") > 1, name(F.col("place") - 1))}), score=None, label="label")
+    own = lambda at: F.concat(F.lit("i"), F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit("|"), at.cast("string"))
+    value = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    numbered = rows.select(key, role, text, place.alias("_place"))
+    return numbered.select(
+        own(F.col("_place")).alias("node"), F.when(F.col("_place") > 1, own(F.col("_place") - 1)).alias("up"), F.lit(0.0).alias("score"), value(role).alias("role"), value(text).alias("text"), F.col(key).alias("label"),
+    )
 
 
 #: A conversation that holds the template's marks.
