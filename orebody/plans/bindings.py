@@ -1169,12 +1169,12 @@ def _(t):
 
 @query(
     "settled_probabilities",
-    """WITH n AS (SELECT o_orderkey AS id, 0.5 + o_custkey % 50 / 100.0::DOUBLE AS i, CASE WHEN o_custkey % 5 = 0 THEN 1.5 ELSE 1.0 END::DOUBLE AS f FROM orders), e AS (SELECT (o_orderkey - 1) // 4 AS parent, o_orderkey AS child FROM orders WHERE o_orderkey > 0),
+    """WITH n AS (SELECT o_orderkey AS id, 0.5 + o_custkey % 50 / 101.0::DOUBLE AS i, CASE WHEN o_custkey % 5 = 0 THEN 1.5 ELSE 1.0 END::DOUBLE AS f FROM orders), e AS (SELECT (o_orderkey - 1) // 4 AS parent, o_orderkey AS child FROM orders WHERE o_orderkey > 0),
     p0 AS (SELECT id, least(1.0::DOUBLE, i * f) AS p FROM n)
     """ + "".join(f""", p{k} AS (SELECT n.id, least(1.0::DOUBLE, i * coalesce(u.p, 1.0::DOUBLE) * coalesce(d.p, 1.0::DOUBLE) * f) AS p FROM n LEFT JOIN (SELECT child AS id, max(p) AS p FROM e JOIN p{k - 1} ON id = parent GROUP BY child) u USING (id) LEFT JOIN (SELECT parent AS id, avg(p) AS p FROM e JOIN p{k - 1} ON id = child GROUP BY parent) d USING (id))""" for k in range(1, 4)) + " SELECT id, round(p, 6) AS p FROM p3",
 )
 def _(t):
-    nodes = t("orders").select(F.col("o_orderkey").alias("id"), (0.5 + F.col("o_custkey") % 50 / 100.0).alias("initial"), F.when(F.col("o_custkey") % 5 == 0, 2).otherwise(1).alias("encounters"))
+    nodes = t("orders").select(F.col("o_orderkey").alias("id"), (0.5 + F.col("o_custkey") % 50 / 101.0).alias("initial"), F.when(F.col("o_custkey") % 5 == 0, 2).otherwise(1).alias("encounters"))
     edges = t("orders").filter("o_orderkey > 0").select(F.floor((F.col("o_orderkey") - 1) / 4).alias("parent"), F.col("o_orderkey").alias("child"))
     return graph.fixed_point(nodes, edges, rounds=3).select("id", F.round("p", 6).alias("p"))
 
