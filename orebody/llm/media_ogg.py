@@ -5,7 +5,8 @@ streams and derives timestamps from granule positions; a writer for 8-bit sample
 DataFrame operators over a column of Ogg files.
 
 Edge cases: a null or empty media value has no pages and no packets; bytes that aren't a page are
-skipped up to the next capture pattern and counted; a page with a wrong checksum is reported with
+skipped up to the next capture pattern and counted; recordings that follow one another in a file (a chain) are
+separate logical streams, also with the same serial numbers; a page with a wrong checksum is reported with
 crc_ok false and adds nothing to packets, and a packet that has lost a part is reported as broken
 rather than joined across the gap; repeated rows give repeated results; other columns pass through.
 """
@@ -15,7 +16,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -59,6 +60,7 @@ class Packet:
     data: bytes
     granule: int  # of the page on which it ends, if it is the last that ends there; else NO_GRANULE
     whole: bool = True
+    page: int = -1  # the number of the page on which it ends
 
 
 @dataclass
@@ -69,6 +71,7 @@ class Stream:
     gaps: int = 0
     ended: bool = False
     last_granule: int = 0
+    link: int = 0  # the recording of the chain that it belongs to
 
 
 def _page(serial: int, number: int, granule: int, flags: int, lacing: bytes, body: bytes) -> bytes:
@@ -117,20 +120,28 @@ def read_pages(data: bytes) -> Iterator[Page]:
         at = data.find(b"OggS", at + 4)
 
 
-def demultiplex(data: bytes) -> dict[int, Stream]:
-    """The logical streams, in the order in which they begin, with their packets put together again."""
-    streams: dict[int, Stream] = {}
-    partial: dict[int, list[bytes] | None] = {}
-    number: dict[int, int] = {}
+def demultiplex(data: bytes) -> dict[int | tuple[int, int], Stream]:
+    """The logical streams, in the order in which they begin, with their packets put together again. By serial number; in a chain, those of
+    the second recording on by serial number and the recording's number (from 1). A recording begins where a stream's first page follows others' later pages."""
+    streams: dict[int | tuple[int, int], Stream] = {}
+    partial: dict[int | tuple[int, int], list[bytes] | None] = {}
+    number: dict[int | tuple[int, int], int] = {}
+    link, begun = 0, False
     for page in read_pages(data):
         if not page.crc_ok:
             continue
-        s = streams.setdefault(page.serial, Stream(page.serial))
-        gap = page.number != number.get(page.serial, -1) + 1
-        number[page.serial] = page.number
+        if page.flags & FIRST:
+            link += begun
+            begun = False
+        else:
+            begun = True
+        key = (page.serial, link) if link else page.serial
+        s = streams.setdefault(key, Stream(page.serial, link=link))
+        gap = page.number != number.get(key, -1) + 1
+        number[key] = page.number
         s.gaps += gap
         s.pages += 1
-        held = partial.get(page.serial)
+        held = partial.get(key)
         if held is not None and (gap or not page.flags & CONTINUED):
             s.packets.append(Packet(b"".join(held), NO_GRANULE, False))
             held = None
@@ -140,19 +151,19 @@ def demultiplex(data: bytes) -> dict[int, Stream]:
             part.append(page.body[at : at + size])
             at += size
             if size < 255:
-                s.packets.append(Packet(b"".join(part), NO_GRANULE, not headless))
+                s.packets.append(Packet(b"".join(part), NO_GRANULE, not headless, page.number))
                 headless, part, ended_at = False, [], len(s.packets) - 1
         if ended_at >= 0:
             s.packets[ended_at].granule = page.granule
             s.last_granule = max(s.last_granule, page.granule)
         open_end = bool(page.lacing) and page.lacing[-1] == 255
-        partial[page.serial] = part if open_end and not headless else None
+        partial[key] = part if open_end and not headless else None
         if open_end and headless:
             s.gaps += 1
         s.ended |= bool(page.flags & LAST)
-    for serial, held in partial.items():
+    for key, held in partial.items():
         if held is not None:
-            streams[serial].packets.append(Packet(b"".join(held), NO_GRANULE, False))
+            streams[key].packets.append(Packet(b"".join(held), NO_GRANULE, False))
     return streams
 
 
@@ -174,27 +185,49 @@ def encode_samples(payload: bytes, rate: int = RATE, packet: int = PACKET) -> by
     return b"".join(order)
 
 
-def decode_samples(media: bytes) -> tuple[bytes, dict[int, Stream], int]:
-    """The samples of `encode_samples`, the streams, and the sample rate. Raises ValueError if a part is missing."""
+def decode_samples(media: bytes) -> tuple[bytes, dict[int | tuple[int, int], Stream], int]:
+    """The samples of `encode_samples`, the streams, and the sample rate; of a chain all recordings' samples, one after another. Raises ValueError
+    if a part is missing."""
     streams = demultiplex(media)
     if not streams:
         raise ValueError("no logical stream")
-    parts, rate, total = [], 0, 0
-    for s in streams.values():
-        head = s.packets[0].data
-        if s.gaps or not s.ended or not head.startswith(MAGIC):
-            raise ValueError("a logical stream is damaged or of another kind")
-        rate, place, count, size, total = struct.unpack_from("<IBBIQ", head, len(MAGIC))
-        parts += [((i * count + place), p) for i, p in enumerate(s.packets[1:])]
-    out = b"".join(p.data for _, p in sorted(parts, key=lambda x: x[0]) if p.whole)
-    if len(out) != total:
-        raise ValueError("packets are missing")
-    return out, streams, rate
-
-
-def packet_times(stream: Stream, rate: int) -> list[float | None]:
-    """Seconds at which each packet ends; None where its page gives no position for it."""
-    return [p.granule / rate if p.granule != NO_GRANULE and rate else None for p in stream.packets]
+    out, rate = [], 0
+    for link in range(max(s.link for s in streams.values()) + 1):
+        parts, total = [], 0
+        for s in (s for s in streams.values() if s.link == link):
+            head = s.packets[0].data
+            if s.gaps or not s.ended or not head.startswith(MAGIC):
+                raise ValueError("a logical stream is damaged or of another kind")
+            rate, place, count, size, total = struct.unpack_from("<IBBIQ", head, len(MAGIC))
+            parts += [((i * count + place), p) for i, p in enumerate(s.packets[1:])]
+        out.append(b"".join(p.data for _, p in sorted(parts, key=lambda x: x[0]) if p.whole))
+        if len(out[-1]) != total:
+            raise ValueError("packets are missing")
+    return b"".join(out), streams, rate
+
+
+def sample_span(stream: Stream) -> Callable[[Packet], int] | None:
+    """For streams of `encode_samples`: how far a packet's end lies behind that of the packet before it, which is its own samples and one packet of
+    each other stream. None for other streams."""
+    head = stream.packets[0].data if stream.packets else b""
+    if not head.startswith(MAGIC) or len(head) < len(MAGIC) + 18:
+        return None
+    _, _, count, size, _ = struct.unpack_from("<IBBIQ", head, len(MAGIC))
+    return lambda p: len(p.data) + (count - 1) * size
+
+
+def packet_times(stream: Stream, rate: int, span: Callable[[Packet], int] | None = None) -> list[float | None]:
+    """Seconds at which each packet ends. A page tells the position of the last packet that ends on it; the others are counted back from there by
+    `span`, which is what the stream's kind says of a packet (default: `sample_span`). None where neither tells."""
+    span = span or sample_span(stream)
+    ends: list[int | None] = [None] * len(stream.packets)
+    for i in range(len(ends) - 1, -1, -1):
+        p = stream.packets[i]
+        if p.granule != NO_GRANULE:
+            ends[i] = p.granule
+        elif span and p.page >= 0 and i + 1 < len(ends) and stream.packets[i + 1].page == p.page and ends[i + 1] is not None:
+            ends[i] = max(0, ends[i + 1] - span(stream.packets[i + 1]))
+    return [None if e is None or not rate else e / rate for e in ends]
 
 
 def sample_features(samples: bytes, streams: dict[int, Stream], rate: int) -> str:
