@@ -281,6 +281,17 @@ def is_valid_address(address: Column, bits: int = 64, regions: list[tuple[int, i
     return canonical & inside
 
 
+def valid_function_pointers(df: DataFrame, pointer: str, pages: DataFrame, out: str = "callable", page: int = 4096) -> DataFrame:
+    """whether a function pointer's target is in a page that is present and executable; a pointer that is null or a default value isn't
+    callable. pages: frame, present, nx."""
+    shift = page.bit_length() - 1
+    code = pages.filter(F.col("present") & ~F.col("nx")).select(F.col("frame").alias("_frame")).distinct().withColumn("_code", F.lit(True))
+    asked = df.withColumn("_frame", F.when(~is_default_value(F.col(pointer)), F.call_function("shiftrightunsigned", F.col(pointer), F.lit(shift))))
+    # pointers without a target would be one hot key: only the others are joined
+    aimed = asked.filter("_frame is not null").join(code, "_frame", "left").withColumn(out, F.coalesce("_code", F.lit(False))).drop("_frame", "_code")
+    return aimed.unionByName(asked.filter("_frame is null").drop("_frame").withColumn(out, F.lit(False)))
+
+
 def is_user_land(address: Column, bits: int = 64, low: int = 0x1000, high: int | None = None) -> Column:
     """between the user bounds of the architecture; the bounds are configuration."""
     return address.between(low, high if high is not None else ((1 << 47) - 1 if bits == 64 else 0xBFFFFFFF))

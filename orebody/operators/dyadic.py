@@ -49,12 +49,15 @@ def cover(start: Column, end: Column) -> Column:
         left = span(level, first, F.when(apart, up * (1 << STEP)).otherwise(last))
         return F.concat(left, F.when(apart, span(level, down * (1 << STEP), last)).otherwise(F.array().cast(_CELLS)))
 
-    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(LEVELS - 1)), own))
+    # no cell larger than the range lies in it; one level more than the logarithm says, against its rounding
+    length = end.cast("double") - start.cast("double") + 1
+    highest = F.least(F.floor(F.log2(length) / STEP).cast("int") + 1, F.lit(LEVELS - 1))
+    return F.when(length >= 1, F.flatten(F.transform(F.sequence(F.lit(0), highest), own))).otherwise(F.array().cast(_CELLS))
 
 
-def cells_at(point: Column) -> Column:
+def cells_at(point: Column, highest: int = LEVELS - 1) -> Column:
     """The cells that hold a point, one of each level."""
-    return F.transform(F.sequence(F.lit(0), F.lit(LEVELS - 1)), lambda k: F.struct(k.cast("int").alias("level"), _shift(point.cast("bigint"), k).alias("cell")))
+    return F.transform(F.sequence(F.lit(0), F.lit(highest)), lambda k: F.struct(k.cast("int").alias("level"), _shift(point.cast("bigint"), k).alias("cell")))
 
 
 def contained(points: DataFrame, ranges: DataFrame, point: str, start: Column, end: Column) -> DataFrame:
@@ -84,13 +87,14 @@ class RangeSummaries:
         self.starts = reduce(DataFrame.unionByName, levels)
         reaching = real.withColumn("_c", F.explode(cover(F.col(start) + 1, F.col(end))))
         self.reaching = cut(reaching.groupBy(F.col("_c.level").alias("level"), F.col("_c.cell").alias("cell")).agg(*update))
+        self.highest = self.reaching.agg(F.max("level")).first()[0] or 0  # the levels that objects' lengths need
 
     def of_ranges(self, ranges: DataFrame, key: str, low: str, high: str) -> DataFrame:
         """A3: the summary of the objects that share an address with each range, by `key`; ranges without objects have no row. Swapped bounds are
         put right."""
         first, last = F.least(low, high), F.greatest(low, high)
         inside = ranges.select(key, F.explode(cover(first, last)).alias("_c")).select(key, "_c.*").join(self.starts, ["level", "cell"])
-        before = ranges.select(key, F.explode(cells_at(first)).alias("_c")).select(key, "_c.*").join(self.reaching, ["level", "cell"])
+        before = ranges.select(key, F.explode(cells_at(first, self.highest)).alias("_c")).select(key, "_c.*").join(self.reaching, ["level", "cell"])
         return inside.unionByName(before).groupBy(key).agg(*self.unite)
 
     def at_points(self, points: DataFrame, key: str, point: str) -> DataFrame:

@@ -1327,3 +1327,14 @@ def _(t):
     slab = o.select("event_id", F.when(F.col("kind").isin("click", "view"), "valid").alias("slab"))
     magic = o.filter("event_id % 3 <> 0").select("event_id", (F.col("size") < 100).alias("magic"))
     return validate.verify_instance(slab, magic, o.filter("prob > 0.5").select("event_id", "prob"), "event_id")
+
+
+@query(
+    "function_pointers",
+    """SELECT l_orderkey, l_linenumber, CAST(count(*) AS BIGINT) AS n, CAST(sum(CASE WHEN l_suppkey % 7 <> 0 AND EXISTS (SELECT 1 FROM part WHERE p_partkey = l_partkey // 2 AND p_size % 3 <> 0 AND p_size % 5 <> 0) AND l_partkey > 1 THEN 1 ELSE 0 END) AS BIGINT) AS callable FROM lineitem GROUP BY l_orderkey, l_linenumber""",
+)
+def _(t):
+    pages = t("part").select(F.col("p_partkey").alias("frame"), (F.col("p_size") % 3 != 0).alias("present"), (F.col("p_size") % 5 == 0).alias("nx"))
+    aimed = F.when(F.col("l_suppkey") % 7 != 0, F.when(F.col("l_partkey") > 1, F.col("l_partkey") * 2048).otherwise(0))
+    told = filters.valid_function_pointers(t("lineitem").select("l_orderkey", "l_linenumber", aimed.alias("target")), "target", pages)
+    return told.groupBy("l_orderkey", "l_linenumber").agg(big(F.count("*"), "n"), big(F.sum(F.col("callable").cast("int")), "callable"))

@@ -413,6 +413,15 @@ def test_checks_side_by_side(spark):
     assert instances.is_valid(F.lit(1), F.lit(None)) is not None
 
 
+def test_lookup_of_a_name_that_must_be_unique(spark):
+    from orebody.functions.filters import ambiguous_lookup
+
+    df = spark.createDataFrame([("a", 1), ("b", 2), ("b", 3)], "name string, v long")
+    assert [r.v for r in ambiguous_lookup(df, "name", "a").collect()] == [1] and ambiguous_lookup(df, "name", "c").count() == 0
+    with pytest.raises(Exception, match="ambiguous type"):
+        ambiguous_lookup(df, "name", "b").collect()
+
+
 # --- rules
 
 
