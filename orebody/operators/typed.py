@@ -18,13 +18,12 @@ from orebody.operators.instances import moved
 from orebody.operators.store import cut, discard
 from orebody.plans.pathql import _READ, integer, read_bytes, real, text_value
 
-MOST_NESTED = 64  # levels of anonymous members, or of pointers to pointers
 REALS = {"Float": 4, "Double": 8}
 STRUCTURED = ("Struct", "Union")
 LINE = 16  # bytes on a line of a raw read
 
 
-def _first(c: Column) -> Column:
+def _from_hex(c: Column) -> Column:
     """A long from hexadecimal digits, with or without 0x; 64-bit ones as the long with their bits."""
     digits = F.lpad(F.regexp_replace(F.lower(c), "^0x", ""), 16, "0")
     half = lambda at: F.conv(F.substring(digits, at, 8), 16, 10).cast("bigint")
@@ -38,15 +37,17 @@ class TypeTables:
     (from 1), ref_type: other types that a member may have. A member without a name whose type is a struct or union lends its members to
     the type that holds it, as in C. Types that name each other in a circle of typedefs are an error.
 
-    shapes: type_id, name, and bare_id, kind, size, ref_type, length of the type behind const, volatile and typedefs.
-    fields: bare_id, idx, name, offset, ref_type, n_candidates, only_candidate; inner ones keep the idx of the anonymous member."""
+    shapes: type_id, name, and bare_id, kind, size, ref_type, length of the type behind const, volatile and typedefs, and pointees, the types
+    behind a pointer one after another. fields: bare_id, idx, name, offset, ref_type, n_candidates, only_candidate, and the pointees of the type that
+    a member is followed with; inner ones keep the idx of the anonymous member."""
 
     def __init__(self, types: DataFrame, members: DataFrame, candidates: DataFrame | None = None) -> None:
         bit = F.create_map(*[F.lit(x) for k, v in KINDS.items() for x in (k, v)])
         ends = closure(types.select("type_id", F.coalesce(bit[F.col("kind")], F.lit(0)).alias("kind"), F.col("ref_type").alias("ref_type_id")), LEXICAL)
         bare = types.select(F.col("type_id").alias("end_id"), "kind", F.col("name").alias("bare_name"), "size", "ref_type", "length")
         self.types, self.members = types, members
-        self.shapes = cut(types.select("type_id", "name").join(ends.select("type_id", "end_id"), "type_id").join(bare, "end_id").withColumnRenamed("end_id", "bare_id"))
+        shapes = cut(types.select("type_id", "name").join(ends.select("type_id", "end_id"), "type_id").join(bare, "end_id").withColumnRenamed("end_id", "bare_id"))
+        self.shapes = cut(shapes.join(self._pointees(shapes), "type_id", "left").withColumn("pointees", F.coalesce("pointees", F.array().cast("array<bigint>"))))
         none = members.select("type_id", "idx", F.lit(0).alias("no"), "ref_type").filter("false")
         self.candidates = none if candidates is None else candidates.select("type_id", "idx", "no", "ref_type")
         tally = self.candidates.groupBy("type_id", "idx").agg(F.count("*").alias("n_candidates"), F.min("ref_type").alias("_only"))
@@ -55,12 +56,25 @@ class TypeTables:
         self.direct = cut(own)
         self.fields = self._lent()
 
+    def _pointees(self, shapes: DataFrame) -> DataFrame:
+        """type_id, pointees: for each pointer the types behind it, one after another, up to the first that is no pointer, or void."""
+        step = shapes.filter("kind = 'Pointer' and ref_type is not null").select("type_id", "ref_type")
+        levels = [cut(step.select("type_id", F.col("ref_type").alias("to")))]
+        onward, most = step.select(F.col("type_id").alias("to"), F.col("ref_type").alias("_next")), levels[0].count()
+        while not levels[-1].isEmpty():
+            if len(levels) > most:  # a way longer than there are pointers
+                raise ValueError("pointers to pointers run in a circle")
+            levels.append(cut(levels[-1].join(onward, "to").select("type_id", F.col("_next").alias("to"))))
+        ways = reduce(DataFrame.unionByName, [df.withColumn("n", F.lit(n)) for n, df in enumerate(levels)])
+        return ways.groupBy("type_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "to"))), lambda x: x["to"]).alias("pointees"))  # one type's stars
+
     def _lent(self) -> DataFrame:
         """Members by name, those of anonymous structs and unions at all depths among them; of two with one name the outer one."""
         inner = self.shapes.filter(F.col("kind").isin(*STRUCTURED)).select(F.col("type_id").alias("ref_type"), F.col("bare_id").alias("_in"))
         bodies = self.direct.select(F.col("bare_id").alias("_in"), "name", F.col("offset").alias("_o"), F.col("ref_type").alias("_r"), "n_candidates", "only_candidate")
         levels = [self.direct.withColumn("_d", F.lit(0))]
-        for d in range(1, MOST_NESTED + 1):
+        most = self.direct.filter("name = ''").select("bare_id").distinct().count()
+        for d in range(1, most + 2):  # one more than a way without a repeated type can have
             held = levels[-1].filter("name = ''").select("bare_id", "idx", "offset", "ref_type").join(inner, "ref_type")
             nxt = cut(held.join(bodies, "_in").select("bare_id", "idx", "name", (F.col("offset") + F.col("_o")).alias("offset"), F.col("_r").alias("ref_type"), "n_candidates", "only_candidate", F.lit(d).alias("_d")))
             if nxt.isEmpty():
@@ -70,7 +84,9 @@ class TypeTables:
             raise ValueError("types hold each other in a circle")
         named = reduce(DataFrame.unionByName, levels).filter("name <> ''")
         rest = ("idx", "offset", "ref_type", "n_candidates", "only_candidate")
-        return cut(named.groupBy("bare_id", "name").agg(F.min(F.struct("_d", *rest)).alias("m")).select("bare_id", "name", *[F.col(f"m.{c}").alias(c) for c in rest]))
+        named = named.groupBy("bare_id", "name").agg(F.min(F.struct("_d", *rest)).alias("m")).select("bare_id", "name", *[F.col(f"m.{c}").alias(c) for c in rest])
+        behind = self.shapes.select(F.col("type_id").alias("_type"), "pointees")
+        return cut(named.withColumn("_type", F.coalesce("only_candidate", "ref_type")).join(behind, "_type", "left").drop("_type"))
 
     def release(self) -> None:
         """Delete the tables made here, when nothing reads them any more."""
@@ -102,8 +118,8 @@ class Instances:
     def _shaped(self) -> DataFrame:
         return _looked_up(self.rows, self.tables.shapes, {"type_id": "type_id"})
 
-    def _settled(self, rows: DataFrame, type_id: Column, address: Column, name: Column) -> Instances:
-        kept = [F.col(c) for c in self.rows.columns if c not in ("type_id", "address", "full_name")]
+    def _settled(self, rows: DataFrame, type_id: Column, address: Column, name: Column, more: list[str] | None = None) -> Instances:
+        kept = [F.col(c) for c in [*self.rows.columns, *(more or [])] if c not in ("type_id", "address", "full_name")]
         known = type_id.isNotNull() & address.isNotNull()
         return self._with(rows.select(*kept, F.when(known, type_id).alias("type_id"), F.when(known, address).alias("address"), name.alias("full_name")))
 
@@ -152,16 +168,20 @@ class Instances:
 
     def dereferenced(self, levels: int | None = None) -> Instances:
         """Pointers followed, at most `levels` times; all others as they are. Pointers to no type (void) stay pointers."""
-        now = self
-        for _ in range(MOST_NESTED if levels is None else levels):
-            rows = now._shaped().withColumn("_go", (F.col("_t_kind") == "Pointer") & F.col("_t_ref_type").isNotNull()).withColumn("_e", F.when(F.col("_go"), F.col("_t_ref_type")).otherwise(F.col("type_id")))
-            if rows.filter("_go").isEmpty():
-                return now
-            rows = now._pointed(rows.drop(*[f"_t_{c}" for c in now.tables.shapes.columns]))
-            now = now._with(cut(now._settled(rows, F.col("_e"), F.col("_at"), F.col("full_name")).rows))
-        if levels is None and not now._shaped().filter("_t_kind = 'Pointer' and _t_ref_type is not null").isEmpty():
-            raise ValueError("pointers to pointers run in a circle")
-        return now
+        rows = self._shaped().select(*self.rows.columns, F.col("_t_pointees").alias("_to"))
+        return self._followed(rows, levels)
+
+    def _followed(self, rows: DataFrame, levels: int | None = None) -> Instances:
+        """rows with `_to`, the types behind their pointers one after another: written, then one read of memory a level, for the rows that have it."""
+        rows = cut(rows)
+        most = rows.agg(F.max(F.size("_to"))).first()[0] or 0
+        for level in range(most if levels is None else min(most, levels)):
+            rows = rows if level == 0 else cut(rows)
+            go = (F.size("_to") > level) & F.col("address").isNotNull()
+            rows = self._pointed(rows.withColumn("_go", F.coalesce(go, F.lit(False))))
+            kind = F.when(F.col("_go"), F.col("_to")[level]).otherwise(F.col("type_id"))
+            rows = rows.withColumns({"type_id": F.when(F.col("_at").isNotNull(), kind), "address": F.col("_at")}).drop("_go", "_at")
+        return self._with(rows.select(*self.rows.columns))
 
     def member(self, name: str | Column, declared: bool = False, candidate: int | Column | None = None) -> Instances:
         """The member of a name, also out of anonymous members. With its only candidate type, if it has just one, and pointers followed; `declared`: with
@@ -175,8 +195,8 @@ class Instances:
             rows = _looked_up(rows, self.tables.candidates, {"_bare": "type_id", "_idx": "idx", "_no": "no"})
             return self._settled(rows, F.col("_t_ref_type"), moved(F.col("address"), F.col("_offset")), path)
         kind = F.col("_t_ref_type") if declared else F.coalesce("_t_only_candidate", "_t_ref_type")
-        out = self._settled(rows, kind, moved(F.col("address"), F.col("_t_offset")), path)
-        return out if declared else out.dereferenced()
+        out = self._settled(rows.withColumn("_to", F.col("_t_pointees")), kind, moved(F.col("address"), F.col("_t_offset")), path, ["_to"])
+        return self._with(out.rows.drop("_to")) if declared else self._followed(out.rows)
 
     def all_members(self, declared: bool = False) -> Instances:
         """One row for each direct member, with its `idx`; anonymous ones have no name. Types follow as in `member`, pointers aren't followed."""
@@ -240,7 +260,7 @@ def parsed_requests(requests: DataFrame, spec: str = "spec") -> DataFrame:
     words = F.split(left, r"\s+")
     good = (F.size(halves) == 2) & at.rlike("^(0x)?[0-9a-f]{1,16}$") & left.rlike(r"^[A-Za-z0-9_]+(\.[A-Za-z_][A-Za-z0-9_]*)*(\s+[0-9]{1,9})?$")
     parts = F.split(words[0], r"\.")
-    return requests.withColumns({"_type": F.when(good, parts[0]), "_path": F.when(good, F.slice(parts, 2, 1000)), "_length": F.when(good & (F.size(words) > 1), F.try_element_at(words, F.lit(2))).cast("int"), "_address": F.when(good, _first(at))})
+    return requests.withColumns({"_type": F.when(good, parts[0]), "_path": F.when(good, F.slice(parts, 2, 1000)), "_length": F.when(good & (F.size(words) > 1), F.try_element_at(words, F.lit(2))).cast("int"), "_address": F.when(good, _from_hex(at))})
 
 
 def typed_reads(requests: DataFrame, key: str, tables: TypeTables, pages: DataFrame, page: int = 4096, spec: str = "spec") -> DataFrame:
@@ -273,7 +293,7 @@ def typed_reads(requests: DataFrame, key: str, tables: TypeTables, pages: DataFr
     typed = asked.filter(~F.col("_type").isin("raw", "hex", *plain))
     names = tables.types.groupBy(F.col("name").alias("_type")).agg(F.count("*").alias("_same"), F.min("type_id").alias("_id"))
     ids = tables.types.select(F.col("type_id").alias("_hex_id"), F.col("type_id").alias("_by_id"))
-    hexed = F.when(F.col("_type").rlike("^(0[xX])?[0-9a-fA-F]{1,16}$"), _first(F.col("_type")))
+    hexed = F.when(F.col("_type").rlike("^(0[xX])?[0-9a-fA-F]{1,16}$"), _from_hex(F.col("_type")))
     found = typed.join(names, "_type", "left").withColumn("_hex_id", F.when(F.col("_same").isNull(), hexed)).join(ids, "_hex_id", "left")
     wrong = F.when(F.col("_same") > 1, "ambiguous type").when(F.col("_same").isNull() & F.col("_by_id").isNull(), "unknown type")
     found = cut(found.withColumn("_error", wrong).withColumn("type_id", F.coalesce("_id", "_by_id")))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orebody.functions import expr, filters, patterns
-from orebody.operators import diff, dyadic, graph, instances, intervals, revmap, rules, stats, trees, validate
+from orebody.operators import diff, dyadic, graph, instances, intervals, revmap, rules, stats, trees, typed, validate
 from orebody.plans.pathql import Edge, KeyPaths
 from orebody.session import Symbols
 from orebody.sources import memory
@@ -1338,3 +1338,103 @@ def _(t):
     aimed = F.when(F.col("l_suppkey") % 7 != 0, F.when(F.col("l_partkey") > 1, F.col("l_partkey") * 2048).otherwise(0))
     told = filters.valid_function_pointers(t("lineitem").select("l_orderkey", "l_linenumber", aimed.alias("target")), "target", pages)
     return told.groupBy("l_orderkey", "l_linenumber").agg(big(F.count("*"), "n"), big(F.sum(F.col("callable").cast("int")), "callable"))
+
+
+# --- orders and customers as objects in memory: a page each
+
+
+_ORDER_PAGE = 128
+_FIRST_CUSTOMER = 1_000_000_000
+
+
+def _le(c: Column, size: int) -> Column:
+    """The hexadecimal digits of an integer's little-endian bytes."""
+    digits = F.lpad(F.hex(c.cast("bigint")), 16, "0")
+    return F.concat(*[F.substring(digits, 15 - 2 * i, 2) for i in range(size)])
+
+
+def _order_image(t) -> tuple[typed.TypeTables, DataFrame]:
+    """A catalog, and pages of 128 bytes: an order has owner (declared void*, with one candidate), total, status and priority, a customer nation and name."""
+    padded = lambda c, n: F.rpad(F.hex(F.encode(c, "utf-8")), 2 * n, "0")
+    owner = F.when(F.col("o_orderstatus") != "P", (F.col("o_custkey") + _FIRST_CUSTOMER) * _ORDER_PAGE).otherwise(0)
+    data = F.concat(_le(owner, 8), _le(F.col("o_custkey") - 700, 4), F.lit("00000000"), padded(F.col("o_orderstatus"), 8), padded(F.col("o_orderpriority"), 16))
+    orders = t("orders").select((F.col("o_orderkey") + 1).alias("frame"), F.unhex(F.rpad(data, 2 * _ORDER_PAGE, "0")).alias("data"))
+    data = F.concat(_le(F.col("c_nationkey"), 8), padded(F.col("c_name"), 24))
+    customers = t("customer").select((F.col("c_custkey") + _FIRST_CUSTOMER).alias("frame"), F.unhex(F.rpad(data, 2 * _ORDER_PAGE, "0")).alias("data"))
+    spark = orders.sparkSession
+    types = [
+        (1, "Int32", "int32", 4, None, None), (2, "Int8", "char8", 1, None, None), (3, "Array", "char[16]", 16, 2, 16), (4, "Struct", "customer", 128, None, None),
+        (5, "Pointer", "customer*", 8, 4, None), (6, "Struct", "order", 128, None, None), (7, "Array", "char[24]", 24, 2, 24), (8, "Pointer", "void*", 8, None, None),
+    ]
+    members = [(6, 0, "owner", 0, 8), (6, 1, "total", 8, 1), (6, 2, "status", 16, 2), (6, 3, "priority", 24, 3), (4, 0, "nation", 0, 1), (4, 1, "name", 8, 7)]
+    tables = typed.TypeTables(
+        spark.createDataFrame(types, "type_id bigint, kind string, name string, size bigint, ref_type bigint, length bigint"),
+        spark.createDataFrame(members, "type_id bigint, idx int, name string, offset bigint, ref_type bigint"), spark.createDataFrame([(6, 0, 1, 5)], "type_id bigint, idx int, no int, ref_type bigint"),
+    )
+    return tables, orders.unionByName(customers)
+
+
+_OWNER_SQL = "CASE WHEN o_orderstatus <> 'P' THEN (o_custkey + 1000000000) * 128"
+
+
+@query(
+    "typed_requests",
+    f"""WITH x AS (SELECT DISTINCT l_orderkey * 10 + l_linenumber AS request, l_linenumber AS n, (l_orderkey + 1) * 128 AS a, o_custkey - 700 AS total, o_orderstatus AS st, lower(hex(encode(o_orderpriority))) || repeat('00', 16 - strlen(o_orderpriority)) AS pr,
+      {_OWNER_SQL} END AS own, c_name, c_nationkey FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey),
+    y AS (SELECT *, printf('%016x', coalesce(own, 0)) AS h, printf('%08x', (total + 4294967296) % 4294967296) AS g FROM x),
+    z AS (SELECT *, array_to_string([substr(h, 15 - 2 * i, 2) for i in range(8)], '') || array_to_string([substr(g, 7 - 2 * i, 2) for i in range(4)], '') || '00000000' AS l0, lower(hex(encode(st))) || repeat('00', 7) || substr(pr, 1, 16) AS l1, substr(pr, 17, 16) AS l2 FROM y),
+    w AS (SELECT request, 0 AS line, 'int32' AS type_name, a + 8 AS address, total AS integer, NULL AS text, NULL AS error FROM z WHERE n = 1
+      UNION ALL SELECT request, 0, CASE WHEN own IS NOT NULL THEN 'char[24]' END, own + 8, NULL, CASE WHEN own IS NOT NULL THEN c_name END, CASE WHEN own IS NULL THEN 'no member or not mapped' END FROM z WHERE n = 2
+      UNION ALL SELECT request, 0, CASE WHEN own IS NOT NULL THEN 'int32' END, own, CASE WHEN own IS NOT NULL THEN c_nationkey END, NULL, CASE WHEN own IS NULL THEN 'no member or not mapped' END FROM z WHERE n = 3
+      UNION ALL SELECT request, 0, 'int', a + 8, total, NULL, NULL FROM z WHERE n = 4 UNION ALL SELECT request, 0, 'char', a + 16, ascii(st), NULL, NULL FROM z WHERE n = 5
+      UNION ALL SELECT request, 0, 'raw', a, NULL, l0, NULL FROM z WHERE n = 6 UNION ALL SELECT request, 1, 'raw', a + 16, NULL, l1, NULL FROM z WHERE n = 6 UNION ALL SELECT request, 2, 'raw', a + 32, NULL, l2, NULL FROM z WHERE n = 6
+      UNION ALL SELECT request, 0, NULL, NULL, NULL, NULL, 'no member or not mapped' FROM z WHERE n = 7)
+    SELECT request, CAST(line AS INTEGER) AS line, type_name, CAST(address AS BIGINT) AS address, CAST(integer AS BIGINT) AS integer, CASE WHEN type_name = 'raw' THEN trim(regexp_replace(text, '(..)', '\\1 ', 'g')) ELSE text END AS text, error FROM w""",
+)
+def _(t):
+    tables, pages = _order_image(t)
+    forms = ["order.total @ 0x{}", "order.owner.name @ {}", "order.owner.nation @ 0x{}", "int @ {}", "char @ 0x{}", "raw 40 @ 0x{}", "6.nothing@{}"]
+    base = (F.col("l_orderkey") + 1) * _ORDER_PAGE
+    ats = [base, base, base, base + 8, base + 16, base, base]
+    spec = F.coalesce(*[F.when(F.col("l_linenumber") == n, F.concat(F.lit(f.split("{}")[0]), F.lower(F.hex(a)))) for n, (f, a) in enumerate(zip(forms, ats), 1)])
+    asked = t("lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("request"), spec.alias("spec")).distinct()
+    return typed.typed_reads(asked, "request", tables, pages, _ORDER_PAGE).drop("real")
+
+
+@query(
+    "instance_methods",
+    f"""SELECT o_orderkey, 'described' AS what, 'Struct:128:4' AS told FROM orders UNION ALL SELECT o_orderkey, 'names', 'owner,total,status,priority' FROM orders UNION ALL SELECT o_orderkey, 'owner', '0:8:1' FROM orders
+    UNION ALL SELECT o_orderkey, 'candidate', CAST({_OWNER_SQL} END AS VARCHAR) FROM orders UNION ALL SELECT o_orderkey, 'letter', CAST(ascii(substr(o_orderpriority, 3, 1)) AS VARCHAR) FROM orders
+    UNION ALL SELECT o_orderkey, 'member' || i, CAST((o_orderkey + 1) * 128 + [0, 8, 16, 24][i + 1] AS VARCHAR) || ':' || [5, 1, 2, 3][i + 1] FROM orders, range(4) r(i)""",
+)
+def _(t):
+    tables, pages = _order_image(t)
+    rows = t("orders").select("o_orderkey", ((F.col("o_orderkey") + 1) * _ORDER_PAGE).alias("address"), F.lit(6).cast("bigint").alias("type_id"))
+    at = typed.Instances(rows, tables, pages, _ORDER_PAGE)
+    told = lambda df, what, *cs: df.select("o_orderkey", (what if isinstance(what, Column) else F.lit(what)).alias("what"), (F.concat_ws(":", *cs) if len(cs) > 1 else F.col(cs[0]).cast("string")).alias("told"))
+    out = told(at.described(), "described", "kind", "size", "member_count")
+    out = out.unionByName(told(at.member_names().withColumn("names", F.array_join("member_names", ",")), "names", "names"))
+    out = out.unionByName(told(at.of_member("owner"), "owner", "member_offset", "member_type", "n_candidates"))
+    out = out.unionByName(told(at.member("owner", candidate=1).dereferenced(1).rows, "candidate", "address"))
+    out = out.unionByName(told(at.member("priority", declared=True).element(2).values(), "letter", "integer"))
+    return out.unionByName(told(at.all_members().rows, F.concat(F.lit("member"), F.col("idx").cast("string")), "address", "type_id"))
+
+
+@query(
+    "variables_by_members",
+    """WITH h0 AS (SELECT c_custkey AS c, c_custkey * 8 + 2 AS var_id FROM customer WHERE c_mktsegment = 'BUILDING'), h1 AS (SELECT o_custkey AS c, o_orderkey * 8 + 4 AS var_id FROM orders WHERE o_orderstatus = 'F'),
+    few AS (SELECT c_custkey AS c FROM customer LEFT JOIN (SELECT c, count(*) AS n FROM (FROM h0 UNION ALL FROM h1) GROUP BY c) k ON k.c = c_custkey WHERE coalesce(n, 0) < 3),
+    h2 AS (SELECT o_custkey AS c, l_partkey * 8 + 6 AS var_id, 'l' || l_linenumber || '.cust' AS path FROM few JOIN orders ON o_custkey = c JOIN (SELECT DISTINCT l_orderkey, l_partkey, l_linenumber FROM lineitem) ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey)
+    SELECT c * 8 + 1 AS wanted, var_id, '' AS path, 0 AS hops FROM h0 UNION ALL SELECT c * 8 + 1, var_id, 'cust', 1 FROM h1 JOIN customer ON c_custkey = c UNION ALL SELECT c * 8 + 1, var_id, path, 2 FROM h2""",
+)
+def _(t):
+    struct = lambda df, key, at: df.select((F.col(key) * 8 + at).alias("type_id"), F.lit("Struct").alias("kind"), F.lit(None).cast("bigint").alias("ref_type"))
+    aimed = lambda df, key, at: df.select((F.col(key) * 8 + at + 1).alias("type_id"), F.lit("Pointer").alias("kind"), (F.col(key) * 8 + at).alias("ref_type"))
+    given = [(t("customer"), "c_custkey", 1), (t("orders"), "o_orderkey", 3), (t("part"), "p_partkey", 5)]
+    types = [f(*g) for g in given for f in (struct, aimed)]
+    types = types[0].unionByName(types[1]).unionByName(types[2]).unionByName(types[3]).unionByName(types[4]).unionByName(types[5])
+    members = t("orders").select((F.col("o_orderkey") * 8 + 3).alias("type_id"), F.lit("cust").alias("name"), (F.col("o_custkey") * 8 + 2).alias("ref_type"))
+    lines = t("lineitem").select((F.col("l_partkey") * 8 + 5).alias("type_id"), F.concat(F.lit("l"), F.col("l_linenumber").cast("string")).alias("name"), (F.col("l_orderkey") * 8 + 4).alias("ref_type")).distinct()
+    ids = t("customer").filter("c_mktsegment = 'BUILDING'").select(F.col("c_custkey") * 8 + 2).unionByName(t("orders").filter("o_orderstatus = 'F'").select((F.col("o_orderkey") * 8 + 4).alias("((c_custkey * 8) + 2)"))).toDF("type_id")
+    ids = ids.unionByName(t("part").select((F.col("p_partkey") * 8 + 6).alias("type_id")))
+    return typed.variables_using(t("customer").select((F.col("c_custkey") * 8 + 1).alias("type_id")), types, members.unionByName(lines), ids.select(F.col("type_id").alias("var_id"), "type_id"), 3, 2)
