@@ -21,6 +21,7 @@ from orebody.plans.pathql import _READ, integer, read_bytes, real, text_value
 REALS = {"Float": 4, "Double": 8}
 STRUCTURED = ("Struct", "Union")
 LINE = 16  # bytes on a line of a raw read
+HOT = 100_000  # users of a type from which on its joins are dealt over SALTS tasks
 
 
 def _from_hex(c: Column) -> Column:
@@ -321,11 +322,14 @@ def variables_using(wanted: DataFrame, types: DataFrame, members: DataFrame, var
     type are the next hop, and the types that refer to them go on; a struct's own variables don't count, but those of its typedefs do. A wanted type
     goes on to the next hop only while it has fewer than `most` variables, and to `depth` hops; each hop is found whole. A way doesn't
     come back to a type on it. Members without a name add nothing to the path. Repeated wanted types count once."""
-    of = lambda df: df.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))  # noqa: E731  the ways to one type are met by parts of its users
-    deal = lambda c: F.pmod(F.xxhash64(c), F.lit(SALTS)).cast("int")
-    refs = types.filter(~F.col("kind").isin(*STRUCTURED)).select(F.col("ref_type").alias("type"), F.col("type_id").alias("_user")).withColumn("_salt", deal("_user"))
-    holds = members.select(F.col("ref_type").alias("type"), F.col("type_id").alias("_user"), F.coalesce("name", F.lit("")).alias("_name")).withColumn("_salt", deal("_user"))
-    own = variables.select("var_id", F.col("type_id").alias("type")).withColumn("_salt", deal("var_id"))
+    refs = types.filter(~F.col("kind").isin(*STRUCTURED)).select(F.col("ref_type").alias("type"), F.col("type_id").alias("_user")).filter("type is not null")
+    holds = members.select(F.col("ref_type").alias("type"), F.col("type_id").alias("_user"), F.coalesce("name", F.lit("")).alias("_name")).filter("type is not null")
+    own = variables.select("var_id", F.col("type_id").alias("type"))
+    users = refs.select("type").unionByName(holds.select("type")).unionByName(own.select("type"))
+    hot = cut(users.groupBy("type").agg(F.count("*").alias("_n")).filter(F.col("_n") > HOT).select("type", F.lit(True).alias("_hot")))  # a type in HOT users at most
+    part = lambda df, by: df.join(hot, "type", "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).otherwise(0)).drop("_hot")
+    of = lambda df: df.join(hot, "type", "left").withColumn("_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))).drop("_hot")  # noqa: E731  the ways to a hot type go to all parts of its users
+    refs, holds, own = part(refs, "_user"), part(holds, "_user"), part(own, "var_id")
     front = wanted.select(F.col(wanted.columns[0]).alias("wanted")).distinct().withColumns({"type": F.col("wanted"), "path": F.array().cast("array<string>"), "seen": F.array("wanted")})
     front, found = cut(front), []
     for hop in range(depth + 1):
