@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orebody.operators.store import cut
+from orebody.operators.store import cut, grown
 
 STEP = 3
 LEVELS = 21
@@ -60,11 +60,11 @@ def cells_at(point: Column, highest: int = LEVELS - 1) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(highest)), lambda k: F.struct(k.cast("int").alias("level"), _shift(point.cast("bigint"), k).alias("cell")))
 
 
-def contained(points: DataFrame, ranges: DataFrame, point: str, start: Column, end: Column) -> DataFrame:
-    """All pairs of a point's row and the row of a range that holds it, each once; columns of both sides."""
+def contained(points: DataFrame, ranges: DataFrame, point: str, start: Column, end: Column, few: bool = False) -> DataFrame:
+    """All pairs of a point's row and the row of a range that holds it, each once; columns of both sides. few: the ranges may be broadcast."""
     a = points.withColumn("_c", F.explode(cells_at(F.col(point))))
     b = ranges.withColumn("_c", F.explode(cover(start, end)))
-    return a.join(b, "_c").drop("_c")
+    return a.join(F.broadcast(b) if few else grown(b), "_c").drop("_c")
 
 
 class RangeSummaries:

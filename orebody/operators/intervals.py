@@ -15,10 +15,12 @@ from pyspark.sql import functions as F
 
 from orebody.operators import dyadic
 from orebody.operators.scans import neighbours, ranged, running, segments
+from orebody.operators.store import grown
 
 LEVELS = 4
 RATIO = 64
 SPAN = 8
+FEW = 1000  # rows of a side that are broadcast, each as some hundred cells at most
 FAN = 4096  # neighbours that one task carries a value over
 
 
@@ -41,34 +43,48 @@ def _laid(df: DataFrame, start: Column, end: Column, width: int, met: set[int])
     return laid.withColumn("_level", F.col("_cell.level")).withColumn("_bucket", F.col("_cell.bucket")).drop("_cell")
 
 
-def _with_long(long: DataFrame, other: DataFrame, long_start: str, long_end: str, other_start: str, other_end: str) -> DataFrame:
-    """Pairs of the long intervals with the other side: those that begin in them, and those in which they begin and that began before."""
-    begin_inside = dyadic.contained(other, long, other_start, F.col(long_start), F.col(long_end))
-    begun_before = dyadic.contained(long, other, long_start, F.col(other_start) + 1, F.col(other_end))
-    return begin_inside.unionByName(begun_before)
+def _on_grids(left: DataFrame, right: DataFrame, left_start: str, left_end: str, right_start: str, right_end: str, width: int, in_left: set[int], in_right: set[int], few: tuple[bool, bool]) -> DataFrame:
+    """Pairs of intervals that fit a grid, both with `_own`; `few`: the sides that are small enough to be broadcast."""
+    names = [c for c in (*left.columns, *right.columns) if c != "_own"]
+    a = _laid(left, F.col(left_start), F.col(left_end), width, in_right).withColumnRenamed("_own", "_own_a")
+    b = _laid(right, F.col(right_start), F.col(right_end), width, in_left).withColumnRenamed("_own", "_own_b")
+    a, b = (F.broadcast(a), b) if few[0] else (a, F.broadcast(b) if few[1] else grown(b))
+    level_width = F.lit(width).cast("double") * F.pow(F.lit(RATIO), F.col("_level"))
+    home = F.floor(F.greatest(left_start, right_start) / level_width)
+    meet = (F.col(left_start) <= F.col(right_end)) & (F.col(right_start) <= F.col(left_end))
+    return a.join(b, ["_level", "_bucket"]).filter((F.greatest("_own_a", "_own_b") == F.col("_level")) & (F.col("_bucket") == home) & meet).select(*names)
+
+
+def _with_long(long: DataFrame, other: DataFrame, long_start: str, long_end: str, other_start: str, other_end: str, width: int, in_other: set[int], few: bool) -> DataFrame:
+    """Pairs of the long intervals with the other side: those that begin in them, and those in which they begin and that began before, which
+    their first points find on the grids of that side. few: the long ones may be broadcast."""
+    names = [*long.columns, *[c for c in other.columns if c != "_own"]]
+    out = dyadic.contained(other.drop("_own"), long, other_start, F.col(long_start), F.col(long_end), few).select(*names)
+    points = long.withColumns({"_own": F.lit(0), "_at": F.col(long_start)})
+    out = out.unionByName(_on_grids(points, other.filter(F.col("_own") < LEVELS), long_start, "_at", other_start, other_end, width, {0}, in_other, (few, False)).filter(F.col(other_start) < F.col(long_start)).select(*names))
+    if LEVELS in in_other:
+        out = out.unionByName(dyadic.contained(long, other.filter(F.col("_own") == LEVELS).drop("_own"), long_start, F.col(other_start) + 1, F.col(other_end)).select(*names))
+    return out
 
 
 def overlap_join(left: DataFrame, right: DataFrame, left_start: str, left_end: str, right_start: str, right_end: str, width: int, known: set[int] | None = None) -> DataFrame:
     """All pairs that share a point. Columns of both sides; their names must differ. `width`: about twice a usual length.
 
-    Which grids are needed at all is asked of both sides while the plan is made, five rows each, unless a set that holds all of
+    Which grids are needed at all, and by how many, is asked of both sides while the plan is made, five rows each, unless a set that holds all of
     them is `known` (see `grids`).
     """
     left = left.filter(F.col(left_start) <= F.col(left_end)).withColumn("_own", _own_level(F.col(left_start), F.col(left_end), width))
     right = right.filter(F.col(right_start) <= F.col(right_end)).withColumn("_own", _own_level(F.col(right_start), F.col(right_end), width))
-    levels = lambda d: {r[0] for r in d.select("_own").distinct().collect()}  # noqa: E731  five rows at most
-    in_left, in_right = (levels(left), levels(right)) if known is None else (known, known)
+    counts = lambda d: dict.fromkeys(known, FEW + 1) if known is not None else dict(map(tuple, d.groupBy("_own").count().collect()))  # noqa: E731  five rows at most
+    in_left, in_right = counts(left), counts(right)
     names = [*[c for c in left.columns if c != "_own"], *[c for c in right.columns if c != "_own"]]
-    a = _laid(left.filter(F.col("_own") < LEVELS), F.col(left_start), F.col(left_end), width, in_right).withColumnRenamed("_own", "_own_a")
-    b = _laid(right.filter(F.col("_own") < LEVELS), F.col(right_start), F.col(right_end), width, in_left).withColumnRenamed("_own", "_own_b")
-    level_width = F.lit(width).cast("double") * F.pow(F.lit(RATIO), F.col("_level"))
-    home = F.floor(F.greatest(left_start, right_start) / level_width)
-    meet = (F.col(left_start) <= F.col(right_end)) & (F.col(right_start) <= F.col(left_end))
-    pairs = a.join(b, ["_level", "_bucket"]).filter((F.greatest("_own_a", "_own_b") == F.col("_level")) & (F.col("_bucket") == home) & meet).select(*names)
+    few = lambda n: sum(n.get(k, 0) for k in range(LEVELS)) <= FEW
+    near = F.col("_own") < LEVELS
+    pairs = _on_grids(left.filter(near), right.filter(near), left_start, left_end, right_start, right_end, width, set(in_left), set(in_right), (few(in_left), few(in_right)))
     if LEVELS in in_left:
-        pairs = pairs.unionByName(_with_long(left.filter(F.col("_own") == LEVELS).drop("_own"), right.drop("_own"), left_start, left_end, right_start, right_end).select(*names))
+        pairs = pairs.unionByName(_with_long(left.filter(~near).drop("_own"), right, left_start, left_end, right_start, right_end, width, set(in_right), in_left[LEVELS] <= FEW).select(*names))
     if LEVELS in in_right:
-        pairs = pairs.unionByName(_with_long(right.filter(F.col("_own") == LEVELS).drop("_own"), left.filter(F.col("_own") < LEVELS).drop("_own"), right_start, right_end, left_start, left_end).select(*names))
+        pairs = pairs.unionByName(_with_long(right.filter(~near).drop("_own"), left.filter(near), right_start, right_end, left_start, left_end, width, set(in_left) - {LEVELS}, in_right[LEVELS] <= FEW).select(*names))
     return pairs
 
 
@@ -159,9 +175,14 @@ def gaps(df: DataFrame, start: str, end: str, low: int = -(1 << 61), high: int =
 def subtract(df: DataFrame, start: str, end: str, without: DataFrame, without_start: str, without_end: str, width: int) -> DataFrame:
     """V7: what excluded ranges leave of each interval: its row once for each part left, with the part's ends; a swallowed interval has none.
 
-    The excluded ranges become the gaps between them, with which an ordinary overlap join cuts the intervals into their parts."""
-    left = gaps(without.select(F.col(without_start).cast("bigint").alias("_gs"), F.col(without_end).cast("bigint").alias("_ge")), "_gs", "_ge")
-    met = overlap_join(df, left, start, end, "_gs", "_ge", width)
+    The excluded ranges, as far as they lie between the first and the last address of the intervals, become the gaps between them, with which an ordinary
+    overlap join cuts the intervals into their parts."""
+    low, high = df.filter(F.col(start) <= F.col(end)).agg(F.min(start), F.max(end)).first()
+    if low is None:
+        return df.limit(0)
+    cuts = without.select(F.col(without_start).cast("bigint").alias("_gs"), F.col(without_end).cast("bigint").alias("_ge"))
+    cuts = cuts.filter((F.col("_gs") <= F.col("_ge")) & (F.col("_ge") >= low) & (F.col("_gs") <= high)).withColumn("_gs", F.greatest("_gs", F.lit(low)))
+    met = overlap_join(df, gaps(cuts, "_gs", "_ge", low, high), start, end, "_gs", "_ge", width)
     return met.withColumns({start: F.greatest(F.col(start), F.col("_gs")), end: F.least(F.col(end), F.col("_ge"))}).select(*df.columns)
 
 
