@@ -93,8 +93,8 @@ class RangeSummaries:
         """A3: the summary of the objects that share an address with each range, by `key`; ranges without objects have no row. Swapped bounds are
         put right."""
         first, last = F.least(low, high), F.greatest(low, high)
-        inside = ranges.select(key, F.explode(cover(first, last)).alias("_c")).select(key, "_c.*").join(self.starts, ["level", "cell"])
-        before = ranges.select(key, F.explode(cells_at(first, self.highest)).alias("_c")).select(key, "_c.*").join(self.reaching, ["level", "cell"])
+        inside = ranges.select(key, F.explode(cover(first, last)).alias("_c")).select(key, "_c.*").join(grown(self.starts), ["level", "cell"])
+        before = ranges.select(key, F.explode(cells_at(first, self.highest)).alias("_c")).select(key, "_c.*").join(grown(self.reaching), ["level", "cell"])
         return inside.unionByName(before).groupBy(key).agg(*self.unite)
 
     def at_points(self, points: DataFrame, key: str, point: str) -> DataFrame:

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from orebody.operators import intervals
+from orebody.operators import dyadic, intervals
 
 
 def plan_of(df):
@@ -50,3 +50,9 @@ def test_subtract_clips_exclusions_and_broadcasts_no_intervals(spark):
     assert sorted(map(tuple, got.collect())) == want
     assert intervals.subtract(runs.limit(0), "s", "e", without, "xs", "xe", 64).count() == 0
 
+
+def test_range_summaries_broadcast_no_cells(spark):
+    made = dyadic.RangeSummaries(spark.range(3000).selectExpr("id * 64 as s", "id * 64 + 100 as e", "0.5D as prob", "1 as kind"), "s", "e", intervals.summary("prob", "kind"), intervals.merged_summary())
+    got = made.of_ranges(spark.range(500).selectExpr("id as k", "id * 300 as lo", "id * 300 + 5000 as hi"), "k", "lo", "hi")
+    assert "Broadcast" not in plan_of(got)
+    assert [x["n"] for x in got.orderBy("k").collect()] == [sum(s * 64 <= k * 300 + 5000 and s * 64 + 100 >= k * 300 for s in range(3000)) for k in range(500)]
