@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orebody.operators.store import cut, grown
+from orebody.operators.store import by_sorting, cut
 
 STEP = 3
 LEVELS = 21
@@ -64,7 +64,7 @@ def contained(points: DataFrame, ranges: DataFrame, point: str, start: Column, e
     """All pairs of a point's row and the row of a range that holds it, each once; columns of both sides. few: the ranges may be broadcast."""
     a = points.withColumn("_c", F.explode(cells_at(F.col(point))))
     b = ranges.withColumn("_c", F.explode(cover(start, end)))
-    return a.join(F.broadcast(b) if few else grown(b), "_c").drop("_c")
+    return a.join(F.broadcast(b) if few else by_sorting(b), "_c").drop("_c")
 
 
 class RangeSummaries:
@@ -93,8 +93,8 @@ class RangeSummaries:
         """A3: the summary of the objects that share an address with each range, by `key`; ranges without objects have no row. Swapped bounds are
         put right."""
         first, last = F.least(low, high), F.greatest(low, high)
-        inside = ranges.select(key, F.explode(cover(first, last)).alias("_c")).select(key, "_c.*").join(grown(self.starts), ["level", "cell"])
-        before = ranges.select(key, F.explode(cells_at(first, self.highest)).alias("_c")).select(key, "_c.*").join(grown(self.reaching), ["level", "cell"])
+        inside = ranges.select(key, F.explode(cover(first, last)).alias("_c")).select(key, "_c.*").join(by_sorting(self.starts), ["level", "cell"])
+        before = ranges.select(key, F.explode(cells_at(first, self.highest)).alias("_c")).select(key, "_c.*").join(by_sorting(self.reaching), ["level", "cell"])
         return inside.unionByName(before).groupBy(key).agg(*self.unite)
 
     def at_points(self, points: DataFrame, key: str, point: str) -> DataFrame:

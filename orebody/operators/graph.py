@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orebody.operators.scans import neighbours
-from orebody.operators.store import cut, discard
+from orebody.operators.store import by_sorting, cut, discard
 
 SALTS = 8
 MOST_ROUNDS = 1000
@@ -186,7 +186,7 @@ class Jumps:
             self.levels.append(cut(going.select("node", "up")))
             above = state.select(F.col("node").alias("up"), F.col("up").alias("_next"), F.col("depth").alias("_more"))
             # a parent that isn't a node itself is a root of its own
-            step = going.join(above, "up", "left").select("node", F.col("_next").alias("up"), (F.col("depth") + F.coalesce("_more", F.lit(0))).alias("depth"))
+            step = going.join(by_sorting(above), "up", "left").select("node", F.col("_next").alias("up"), (F.col("depth") + F.coalesce("_more", F.lit(0))).alias("depth"))
             grown = cut(state.filter("up is null").unionByName(step))
             discard(state)
             state = grown
@@ -198,7 +198,7 @@ class Jumps:
             up = table.select(F.col("node").alias(node), F.col("up").alias("_up"))
             bit = F.call_function("shiftright", F.col(by), F.lit(k)).bitwiseAND(F.lit(1)) == 1
             stay, go = rows.filter(~bit), rows.filter(bit)
-            rows = cut(stay.unionByName(go.join(up, node, "left").withColumn(node, F.col("_up")).drop("_up")))
+            rows = cut(stay.unionByName(go.join(by_sorting(up), node, "left").withColumn(node, F.col("_up")).drop("_up")))
         return rows
 
     def lines(self, nodes: DataFrame | None = None, within: int | None = None) -> DataFrame:
@@ -208,7 +208,7 @@ class Jumps:
         out = own.select("node", F.col("node").alias("above"), F.lit(0).cast("bigint").alias("distance"))
         for k in range(len(self.levels) - 1, -1, -1):
             up = self.levels[k].select(F.col("node").alias("above"), F.col("up").alias("_up"))
-            further = out.join(up, "above").select("node", F.col("_up").alias("above"), (F.col("distance") + (1 << k)).alias("distance"))
+            further = out.join(by_sorting(up), "above").select("node", F.col("_up").alias("above"), (F.col("distance") + (1 << k)).alias("distance"))
             out = cut(out.unionByName(further if within is None else further.filter(F.col("distance") <= within)))
         return out.filter("distance > 0")
 

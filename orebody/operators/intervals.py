@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from orebody.operators import dyadic
 from orebody.operators.scans import neighbours, ranged, running, segments
-from orebody.operators.store import grown
+from orebody.operators.store import by_sorting
 
 LEVELS = 4
 RATIO = 64
@@ -48,7 +48,7 @@ def _on_grids(left: DataFrame, right: DataFrame, left_start: str, left_end: str,
     names = [c for c in (*left.columns, *right.columns) if c != "_own"]
     a = _laid(left, F.col(left_start), F.col(left_end), width, in_right).withColumnRenamed("_own", "_own_a")
     b = _laid(right, F.col(right_start), F.col(right_end), width, in_left).withColumnRenamed("_own", "_own_b")
-    a, b = (F.broadcast(a), b) if few[0] else (a, F.broadcast(b) if few[1] else grown(b))
+    a, b = (F.broadcast(a), b) if few[0] else (a, F.broadcast(b) if few[1] else by_sorting(b))
     level_width = F.lit(width).cast("double") * F.pow(F.lit(RATIO), F.col("_level"))
     home = F.floor(F.greatest(left_start, right_start) / level_width)
     meet = (F.col(left_start) <= F.col(right_end)) & (F.col(right_start) <= F.col(left_end))

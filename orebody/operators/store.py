@@ -29,7 +29,7 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
-def grown(df: DataFrame) -> DataFrame:
+def by_sorting(df: DataFrame) -> DataFrame:
     """`df` for a join that sorts both sides and never sends one through the driver. Spark takes a written file's size, which may be a tenth of its rows',
     and that of rows before they are exploded for the size of a side, and broadcasts what looks small by that."""
     return df.hint("merge")

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from orebody.operators import dyadic, intervals
+from orebody.operators import dyadic, graph, intervals
 
 
 def plan_of(df):
@@ -56,3 +56,17 @@ def test_range_summaries_broadcast_no_cells(spark):
     got = made.of_ranges(spark.range(500).selectExpr("id as k", "id * 300 as lo", "id * 300 + 5000 as hi"), "k", "lo", "hi")
     assert "Broadcast" not in plan_of(got)
     assert [x["n"] for x in got.orderBy("k").collect()] == [sum(s * 64 <= k * 300 + 5000 and s * 64 + 100 >= k * 300 for s in range(3000)) for k in range(500)]
+
+
+@pytest.fixture()
+def plans(monkeypatch):
+    """The plans of what `graph` writes."""
+    seen, real = [], graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df: (seen.append(plan_of(df)), real(df))[1])
+    return seen
+
+
+def test_jumps_broadcast_no_nodes(spark, plans):
+    depths = graph.Jumps(spark.range(300).selectExpr("id as node", "case when id > 2 then id - 3 end as parent")).depths
+    assert sorted(map(tuple, depths.collect())) == [(k, k // 3) for k in range(300)]
+    assert len(plans) > 7 and not any("Broadcast" in p for p in plans)
