@@ -230,19 +230,19 @@ def lowest_common_ancestor(pairs: DataFrame, above: DataFrame | Jumps) -> DataFr
     if not isinstance(above, Jumps):
         above = Jumps(above.select(F.col("node").cast("string").alias("node"), F.try_element_at("above", F.lit(1)).alias("parent")))
     depth = lambda side: above.depths.select(F.col("node").alias(f"_{side}"), F.col("depth").alias(f"_d{side}"))
-    rows = pairs.select("a", "b", F.col("a").cast("string").alias("_a"), F.col("b").cast("string").alias("_b")).join(depth("a"), "_a").join(depth("b"), "_b")
+    rows = pairs.select("a", "b", F.col("a").cast("string").alias("_a"), F.col("b").cast("string").alias("_b")).join(by_sorting(depth("a")), "_a").join(by_sorting(depth("b")), "_b")
     rows = cut(rows.withColumns({"_ra": F.greatest(F.col("_da") - F.col("_db"), F.lit(0)), "_rb": F.greatest(F.col("_db") - F.col("_da"), F.lit(0))}).drop("_da", "_db"))
     for side in ("a", "b"):
         rows = above.raised(rows, f"_{side}", f"_r{side}")
     for k in range(len(above.levels) - 1, -1, -1):
         up = lambda side: above.levels[k].select(F.col("node").alias(f"_{side}"), F.col("up").alias(f"_u{side}"))  # noqa: B023, E731
         apart, met = rows.filter("_a <> _b"), rows.filter("_a = _b")
-        tried = apart.join(up("a"), "_a", "left").join(up("b"), "_b", "left")
+        tried = apart.join(by_sorting(up("a")), "_a", "left").join(by_sorting(up("b")), "_b", "left")
         move = F.coalesce(F.col("_ua") != F.col("_ub"), F.lit(False))
         rows = cut(met.unionByName(tried.withColumns({"_a": F.when(move, F.col("_ua")).otherwise(F.col("_a")), "_b": F.when(move, F.col("_ub")).otherwise(F.col("_b"))}).drop("_ua", "_ub")))
     if above.levels:
         parent = lambda side: above.levels[0].select(F.col("node").alias(f"_{side}"), F.col("up").alias(f"_u{side}"))
-        rows = rows.join(parent("a"), "_a", "left").join(parent("b"), "_b", "left")
+        rows = rows.join(by_sorting(parent("a")), "_a", "left").join(by_sorting(parent("b")), "_b", "left")
         lca = F.when(F.col("_a") == F.col("_b"), F.col("_a")).when(F.col("_ua") == F.col("_ub"), F.col("_ua"))
     else:
         lca = F.when(F.col("_a") == F.col("_b"), F.col("_a"))

@@ -70,3 +70,12 @@ def test_jumps_broadcast_no_nodes(spark, plans):
     depths = graph.Jumps(spark.range(300).selectExpr("id as node", "case when id > 2 then id - 3 end as parent")).depths
     assert sorted(map(tuple, depths.collect())) == [(k, k // 3) for k in range(300)]
     assert len(plans) > 7 and not any("Broadcast" in p for p in plans)
+
+
+def test_common_ancestors_broadcast_no_pairs(spark, plans):
+    nodes = spark.range(200).selectExpr("cast(id as string) as node", "case when id > 2 then cast(id - 2 as string) end as parent")
+    found = graph.lowest_common_ancestor(spark.range(200).selectExpr("id as a", "id * 7 % 200 as b"), graph.Jumps(nodes))
+    above = lambda k: [k] if k <= 2 else [k, *above(k - 2)]
+    want = [(k, k * 7 % 200, next((str(x) for x in above(k) if x in above(k * 7 % 200)), None)) for k in range(200)]
+    assert sorted(map(tuple, found.collect()), key=lambda r: r[0]) == want
+    assert not any("Broadcast" in p for p in [*plans, plan_of(found)])
