@@ -79,3 +79,21 @@ def test_common_ancestors_broadcast_no_pairs(spark, plans):
     want = [(k, k * 7 % 200, next((str(x) for x in above(k) if x in above(k * 7 % 200)), None)) for k in range(200)]
     assert sorted(map(tuple, found.collect()), key=lambda r: r[0]) == want
     assert not any("Broadcast" in p for p in [*plans, plan_of(found)])
+
+
+@pytest.mark.parametrize("few", [0, 7, 50_000])
+def test_list_ranks_over_stations(spark, monkeypatch, few):
+    from orebody.operators import trees
+
+    monkeypatch.setattr(trees, "FEW", few)
+    sizes, seen, real = [], [], trees.cut
+    monkeypatch.setattr(trees, "cut", lambda df: (seen.append(plan_of(df)), sizes.append(out := real(df)), out)[2])
+    rows = [(k, k + 1 if k % 100 != 99 and k < 299 else None, k % 3) for k in range(300)] + [(1000, 50, 5), (1001, 5000, 1), (1002, 1001, 1)]
+    got = trees.list_ranks(spark.createDataFrame(rows, "item long, next long, weight long"))
+    want = [(k, k // 100 * 100 + 99, sum(j % 3 for j in range(k, k // 100 * 100 + 100))) for k in range(300)]
+    want.append((1000, 99, 5 + want[50][2]))
+    assert sorted(map(tuple, got.select("item", "last", "rest").collect())) == want  # what leads to no item is left out
+    if not few:
+        assert not any("Broadcast" in p for p in seen)
+    with pytest.raises(ValueError):
+        trees.list_ranks(spark.createDataFrame([(k, (k + 1) % 40, 1) for k in range(40)], "item long, next long, weight long"))
