@@ -61,10 +61,10 @@ def expand(seed: DataFrame, edges: DataFrame, depth: int, score: str | None = No
     dealt = edges.withColumn("_salt", salt("dst"))
     for d in range(1, depth + 1):
         front = fronts[-1].withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        out = front.join(dealt, (front["node"] == dealt["src"]) & (front["_salt"] == dealt["_salt"])).select(F.col("dst").alias("node"), F.concat("path", F.array("label")).alias("path"), (F.col("score") * factor).alias("score")).filter(F.col("score") > least)
+        out = front.join(by_sorting(dealt), (front["node"] == dealt["src"]) & (front["_salt"] == dealt["_salt"])).select(F.col("dst").alias("node"), F.concat("path", F.array("label")).alias("path"), (F.col("score") * factor).alias("score")).filter(F.col("score") > least)
         best = out.groupBy("node").agg(F.min(F.struct((-F.col("score")).alias("s"), "path")).alias("b")).select("node", F.col("b.path").alias("path"), (-F.col("b.s")).alias("score"))
         seen = reduce(DataFrame.unionByName, [f.select("node") for f in fronts])  # each front is written once
-        front = cut(best.join(seen, "node", "left_anti").withColumn("depth", F.lit(d)))
+        front = cut(best.join(by_sorting(seen), "node", "left_anti").withColumn("depth", F.lit(d)))
         if front.isEmpty():
             break
         fronts.append(front)

@@ -97,3 +97,12 @@ def test_list_ranks_over_stations(spark, monkeypatch, few):
         assert not any("Broadcast" in p for p in seen)
     with pytest.raises(ValueError):
         trees.list_ranks(spark.createDataFrame([(k, (k + 1) % 40, 1) for k in range(40)], "item long, next long, weight long"))
+
+
+def test_expand_broadcasts_no_front(spark, plans):
+    edges = spark.range(400).selectExpr("id div 7 as src", "id as dst", "cast(id as string) as label").filter("dst > 0")
+    seed = spark.sql("select 0L as node, array('0') as path, 1.0D as score")
+    got = graph.expand(seed, edges, 3, factor=0.5)
+    depth = lambda k: 0 if k == 0 else 1 + depth(k // 7)
+    assert sorted((x["node"], x["depth"]) for x in got.collect()) == [(k, depth(k)) for k in range(400) if depth(k) <= 3]
+    assert len(plans) == 4 and not any("Broadcast" in p for p in plans)
