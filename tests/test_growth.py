@@ -106,3 +106,17 @@ def test_expand_broadcasts_no_front(spark, plans):
     depth = lambda k: 0 if k == 0 else 1 + depth(k // 7)
     assert sorted((x["node"], x["depth"]) for x in got.collect()) == [(k, depth(k)) for k in range(400) if depth(k) <= 3]
     assert len(plans) == 4 and not any("Broadcast" in p for p in plans)
+
+
+def test_tree_dump_over_stations(spark, monkeypatch):
+    from orebody.operators import trees
+    from orebody.sources import memory
+
+    monkeypatch.setattr(trees, "FEW", 0, raising=False)
+    seen, real = [], trees.cut
+    monkeypatch.setattr(trees, "cut", lambda df: (seen.append(plan_of(df)), real(df))[1])
+    parents = spark.range(12).selectExpr("id as node", "case when id > 0 then (id - 1) div 2 end as parent")
+    got = memory.tree_dump(parents, "node").orderBy("place").collect()
+    below = lambda k, d: [(k, d), *(x for c in (2 * k + 1, 2 * k + 2) if c < 12 for x in below(c, d + 1))]
+    assert [(x["node"], x["line"]) for x in got] == [(k, "  " * d + str(k)) for k, d in below(0, 0)]
+    assert not any("Broadcast" in p for p in seen[1:])
