@@ -6,12 +6,17 @@ a record has several lines: those are numbered inside their file.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from orebody.operators.store import cut
+
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """One row per line: line, file."""
@@ -89,58 +94,83 @@ def debug_records(text: DataFrame, file: str = "file", line_no: str = "line_no",
     """SRC1, SRC3: debug entries: file, record_id, depth, tag, attrs (map), parent_id. A record is a header line and the attribute lines after it; its
     parent is the nearest record before it of smaller depth.
 
-    split: the column that numbers the splits of a file in ascending order (None: a file is one). Each split is read by itself: it numbers its records
-    and finds their parents with a stack. What it can't know is asked of the splits before it: to which record its first
-    attribute lines belong, and the parents of records whose scope began earlier. For that a split tells, for each depth, its last record
-    that is still open at its end; a depth's splits are looked through in order, a row a split.
+    split: the column that numbers the splits of a file in ascending order (None: a file is one). Each split is read by itself, once, and what it makes is
+    written: it numbers its records and finds their parents with a stack. What it can't know is asked of the splits before it: to which record
+    its first attribute lines belong, and the parents of records whose scope began earlier. For that a split tells, for each depth, its last
+    record that is still open at its end; a depth's splits are looked through in order, a row a split.
     """
-    lines_ = text.select(F.col(file).alias("file"), (F.lit(0) if split is None else F.col(split)).cast("bigint").alias("split"), F.col(line_no).alias("at"), F.col(line).alias("line"))
-    head = F.col("line").rlike(_HEAD)
-    real = lines_.withColumn("head", head).filter(F.col("head") | F.col("line").rlike(_ATTR))
-    w = Window.partitionBy("file", "split").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    numbered = real.withColumn("rec", F.sum(F.col("head").cast("long")).over(w))
-    earlier = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
-    ends = numbered.groupBy("file", "split").agg(F.max("rec").alias("n")).withColumn("from", F.last(F.when(F.col("n") > 0, F.struct("split", "n")), ignorenulls=True).over(earlier))  # a row a split
-    attr = lambda i: F.regexp_extract("line", _ATTR, i)
-    given = numbered.filter("not head").select("file", "split", "rec", F.struct(F.col("split").alias("split"), F.col("at").alias("at"), attr(1).alias("key"), attr(2).alias("value")).alias("a"))
-    stray = given.filter("rec = 0").join(ends, ["file", "split"]).filter("from is not null").select("file", F.col("from.split").alias("split"), F.col("from.n").alias("rec"), "a")
-    owned = given.filter("rec > 0").unionByName(stray).groupBy("file", "split", "rec").agg(F.array_sort(F.collect_list("a")).alias("given"))
-    heads = _heads("line")
-    records = numbered.filter("head").select("file", "split", "rec", F.conv(heads["id"], 16, 10).cast("bigint").alias("record_id"), heads["depth"].try_cast("int").alias("depth"), heads["tag"].alias("tag"))
-    # of an attribute that a record names twice, the first counts
-    first = F.filter("given", lambda x: ~F.exists("given", lambda y: (y["key"] == x["key"]) & (F.struct(y["split"], y["at"]) < F.struct(x["split"], x["at"]))))
-    attrs = F.map_from_entries(F.transform(first, lambda x: F.struct(x["key"], x["value"])))
-    whole = records.join(owned, ["file", "split", "rec"], "left").withColumn("attrs", F.coalesce(attrs, F.map_from_entries(F.array().cast("array<struct<k:string,v:string>>"))))
-    return whole.join(_parents(records), ["file", "split", "rec"]).select(F.col("file").alias(file), "record_id", "depth", "tag", "attrs", "parent_id")
-
-
-def _parents(records: DataFrame) -> DataFrame:
-    """file, split, rec, parent_id from file, split, rec, record_id, depth (a depth that can't be read counts as 0)."""
-
-    def scoped(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("rec")
-        stack: list[tuple[int, int]] = []  # of depth and record, both ascending
-        parents: list[int | None] = []
-        depths = rows["depth"].fillna(0).astype(int).tolist()
-        ids = rows["record_id"].tolist()
-        for depth, name in zip(depths, ids, strict=True):
+    known = text.filter(F.col(line).contains("(DW_TAG_") | F.col(line).contains("DW_AT_"))
+    said = F.when(F.col(line).contains(_MARK), F.lit(None)).otherwise(F.regexp_replace(line, _ATTR, f"$1{_MARK}$2"))  # both parts with one match
+    heads = _heads(line)
+    parsed = known.select(F.col(file).alias("file"), (F.lit(0) if split is None else F.col(split)).cast("bigint").alias("split"), F.col(line_no).cast("bigint").alias("at"), F.col(line).alias("_line"), heads["id"].alias("_id"), said.alias("_said"))
+    head = F.col("_id") != ""
+    plain = F.when(F.col("_said").contains(_MARK), F.col("_said"))
+    key = F.coalesce(F.substring_index(plain, _MARK, 1), F.when(F.col("_said").isNull(), F.nullif(F.regexp_extract("_line", _ATTR, 1), F.lit(""))))
+    value = F.coalesce(F.substring(plain, F.length(key) + 2, F.length(plain)), F.when(F.col("_said").isNull(), F.regexp_extract("_line", _ATTR, 2)))
+    deep, tag = (F.when(head, _heads("_line")[k]) for k in ("depth", "tag"))
+    parsed = parsed.select("file", "split", "at", F.when(head, F.conv("_id", 16, 10).cast("bigint")).alias("record_id"), deep.try_cast("int").alias("depth"), tag.alias("tag"), F.when(~head, key).alias("key"), F.when(~head, value).alias("value"))
+    made = cut(parsed.groupBy("split", "file").applyInArrow(_scoped(), _MADE))  # a split's lines
+    earlier = Window.partitionBy("file").orderBy("split").rangeBetween(Window.unboundedPreceding, -1)
+    edges = made.filter("last or rec = 0").withColumn("from", F.last(F.when(F.col("last"), F.struct("split", "rec")), ignorenulls=True).over(earlier))  # two rows a split at most
+    stray = edges.filter("rec = 0 and from is not null").groupBy("file", F.col("from.split").alias("split"), F.col("from.rec").alias("rec"))
+    stray = stray.agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("split", F.map_entries("attrs").alias("e")))), lambda x: x["e"])).alias("more"))
+    alone = F.col("last") | (F.col("parent_id").isNull() & (F.coalesce("depth", F.lit(0)) > 0))  # what may need another split
+    inner = made.filter(F.col("rec") > 0).filter(~alone)
+    outer = made.filter(F.col("rec") > 0).filter(alone).withColumn("level", F.coalesce("depth", F.lit(0))).join(stray, ["file", "split", "rec"], "left")
+    every = F.concat(F.map_entries("attrs"), "more")
+    first = F.filter(every, lambda x, i: F.array_position(F.transform(every, lambda y: y["key"]), x["key"]) == i + 1)
+    outer = outer.withColumn("attrs", F.when(F.col("more").isNull(), F.col("attrs")).otherwise(F.map_from_entries(first)))
+    outer = outer.join(_answers(made), ["file", "split", "level"], "left").withColumn("parent_id", F.coalesce("parent_id", "_up.record_id"))
+    record = [F.col("file").alias(file), "record_id", "depth", "tag", "attrs", "parent_id"]
+    return inner.select(*record).unionByName(outer.select(*record))
+
+
+_MARK = "\0"
+_MADE = "file string, split long, rec long, record_id long, depth int, tag string, attrs map<string,string>, parent_id long, open boolean, last boolean"
+
+
+def _scoped() -> Callable[[tuple[pa.Scalar, ...], pa.Table], pa.Table]:
+    """A function that carries its code to workers without this package."""
+
+    def scoped(key: tuple[pa.Scalar, ...], lines_: pa.Table) -> pa.Table:
+        """The records of a split's lines: rec (from 1; 0: attribute lines before the first), attrs (of a name given twice, the first counts), parent_id,
+        open (at the split's end), last (the split's last record). A depth that can't be read counts as 0."""
+        lines_ = lines_.sort_by("at")
+        lines_ = lines_.append_column("rec", pc.cumulative_sum(pc.is_valid(lines_["tag"]).cast(pa.int64())))
+        given = lines_.filter(pc.is_valid(lines_["key"])).group_by(["rec", "key"], use_threads=False).aggregate([("value", "first")]).combine_chunks().sort_by("rec")
+        heads = lines_.filter(pc.is_valid(lines_["tag"]))
+        depths, ids = (pc.fill_null(heads[c], 0).to_numpy().tolist() for c in ("depth", "record_id"))
+        stack: list[tuple[int, int]] = []  # of depth and place, both ascending
+        parents: list[int | None] = [None]
+        for at, depth in enumerate(depths):
             while stack and stack[-1][0] >= depth:
                 stack.pop()
-            parents.append(stack[-1][1] if stack else None)
-            stack.append((depth, name))
-        still = set(stack)
-        return pd.DataFrame({"file": key[0], "split": key[1], "rec": rows["rec"], "parent_id": pd.array(parents, "Int64"), "level": depths, "record_id": ids, "open": [(d, i) in still for d, i in zip(depths, ids, strict=True)]})
-
-    found = records.groupBy("file", "split").applyInPandas(scoped, "file string, split long, rec long, parent_id long, level int, record_id long, open boolean")  # a split's records
-    inner, outer = found.filter("parent_id is not null"), found.filter("parent_id is null")
-    # the nearest smaller depth before a split: of the depths below, that whose last open record came last
-    wanted = outer.select("file", "split", "level").distinct().filter("level > 0")
+            parents.append(ids[stack[-1][1]] if stack else None)
+            stack.append((depth, at))
+        n, still = len(ids), {at for _, at in stack}
+        bounds = np.searchsorted(given["rec"].to_numpy(), np.arange(n + 2)).astype("int32")
+        whole = lambda c: c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c
+        below = lambda c: pa.chunked_array([pa.nulls(1, c.type), *c.chunks])
+        rows = {
+            "file": pa.repeat(key[1], n + 1), "split": pa.repeat(key[0], n + 1), "rec": pa.array(range(n + 1), pa.int64()), "record_id": below(heads["record_id"]), "depth": below(heads["depth"]),
+            "tag": below(heads["tag"]), "attrs": pa.MapArray.from_arrays(pa.array(bounds), whole(given["key"]), whole(given["value_first"])), "parent_id": pa.array(parents, pa.int64()),
+            "open": pa.array([False, *(at in still for at in range(n))]), "last": pa.array([at == n for at in range(n + 1)]) if n else pa.array([False]),
+        }
+        return pa.table(rows).slice(0 if bounds[1] else 1)
+
+    return scoped
+
+
+def _answers(made: DataFrame) -> DataFrame:
+    """file, split, level, _up: the nearest record of smaller depth in the splits before, for the levels that have records without a parent in theirs: of
+    the depths below, that whose last open record came last."""
+    level = F.coalesce("depth", F.lit(0)).alias("level")
+    wanted = made.filter("rec > 0 and parent_id is null").select("file", "split", level).distinct().filter("level > 0")
     asked = wanted.select("file", "split", F.col("level").alias("want"), F.explode(F.sequence(F.lit(0), F.col("level") - 1)).alias("level"), F.lit(None).cast("struct<split:bigint,rec:bigint,record_id:bigint>").alias("last"))
-    told = found.filter("open").groupBy("file", "split", "level").agg(F.max(F.struct("split", "rec", "record_id")).alias("last")).withColumn("want", F.lit(None).cast("int"))
+    told = made.filter("open").groupBy("file", "split", level).agg(F.max(F.struct("split", "rec", "record_id")).alias("last")).withColumn("want", F.lit(None).cast("int"))
     before = Window.partitionBy("file", "level").orderBy("split").rangeBetween(Window.unboundedPreceding, -1)
-    answers = told.unionByName(asked).withColumn("_up", F.max("last").over(before)).filter("want is not null").groupBy("file", "split", F.col("want").alias("level")).agg(F.max("_up").alias("_up"))
-    rest = outer.drop("parent_id").join(answers, ["file", "split", "level"], "left").select("file", "split", "rec", F.col("_up.record_id").alias("parent_id"))
-    return inner.select("file", "split", "rec", "parent_id").unionByName(rest)
+    up = told.unionByName(asked).withColumn("_up", F.max("last").over(before)).filter("want is not null and _up is not null")
+    return up.groupBy("file", "split", F.col("want").alias("level")).agg(F.max("_up").alias("_up"))
 
 
 #: Tags that are types, with the kind that they make (fixed names of the format).

@@ -120,3 +120,20 @@ def test_tree_dump_over_stations(spark, monkeypatch):
     below = lambda k, d: [(k, d), *(x for c in (2 * k + 1, 2 * k + 2) if c < 12 for x in below(c, d + 1))]
     assert [(x["node"], x["line"]) for x in got] == [(k, "  " * d + str(k)) for k, d in below(0, 0)]
     assert not any("Broadcast" in p for p in seen[1:])
+
+
+def test_debug_records_are_read_once(spark):
+    from orebody.sources import text
+
+    lines = [
+        (0, "    <0>   DW_AT_name : nobody's"), (1, " <1><10>: Abbrev Number: 2 (DW_TAG_structure_type)"), (1, "    <0>   DW_AT_name : first"), (2, "noise"), (3, "    <0>   DW_AT_name : second"), (3, "    <0>   DW_AT_byte_size : 8  "),
+        (4, "    <0>   DW_AT_byte_size : 9"), (4, "    <0>   DW_AT_note : a\0b"), (4, " <2><11>: Abbrev Number: 3 (DW_TAG_member)"), (4, "    <0>   DW_AT_name :"), (4, "    <0>   DW_AT_name : late"),
+        (5, " <x><12>: (DW_TAG_member)"), (5, " <2><13>: (DW_TAG_member)"), (5, "    <0>   DW_AT_a : 1"), (6, " <0><14>: (DW_TAG_compile_unit)"), (6, " <7><15>: (DW_TAG_member)"),
+    ]
+    made = text.debug_records(spark.createDataFrame([("f", s, i, x) for i, (s, x) in enumerate(lines)], "file string, split long, line_no long, line string"), split="split")
+    got = sorted((r.record_id, r.parent_id, r.depth, r.tag, r.attrs) for r in made.collect())
+    assert got == [
+        (16, None, 1, "structure_type", {"name": "first", "byte_size": "8", "note": "a\0b"}), (17, 16, 2, "member", {"name": ""}), (19, 16, 2, "member", {"a": "1"}),
+        (20, None, 0, "compile_unit", {}), (21, 20, 7, "member", {}),
+    ]
+    assert "FlatMapGroups" not in plan_of(made)  # Python's part is written, not worked out again by each that reads it
