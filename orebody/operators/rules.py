@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import re
+import string
 import xml.etree.ElementTree as ET
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -125,20 +126,27 @@ def action(name: str) -> Callable:
 
 
 MOST_RULES = 100_000  # a written list; tables made of it are broadcast
-GRAM = 3
+SHAPES = ((1, 2), (1, 3), (2, 3))  # the places of the second and third letter behind the first
 
 
-def _literals(glob: str) -> list[str]:
-    """The stretches of a wildcard that must stand in a name as they are."""
-    return [x for x in re.split(r"[*?]|\[.[^\]]*\]", glob.lower()) if x]
+def _grams(glob: str) -> list[str]:
+    """What a wildcard says of three letters: the number of a shape, then the letters that must stand in a name at its distances."""
+    found = set()
+    for stretch in glob.lower().split("*"):
+        at = [x if len(x) == 1 and x != "?" else None for x in re.findall(r"\[.[^\]]*\]|.", stretch, re.S)]
+        for k in range(len(at)):
+            for n, (i, j) in enumerate(SHAPES):
+                if k + j < len(at) and None not in (letters := (at[k], at[k + i], at[k + j])):
+                    found.add(f"{n}{''.join(letters)}")
+    return sorted(found)
 
 
 class RuleIndex:
     """Which of many name patterns fit a row's name. Patterns: literals, wildcards, regular expressions or None (any), by their place in the list.
 
-    The most selective way is taken for each: literals by an equi-join, wildcards by one of their three-letter sequences, the one that the
-    fewest names contain (if `tuned`), and then the expression; only patterns without such a sequence are tried on every row. Joins are with tables
-    of the rules, which are broadcast: a list of more than MOST_RULES is refused.
+    The most selective way is taken for each: literals by an equi-join, wildcards by three of their letters at fixed distances (SHAPES, so that they may
+    stand around a `?`), those that the fewest names contain (if `tuned`), and then the expression, once for all rules that share it; only patterns
+    without such letters are tried on every row. Joins are with tables of the rules, which are broadcast: a list of more than MOST_RULES is refused.
     """
 
     def __init__(self, spark: SparkSession, patterns: list[str | None]) -> None:
@@ -150,7 +158,7 @@ class RuleIndex:
         self.rest: list[tuple[int, NamePattern]] = []
         for i, text in enumerate(patterns):
             p = compile_pattern(text)
-            grams = sorted({x[k : k + GRAM] for x in _literals(text.strip()) for k in range(len(x) - GRAM + 1)}) if p.kind == "wildcard" else []
+            grams = _grams(text.strip()) if p.kind == "wildcard" else []
             if p.kind == "literal":
                 self.exact.append((i, p.text.lower()))
             elif grams and all(x.isascii() for x in grams):
@@ -160,18 +168,24 @@ class RuleIndex:
         self.chosen = {i: grams[0] for i, grams, _ in self.wild}
 
     @staticmethod
-    def _spread(rows: DataFrame, name: str) -> DataFrame:
-        """Rows once for each different three-letter sequence of their name, as `_gram`."""
-        low = F.lower(F.col(name))
-        every = F.transform(F.sequence(F.lit(1), F.length(low) - (GRAM - 1)), lambda i: F.substring(low, i, F.lit(GRAM)))
-        return rows.filter(F.length(low) >= GRAM).withColumn("_gram", F.explode(F.array_distinct(every)))
+    def _spread(rows: DataFrame, name: str, grams: set[str]) -> DataFrame:
+        """Rows once for each different three letters of their name in one of the shapes of `grams`, as `_gram`. Letters stay at their places: only A-Z
+        are lowered, as the expressions do."""
+        rows = rows.withColumn("_low", F.translate(F.col(name), string.ascii_uppercase, string.ascii_lowercase))
+        low = F.col("_low")  # worked out once a row, not once a letter
+        letter = lambda at: F.substring(low, at, F.lit(1))
+        every = [
+            F.when(F.length(low) > j, F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - j, F.lit(1))), lambda k: F.concat(F.lit(str(n)), letter(k), letter(k + i), letter(k + j)))).otherwise(F.array().cast("array<string>"))  # noqa: B023
+            for n, (i, j) in enumerate(SHAPES) if any(g[0] == str(n) for g in grams)
+        ]
+        return rows.withColumn("_gram", F.explode(F.array_distinct(F.concat(*every)))).drop("_low")
 
     def tuned(self, rows: DataFrame, name: str) -> RuleIndex:
-        """Choose for each wildcard the sequence that the fewest of these names contain. One pass; a row for each sequence of the rules comes back."""
+        """Choose for each wildcard the letters that the fewest of these names contain. One pass; a row for each three letters of the rules comes back."""
         known = {g for _, grams, _ in self.wild for g in grams}
         if known:
             table = F.broadcast(self.spark.createDataFrame([(g,) for g in sorted(known)], "_gram string"))
-            n = {r[0]: r[1] for r in self._spread(rows.select(name), name).join(table, "_gram").groupBy("_gram").count().collect()}
+            n = {r[0]: r[1] for r in self._spread(rows.select(name), name, known).join(table, "_gram").groupBy("_gram").count().collect()}
             self.chosen = {i: min(grams, key=lambda g: (n.get(g, 0), g)) for i, grams, _ in self.wild}
         return self
 
@@ -183,8 +197,12 @@ class RuleIndex:
             table = self.spark.createDataFrame(self.exact, "rule_no int, _text string")
             out.append(rows.join(F.broadcast(table), low == F.col("_text")).drop("_text"))
         if self.wild:
-            table = self.spark.createDataFrame([(i, self.chosen[i], regex) for i, _, regex in self.wild], "rule_no int, _gram string, _regex string")
-            out.append(self._spread(rows, name).join(F.broadcast(table), "_gram").filter(F.expr(f"`{name}` rlike _regex")).drop("_gram", "_regex").select(*rows.columns, "rule_no"))
+            same: dict[tuple[str, str], list[int]] = {}
+            for i, _, regex in self.wild:
+                same.setdefault((self.chosen[i], regex), []).append(i)
+            table = self.spark.createDataFrame([(g, regex, nos) for (g, regex), nos in same.items()], "_gram string, _regex string, _nos array<int>")
+            met = self._spread(rows, name, set(self.chosen.values())).join(F.broadcast(table), "_gram").filter(F.expr(f"`{name}` rlike _regex"))
+            out.append(met.select(*rows.columns, F.explode("_nos").alias("rule_no")))
         if self.rest:
             said = F.array_compact(F.array(*[F.when(matches(F.col(name), p), F.lit(i)) for i, p in self.rest]))
             out.append(rows.withColumn("rule_no", F.explode(said)))

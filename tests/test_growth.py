@@ -1,6 +1,7 @@
 """What grows with the input: results at the edges, and plans that send no such side through the driver."""
 
 import random
+import re
 
 import pytest
 
@@ -137,3 +138,17 @@ def test_debug_records_are_read_once(spark):
         (20, None, 0, "compile_unit", {}), (21, 20, 7, "member", {}),
     ]
     assert "FlatMapGroups" not in plan_of(made)  # Python's part is written, not worked out again by each that reads it
+
+
+def test_rules_find_letters_around_a_wildcard(spark):
+    from orebody.operators import rules
+
+    said = [f"Customer#{k:09d}" for k in range(0, 3000, 7)] + ["xabİcx", "AB-C", "abc", "ab", "", None, "\U0001f600ab\U0001f600cd"]
+    names = spark.createDataFrame(list(enumerate(said)), "i int, name string")
+    patterns = ["customer#*12?3*", "customer#*12?3*", "*ab?c*", "a[b]-c", "*0?1", "ab??cd*", "*1?1?1*"]
+    index = rules.RuleIndex(spark, patterns).tuned(names, "name")
+    assert index.chosen[0] == index.chosen[1] == "1123"  # letters that few names have, not those of every name
+    got = index.candidates(names, "name")
+    tests = [re.compile(rules.compile_pattern(p).text, re.S | re.I | re.A) for p in patterns]
+    assert sorted(map(tuple, got.select("i", "rule_no").collect())) == [(i, n) for i, x in enumerate(said) if x is not None for n, p in enumerate(tests) if p.fullmatch(x)]
+    assert got.columns == ["i", "name", "rule_no"]
