@@ -12,6 +12,7 @@ import string
 import xml.etree.ElementTree as ET
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from orebody.functions.expr import compile_expr
 from orebody.functions.filters import TypeFilter, expand_key
 from orebody.functions.patterns import NamePattern, compile_pattern, matches
-from orebody.operators.store import cut
+from orebody.operators.store import by_sorting, cut
 
 
 @dataclass
@@ -48,12 +49,10 @@ def match(rows: DataFrame, rules: list[Rule], key: list[str], target: Callable[[
 def decide(matched: DataFrame, key: list[str]) -> DataFrame:
     """The winning rule of each row: the highest priority, then the first listed; ambiguous if another rule of that
     priority leads to a different target. Aggregates only: no window over a key's rules."""
-    best = matched.groupBy(*key).agg(F.max("priority").alias("_top"))
-    top = matched.join(best, key).filter(F.col("priority") == F.col("_top"))
-    return top.groupBy(*key).agg(
-        F.min_by("rule_name", "rule_no").alias("rule_name"), F.max("priority").alias("priority"), F.min_by("target", "rule_no").alias("target"),
-        (F.countDistinct("target") > 1).alias("ambiguous"),
-    )
+    # each priority by itself, then the highest; targets differ where the least isn't the greatest
+    one = matched.filter("priority is not null").groupBy(*key, "priority").agg(F.min(F.struct("rule_no", "rule_name", "target")).alias("first"), F.min("target").alias("_low"), F.max("target").alias("_high"))
+    top = one.groupBy(*key).agg(F.max("priority").alias("priority"), F.max_by(F.struct("first", "_low", "_high"), "priority").alias("top"))
+    return top.select(*key, F.col("top.first.rule_name").alias("rule_name"), "priority", F.col("top.first.target").alias("target"), F.coalesce(F.col("top._low") < F.col("top._high"), F.lit(False)).alias("ambiguous"))
 
 
 def defer(matched: DataFrame, given: Column, needed: Column) -> DataFrame:
@@ -125,6 +124,7 @@ def action(name: str) -> Callable:
     return register
 
 
+FEW = 20_000  # rows of names and the rules that fit them that are broadcast, counted first
 MOST_RULES = 100_000  # a written list; tables made of it are broadcast
 SHAPES = ((1, 2), (1, 3), (2, 3))  # the places of the second and third letter behind the first
 
@@ -237,8 +237,8 @@ class RuleEngine:
     """
 
     def __init__(self, rules: list[PathRule], extend: Callable[[DataFrame], DataFrame]) -> None:
-        """extend: from instances (type_name, address, path, at) rows with a member more: the same columns, `path` one longer and `at` where the member
-        stands; further columns may serve the actions."""
+        """extend: from instances (type_name, address, path, at), whose paths are of one length in a call, rows with a member more: the same columns, `path`
+        one longer and `at` where the member stands; further columns may serve the actions. It isn't called where no rule waits."""
         self.rules, self.extend = [r for r in rules if r.enabled], extend
         unknown = sorted({r.action for r in self.rules} - set(ACTIONS))
         if unknown:
@@ -259,27 +259,33 @@ class RuleEngine:
         while not fresh.isEmpty():
             seen.append(fresh)
             start = fresh.withColumns({"path": F.array().cast("array<string>"), "at": F.col("address")})
-            active = cut(index.candidates(start, "type_name").join(table, "rule_no"))
+            # rules are looked up once for each different name
+            fits = cut(index.candidates(fresh.select("type_name").distinct(), "type_name"))
+            few = fits.limit(FEW + 1).count() <= FEW
+            active = cut(start.join(F.broadcast(fits) if few else by_sorting(fits), "type_name"))
             rounds = []
             while not active.isEmpty():
                 given, wanted = F.size("path"), F.size("wants")
-                told = defer(active, given, wanted)
+                told = defer(active.join(table, "rule_no"), given, wanted)  # only a rule's number is written and moved
                 hit = told.filter("state = 'match'")
                 result = F.lit(None).cast("bigint")
                 for name in sorted({r.action for r in self.rules}):
                     result = F.when(F.col("action") == name, ACTIONS[name](F.col("at")).cast("bigint")).otherwise(result)
                 rounds.append(cut(hit.withColumn("result", result).filter("result is not null").select("type_name", "address", "path", "rule_no", "rule_name", "priority", "target_type", "result")))
                 waiting = told.filter("state = 'defer'")
-                longer = self.extend(waiting.select("type_name", "address", "path", "at").distinct()).withColumn("_before", F.slice("path", 1, F.size("path") - 1))
-                again = waiting.select(F.col("type_name").alias("_t"), F.col("address").alias("_a"), F.col("path").alias("_p"), "rule_no", "rule_name", "priority", "wants", "action", "target_type")
+                if waiting.isEmpty():
+                    break
+                longer = self.extend(cut(waiting.select("type_name", "address", "path", "at").distinct())).withColumn("_before", F.slice("path", 1, F.size("path") - 1))
+                again = waiting.select(F.col("type_name").alias("_t"), F.col("address").alias("_a"), F.col("path").alias("_p"), "rule_no")
                 met = longer.join(again, (F.col("type_name") == F.col("_t")) & (F.col("address") == F.col("_a")) & (F.col("_before") == F.col("_p")))
-                active = cut(met.filter(F.expr("element_at(path, -1) rlike element_at(wants, size(path))")).drop("_before", "_t", "_a", "_p"))
+                fitting = met.join(table.select("rule_no", "wants"), "rule_no").filter(F.expr("element_at(path, -1) rlike element_at(wants, size(path))"))
+                active = cut(fitting.drop("_before", "_t", "_a", "_p", "wants"))
             matched = rounds[0] if rounds else None
             for more in rounds[1:]:
                 matched = matched.unionByName(more)
             if matched is None:
                 break
-            own = cut(self._decided(matched).withColumn("generation", F.lit(generation)))
+            own = cut(self._decided(matched, self.rules).withColumn("generation", F.lit(generation)))
             decided.append(own)
             known = seen[0].select("type_name", "address")
             for more in seen[1:]:
@@ -294,13 +300,19 @@ class RuleEngine:
         return out
 
     @staticmethod
-    def _decided(matched: DataFrame) -> DataFrame:
-        """The best rule of each instance and path, then those of shorter paths against those of longer ones."""
+    def _decided(matched: DataFrame, rules: list[PathRule] | None = None) -> DataFrame:
+        """The best rule of each instance and path, then those of shorter paths against those of longer ones: only rows that a rule of fewer members
+        could beat are held against the paths that begin theirs."""
         target = F.concat_ws("@", "target_type", F.col("result").cast("string"))
-        best = decide(matched.withColumn("target", target), ["type_name", "address", "path"])
-        above = best.select("type_name", "address", F.col("path").alias("_up"), F.col("priority").alias("_over"))
-        beaten = best.join(above, ["type_name", "address"]).filter((F.size("_up") < F.size("path")) & (F.slice("path", 1, F.size("_up")) == F.col("_up")) & (F.col("_over") >= F.col("priority")))
-        kept = best.join(beaten.select("type_name", "address", "path").distinct(), ["type_name", "address", "path"], "left_anti")
+        best = cut(decide(matched.withColumn("target", target), ["type_name", "address", "path"]))
+        lengths = sorted({len(r.members) for r in rules or []})
+        over = {n: max(r.priority for r in rules if len(r.members) < n) for n in lengths[1:]}  # the highest priority of rules of fewer members
+        loose = reduce(lambda a, b: a | b, [(F.size("path") == n) & (F.col("priority") <= p) for n, p in over.items()], F.lit(False))
+        begins = F.filter(F.array(*[F.lit(n) for n in lengths]), lambda n: n < F.size("path"))
+        asked = best.filter(loose).select("type_name", "address", F.col("path").alias("_long"), F.col("priority").alias("_own"), F.explode(begins).alias("_n")).select("type_name", "address", "_long", "_own", F.slice("_long", 1, F.col("_n")).alias("path"))
+        beaten = asked.join(best.select("type_name", "address", "path", "priority"), ["type_name", "address", "path"]).filter(F.col("priority") >= F.col("_own"))
+        beaten = beaten.select("type_name", "address", F.col("_long").alias("path")).distinct()
+        kept = best.filter(~loose).unionByName(best.filter(loose).join(beaten, ["type_name", "address", "path"], "left_anti")) if over else best
         parts = F.split("target", "@")
         return kept.select("type_name", "address", "path", "rule_name", "priority", parts[0].alias("target_type"), F.get(parts, F.lit(1)).cast("bigint").alias("result"), "ambiguous")
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from orebody.functions import expr, filters, patterns
 from orebody.operators import diff, dyadic, graph, instances, intervals, revmap, rules, stats, trees, typed, validate
+from orebody.operators.store import cut
 from orebody.plans.pathql import Edge, KeyPaths
 from orebody.session import Symbols
 from orebody.sources import memory
@@ -1282,13 +1283,15 @@ def _even_half(at: Column) -> Column:
 )
 def _(t):
     lines = t("lineitem").groupBy(F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("n")).agg((F.min("l_partkey") * 7 + 100_000_001).alias("part"))
-    lines = lines.select((F.col("o") * 1000).alias("_own"), (F.col("o") * 1000 + F.col("n")).alias("_at"), "n", "part")
+    lines = cut(lines.select((F.col("o") * 1000).alias("_own"), (F.col("o") * 1000 + F.col("n")).alias("_at"), "n", "part"))
 
     def extend(df: DataFrame) -> DataFrame:
         """An order's members are its lines, a line's member is its part."""
-        whole = df.filter(F.size("path") == 0).join(lines, F.col("at") == F.col("_own")).select("type_name", "address", F.concat("path", F.array(F.concat(F.lit("line"), F.col("n").cast("string")))).alias("path"), F.col("_at").alias("at"))
-        part = df.filter(F.size("path") == 1).join(lines, F.col("at") == F.col("_at")).select("type_name", "address", F.concat("path", F.array(F.lit("part"))).alias("path"), F.col("part").alias("at"))
-        return whole.unionByName(part)
+        if not df.limit(1).filter(F.size("path") < 2).count():  # all of one length
+            return df.limit(0)
+        if df.limit(1).filter(F.size("path") == 1).count():
+            return df.join(lines, F.col("at") == F.col("_at")).select("type_name", "address", F.concat("path", F.array(F.lit("part"))).alias("path"), F.col("part").alias("at"))
+        return df.join(lines, F.col("at") == F.col("_own")).select("type_name", "address", F.concat("path", F.array(F.concat(F.lit("line"), F.col("n").cast("string")))).alias("path"), F.col("_at").alias("at"))
 
     known = [
         rules.PathRule("first", "order_f", ["line1"], "same", "head", 2), rules.PathRule("any_line", "order_?", ["line*"], "same", "line", 1), rules.PathRule("part", "order_*", ["line2", "part"], "same", "part", 5),

@@ -4,6 +4,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from orebody.operators import dyadic, graph, intervals
 
@@ -152,3 +153,26 @@ def test_rules_find_letters_around_a_wildcard(spark):
     tests = [re.compile(rules.compile_pattern(p).text, re.S | re.I | re.A) for p in patterns]
     assert sorted(map(tuple, got.select("i", "rule_no").collect())) == [(i, n) for i, x in enumerate(said) if x is not None for n, p in enumerate(tests) if p.fullmatch(x)]
     assert got.columns == ["i", "name", "rule_no"]
+
+
+def test_engine_reads_members_only_where_a_rule_waits(spark):
+    from orebody.operators import rules
+
+    lengths = []
+
+    def extend(df):
+        lengths.append({len(r.path) for r in df.collect()})
+        return df.select("type_name", "address", F.concat("path", F.array(F.lit("m"))).alias("path"), (F.col("at") + 1).alias("at"))
+
+    def decided(*known):
+        lengths.clear()
+        got = rules.RuleEngine(list(known), extend).evaluate(spark.createDataFrame([("a", 10), ("b", 20), (None, 30)], "type_name string, address long"))
+        return sorted((r.type_name, r.address, ".".join(r.path), r.rule_name, r.result, r.ambiguous, r.generation) for r in got.collect())
+
+    rule = lambda name, kind, n, to, priority: rules.PathRule(name, kind, ["m"] * n, "same", to, priority)
+    got = decided(rule("alone", "[ab]", 0, "c", 0), rule("next", "c", 0, "d", 0))
+    assert got == [(kind, at, "", name, at, False, n) for kind, at, name, n in [("a", 10, "alone", 0), ("b", 20, "alone", 0), ("c", 10, "next", 1), ("c", 20, "next", 1)]]
+    assert lengths == []  # no rule has members
+    got = decided(rule("short", "a", 1, "long_name", 3), rule("equal", "?", 2, "long_name", 3), rule("more", "?", 3, "long_name", 4), rule("more_too", "a", 3, "other_name", 4))
+    assert got == [("a", 10, "m", "short", 11, False, 0), ("a", 10, "m.m.m", "more", 13, True, 0), ("b", 20, "m.m", "equal", 22, False, 0), ("b", 20, "m.m.m", "more", 23, False, 0)]
+    assert lengths == [{0}, {1}, {2}]
