@@ -21,6 +21,7 @@ from orebody.plans.pathql import _READ, integer, read_bytes, real, text_value
 REALS = {"Float": 4, "Double": 8}
 STRUCTURED = ("Struct", "Union")
 LINE = 16  # bytes on a line of a raw read
+FEW = 20_000  # types of a catalog, counted, whose names are broadcast
 HOT = 100_000  # users of a type from which on its joins are dealt over SALTS tasks
 
 
@@ -295,6 +296,8 @@ def typed_reads(requests: DataFrame, key: str, tables: TypeTables, pages: DataFr
     names = tables.types.groupBy(F.col("name").alias("_type")).agg(F.count("*").alias("_same"), F.min("type_id").alias("_id"))
     ids = tables.types.select(F.col("type_id").alias("_hex_id"), F.col("type_id").alias("_by_id"))
     hexed = F.when(F.col("_type").rlike("^(0[xX])?[0-9a-fA-F]{1,16}$"), _from_hex(F.col("_type")))
+    if tables.types.limit(FEW + 1).count() <= FEW:  # requests name few types: a join that shuffles them has as many tasks as there are names
+        names, ids = F.broadcast(names), F.broadcast(ids)
     found = typed.join(names, "_type", "left").withColumn("_hex_id", F.when(F.col("_same").isNull(), hexed)).join(ids, "_hex_id", "left")
     wrong = F.when(F.col("_same") > 1, "ambiguous type").when(F.col("_same").isNull() & F.col("_by_id").isNull(), "unknown type")
     found = cut(found.withColumn("_error", wrong).withColumn("type_id", F.coalesce("_id", "_by_id")))

@@ -176,3 +176,21 @@ def test_engine_reads_members_only_where_a_rule_waits(spark):
     got = decided(rule("short", "a", 1, "long_name", 3), rule("equal", "?", 2, "long_name", 3), rule("more", "?", 3, "long_name", 4), rule("more_too", "a", 3, "other_name", 4))
     assert got == [("a", 10, "m", "short", 11, False, 0), ("a", 10, "m.m.m", "more", 13, True, 0), ("b", 20, "m.m", "equal", 22, False, 0), ("b", 20, "m.m.m", "more", 23, False, 0)]
     assert lengths == [{0}, {1}, {2}]
+
+
+def test_requests_of_one_type_stay_in_their_tasks(spark, monkeypatch):
+    from orebody.operators import typed
+
+    seen, real = [], typed.cut
+    monkeypatch.setattr(typed, "cut", lambda df: (seen.append((df.columns, plan_of(df))), real(df))[1])
+    types = spark.createDataFrame([(1, "Int32", "number", 4, None, None)], "type_id bigint, kind string, name string, size bigint, ref_type bigint, length bigint")
+    tables = typed.TypeTables(types, spark.createDataFrame([], "type_id bigint, idx int, name string, offset bigint, ref_type bigint"))
+    pages = spark.createDataFrame([(0, bytearray(range(64)))], "frame bigint, data binary")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = typed.typed_reads(spark.createDataFrame([(1, "number@4"), (2, "1@0"), (3, "none@0")], "k long, spec string"), "k", tables, pages, 64)
+        assert sorted((r.k, r.integer, r.error) for r in got.collect()) == [(1, 0x07060504, None), (2, 0x03020100, None), (3, None, "unknown type")]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    plan = next(p for c, p in seen if "_hex_id" in c)
+    assert plan.count("BroadcastHashJoin") == 2 and "SortMergeJoin" not in plan
