@@ -15,6 +15,8 @@ from orebody.operators.store import by_sorting, cut, discard
 
 SALTS = 8
 MOST_ROUNDS = 1000
+FEW = 20_000  # links that are walked by doubling, and rows that are broadcast
+SHARE = 4
 
 
 def follow(rows: DataFrame, ref: str, types: DataFrame) -> DataFrame:
@@ -145,25 +147,73 @@ def walk_list(heads: DataFrame, links: DataFrame) -> DataFrame:
     """The nodes of linked lists in order: head, node, place. heads: head, first; links: node, next. Ends at null, at the head, or
     where a list runs into itself.
 
-    Path doubling: after round i the links lead 2^i steps on, and every list's known part has that many nodes, so that the rounds are
-    logarithmic in the length. A list that comes back to one of its nodes stops growing with new nodes; each node counts at its first
-    place."""
-    jump = cut(links.filter("node is not null and next is not null").groupBy("node").agg(F.min("next").alias("next")))
-    seen = cut(heads.select("head", F.col("first").alias("node"), F.lit(0).cast("bigint").alias("place")).filter("node is not null"))
-    step = 1
-    while True:
-        grown = seen.join(jump, "node").select("head", F.col("next").alias("node"), (F.col("place") + step).alias("place"))
-        both = seen.unionByName(grown).groupBy("head", "node").agg(F.min("place").alias("place"))
-        both = cut(both)
-        if both.count() == seen.count():  # nothing new within twice the length
-            break
-        seen, step = both, 2 * step
-        ahead = jump.select(F.col("node").alias("next"), F.col("next").alias("_far"))
-        jump = cut(jump.join(ahead, "next").select("node", F.col("_far").alias("next")))
+    A quarter of the nodes, by a hash, are stations, and so are the lists' first nodes and those that several nodes lead to. Any other node has one
+    node before it, and finds the station before it by doubling, which takes few rounds as the stretches between stations are short. The lists of
+    stations alone are walked in the same way, and every station seen brings its stretch. All levels together handle a few times the
+    nodes and what comes back, however long the lists are. Each node counts at its first place."""
+    steps = cut(links.filter("node is not null and next is not null").groupBy("node").agg(F.min("next").alias("next")).withColumn("by", F.lit(1).cast("bigint")))
+    starts = cut(heads.select("head", F.col("first").alias("node")).filter("node is not null").distinct())
+    seen = _walked(starts, steps, 0)
     stop = seen.filter("node = head").select("head", F.col("place").alias("_stop"))  # a list that comes to its head ends there
     return seen.join(stop, "head", "left").filter("_stop is null or place < _stop").drop("_stop")
 
 
+def _walked(starts: DataFrame, steps: DataFrame, level: int) -> DataFrame:
+    """head, node, place of what starts (head, node) lead to over steps (node, next, by: the places between them), which are used up."""
+    most, reach = steps.count(), 1
+    if most <= FEW:
+        return _walked_by_doubling(starts, steps)
+    drawn = lambda c: F.pmod(F.xxhash64(c, F.lit(level)), F.lit(SHARE)) == 0
+    known = steps.select(F.col("next").alias("node"), F.col("node").alias("up"), "by").unionByName(starts.select("node").distinct(), allowMissingColumns=True)
+    known = known.groupBy("node").agg(F.count("up").alias("_n"), F.count("*").alias("_rows"), F.min("up").alias("up"), F.min("by").alias("by"))
+    forced = (F.col("_n") > 1) | (F.col("_rows") > F.col("_n"))
+    station = forced | drawn("node")
+    state = cut(known.select("node", F.when(station, F.col("node")).otherwise(F.col("up")).alias("up"), F.when(station, 0).otherwise(F.col("by")).alias("by"), (station | drawn("up")).alias("there"), forced.alias("_forced")))
+    rows = state.drop("_forced")
+    under_way, arrived, written = rows.filter("not there"), [rows.filter("there")], [state]
+    while (n := under_way.count()) and reach <= 2 * most:  # what still goes on then runs in circles that no list leads to
+        now = reduce(DataFrame.unionByName, [*arrived, under_way]).filter(~drawn("node"))
+        ahead = now.select(F.col("node").alias("up"), F.col("up").alias("_up"), F.col("by").alias("_by"), F.col("there").alias("_there"))
+        met = F.broadcast(under_way).join(ahead, "up") if n <= FEW else under_way.join(by_sorting(ahead), "up")
+        step = cut(met.select("node", F.col("_up").alias("up"), (F.col("by") + F.col("_by")).alias("by"), F.col("_there").alias("there")))
+        written.append(step)
+        arrived.append(step.filter("there"))
+        under_way, reach = step.filter("not there"), 2 * reach
+    stretches = reduce(DataFrame.unionByName, arrived).select("node", "up", "by")
+    special = state.filter("_forced").select(F.col("node").alias("next"))
+    special = F.broadcast(special) if special.count() <= FEW else by_sorting(special)
+    into = steps.filter(drawn("next")).unionByName(steps.filter(~drawn("next")).join(special, "next", "left_semi").select(steps.columns))
+    owners = stretches.select("node", F.col("up").alias("_at"), F.col("by").alias("_by"))
+    between = cut(into.join(by_sorting(owners), "node").select(F.col("_at").alias("node"), "next", (F.col("by") + F.col("_by")).alias("by")))
+    if between.count() * SHARE > most * (SHARE - 1):  # nearly every node is a station
+        discard(between, *written)
+        return _walked_by_doubling(starts, steps)
+    top = _walked(starts, between, level + 1)
+    out = cut(top.join(by_sorting(stretches.select(F.col("node").alias("_node"), F.col("up").alias("node"), "by")), "node").select("head", F.col("_node").alias("node"), (F.col("place") + F.col("by")).alias("place")))
+    discard(top, steps, *written)
+    return out
+
+
+def _walked_by_doubling(starts: DataFrame, steps: DataFrame) -> DataFrame:
+    """After round i the steps lead 2^i nodes on, and every list's known part has that many nodes. A list that comes back to one of its nodes stops
+    growing with new nodes."""
+    few = steps.count() <= FEW
+    look_up = F.broadcast if few else by_sorting
+    jump = steps
+    seen = cut(starts.withColumn("place", F.lit(0).cast("bigint")))
+    known = seen.count()
+    while True:
+        grown = seen.join(look_up(jump), "node").select("head", F.col("next").alias("node"), (F.col("place") + F.col("by")).alias("place"))
+        both = cut(seen.unionByName(grown).groupBy("head", "node").agg(F.min("place").alias("place")))
+        if (more := both.count()) == known:  # nothing new within twice the length
+            discard(jump, seen)
+            return both
+        ahead = jump.select(F.col("node").alias("next"), F.col("next").alias("_far"), F.col("by").alias("_by"))
+        further = cut(jump.join(look_up(ahead), "next").select("node", F.col("_far").alias("next"), (F.col("by") + F.col("_by")).alias("by")))
+        discard(jump, seen)
+        jump, seen, known = further, both, more
+
+
 def neighbours_ok(links: DataFrame) -> DataFrame:
     """Node, whether next's prev and prev's next are the node itself (absent neighbours pass). links: node, next, prev."""
     nxt = links.select(F.col("node").alias("next"), F.col("prev").alias("_np"))

@@ -105,4 +105,4 @@ def hash_chains(heads: DataFrame, links: DataFrame, next_offset: int = 0) -> Dat
     before = walked.select("head", (F.col("place") + 1).alias("place"), (F.col("node") + next_offset).alias("_from"))
     back = links.groupBy("node").agg(F.min("pprev").alias("pprev"))
     lead = F.when(F.col("place") == 0, F.col("head")).otherwise(F.col("_from"))
-    return walked.join(before, ["head", "place"], "left").join(back, "node", "left").select("head", "node", "place", F.coalesce(F.col("pprev") == lead, F.lit(False)).alias("linked"))
+    return walked.join(by_sorting(before), ["head", "place"], "left").join(by_sorting(back), "node", "left").select("head", "node", "place", F.coalesce(F.col("pprev") == lead, F.lit(False)).alias("linked"))

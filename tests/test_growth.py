@@ -194,3 +194,32 @@ def test_requests_of_one_type_stay_in_their_tasks(spark, monkeypatch):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     plan = next(p for c, p in seen if "_hex_id" in c)
     assert plan.count("BroadcastHashJoin") == 2 and "SortMergeJoin" not in plan
+
+
+@pytest.mark.parametrize("few", [0, 40, 20_000])
+def test_lists_walked_over_stations(spark, monkeypatch, few):
+    monkeypatch.setattr(graph, "FEW", few, raising=False)
+    r = random.Random(few)
+    after = {k: k + 1 if k % 1000 else None for k in range(1, 2001)}  # two long lists; below: lists that meet, run in circles, come to their head
+    after |= {k: r.choice([r.randrange(3000, 3200), None, 3000 + (k - 2999) % 200]) for k in range(3000, 3200)} | {k: 4000 + (k - 3999) % 30 for k in range(4000, 4030)} | {5000: 5001, 5001: 5002, 5002: 5000, 6000: 6000, 7000: 99}
+    heads = [(-1, 1), (-2, 1001), (4007, 4008), (-3, None), (-4, 9000), (-5, 7000), (-6, 3000), (-6, 3050), (6000, 6000), *((-k, k) for k in range(3000, 3200, 9))]
+    want = {}
+    for head, first in heads:
+        node, place = first, 0
+        while node is not None and want.get((head, node), place + 1) > place:
+            want[head, node], node, place = place, after.get(node), place + 1
+    stop = {h: p for (h, n), p in want.items() if h == n}
+    want = sorted((h, n, p) for (h, n), p in want.items() if p < stop.get(h, p + 1))
+    links = spark.createDataFrame(list(after.items()), "node long, next long")
+    got = graph.walk_list(spark.createDataFrame(heads, "head long, first long"), links)
+    assert sorted(map(tuple, got.select("head", "node", "place").collect())) == want
+
+
+def test_a_long_list_is_written_a_few_times(spark, monkeypatch):
+    monkeypatch.setattr(graph, "FEW", 50, raising=False)
+    rows, real = [], graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df: (out := real(df), rows.append(out.count()))[0])
+    n = 4000
+    got = graph.walk_list(spark.createDataFrame([(-1, 0)], "head long, first long"), spark.range(n).selectExpr("id as node", f"case when id + 1 < {n} then id + 1 end as next"))
+    assert got.filter("node = place").count() == n
+    assert sum(rows) < 8 * n
