@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from orebody.functions.filters import KINDS, LEXICAL
 from orebody.operators.graph import SALTS, closure
 from orebody.operators.instances import moved
-from orebody.operators.store import cut, discard
+from orebody.operators.store import by_sorting, cut, discard
 from orebody.plans.pathql import _READ, integer, read_bytes, real, text_value
 
 REALS = {"Float": 4, "Double": 8}
@@ -327,7 +327,10 @@ def variables_using(wanted: DataFrame, types: DataFrame, members: DataFrame, var
     come back to a type on it. Members without a name add nothing to the path. Repeated wanted types count once."""
     refs = types.filter(~F.col("kind").isin(*STRUCTURED)).select(F.col("ref_type").alias("type"), F.col("type_id").alias("_user")).filter("type is not null")
     holds = members.select(F.col("ref_type").alias("type"), F.col("type_id").alias("_user"), F.coalesce("name", F.lit("")).alias("_name")).filter("type is not null")
+    holds = cut(holds)  # read in each hop
     own = variables.select("var_id", F.col("type_id").alias("type"))
+    between = cut(refs.select(F.col("_user").alias("type")).join(by_sorting(refs.select("type")), "type", "left_semi").distinct())  # such as pointers that pointers point to
+    inner = between.count()
     users = refs.select("type").unionByName(holds.select("type")).unionByName(own.select("type"))
     hot = cut(users.groupBy("type").agg(F.count("*").alias("_n")).filter(F.col("_n") > HOT).select("type", F.lit(True).alias("_hot")))  # a type in HOT users at most
     part = lambda df, by: df.join(hot, "type", "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).otherwise(0)).drop("_hot")
@@ -345,6 +348,10 @@ def variables_using(wanted: DataFrame, types: DataFrame, members: DataFrame, var
             level.append(users)
             step = users.filter(~F.array_contains("seen", F.col("type"))).withColumn("seen", F.concat("seen", F.array("type")))
             ways.append(step)
+            if not inner:
+                break
+            if inner <= FEW:
+                step = step.join(F.broadcast(between), "type", "left_semi").select(step.columns)
         if level:
             hits = of(reduce(DataFrame.unionByName, level)).join(own, ["type", "_salt"])
             found.append(cut(hits.select("wanted", "var_id", F.array_join("path", ".").alias("path"), F.lit(hop).alias("hops"))))
@@ -359,6 +366,7 @@ def variables_using(wanted: DataFrame, types: DataFrame, members: DataFrame, var
         front = cut(up.select("wanted", F.col("_user").alias("type"), path.alias("path"), F.concat("seen", F.array("_user")).alias("seen")))
         if front.isEmpty():
             break
+    discard(holds, hot, between)
     if not found:
         return wanted.limit(0).select(F.col(wanted.columns[0]).alias("wanted")).crossJoin(variables.limit(0).select("var_id")).withColumns({"path": F.lit(""), "hops": F.lit(0)})
     return reduce(DataFrame.unionByName, found)

@@ -223,3 +223,20 @@ def test_a_long_list_is_written_a_few_times(spark, monkeypatch):
     got = graph.walk_list(spark.createDataFrame([(-1, 0)], "head long, first long"), spark.range(n).selectExpr("id as node", f"case when id + 1 < {n} then id + 1 end as next"))
     assert got.filter("node = place").count() == n
     assert sum(rows) < 8 * n
+
+
+@pytest.mark.parametrize("few, deep", [(20_000, True), (0, True), (20_000, False)])
+def test_variables_read_members_once(spark, monkeypatch, few, deep):
+    from orebody.operators import typed
+
+    monkeypatch.setattr(typed, "FEW", few)
+    seen, real = [], typed.cut
+    monkeypatch.setattr(typed, "cut", lambda df: (seen.append(plan_of(df)), real(df))[1])
+    types = [(1, "Struct", None), (2, "Pointer", 1), *([(3, "Pointer", 2), (4, "Typedef", 3)] if deep else [])]
+    types = spark.createDataFrame(types, "type_id long, kind string, ref_type long").unionByName(spark.range(7, 107).selectExpr("id * 10 + 1 as type_id", "'Pointer' as kind", "id * 10 as ref_type"))
+    members = spark.range(7, 107).selectExpr("id * 10 as type_id", "concat('m', id) as name", f"id % {3 if deep else 1} + 2 as ref_type").distinct()
+    variables = spark.range(1, 1100).selectExpr("id as var_id", "id as type_id")
+    got = typed.variables_using(spark.createDataFrame([(1,)], "type_id long"), types, members, variables, 1000, 2)
+    own = {2, 3, 4} if deep else {2}
+    assert sorted(map(tuple, got.collect())) == sorted([(1, k, "", 0) for k in own] + [(1, k * 10 + 1, f"m{k}", 1) for k in range(7, 107)])
+    assert sum("m, " in p for p in seen) == 1
