@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from orebody.operators.intervals import carried, merge
 from orebody.operators.scans import ranged, running, segments
-from orebody.operators.store import cut
+from orebody.operators.store import by_sorting, cut
 
 CHUNK = 16
+FEW = 20_000  # rows, counted, that are broadcast
+SHARED = 4  # roots to a pair from which on pairs are compared by themselves
 
 
 def object_diff(left: DataFrame, right: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
@@ -28,25 +30,40 @@ def recursive_diff(pairs: DataFrame, left_values: DataFrame, right_values: DataF
 
     A frontier of pairs of objects: fields that only one side has or whose values differ (null equals null) are reported, links that both have lead to the
     next pairs, links that only one has are reported. Each pair counts once for a root, at its least number of steps and there at its least
-    path, so that circles end."""
+    path, so that circles end. Where many roots have come to the same pairs, each of these is compared once, and what it says goes to its roots."""
     front = cut(pairs.select("root", "a", "b", F.lit("").alias("path")).groupBy("root", "a", "b").agg(F.min("path").alias("path")))
     seen, out = [], []
     dotted = F.concat_ws(".", F.when(F.col("path") != "", F.col("path")), "field")
+    near = lambda df: F.broadcast(df) if df.count() <= FEW else by_sorting(df)
+
+    def shared(rows: DataFrame) -> DataFrame | None:
+        """The pairs in `rows`, if many rows have the same."""
+        n, kinds = rows.agg(F.count("*"), F.approx_count_distinct(F.struct("a", "b"))).first()
+        return cut(rows.select("a", "b").distinct()) if n > SHARED * kinds else None
+
+    def sides(rows: DataFrame, left: DataFrame, right: DataFrame, value: str) -> DataFrame:
+        one = rows.join(left.select(F.col("object").alias("a"), "field", F.col(value).alias("_l"), F.lit(True).alias("_has_l")), "a").select(*rows.columns, "field", "_l", "_has_l")
+        two = rows.join(right.select(F.col("object").alias("b"), "field", F.col(value).alias("_r"), F.lit(True).alias("_has_r")), "b").select(*rows.columns, "field", "_r", "_has_r")
+        return one.join(two, [*rows.columns, "field"], "full")
+
+    lone = F.col("_has_l").isNull() | F.col("_has_r").isNull()
+    met = shared(front)
     while not front.isEmpty():
         seen.append(front.select("root", "a", "b"))
         both = front.select("root", "path", "a", "b")
-
-        def sides(left: DataFrame, right: DataFrame, value: str) -> DataFrame:
-            one = both.join(left.select(F.col("object").alias("a"), "field", F.col(value).alias("_l"), F.lit(True).alias("_has_l")), "a").select("root", "path", "a", "b", "field", "_l", "_has_l")  # noqa: B023
-            two = both.join(right.select(F.col("object").alias("b"), "field", F.col(value).alias("_r"), F.lit(True).alias("_has_r")), "b").select("root", "path", "a", "b", "field", "_r", "_has_r")  # noqa: B023
-            return one.join(two, ["root", "path", "a", "b", "field"], "full")
-
-        values, links = sides(left_values, right_values, "value"), cut(sides(left_links, right_links, "target"))
-        lone = F.col("_has_l").isNull() | F.col("_has_r").isNull()
-        out.append(cut(values.filter(lone | ~F.col("_l").eqNullSafe(F.col("_r"))).select("root", dotted.alias("path"))))
-        out.append(links.filter(lone | (F.col("_l").isNull() != F.col("_r").isNull())).select("root", dotted.alias("path")))
-        on = links.filter("_l is not null and _r is not null").select("root", F.col("_l").alias("a"), F.col("_r").alias("b"), dotted.alias("path")).groupBy("root", "a", "b").agg(F.min("path").alias("path"))
-        front = cut(on.join(reduce(DataFrame.unionByName, seen), ["root", "a", "b"], "left_anti"))
+        values, links = sides(both if met is None else met, left_values, right_values, "value"), cut(sides(both if met is None else met, left_links, right_links, "target"))
+        values, lost = values.filter(lone | ~F.col("_l").eqNullSafe(F.col("_r"))), links.filter(lone | (F.col("_l").isNull() != F.col("_r").isNull()))
+        links = links.filter("_l is not null and _r is not null")
+        if met is not None:
+            values, links = both.join(near(cut(values.select("a", "b", "field").unionByName(lost.select("a", "b", "field")))), ["a", "b"]), both.join(near(links), ["a", "b"])
+        else:
+            out.append(lost.select("root", dotted.alias("path")))
+        out.append(cut(values.select("root", dotted.alias("path"))))
+        on = cut(links.select("root", F.col("_l").alias("a"), F.col("_r").alias("b"), dotted.alias("path")).groupBy("root", "a", "b").agg(F.min("path").alias("path")))
+        met, before = shared(on), reduce(DataFrame.unionByName, seen)
+        if met is not None:
+            before = cut(before.join(near(met), ["a", "b"], "left_semi").select("root", "a", "b"))  # the others can't come back here
+        front = on if met is not None and before.isEmpty() else cut(on.join(by_sorting(before), ["root", "a", "b"], "left_anti"))
     return reduce(DataFrame.unionByName, out).distinct() if out else pairs.select("root", F.lit("").alias("path")).limit(0)
 
 

@@ -240,3 +240,20 @@ def test_variables_read_members_once(spark, monkeypatch, few, deep):
     own = {2, 3, 4} if deep else {2}
     assert sorted(map(tuple, got.collect())) == sorted([(1, k, "", 0) for k in own] + [(1, k * 10 + 1, f"m{k}", 1) for k in range(7, 107)])
     assert sum("m, " in p for p in seen) == 1
+
+
+@pytest.mark.parametrize("share, few", [(4, 20_000), (0, 0), (10**6, 20_000)])
+def test_pairs_of_many_roots_are_compared_once(spark, monkeypatch, share, few):
+    from orebody.operators import diff
+
+    monkeypatch.setattr(diff, "SHARED", share, raising=False)
+    monkeypatch.setattr(diff, "FEW", few, raising=False)
+    rows, real = [], diff.cut
+    monkeypatch.setattr(diff, "cut", lambda df: (out := real(df), rows.append(out.count()))[0])
+    n = 300
+    values = spark.createDataFrame([(0, "x", "1"), (1, "x", "2"), (2, "y", "1"), (3, "y", "1"), (3, "z", None), (5, "w", "1"), (6, "w", "2")], "object long, field string, value string")
+    links = [(o, f"f{k:02d}", o + 2) for o in (0, 1) for k in range(20)] + [(2, "back", 0), (3, "back", 1), (2, "only", 5), (2, "to", 5), (3, "to", 6), (2, "nowhere", None), (3, "nowhere", None)]
+    links = spark.createDataFrame(links, "object long, field string, target long")
+    got = diff.recursive_diff(spark.range(n).selectExpr("id as root", "0L as a", "1L as b"), values, values, links, links)
+    assert sorted(map(tuple, got.collect())) == sorted((k, p) for k in range(n) for p in ("x", "f00.z", "f00.only", "f00.to.w"))
+    assert share > 4 or max(rows) <= 2 * n
