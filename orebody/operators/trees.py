@@ -16,18 +16,22 @@ FEW = 20_000  # items that are ranked by doubling, and rows that are broadcast
 SHARE = 4
 
 
-def list_ranks(items: DataFrame) -> DataFrame:
+def list_ranks(items: DataFrame, *more: str) -> DataFrame:
     """Parallel list ranking: from item, next (null at a list's end) and weight: item, last (its list's end) and rest, the sum of weights from the
-    item to the end. A circle raises an error.
+    item to the end. `more` names further weights, whose sums keep their names. A circle raises an error.
 
     A quarter of the items, by a hash, are stations. Every item is led on to the next station or the end, by doubling, which takes few
     rounds as the stretches between stations are short; then the stations alone, a list a quarter as long, are ranked in the same way. All
     levels together handle a few times the items, however long the lists are."""
-    return _ranked(cut(items.select("item", "next", F.col("weight").cast("bigint").alias("rest"), F.when(F.col("next").isNull(), F.col("item")).alias("last"))), 0)
+    sums = [F.col(c).cast("bigint").alias("rest" if c == "weight" else c) for c in ("weight", *more)]
+    return _ranked(cut(items.select("item", "next", *sums, F.when(F.col("next").isNull(), F.col("item")).alias("last"))), 0)
 
 
 def _ranked(state: DataFrame, level: int) -> DataFrame:
     most, reach = state.count(), 1
+    sums = [c for c in state.columns if c not in ("item", "next", "last")]
+    found = lambda df, *kept: df.select(F.col("item").alias("next"), *kept, F.col("last").alias("_last"), *[F.col(c).alias(f"_{c}") for c in sums])
+    added = [(F.col(c) + F.col(f"_{c}")).alias(c) for c in sums]
     station = lambda c: (F.pmod(F.xxhash64(c, F.lit(level)), F.lit(SHARE)) == 0) if most > FEW else F.lit(False)
     going = F.col("next").isNotNull() & ~station("next")
     arrived, under_way, written = [state.filter(~going)], state.filter(going), [state]
@@ -35,22 +39,21 @@ def _ranked(state: DataFrame, level: int) -> DataFrame:
         if reach > 2 * most:
             raise ValueError("a list runs in a circle")
         now = reduce(DataFrame.unionByName, [*arrived, under_way]).filter(~station("item"))
-        ahead = now.select(F.col("item").alias("next"), F.col("next").alias("_next"), F.col("rest").alias("_rest"), F.col("last").alias("_last"))
+        ahead = found(now.select("*", F.col("next").alias("_next")), "_next")
         met = F.broadcast(under_way).join(ahead, "next") if n <= FEW else under_way.join(by_sorting(ahead), "next")
-        step = cut(met.select("item", F.col("_next").alias("next"), (F.col("rest") + F.col("_rest")).alias("rest"), F.col("_last").alias("last")))
+        step = cut(met.select("item", F.col("_next").alias("next"), *added, F.col("_last").alias("last")))
         written.append(step)
         arrived.append(step.filter(~going))
         under_way, reach = step.filter(going), 2 * reach
     whole = reduce(DataFrame.unionByName, arrived)
     if most <= FEW:
-        out = cut(whole.select("item", "last", "rest"))
+        out = cut(whole.select("item", "last", *sums))
         discard(*written)
         return out
     top = _ranked(cut(whole.filter(station("item"))), level + 1)
     others = whole.filter(~station("item"))
-    beyond = top.select(F.col("item").alias("next"), F.col("last").alias("_last"), F.col("rest").alias("_rest"))
-    led = others.filter("next is not null").join(by_sorting(beyond), "next").select("item", F.col("_last").alias("last"), (F.col("rest") + F.col("_rest")).alias("rest"))
-    out = cut(top.unionByName(others.filter("next is null").select("item", "last", "rest")).unionByName(led))
+    led = others.filter("next is not null").join(by_sorting(found(top)), "next").select("item", F.col("_last").alias("last"), *added)
+    out = cut(top.unionByName(others.filter("next is null").select("item", "last", *sums)).unionByName(led))
     discard(top, *written)
     return out
 
@@ -62,25 +65,24 @@ def _event(node: Column, kind: int) -> Column:
     return F.struct(node.alias("node"), F.lit(kind).alias("kind"))
 
 
-def _numbered(events: DataFrame, counted: int, out: str) -> DataFrame:
-    """node, root and the number of each node's event of the counted kind in its tree's tour, from 0."""
-    ranks = list_ranks(events.withColumn("weight", (F.col("item.kind") == counted).cast("int")))
-    ranks = ranks.select("item.*", F.col("last.node").alias("root"), "rest")
-    mine = ranks.filter(F.col("kind") == counted).select("node", "root", "rest")
-    totals = ranks.filter((F.col("kind") == _DOWN) & (F.col("node") == F.col("root"))).select("root", F.col("rest").alias("_total"))
-    return mine.join(totals, "root").select("node", "root", (F.col("_total") - F.col("rest")).alias(out))
+def _numbered(events: DataFrame, counted: int, *more: str) -> DataFrame:
+    """node, root and the place of each node's event of the counted kind in its tree's tour, from 0. events: item and next, here the event before it: a
+    sum from an event back to its tour's start is its number, and the start is the root's, so that nothing has to be joined to the ranks. `more`: as in
+    `list_ranks`."""
+    ranks = list_ranks(events.withColumn("weight", (F.col("item.kind") == counted).cast("int")), *more)
+    return ranks.filter(F.col("item.kind") == counted).select("item.node", F.col("last.node").alias("root"), (F.col("rest") - 1).alias("place"), *more)
 
 
 def preorder(parents: DataFrame, place: str = "node") -> DataFrame:
-    """node, root and place of each node in its tree's order: a node, then its children's trees by the column `place`. parents: node, parent
-    (null at a root), place. Works on an Euler tour, whose links need only each node's first child and next sibling."""
+    """node, root, place of each node in its tree's order: a node, then its children's trees by the column `place`; and depth (0 at a root). parents:
+    node, parent (null at a root), place. Works on an Euler tour from its end, whose links need only each node's last child and previous sibling."""
     rows = parents.select("node", "parent", F.struct(F.col(place).alias("place"), F.col("node").alias("node")).alias("_o"))
-    chained = cut(neighbours(rows, ["parent"], "_o", after="_next"))
-    first = chained.filter("parent is not null").groupBy(F.col("parent").alias("node")).agg(F.min("_o").alias("_first"))
-    down = chained.select("node").join(by_sorting(first), "node", "left").select(_event(F.col("node"), _DOWN).alias("item"), F.when(F.col("_first").isNotNull(), _event(F.col("_first.node"), _DOWN)).otherwise(_event(F.col("node"), _UP)).alias("next"))
+    chained = cut(neighbours(rows, ["parent"], "_o", before="_prev"))
+    final = chained.filter("parent is not null").groupBy(F.col("parent").alias("node")).agg(F.max("_o").alias("_final"))
     inner = F.col("parent").isNotNull()
-    up = chained.select(_event(F.col("node"), _UP).alias("item"), F.when(inner & F.col("_next").isNotNull(), _event(F.col("_next.node"), _DOWN)).when(inner, _event(F.col("parent"), _UP)).alias("next"))
-    return _numbered(down.unionByName(up), _DOWN, "place")
+    down = chained.select(_event(F.col("node"), _DOWN).alias("item"), F.when(inner & F.col("_prev").isNotNull(), _event(F.col("_prev.node"), _UP)).when(inner, _event(F.col("parent"), _DOWN)).alias("next"), F.lit(1).alias("depth"))
+    up = chained.select("node").join(by_sorting(final), "node", "left").select(_event(F.col("node"), _UP).alias("item"), F.when(F.col("_final").isNotNull(), _event(F.col("_final.node"), _UP)).otherwise(_event(F.col("node"), _DOWN)).alias("next"), F.lit(-1).alias("depth"))
+    return _numbered(down.unionByName(up), _DOWN, "depth").withColumn("depth", F.col("depth") - 1)
 
 
 def in_order(nodes: DataFrame) -> DataFrame:
@@ -90,12 +92,12 @@ def in_order(nodes: DataFrame) -> DataFrame:
     here = lambda side: real.withColumnRenamed("node", side).withColumn(f"_has_{side}", F.lit(True))
     known = nodes.join(by_sorting(here("left")), "left", "left").join(by_sorting(here("right")), "right", "left").select("node", F.when(F.col("_has_left"), F.col("left")).alias("left"), F.when(F.col("_has_right"), F.col("right")).alias("right"))
     known = cut(known)
-    above = known.filter("left is not null").select(F.col("left").alias("node"), F.col("node").alias("_of"), F.lit(_BETWEEN).alias("_to")).unionByName(known.filter("right is not null").select(F.col("right").alias("node"), F.col("node").alias("_of"), F.lit(_UP).alias("_to")))
+    above = known.filter("left is not null").select(F.col("left").alias("node"), F.col("node").alias("_of"), F.lit(_DOWN).alias("_to")).unionByName(known.filter("right is not null").select(F.col("right").alias("node"), F.col("node").alias("_of"), F.lit(_BETWEEN).alias("_to")))
     item = lambda kind: _event(F.col("node"), kind).alias("item")
-    down = known.select(item(_DOWN), F.when(F.col("left").isNotNull(), _event(F.col("left"), _DOWN)).otherwise(_event(F.col("node"), _BETWEEN)).alias("next"))
-    between = known.select(item(_BETWEEN), F.when(F.col("right").isNotNull(), _event(F.col("right"), _DOWN)).otherwise(_event(F.col("node"), _UP)).alias("next"))
-    up = known.select("node").join(by_sorting(above), "node", "left").select(item(_UP), F.when(F.col("_of").isNotNull(), F.struct(F.col("_of").alias("node"), F.col("_to").alias("kind"))).alias("next"))
-    return _numbered(down.unionByName(between).unionByName(up), _BETWEEN, "place")
+    down = known.select("node").join(by_sorting(above), "node", "left").select(item(_DOWN), F.when(F.col("_of").isNotNull(), F.struct(F.col("_of").alias("node"), F.col("_to").alias("kind"))).alias("next"))
+    between = known.select(item(_BETWEEN), F.when(F.col("left").isNotNull(), _event(F.col("left"), _UP)).otherwise(_event(F.col("node"), _DOWN)).alias("next"))
+    up = known.select(item(_UP), F.when(F.col("right").isNotNull(), _event(F.col("right"), _UP)).otherwise(_event(F.col("node"), _BETWEEN)).alias("next"))
+    return _numbered(down.unionByName(between).unionByName(up), _BETWEEN)
 
 
 def hash_chains(heads: DataFrame, links: DataFrame, next_offset: int = 0) -> DataFrame:

@@ -104,13 +104,13 @@ def tree_lines(above: DataFrame, name: str, depth: int = 3) -> DataFrame:
 def tree_dump(parents: DataFrame, name: str, depth: int | None = None) -> DataFrame:
     """SNK4 for trees of any depth: node, root, place, depth, line: an indented line for each node down to a depth, with its place in the dump, which
     is the node's in its tree. parents: node, parent, and the column shown. Nodes have no paths here, only numbers."""
-    from orebody.operators.graph import Jumps
+    from orebody.operators.store import by_sorting
     from orebody.operators.trees import preorder
 
-    depths = Jumps(parents.select("node", "parent")).depths
-    shown = parents.select("node", F.col(name).cast("string").alias("_name"))
-    rows = preorder(parents.select("node", "parent")).join(depths, "node").join(shown, "node")
+    rows = preorder(parents.select("node", "parent"))
     rows = rows if depth is None else rows.filter(F.col("depth") < depth)
+    shown = parents.select("node", F.col(name).cast("string").alias("_name"))
+    rows = rows.withColumn("_name", F.col("node").cast("string")) if name == "node" else rows.join(by_sorting(shown), "node")
     return rows.select("node", "root", "place", "depth", F.concat(F.repeat(F.lit("  "), F.col("depth").cast("int")), "_name").alias("line"))
 
 

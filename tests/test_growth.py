@@ -124,6 +124,27 @@ def test_tree_dump_over_stations(spark, monkeypatch):
     assert not any("Broadcast" in p for p in seen[1:])
 
 
+def test_ranked_trees_join_nothing_to_their_ranks(spark):
+    from orebody.operators import trees
+    from orebody.sources import memory
+
+    above = {1: None, 2: 1, 3: 2, 9: 3, 4: 1, 5: None, 6: 5, 7: 6, 8: None}
+    parents = spark.createDataFrame([(k, p, f"n{k}") for k, p in above.items()], "node long, parent long, title string")
+    want = [(1, 1, 0, 0), (2, 1, 1, 1), (3, 1, 2, 2), (9, 1, 3, 3), (4, 1, 4, 1), (5, 5, 0, 0), (6, 5, 1, 1), (7, 5, 2, 2), (8, 8, 0, 0)]
+    lines = memory.tree_dump(parents, "node")
+    assert [tuple(x) for x in lines.orderBy("root", "place").collect()] == [(*w, "  " * w[3] + str(w[0])) for w in want]
+    assert "Join" not in plan_of(lines)
+    titled = memory.tree_dump(parents, "title", 2)
+    assert [tuple(x) for x in titled.orderBy("root", "place").collect()] == [(*w, "  " * w[3] + f"n{w[0]}") for w in want if w[3] < 2]
+    assert "Broadcast" not in plan_of(titled)
+    ordered = trees.in_order(spark.createDataFrame([(4, 2, 6), (2, None, 3), (3, None, None), (6, 5, 77), (5, None, None), (9, None, None)], "node long, left long, right long"))
+    assert sorted(map(tuple, ordered.collect())) == [(2, 4, 0), (3, 4, 1), (4, 4, 2), (5, 4, 3), (6, 4, 4), (9, 9, 0)]
+    assert "Join" not in plan_of(ordered)
+    for ring in ([(1, 2), (2, 1), (3, None)], [(1, 1)]):
+        with pytest.raises(ValueError):
+            memory.tree_dump(spark.createDataFrame(ring, "node long, parent long"), "node")
+
+
 def test_debug_records_are_read_once(spark):
     from orebody.sources import text
 
